@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import table
 from millrace.llm.mixing import mix
+from millrace.llm.simhash import near_duplicates
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op7_mix_sources": op7_mix_sources}
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op7_mix_sources": op7_mix_sources,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+}
 ORACLE: dict[str, str] = {}
