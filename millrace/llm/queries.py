@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import table
 from millrace.llm.mixing import mix
+from millrace.llm.packing import pack
 from millrace.llm.simhash import near_duplicates
 
+#: Folder of the public vocabulary files; a name in it is read by each worker.
+TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -18,6 +28,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mix_sources": op7_mix_sources,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
