@@ -10,6 +10,7 @@ from millrace.llm.common import table
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
 from millrace.llm.simhash import near_duplicates
+from millrace.llm.token_counts import token_counts
 
 #: Folder of the public vocabulary files; a name in it is read by each worker.
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
@@ -23,6 +24,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mix_sources": op7_mix_sources,
+    "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 ORACLE: dict[str, str] = {}
