@@ -8,23 +8,28 @@ find their slot by their length and their rank within it.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm.common import materialize
+from millrace.llm.token_counts import byte_alphabet
 
 CAPACITY = 2048
 #: Ends each document.
 END_ID = 0
-#: Distinct words of which a worker remembers the ids.
+#: Distinct words, and pieces, of which a worker remembers the ids (in each of two generations).
 CACHE_WORDS = 300_000
 
 _PIECES = pa.schema(
@@ -32,34 +37,80 @@ _PIECES = pa.schema(
 )
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> Callable[[str], bytes]:
+class Memory(dict):
+    """Results of ``find`` by key, in two generations of at most ``CACHE_WORDS`` (and what one text adds)."""
+
+    def __init__(self, find: Callable):
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key] if key in self.old else self.find(key)
+        return value
+
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
+class WordEncoder:
     """Encoder of texts to little-endian 32-bit ids for a vocabulary that drops white space.
 
     The vocabulary's pre-tokenizer cuts at white space and drops it, so a
-    text's ids are its words' ids in a row, and each distinct word is encoded
-    once.  Texts that hold a special string are encoded whole.
+    text's ids are its words' ids in a row, and the ids of a word are those of
+    the pieces into which the vocabulary's own pattern cuts it.  Words and
+    pieces are kept in two generations of bounded size, so that frequent ones
+    stay.  Texts with a special string, and words for which lower-casing or
+    white space could differ between libraries, are encoded by the tokenizer.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    known: dict[bytes, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        if any(s in text for s in special):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.encode().split()
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        fresh = list({w for w in words if w not in known})
-        if fresh:
-            encoded = tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(fresh, encoded, strict=True))
-        return b"".join(map(known.__getitem__, words))
-
-    return encode
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            splits = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in splits if x["type"] == "Split"))
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.visible = {b: c for c, b in byte_alphabet().items()}
+        self.words, self.pieces = Memory(self.word), Memory(self.piece)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.visible)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if _ODD.search(text):
+            return self.whole(text)
+        if text.isalpha():
+            return self.pieces[text.lower()]
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        out = b"".join(map(self.words.__getitem__, text.encode().split()))
+        self.words.age()
+        self.pieces.age()
+        return out
+
+
+#: Capital sigma has a lower case that depends on its place, dotted capital I one of two characters;
+#: the information separators are white space to some libraries only.
+_ODD = re.compile("[\u03a3\u0130\x1c-\x1f]")
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> Callable[[str], bytes]:
+    return WordEncoder(path).encode
 
 
 def _piece_batches(path: str, capacity: int) -> Callable:
