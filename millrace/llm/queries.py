@@ -5,17 +5,48 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
 from millrace.llm.simhash import near_duplicates
+from millrace.llm.substring_dedup import remove_repeated
 from millrace.llm.token_counts import token_counts
 
 #: Folder of the public vocabulary files; a name in it is read by each worker.
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS s FROM words
+), windows AS (
+  SELECT doc_id, s, array_to_string(w[s:s+12], ' ') AS gram FROM starts
+), firsts AS (
+  SELECT gram, min(doc_id) AS first_doc FROM windows GROUP BY gram
+), hits AS (
+  SELECT doc_id, list(DISTINCT p) AS gone FROM (
+    SELECT doc_id, unnest(range(s, s + 13)) AS p FROM windows JOIN firsts USING (gram) WHERE first_doc < doc_id
+  ) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, w, coalesce(gone, []) AS gone,
+    list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(coalesce(gone, []), x[2])) AS k
+  FROM words LEFT JOIN hits USING (doc_id)
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(k, lambda x: x[1]), ' ')) AS kept_sha256
+FROM kept
+"""
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -33,9 +64,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_substring_dedup": OP2_SQL}
