@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
+from millrace.llm.quality import score_quality
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.substring_dedup import remove_repeated
 from millrace.llm.token_counts import token_counts
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Folder of the public vocabulary files; a name in it is read by each worker.
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 
@@ -65,6 +70,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_counts": op8_token_counts,
