@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
+from millrace.llm.pii import find_pii, fit_pii
 from millrace.llm.quality import score_quality
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.substring_dedup import remove_repeated
@@ -68,6 +69,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = find_pii(docs, fit_pii(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
@@ -75,5 +82,6 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_pii": op10_pii,
 }
 ORACLE = {"op2_substring_dedup": OP2_SQL}
