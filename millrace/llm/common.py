@@ -7,8 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Words are maximal runs of characters other than the six ASCII white spaces.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,26 +49,3 @@ def discard(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def vector_classes(df: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
-    """One row per distinct vector: ``vec``, ``ids`` (its ``keep`` smallest ids, sorted), ``class_id``.
-
-    Copies of a vector tie in every score, and ties go to the smaller id, so
-    the ``keep`` smallest ids of a class are all that a top-(keep-1) search can
-    return.  The rank filter is pushed below the shuffle (partial group limit),
-    so that a hot vector sends at most ``keep`` rows from each task.
-    """
-    usable = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec")).where(
-        F.col("id").isNotNull()
-        & F.col("vec").isNotNull()
-        & F.forall("vec", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
-    )
-    rank = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    return (
-        usable.withColumn("rank", rank)
-        .where(F.col("rank") <= keep)
-        .groupBy("vec")
-        .agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        .withColumn("class_id", F.col("ids")[0])
-    )

@@ -15,6 +15,7 @@ from millrace.llm.quality import score_quality
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.substring_dedup import remove_repeated
 from millrace.llm.token_counts import token_counts
+from millrace.llm.topk import exact_top_k
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -24,6 +25,25 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
+OP1_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -76,6 +96,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_substring_dedup": op2_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -84,4 +105,4 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii": op10_pii,
 }
-ORACLE = {"op2_substring_dedup": OP2_SQL}
+ORACLE = {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL}
