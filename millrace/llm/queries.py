@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.ann import nearest
 from millrace.llm.common import table
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
@@ -17,6 +18,10 @@ from millrace.llm.substring_dedup import remove_repeated
 from millrace.llm.token_counts import token_counts
 from millrace.llm.topk import exact_top_k
 
+def op4_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -98,6 +103,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_hilbert_neighbours": op4_hilbert_neighbours,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mix_sources": op7_mix_sources,
