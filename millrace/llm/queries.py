@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.ann import nearest
+from millrace.llm.chat import format_chats
 from millrace.llm.common import table
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
@@ -18,6 +19,25 @@ from millrace.llm.substring_dedup import remove_repeated
 from millrace.llm.token_counts import token_counts
 from millrace.llm.topk import exact_top_k
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth,
+    '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS piece
+  FROM conversations
+), chats AS (
+  SELECT conv_id, count(*) AS n_turns, list(piece ORDER BY nth) AS pieces, string_agg(piece, '' ORDER BY nth) AS chat FROM turns GROUP BY conv_id
+), firsts AS (
+  SELECT min(conv_id) AS conv_id, n_turns, pieces, chat FROM chats GROUP BY n_turns, pieces, chat
+)
+SELECT conv_id, n_turns, chat FROM firsts a
+WHERE NOT EXISTS (SELECT 1 FROM chats b WHERE b.n_turns > a.n_turns AND b.pieces[1] = a.pieces[1] AND b.pieces[1:a.n_turns] = a.pieces)
+"""
+
+
 def op4_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
@@ -103,6 +123,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_hilbert_neighbours": op4_hilbert_neighbours,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -111,4 +132,4 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii": op10_pii,
 }
-ORACLE = {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL}
+ORACLE = {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL}
