@@ -7,14 +7,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
-
 #: Words share this many vectors by hash, which bounds the table whatever the vocabulary.
 SLOTS = 1 << 14
 DIMS = 64
@@ -174,31 +171,39 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def score_quality(
+@dataclass
+class Judge:
+    """Word vectors and the network over their pools; scores whole texts."""
+
+    vectors: np.ndarray
+    network: Network
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if not texts:
+            return np.empty(0)
+        return self.network.scores(np.array([pooled(self.vectors, units(t)) for t in texts]))
+
+
+def fit_judge(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
     max_labelled: int = MAX_LABELLED,
-) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted (score >= 0.7) of every row.
+) -> Judge:
+    """Word vectors from all texts; the network from the labels of at most ``max_labelled`` ids that aren't held out.
 
-    Word vectors come from all texts; labels, of rows that aren't held out,
-    from a sample of at most ``max_labelled`` (those of least id hash).  Null or
-    empty texts score as texts without words.  A null id isn't held out and has
-    no label.  Of an id with several labels the least counts.  Without labels
-    every score is 0.5.  Empty table: empty result.  Extra columns: ignored.
+    The sample is those of least id hash.  Of an id with several labels the
+    least counts.  Without labels every text scores 0.5.
     """
     vectors = word_vectors(docs, text_col)
 
     def pool_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [pooled(vectors, units(t.as_py())).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["doc_id", "features", "label"])
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    features = materialize(given.mapInArrow(pool_batches, "doc_id long, features binary"), "features")
     known = (
         labels.select(F.col("doc_id").cast("long").alias("of_doc"), F.col(label_col).cast("int").alias("label"))
         .where(F.col("of_doc").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("of_doc")) != HELD_OUT))
@@ -207,19 +212,31 @@ def score_quality(
         .orderBy(F.xxhash64("of_doc"), "of_doc")
         .limit(max_labelled)
     )
-    # the sample's size is bounded, so it goes to the features and not they to it
-    sample = features.join(F.broadcast(known), F.col("doc_id") == F.col("of_doc")).select("doc_id", "features", "label").toPandas()
-    sample = sample.drop_duplicates("doc_id").sort_values("doc_id")
+    # the sample's size is bounded, so it goes to the texts and not they to it
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sample = given.join(F.broadcast(known), F.col("doc_id") == F.col("of_doc")).select("doc_id", "text", "label")
+    sample = sample.mapInArrow(pool_batches, "doc_id long, features binary, label int").toPandas()
+    sample = sample.sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
     x = np.array([np.frombuffer(f, dtype="<f4") for f in sample["features"]]).reshape(-1, FEATURES)
-    network = fit_network(x, sample["label"].to_numpy(dtype=np.float64))
+    return Judge(vectors, fit_network(x, sample["label"].to_numpy(dtype=np.float64)))
 
-    def score_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x = np.array([np.frombuffer(f, dtype="<f4") for f in frame["features"]]).reshape(-1, FEATURES)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": network.scores(x)})
 
-    scored = features.mapInPandas(score_batches, "doc_id long, score double")
-    return scored.select(
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score (0 to 1) and predicted (score >= 0.7) of every row.
+
+    Null or empty texts score as texts without words.  A null id isn't held out
+    and has no label.  Repeated rows: a row each.  Empty table: empty result.
+    Extra columns: ignored.
+    """
+    judge = fit_judge(docs, labels, id_col, text_col)
+
+    def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = judge.scores(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return given.mapInArrow(score_batches, "doc_id long, score double").select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
@@ -228,10 +245,12 @@ def score_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose text scores at least the threshold; the columns of ``docs``.
+    """The rows whose text scores at least the threshold; the columns of ``docs``."""
+    judge = fit_judge(docs, labels, id_col, text_col)
 
-    Rows meet their scores by id; of rows that share an id, all stay if any
-    scores high.  Rows with a null id are dropped only if every such row is rejected.
-    """
-    good = score_quality(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(good, F.col(id_col).cast("long").eqNullSafe(F.col("__good")), "left_semi")
+    def good_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = judge.scores(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            yield batch.filter(pa.array(scores >= THRESHOLD))
+
+    return docs.mapInArrow(good_batches, docs.schema)

@@ -138,6 +138,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
-    """The documents whose id is the smallest of its component; rows with a null id stay."""
+    """The documents whose id is the smallest of its component; the columns of ``docs``.
+
+    Rows that share an id stay or go together; rows with a null id stay.
+    """
     kept = near_duplicates(docs, id_col, text_col, max_bits).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
