@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Segments of which a worker remembers the count, and states it keeps.
+#: Segments of which a worker remembers the count (in each of two generations), and states it keeps.
 CACHE_SEGMENTS = 300_000
-CACHE_STATES = 150_000
+CACHE_STATES = 200_000
+#: Characters whose new segments advance together.
+GROUP_CHARS = 4_000_000
 #: Characters of a chunk.
 CHUNK = 1 << 16
 
@@ -217,43 +219,51 @@ class Counter:
         self.merger = Merger([tuple(bytes(alphabet[c] for c in part) for part in pair) for pair in pairs])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.known: dict[str, int] = {}
-        self.of_piece: dict[bytes, int] = {}
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
-    def pieces(self, segment: str) -> tuple[list[bytes], int]:
+    def pieces(self, segment: str) -> tuple[list[str], int]:
         """The splitter over one segment that is entered in the start state: pieces, special tokens."""
         if segment[0] == " ":
             if segment[1:].isalpha():
-                return [segment.encode()], 0
+                return [segment], 0
             if segment[-1] in ",.;:!?" and segment[1:-1].isalpha():
-                return [segment[:-1].encode(), segment[-1].encode()], 0
+                return [segment[:-1], segment[-1]], 0
         parts = self.special.split(segment) if self.special else [segment]
         found = []
         for part in filter(None, parts):
             cuts = [*split_cuts(part, _WHITE.match(part).end()), len(part)]
-            found += [part[a:b].encode() for a, b in zip(cuts, cuts[1:], strict=False)]
+            found += [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return found, len(parts) - 1
 
-    def read(self, segments: set[str]) -> None:
-        """Run both transducers over segments that were not met before."""
+    def learn(self, segments: set[str]) -> None:
+        """Run both transducers over segments that were not met lately; a piece is a segment as well."""
         split = {s: self.pieces(s) for s in segments}
-        fresh = list({p for pieces, _ in split.values() for p in pieces if p not in self.of_piece})
-        self.of_piece.update(zip(fresh, self.merger.counts(fresh), strict=True))
-        count = self.of_piece.__getitem__
-        self.known.update((s, sum(map(count, pieces)) + special) for s, (pieces, special) in split.items())
+        fresh = set(chain.from_iterable(p for p, _ in split.values())).difference(self.young)
+        found = {p: self.old[p] for p in fresh if p in self.old}
+        unknown = list(fresh.difference(found))
+        found.update(zip(unknown, self.merger.counts([p.encode() for p in unknown]), strict=True))
+        self.young.update(found)
+        count = self.young.__getitem__
+        self.young.update((s, sum(map(count, p)) + special) for s, (p, special) in split.items() if special or len(p) != 1)
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Tokens of texts; a segment that was met before is one step."""
-        out = []
-        for at in range(0, len(texts), 512):
-            split = [_SEGMENT.findall(t) for t in texts[at : at + 512]]
-            if fresh := set(chain.from_iterable(split)).difference(self.known):
-                if len(self.known) + len(fresh) > CACHE_SEGMENTS:
-                    fresh = set(chain.from_iterable(split))
-                    self.known.clear()
-                    self.of_piece.clear()
-                self.read(fresh)
-            out += [sum(map(self.known.__getitem__, s)) for s in split]
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < GROUP_CHARS:
+                size += len(texts[end])
+                end += 1
+            split = [_SEGMENT.findall(t) for t in texts[at:end]]
+            if fresh := set(chain.from_iterable(split)).difference(self.young):
+                kept = {s: self.old[s] for s in fresh if s in self.old}
+                self.young.update(kept)
+                self.learn(fresh.difference(kept))
+            out += [sum(map(self.young.__getitem__, s)) for s in split]
+            if len(self.young) > CACHE_SEGMENTS:
+                self.young, self.old = {}, self.young
+            at = end
         return out
 
     def count(self, text: str) -> int:
