@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.functions import numbers, places, temporal
+from millrace.functions.units import MEASURES, converted, unit_of
+from millrace.operators import features, impute, joins, metrics, rows, stats
 from millrace.operators.profile import profile_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -13,13 +17,14 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     """Register a query under its function's name, with its SQL if there is one."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        key = name or f.__name__
+        QUERIES[key] = f
         if sql is not None:
-            ORACLE[f.__name__] = sql
+            ORACLE[key] = sql
         return f
 
     return add
@@ -29,6 +34,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Profiles and statistics
+
+
 def _profile_sql(name: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, "
@@ -38,12 +46,551 @@ def _profile_sql(name: str, columns: list[str]) -> str:
     )
 
 
-LINEITEM = (
-    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
-    "l_returnflag l_linestatus l_shipdate"
-).split()
+LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+ORDERS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
 
 
 @query(_profile_sql("lineitem", LINEITEM))
-def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def profile_lineitem(spark, sf_dir):
     return profile_columns(read(spark, sf_dir, "lineitem"))
+
+
+@query(f"SELECT column_name FROM ({_profile_sql('orders', ORDERS)}) WHERE unique_count / (row_count - null_count) > 0.95")
+def potential_ids(spark, sf_dir):
+    p = profile_columns(read(spark, sf_dir, "orders"))
+    return p.where("unique_count / (row_count - null_count) > 0.95").select("column_name")
+
+
+_R4 = "round_even({}, 4)"
+
+
+@query(
+    "SELECT count(*) AS n, "
+    + ", ".join(
+        f"{_R4.format(e)} AS {a}"
+        for a, e in {
+            "min": "min(x)", "max": "max(x)", "sum": "sum(x)", "range": "max(x) - min(x)", "mean": "avg(x)", "median": "median(x)", "std": "stddev_samp(x)", "variance": "var_samp(x)",
+            "skewness": "skewness(x)", "kurtosis": "kurtosis(x)", "q1": "quantile_cont(x, 0.25)", "q2": "quantile_cont(x, 0.5)", "q3": "quantile_cont(x, 0.75)", "iqr": "quantile_cont(x, 0.75) - quantile_cont(x, 0.25)",
+        }.items()
+    )
+    + " FROM (SELECT l_quantity AS x FROM lineitem)"
+)
+def eda_numeric_quantity(spark, sf_dir):
+    return stats.numeric_summary(read(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+def _hist_sql(name: str, column: str, bins: int) -> str:
+    return f"""
+    WITH s AS (SELECT min({column})::DOUBLE AS lo, max({column})::DOUBLE AS hi FROM {name}),
+    c AS (SELECT least(floor(({column} - lo) / ((hi - lo) / {bins})), {bins - 1})::INTEGER AS b, count(*) AS n FROM {name}, s GROUP BY 1)
+    SELECT i::INTEGER AS bin, lo + i * ((hi - lo) / {bins}) AS "left", lo + (i + 1) * ((hi - lo) / {bins}) AS "right", coalesce(n, 0)::BIGINT AS n
+    FROM s, range(0, {bins}) t(i) LEFT JOIN c ON b = i"""
+
+
+@query(_hist_sql("orders", "o_totalprice", 20))
+def eda_hist20(spark, sf_dir):
+    return stats.histogram(read(spark, sf_dir, "orders"), "o_totalprice", 20)
+
+
+@query(_hist_sql("lineitem", "l_extendedprice", 30))
+def hist30_price(spark, sf_dir):
+    return stats.histogram(read(spark, sf_dir, "lineitem"), "l_extendedprice", 30)
+
+
+@query("SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+def top20_values(spark, sf_dir):
+    return stats.value_counts(read(spark, sf_dir, "part"), "p_type", 20)
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 15")
+def bar_count15(spark, sf_dir):
+    return stats.value_counts(read(spark, sf_dir, "events"), "event_type", 15)
+
+
+@query("SELECT o_orderpriority AS x, round_even(avg(o_totalprice), 4) AS y FROM orders GROUP BY 1")
+def bar_mean(spark, sf_dir):
+    return stats.group_means(read(spark, sf_dir, "orders"), F.col("o_orderpriority"), "o_totalprice")
+
+
+@query("SELECT strftime(l_shipdate, '%Y-%m') AS x, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 1")
+def line_month_count(spark, sf_dir):
+    month = F.date_format("l_shipdate", "yyyy-MM").alias("x")
+    return read(spark, sf_dir, "lineitem").groupBy(month).agg(F.count(F.lit(1)).alias("n")).orderBy("x")
+
+
+@query("SELECT n_name AS x, sum(n_regionkey)::BIGINT AS y FROM nation GROUP BY 1")
+def lookup_sum(spark, sf_dir):
+    return read(spark, sf_dir, "nation").groupBy(F.col("n_name").alias("x")).agg(F.sum("n_regionkey").alias("y"))
+
+
+@query(
+    "SELECT o_orderpriority AS x, round_even(min(o_totalprice), 4) AS min, round_even(quantile_cont(o_totalprice, 0.25), 4) AS q1, round_even(median(o_totalprice), 4) AS median, "
+    "round_even(quantile_cont(o_totalprice, 0.75), 4) AS q3, round_even(max(o_totalprice), 4) AS max FROM orders GROUP BY 1 ORDER BY 1 LIMIT 10"
+)
+def box_stats(spark, sf_dir):
+    return stats.boxes(read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+
+
+@query()
+def scatter_sample(spark, sf_dir):
+    return stats.correlation_free_scatter(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query(
+    "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem), "
+    "s AS (SELECT avg((l_extendedprice < a - 1.5 * (b - a) OR l_extendedprice > b + 1.5 * (b - a))::INTEGER) AS share FROM lineitem, q) "
+    "SELECT round_even(share, 6) AS share, share > 0.05 AS many FROM s"
+)
+def iqr_outliers(spark, sf_dir):
+    return stats.outlier_share(read(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+@query(
+    "WITH s AS (SELECT count(o_totalprice) AS n, stddev_samp(o_totalprice) / avg(o_totalprice) AS cv FROM orders) "
+    "SELECT n, round_even(cv, 6) AS cv, CASE WHEN n < 5 THEN 'low' WHEN cv > 0.5 THEN 'high' WHEN cv > 0.2 THEN 'medium' ELSE 'low' END AS level FROM s"
+)
+def cv_rule(spark, sf_dir):
+    return stats.importance(read(spark, sf_dir, "orders"), "o_totalprice")
+
+
+@query(
+    "WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), g AS (SELECT d - lag(d) OVER (ORDER BY d) AS gap FROM d) "
+    "SELECT count(gap) AS n, round_even(stddev_samp(gap) / avg(gap), 6) AS cv, coalesce(count(gap) >= 2 AND stddev_samp(gap) / avg(gap) < 1, false) AS sequential FROM g WHERE gap IS NOT NULL"
+)
+def date_gap_cv(spark, sf_dir):
+    return impute.date_gap_variation(read(spark, sf_dir, "orders"), "o_orderdate")
+
+
+# Joins, keys, unions
+
+
+def _customers(spark, sf_dir):
+    return read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "custkey")
+
+
+def _join_query(how: str):
+    sql_how = {"outer": "FULL"}.get(how, how.upper())
+
+    @query(
+        f"SELECT coalesce(o.custkey, c.c_custkey) AS custkey, o_orderkey, o_totalprice, c_name, c_mktsegment FROM "
+        f"(SELECT o_custkey AS custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0) o {sql_how} JOIN customer c ON o.custkey IS NOT DISTINCT FROM c.c_custkey",
+        f"join_{how}",
+    )
+    def run(spark, sf_dir):
+        o = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("custkey"), "o_orderkey", "o_totalprice")
+        c = _customers(spark, sf_dir).select("custkey", "c_name", "c_mktsegment")
+        return joins.join_tables(o, c, ["custkey"], how)
+
+
+for _how in ("inner", "left", "right", "outer"):
+    _join_query(_how)
+
+
+@query(
+    "SELECT n_name, count(*) AS orders, round_even(avg(o_totalprice), 4) AS mean_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"
+)
+def join_chain3(spark, sf_dir):
+    tables = {
+        "orders": read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "custkey"),
+        "customer": _customers(spark, sf_dir).withColumnRenamed("c_nationkey", "nationkey"),
+        "nation": read(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "nationkey"),
+    }
+    plan = [joins.Join("orders", "customer", ("custkey",), result="oc"), joins.Join("oc", "nation", ("nationkey",), result="ocn")]
+    out = joins.run_plan(plan, tables)["ocn"]
+    return out.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.bround(F.avg("o_totalprice"), 4).alias("mean_price"))
+
+
+_NULL_KEYS = "SELECT CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 7 END AS k, s_suppkey AS v FROM supplier"
+
+
+@query(f"SELECT a.k, a.v AS v_x, b.v AS v_y FROM ({_NULL_KEYS}) a JOIN ({_NULL_KEYS}) b ON a.k IS NOT DISTINCT FROM b.k WHERE a.v < 20 AND b.v < 20")
+def join_nullkeys_suffix(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").where("s_suppkey < 20")
+    t = s.select(F.when(F.col("s_suppkey") % 5 != 0, F.col("s_suppkey") % 7).alias("k"), F.col("s_suppkey").alias("v"))
+    return joins.join_tables(t, t, ["k"])
+
+
+@query("SELECT unnest(['doc_id', 'text']) AS column_name")
+def shared_columns(spark, sf_dir):
+    found = joins.shared_columns({n: read(spark, sf_dir, n) for n in ("documents", "labels", "benchmark", "conversations")})
+    return spark.createDataFrame([(c,) for c in found], "column_name string")
+
+
+@query("SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def foreign_key_orphans(spark, sf_dir):
+    return joins.orphans(read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").where("c_custkey % 2 = 0"), "o_custkey", "c_custkey")
+
+
+@query("SELECT name, nationkey, filename FROM (SELECT c_name AS name, c_nationkey AS nationkey, 'customer' AS filename FROM customer UNION ALL SELECT s_name, s_nationkey, 'supplier' FROM supplier)")
+def concat_filename(spark, sf_dir):
+    return joins.concat_files(
+        {n: read(spark, sf_dir, n).select(F.col(f"{p}_name").alias("name"), F.col(f"{p}_nationkey").alias("nationkey")) for n, p in (("customer", "c"), ("supplier", "s"))}
+    )
+
+
+# Cleaning
+
+_COPIED = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 4 = 0"
+
+
+@query(f"SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM ({_COPIED})")
+def dedup_rows(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    t = t.withColumn("row_id", F.lit(0)).unionByName(t.where("l_orderkey % 4 = 0").withColumn("row_id", F.lit(1)))
+    return rows.keep_first(t, "row_id").drop("row_id")
+
+
+def _holes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 2 != 0, F.col("o_custkey")).alias("a"), F.when(k % 3 == 0, F.col("o_orderstatus")).alias("b"), F.when(k % 5 == 0, F.col("o_totalprice")).alias("c")
+    )
+
+
+_HOLES = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 THEN o_custkey END AS a, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS b, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice END AS c FROM orders"
+
+
+@query(f"SELECT * FROM ({_HOLES}) WHERE ((a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT) / 4.0 < 0.7")
+def drop_sparse_rows(spark, sf_dir):
+    return rows.drop_sparse_rows(_holes(spark, sf_dir))
+
+
+@query(f"SELECT o_orderkey, a, b FROM ({_HOLES})")
+def drop_sparse_columns(spark, sf_dir):
+    return rows.drop_sparse_columns(_holes(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def drop_repeated_columns(spark, sf_dir):
+    t = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("copy"), "o_totalprice")
+    return rows.drop_repeated_columns(t, "o_orderkey")
+
+
+_TOKENS = "['N/A', 'null', 'ok', '--', ' 12 ', '?', 'Unknown', '***', 'a-b', '']"
+
+
+@query(
+    f"WITH t AS (SELECT event_id, ({_TOKENS})[(event_id % 10 + 1)::INT] AS s FROM events) SELECT event_id, "
+    "CASE WHEN lower(trim(s)) IN ('n/a', 'null', '--', '?', 'unknown', '') OR NOT regexp_matches(lower(s), '[a-z0-9]') THEN NULL ELSE s END AS s FROM t"
+)
+def token_nulls(spark, sf_dir):
+    words = F.array(*[F.lit(x) for x in ("N/A", "null", "ok", "--", " 12 ", "?", "Unknown", "***", "a-b", "")])
+    return read(spark, sf_dir, "events").select("event_id", rows.tokens_to_null(F.element_at(words, (F.col("event_id") % 10 + 1).cast("int"))).alias("s"))
+
+
+@query(r"""SELECT p_partkey, regexp_replace('[' || p_name || ']! "' || p_brand || '"?', '[|~()\[\]{}"''`!?+]', '', 'g') AS s FROM part""")
+def special_symbols(spark, sf_dir):
+    s = F.concat(F.lit("["), "p_name", F.lit('"]! "').substr(2, 5), "p_brand", F.lit('"?'))
+    return read(spark, sf_dir, "part").select("p_partkey", rows.strip_symbols(s).alias("s"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE (event_id % 100)::VARCHAR END AS v FROM events")
+def mixed_clean(spark, sf_dir):
+    v = F.when(F.col("event_id") % 7 == 0, F.col("event_type")).otherwise((F.col("event_id") % 100).cast("string"))
+    return rows.clean_mixed(read(spark, sf_dir, "events").select("event_id", v.alias("v")), "v")
+
+
+# Units: line numbers 1 to 7 pick a unit, values come in tenths
+
+
+def _unit_query(kind: str, units: list[str], target: str) -> None:
+    m = MEASURES[kind]
+    cases = " ".join(
+        f"WHEN {i} THEN round_even("
+        + (
+            "q"
+            if u == target
+            else f"((q + {(m.offsets or {}).get(u, 0.0)!r}) * {m.factors[u]!r} / {m.factors[target]!r}) - {(m.offsets or {}).get(target, 0.0)!r}"
+            if m.offsets
+            else f"q * {m.factors[u]!r} / {m.factors[target]!r}"
+        )
+        + f", {m.digits})"
+        for i, u in enumerate(units)
+    )
+    units_sql = "[" + ", ".join(f"'{u}'" for u in units) + "]"
+
+    @query(
+        f"SELECT l_orderkey, l_linenumber, ({units_sql})[(l_linenumber % {len(units)}) + 1] AS unit, CASE l_linenumber % {len(units)} {cases} END AS v "
+        "FROM (SELECT l_orderkey, l_linenumber, l_quantity + 0.5 AS q FROM lineitem)",
+        f"{kind}_norm",
+    )
+    def run(spark, sf_dir):
+        names = F.array(*map(F.lit, units))
+        unit = F.element_at(names, F.col("l_linenumber") % len(units) + 1)
+        text = F.concat((F.col("l_quantity") + 0.5).cast("string"), F.lit(" "), unit)
+        t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("s"))
+        return t.select("l_orderkey", "l_linenumber", unit_of(F.col("s"), m).alias("unit"), converted(F.col("s"), m, target).alias("v"))
+
+
+for _kind, _some, _target in (
+    ("distance", ["km", "m", "mi", "ft"], "km"), ("weight", ["kg", "lb", "oz", "g"], "kg"), ("volume", ["l", "ml", "gal", "cup"], "l"),
+    ("area", ["m2", "ft2", "acre", "ha"], "m2"), ("speed", ["km/h", "m/s", "mph", "knot"], "km/h"), ("temperature", ["C", "F", "K"], "C"),
+    ("pressure", ["kPa", "bar", "psi"], "kPa"), ("energy", ["kJ", "kcal", "Wh"], "kJ"), ("power", ["kW", "W", "hp"], "kW"),
+    ("capacity", ["GB", "TB", "MB"], "GB"), ("density", ["kg/m3", "g/cm3"], "kg/m3"), ("angle", ["deg", "rad", "grad"], "deg"),
+):
+    _unit_query(_kind, _some, _target)
+
+
+# Strings by fixed examples: each example is repeated over the events by number
+
+
+def _examples_query(name: str, kind: str, values: list[tuple[str, object]], f) -> None:
+    """Values are dealt to events by number; the oracle has the expected results as a literal table."""
+    lit = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+    table = ", ".join(f"({i}, {lit(a)}, CAST({lit(b)} AS {kind}))" for i, (a, b) in enumerate(values))
+
+    @query(f"SELECT event_id, e.s, e.v FROM events JOIN (VALUES {table}) e(i, s, v) ON event_id % {len(values)} = e.i", name)
+    def run(spark, sf_dir):
+        texts = F.array(*[F.lit(a) for a, _ in values])
+        s = F.element_at(texts, (F.col("event_id") % len(values) + 1).cast("int"))
+        return read(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", "s", f(F.col("s")).alias("v"))
+
+
+for _args in (
+    ("currency_norm", "DOUBLE", [("$1,200.50", 1200.5), ("€1.234,56", 1234.56), ("R$ 10", 10), ("USD 5k", 5000), ("2.5 cr", 2.5e7), ("(300)", -300), ("£7m", 7e6), ("x", None)], numbers.money_amount),
+    ("currency_mixed", "VARCHAR", [("$1,200.50", "USD"), ("€1.234,56", "EUR"), ("R$ 10", "BRL"), ("5 inr", "INR"), ("7", None), ("¥900", "JPY")], numbers.currency_of),
+    ("percentage_norm", "DOUBLE", [("45%", 0.45), ("12.5 percent", 0.125), ("7 pct", 0.07), ("abc", None)], numbers.percentage),
+    ("salary_uniform", "DOUBLE", [("8 LPA", 800000), ("$50k/year", 50000), ("20 per hour", 41600), ("1,000 a week", 52000), ("n", None)], numbers.yearly_pay),
+    ("numsys_norm", "BIGINT", [("0xFF", 255), ("0b101", 5), ("0o17", 15), ("XIV", 14), ("MCMXC", 1990), ("1.5e3", 1500), ("5 lakh", 500000), ("two million", 2000000), ("zz", None)], numbers.numeral),
+    ("ratio_norm", "VARCHAR", [("3:4", "3:4"), ("16 / 9", "16:9"), ("a", None)], numbers.ratio),
+    ("integer_norm", "BIGINT", [("1,234", 1234), ("12 000", 12000), ("7.9", 7), ("x", None)], numbers.integer),
+    ("float_norm", "DOUBLE", [("1,234.567", 1234.57), (".5", 0.5), ("x", None)], numbers.decimal),
+    ("numeric_suffix", "DOUBLE", [("10+", 10), ("1.5k+", 1500), ("5K", 5000), ("2.5M", 2500000), ("k", None)], numbers.suffixed),
+    ("format_signature", "VARCHAR", [("10-20% off", "<N>-<N>% off"), ("24 or above", "<N> or above")], numbers.signature),
+    ("date_norm", "VARCHAR", [("2021-03-05", "05-03-2021"), ("5/3/2021", "05-03-2021"), ("September 25, 2021", "25-09-2021"), ("1st jan 2020", "01-01-2020"), ("20240131", "31-01-2024"), ("31-02-2020", None), ("hello", None)], temporal.date_text),
+    ("time_norm", "VARCHAR", [("2:30 PM", "14:30"), ("14:05:59", "14:05"), ("noon", "12:00"), ("9 a.m.", "09:00"), ("afternoon", "15:00"), ("99:99", None)], temporal.time_of),
+    ("datetime_norm", "VARCHAR", [("12/02/2026 11:30 AM", "12-02-2026 11:30:00"), ("13 mar 2025 2:30 PM", "13-03-2025 14:30:00"), ("2024-01-31 23:59:58", "31-01-2024 23:59:58"), ("31 feb 2026 4:16 PM", None), ("15 aug 2026 45:00", None)], temporal.datetime_text),
+    ("timestamp_valid", "VARCHAR", [("1700000000", "1700000000"), ("1700000000123", "1700000000123"), ("2024-01-31T10:20:30Z", "2024-01-31T10:20:30Z"), ("2024-13-31T10:20", None), ("12", None)], temporal.valid_timestamp),
+    ("duration_norm", "DOUBLE", [("90m", 5400), ("1h 30m", 5400), ("2 days", 172800), ("1:30:05", 5405), ("PT1H30M", 5400), ("x", None)], temporal.duration_seconds),
+    ("year_norm", "INTEGER", [("Year 2025", 2025), ("2025 AD", 2025), ("Y2025", 2025), ("FY 49", 2049), ("2025", None)], temporal.year_of),
+    ("month_norm", "VARCHAR", [("january", "Jan"), ("Sep", "Sep"), ("Xyz", None)], temporal.month_name),
+    ("day_norm", "VARCHAR", [("mon", "Monday"), ("Thursday", "Thursday"), ("xyz", None)], temporal.day_name),
+    ("week_norm", "VARCHAR", [("W5", "2024-W05"), ("Week 12", "2024-W12"), ("2023-W51", "2023-W51"), ("W60", None)], lambda c: temporal.week_label(c, 2024)),
+    ("quarter_norm", "VARCHAR", [("Q1", "2024-Q1"), ("2023-Q4", "2023-Q4"), ("Quarter 2", "2024-Q2"), ("Q5", None)], lambda c: temporal.quarter_label(c, 2024)),
+    ("fiscal_norm", "VARCHAR", [("FY2024", "FY-2024"), ("FY 24", "FY-2024"), ("FY2023-24", "FY-2023"), ("2024", None)], temporal.fiscal_year),
+    ("lat_norm", "DOUBLE", [("51.5", 51.5), ("33.86 S", -33.86), ("51 30 26 N", 51.507222), ("95", None), ("x", None)], places.latitude),
+    ("lon_norm", "DOUBLE", [("-0.1278", -0.1278), ("151.2 E", 151.2), ("70 40 0 W", -70.666667), ("181", None)], places.longitude),
+    ("geo_split", "DOUBLE", [("51.5, -0.12", 51.5), ("(10; 20)", 10), ("99,10", None)], lambda c: places.geo_pair(c)["latitude"]),
+    ("gender_norm", "VARCHAR", [("M", "male"), ("Woman", "female"), ("non-binary", "other"), ("?", None)], places.gender_of),
+    ("email_lower", "VARCHAR", [("A.B@Example.com", "a.b@example.com"), ("a@b", None)], places.email_of),
+    ("ip_detect", "BOOLEAN", [("10.0.0.1", True), ("256.1.1.1", False), ("10.0.0.0/8", True)], lambda c: places.is_a("ipv4", c)),
+    ("path_detect", "BOOLEAN", [("/usr/local/bin", True), ("C:\\x\\y.txt", True), ("hello world", False)], lambda c: places.is_a("path", c)),
+    ("file_detect", "BOOLEAN", [("data.csv", True), ("a/b.csv", False), ("x.zzz", False)], lambda c: places.is_a("file", c)),
+    ("version_detect", "BOOLEAN", [("1.2.3", True), ("v2.0-rc1", True), ("abc", False)], lambda c: places.is_a("version", c)),
+    ("tz_detect", "BOOLEAN", [("UTC+05:30", True), ("Europe/Paris", True), ("utc", False)], lambda c: places.is_a("timezone", c)),
+    ("year_range_norm", "INTEGER", [("2024-25", 2025), ("1999-00", 2000), ("2001-2004", 2004), ("12-13", None)], lambda c: numbers.year_range(c)["end_year"]),
+    ("range_split", "DOUBLE", [("2-5k", 2000), ("10 to 20", 10), ("1.5k - 2k", 1500), ("x", None)], lambda c: numbers.value_range(c)["value_min"]),
+):
+    _examples_query(*_args)
+
+
+@query(r"SELECT page_id, regexp_matches(url, '^(https?|ftp)://[^\s/?#]+') AS is_url FROM pages")
+def url_detect(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", places.is_a("url", F.col("url")).alias("is_url"))
+
+
+@query(r"SELECT avg((regexp_matches(c_name, '^[A-Za-z0-9][A-Za-z0-9#_./-]*$') AND regexp_matches(c_name, '[A-Za-z]') AND regexp_matches(c_name, '[0-9]'))::INT) AS share FROM customer")
+def id_like_share(spark, sf_dir):
+    return read(spark, sf_dir, "customer").agg(F.avg(numbers.id_like(F.col("c_name")).cast("int")).alias("share"))
+
+
+@query("SELECT avg(length(text)) > 50 AND avg(len(string_split(text, ' '))) > 5 AS long_text FROM documents")
+def long_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").agg(((F.avg(F.length("text")) > 50) & (F.avg(F.size(F.split("text", " "))) > 5)).alias("long_text"))
+
+
+# Imputation: every seventh price is missing
+
+_GAPS = "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice) END AS v FROM orders"
+
+
+def _gaps(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 7 != 0, F.round("o_totalprice")).alias("v"))
+
+
+def _fill_query(how: str) -> None:
+    value = {"mean": "avg(v)", "median": "median(v)", "mode": "(SELECT v FROM t WHERE v IS NOT NULL GROUP BY v ORDER BY count(*) DESC, v LIMIT 1)"}[how]
+    agg = f"SELECT {value} AS f FROM t" if how != "mode" else f"SELECT {value} AS f"
+
+    @query(f"WITH t AS ({_GAPS}), f AS ({agg}) SELECT o_orderkey, o_orderpriority, round_even(coalesce(v, f), 4) AS v FROM t, f", f"impute_{how}")
+    def run(spark, sf_dir):
+        return impute.fill_with(_gaps(spark, sf_dir), "v", how).withColumn("v", F.bround("v", 4))
+
+
+for _how in ("mean", "median", "mode"):
+    _fill_query(_how)
+
+
+@query(
+    f"WITH t AS ({_GAPS}), g AS (SELECT o_orderpriority AS p, median(v) AS m FROM t GROUP BY 1), a AS (SELECT median(v) AS m FROM t) "
+    "SELECT o_orderkey, o_orderpriority, coalesce(v, g.m, a.m) AS v FROM t LEFT JOIN g ON o_orderpriority IS NOT DISTINCT FROM p, a"
+)
+def impute_group_median(spark, sf_dir):
+    return impute.fill_group_median(_gaps(spark, sf_dir), "v", "o_orderpriority").select("o_orderkey", "o_orderpriority", "v")
+
+
+_W = "OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN {})"
+
+
+@query(
+    f"WITH t AS ({_GAPS}) SELECT o_orderkey, o_orderpriority, coalesce(last_value(v IGNORE NULLS) {_W.format('UNBOUNDED PRECEDING AND CURRENT ROW')}, "
+    f"first_value(v IGNORE NULLS) {_W.format('CURRENT ROW AND UNBOUNDED FOLLOWING')}) AS v FROM t"
+)
+def ffill_bfill(spark, sf_dir):
+    return impute.fill_from_neighbours(_gaps(spark, sf_dir), "v", "o_orderkey", ["o_orderpriority"])
+
+
+@query(
+    f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM ({_GAPS})), "
+    "k AS (SELECT *, CASE WHEN v IS NOT NULL THEN r END AS kr FROM t), "
+    f"n AS (SELECT *, last_value(v IGNORE NULLS) {_W.format('UNBOUNDED PRECEDING AND CURRENT ROW')} AS v0, last_value(kr IGNORE NULLS) {_W.format('UNBOUNDED PRECEDING AND CURRENT ROW')} AS r0, "
+    f"first_value(v IGNORE NULLS) {_W.format('CURRENT ROW AND UNBOUNDED FOLLOWING')} AS v1, first_value(kr IGNORE NULLS) {_W.format('CURRENT ROW AND UNBOUNDED FOLLOWING')} AS r1 FROM k) "
+    "SELECT o_orderkey, o_orderpriority, round_even(coalesce(v, v0 + (v1 - v0) * ((r - r0) / nullif(r1 - r0, 0)::DOUBLE), v0, v1), 4) AS v FROM n"
+)
+def interpolate(spark, sf_dir):
+    return impute.interpolate(_gaps(spark, sf_dir), "v", "o_orderkey", ["o_orderpriority"]).withColumn("v", F.bround("v", 4))
+
+
+@query("SELECT c_custkey, c_custkey AS n FROM customer")
+def seq_numeric(spark, sf_dir):
+    t = read(spark, sf_dir, "customer").select("c_custkey", F.when((F.col("c_custkey") % 9 != 0) | (F.col("c_custkey") == 0), F.col("c_custkey")).alias("n"))
+    return impute.fill_sequence(t, "n", "c_custkey")
+
+
+@query("SELECT c_custkey, 'EMP' || lpad((c_custkey % 100000)::VARCHAR, 5, '0') AS code FROM customer")
+def seq_text(spark, sf_dir):
+    code = F.concat(F.lit("EMP"), F.lpad(F.col("c_custkey").cast("string"), 5, "0"))
+    t = read(spark, sf_dir, "customer").select("c_custkey", F.when((F.col("c_custkey") % 9 != 0) | (F.col("c_custkey") == 0), code).alias("code"))
+    return impute.fill_text_sequence(t, "code", "c_custkey")
+
+
+@query("SELECT o_orderkey, month(o_orderdate)::INTEGER AS m, week(o_orderdate)::INTEGER AS w, quarter(o_orderdate)::INTEGER AS q FROM orders")
+def rederive_parts(spark, sf_dir):
+    d = F.to_date("o_orderdate")
+    return read(spark, sf_dir, "orders").select("o_orderkey", *[impute.calendar_part(p, d).alias(a) for p, a in (("month", "m"), ("week", "w"), ("quarter", "q"))])
+
+
+@query(
+    "SELECT o_orderkey, (make_date(2023, (o_orderkey % 12 + 1)::INT, 1) + (least(31, day(last_day(make_date(2023, (o_orderkey % 12 + 1)::INT, 1)))) - 1)::INT)::DATE AS d FROM orders"
+)
+def date_clamp(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", impute.clamped_date(F.lit(2023), (F.col("o_orderkey") % 12 + 1).cast("int"), F.lit(31)).alias("d"))
+
+
+# Features
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 100000 AND 120000 THEN 3 WHEN o_orderstatus IS DISTINCT FROM 'O' THEN 2 WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS target FROM orders"
+)
+def target_rules(spark, sf_dir):
+    rules = [
+        {"column": "o_totalprice", "op": ">", "value": 150000},
+        {"column": "o_orderstatus", "op": "!=", "value": "O", "output": 2},
+        {"column": "o_totalprice", "op": "between", "value": 100000, "value2": 120000, "output": 3},
+    ]
+    return read(spark, sf_dir, "orders").select("o_orderkey", features.target_by_rules(rules).alias("target"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 1000 AND o_orderstatus = 'F' THEN 1 ELSE 0 END AS target FROM orders")
+def target_expr(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return o.select("o_orderkey", features.target_by_expression(o, "o_totalprice > 1000 and o_orderstatus = 'F'").alias("target"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_returnflag = 'A')::INT AS l_returnflag_A, (l_returnflag = 'N')::INT AS l_returnflag_N, (l_returnflag = 'R')::INT AS l_returnflag_R FROM lineitem")
+def onehot(spark, sf_dir):
+    return features.one_hot(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_returnflag").drop("l_returnflag")
+
+
+@query(
+    "WITH p AS (SELECT avg(o_totalprice) AS m FROM orders), s AS (SELECT o_orderpriority AS k, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1) "
+    "SELECT o_orderkey, round_even((s + 10 * m) / (n + 10), 4) AS enc FROM orders JOIN s ON k = o_orderpriority, p"
+)
+def target_enc(spark, sf_dir):
+    out = features.target_encoded(read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+    return out.select("o_orderkey", F.bround("o_orderpriority_enc", 4).alias("enc"))
+
+
+@query("WITH s AS (SELECT o_orderpriority AS k, count(*) / (SELECT count(*) FROM orders) AS f FROM orders GROUP BY 1) SELECT o_orderkey, f AS freq FROM orders JOIN s ON k = o_orderpriority")
+def freq_enc(spark, sf_dir):
+    return features.frequency_encoded(read(spark, sf_dir, "orders"), "o_orderpriority").select("o_orderkey", F.col("o_orderpriority_freq").alias("freq"))
+
+
+@query(
+    "SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, day(o_orderdate)::INTEGER AS d, (isodow(o_orderdate) - 1)::INTEGER AS wd, "
+    "round_even(sin(month(o_orderdate) * (2 * 3.141592653589793 / 12)), 6) + 0.0 AS ms FROM orders"
+)
+def date_features(spark, sf_dir):
+    out = features.date_parts(read(spark, sf_dir, "orders"), "o_orderdate")
+    return out.select("o_orderkey", *[F.col(f"o_orderdate_{a}").alias(b) for a, b in (("year", "y"), ("month", "m"), ("day", "d"), ("weekday", "wd"), ("month_sin", "ms"))])
+
+
+@query("SELECT event_id, hour(ts)::INTEGER AS h, minute(ts)::INTEGER AS mi, round_even(cos(hour(ts) * (2 * 3.141592653589793 / 24)), 6) + 0.0 AS hc FROM events")
+def time_cyclic(spark, sf_dir):
+    out = features.time_parts(read(spark, sf_dir, "events"), "ts")
+    return out.select("event_id", F.col("ts_hour").alias("h"), F.col("ts_minute").alias("mi"), F.col("ts_hour_cos").alias("hc"))
+
+
+for _how, _expr in {
+    "z_score": "(l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER ()",
+    "min_max": "(l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ())",
+    "robust": "(l_quantity - quantile_cont(l_quantity, 0.5) OVER ()) / (quantile_cont(l_quantity, 0.75) OVER () - quantile_cont(l_quantity, 0.25) OVER ())",
+    "decimal": "l_quantity / pow(10, ceil(log10(max(abs(l_quantity)) OVER () + 1e-12)))",
+}.items():
+
+    @query(f"SELECT l_orderkey, l_linenumber, round_even({_expr}, 6) AS v FROM lineitem", f"scale_{_how}")
+    def _scale(spark, sf_dir, how=_how):
+        out = features.scaled(read(spark, sf_dir, "lineitem"), "l_quantity", how)
+        return out.select("l_orderkey", "l_linenumber", F.bround("l_quantity_scaled", 6).alias("v"))
+
+
+@query(
+    "WITH j AS (SELECT 'l_linestatus' AS feature, l_linestatus::VARCHAR AS x, l_returnflag AS y, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL "
+    "SELECT 'l_linenumber', l_linenumber::VARCHAR, l_returnflag, count(*) FROM lineitem GROUP BY ALL), "
+    "t AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS a, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny FROM j) "
+    "SELECT feature, round_even(sum(n / a * ln(n * a / (nx * ny))), 8) AS mi FROM t GROUP BY 1"
+)
+def mi_discrete(spark, sf_dir):
+    return features.mutual_information(read(spark, sf_dir, "lineitem"), ["l_linestatus", "l_linenumber"], "l_returnflag")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def class_freq(spark, sf_dir):
+    return features.class_counts(read(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@query()
+def split_counts(spark, sf_dir):
+    return features.split(read(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus").groupBy("o_orderstatus", "is_test").count()
+
+
+# Metrics
+
+
+@query("SELECT quality AS label, 1 - toxic AS prediction, count(*) AS n FROM labels GROUP BY 1, 2")
+def confusion(spark, sf_dir):
+    return metrics.confusion(read(spark, sf_dir, "labels").withColumn("said", 1 - F.col("toxic")), "quality", "said")
+
+
+@query(
+    "WITH r AS (SELECT quality AS y, 1 - toxic AS p FROM labels), c AS (SELECT c, (SELECT count(*) FROM r WHERE y = c)::DOUBLE AS t, (SELECT count(*) FROM r WHERE p = c)::DOUBLE AS s, "
+    "(SELECT count(*) FROM r WHERE p = c AND y = c)::DOUBLE AS h FROM (VALUES (0), (1)) v(c)), "
+    "m AS (SELECT *, coalesce(h / nullif(s, 0), 0) AS pr, coalesce(h / nullif(t, 0), 0) AS re FROM c), f AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f1 FROM m), "
+    "a AS (SELECT sum(t) AS n, sum(h) AS h, sum(t * s) AS ts, sum(t * t) AS tt, sum(s * s) AS ss, avg(pr) AS pm, avg(re) AS rm, avg(f1) AS fm, sum(pr * t) / sum(t) AS pw, sum(f1 * t) / sum(t) AS fw FROM f) "
+    "SELECT round_even(h / n, 8) AS accuracy, round_even(1 - h / n, 8) AS hamming_loss, round_even((n * h - ts) / (sqrt(n * n - ss) * sqrt(n * n - tt)), 8) AS mcc, "
+    "round_even((h / n - ts / (n * n)) / (1 - ts / (n * n)), 8) AS kappa, round_even(rm, 8) AS balanced_accuracy, round_even(pm, 8) AS precision_macro, round_even(rm, 8) AS recall_macro, "
+    "round_even(fm, 8) AS f1_macro, round_even(pw, 8) AS precision_weighted, round_even(fw, 8) AS f1_weighted FROM a"
+)
+def clf_metrics(spark, sf_dir):
+    return metrics.classification_metrics(read(spark, sf_dir, "labels").withColumn("said", 1 - F.col("toxic")), "quality", "said")
+
+
+@query(
+    "WITH r AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS p, l_extendedprice - l_quantity * 1500 AS e FROM lineitem) "
+    "SELECT round_even(avg(abs(e)), 6) AS mae, round_even(avg(e * e), 6) AS mse, round_even(sqrt(avg(e * e)), 6) AS rmse, round_even(median(abs(e)), 6) AS median_ae, "
+    "round_even(1 - sum(e * e) / (var_pop(y) * count(y)), 6) AS r2, round_even(1 - var_pop(e) / var_pop(y), 6) AS explained_variance, round_even(avg(abs(e) / abs(y)), 6) AS mape, "
+    "round_even(avg(2 * abs(e) / (abs(y) + abs(p))), 6) AS smape, round_even(avg(e), 6) AS residual_mean, round_even(stddev_pop(e), 6) AS residual_std FROM r"
+)
+def reg_metrics(spark, sf_dir):
+    return metrics.regression_metrics(read(spark, sf_dir, "lineitem").withColumn("said", F.col("l_quantity") * 1500), "l_extendedprice", "said")
