@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numbers, places, temporal
 from millrace.functions.units import MEASURES, converted, unit_of
-from millrace.operators import features, impute, joins, metrics, rows, stats
+from millrace.operators import charts, detect, features, impute, joins, metrics, models, rows, stats, structure
 from millrace.operators.profile import profile_columns
+from millrace.plans import cleaning
+from millrace.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -594,3 +596,81 @@ def clf_metrics(spark, sf_dir):
 )
 def reg_metrics(spark, sf_dir):
     return metrics.regression_metrics(read(spark, sf_dir, "lineitem").withColumn("said", F.col("l_quantity") * 1500), "l_extendedprice", "said")
+
+
+# Types, plans, streams and models
+
+
+@query()
+def structural_types(spark, sf_dir):
+    found = [(n, c, k) for n in ("customer", "orders", "part", "lineitem") for c, k in structure.structural_types(read(spark, sf_dir, n))]
+    return spark.createDataFrame(found, "table_name string, column_name string, structural_type string")
+
+
+@query()
+def constraints(spark, sf_dir):
+    found = structure.constraints({n: read(spark, sf_dir, n) for n in ("nation", "region", "labels", "benchmark")})
+    return spark.createDataFrame(found, "kind string, table_name string, column_name string")
+
+
+def _messy(spark, sf_dir):
+    q = F.col("l_quantity")
+    return read(spark, sf_dir, "lineitem").select(
+        F.concat(q.cast("string"), F.when(F.col("l_linenumber") % 3 == 0, F.lit(" lb")).otherwise(F.lit(" kg"))).alias("weight"),
+        F.concat(F.lit("$"), F.format_number("l_extendedprice", 2)).alias("cost"),
+        F.date_format("l_shipdate", "dd/MM/yyyy").alias("shipped"),
+        F.concat((F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")).alias("off"),
+        F.col("l_returnflag").alias("flag"),
+    )
+
+
+@query(
+    "SELECT column_name, CASE column_name WHEN 'weight' THEN 'weight' WHEN 'cost' THEN 'currency' WHEN 'shipped' THEN 'date' WHEN 'off' THEN 'percentage' ELSE 'text' END AS kind "
+    "FROM (SELECT unnest(['weight', 'cost', 'shipped', 'off', 'flag']) AS column_name)"
+)
+def semantic_choice(spark, sf_dir):
+    found = detect.semantic_types(_messy(spark, sf_dir))
+    return spark.createDataFrame([(c, k) for c, (k, _) in found.items()], "column_name string, kind string")
+
+
+@query(
+    'SELECT round_even(CASE WHEN l_linenumber % 3 = 0 THEN l_quantity * 0.45359237 ELSE l_quantity END, 2) AS "weight_(kg)", round_even(l_extendedprice, 2) AS "cost_(USD)", '
+    "l_shipdate::DATE AS shipped, round_even(trunc(l_discount * 100) / 100.0, 4) AS off_percentage, l_returnflag AS flag FROM lineitem"
+)
+def clean_messy(spark, sf_dir):
+    t = _messy(spark, sf_dir)
+    return cleaning.apply(t, cleaning.decide(t))
+
+
+@query(
+    "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+)
+def window_counts(spark, sf_dir):
+    return events.window_counts(read(spark, sf_dir, "events"), "ts", "event_type", "value")
+
+
+@query()
+def chart_plan(spark, sf_dir):
+    t = read(spark, sf_dir, "orders")
+    facts = structure.column_facts(t)
+    plan = charts.default_charts([(c.name, structure.structural_type(c)) for c in facts], {c.name: c.distinct for c in facts})
+    return spark.createDataFrame([(c.kind, c.x) for c in plan], "kind string, x string")
+
+
+def _priced(spark, sf_dir):
+    t = read(spark, sf_dir, "orders").withColumn("large", (F.col("o_totalprice") > 150000).cast("int")).withColumn("m", F.month("o_orderdate"))
+    return features.split(t.withColumn("half", F.col("o_totalprice") + 1000 * F.col("m")), "o_orderkey")
+
+
+@query()
+def train_predict_lr(spark, sf_dir):
+    t = _priced(spark, sf_dir)
+    model = models.train(t.where("not is_test"), "large", ["half", "m"], ["o_orderpriority"], "logistic_regression", "classification")
+    return models.predict(model, t.where("is_test"), ["o_orderkey", "large"])
+
+
+@query()
+def ensemble_vote(spark, sf_dir):
+    t = _priced(spark, sf_dir)
+    some = [models.train(t.where("not is_test"), "large", ["half", "m"], [], m, "classification") for m in ("logistic_regression", "decision_tree")]
+    return models.vote(some, t.where("is_test"), "o_orderkey", "classification")
