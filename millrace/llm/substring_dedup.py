@@ -11,7 +11,6 @@ windows have equal anchors, and only anchors are compared.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,10 +20,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialize
+
 #: No level is shorter: below it random word sequences repeat too often to tell anything.
 SHORTEST = 5
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Anchors are compared by 40 bits (a false match costs work only), windows by 96.
+_ANCHOR_BITS = np.uint64((1 << 40) - 1)
 #: Kinds of rows in the exchange by hash, kept in the two highest bits of the place.
 SINGLE, REPEATED, DECIDED = 0, 1, 2
 _KIND, _TEXT, _POS = 62, 32, (1 << 32) - 1
@@ -79,25 +82,28 @@ def _in_runs(columns: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np
     return order, starts, np.cumsum(starts) - 1
 
 
-def settle_locally(columns: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Decide what one batch can decide alone, before anything is sent.
+def settle_locally(columns: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Decide what one batch can decide alone, before anything is sent: new hash columns, and places with kinds.
 
     A window that the batch also has in a smaller document repeats for certain:
-    its row only passes through, under a key that spreads.  The rows of the
-    smallest document stay under their hash, marked if the window repeats.  So
-    a passage that many documents share sends a row from each batch to its
-    hash, not one from each document.
+    its row only passes through, under one of 65536 keys that spread.  The rows
+    of the smallest document stay under their hash, marked if the window
+    repeats.  So a passage that many documents share sends a row from each
+    batch to its hash, not one from each document.
     """
     order, starts, run = _in_runs(columns, doc)
-    columns, doc, place = [c[order] for c in columns], doc[order], place[order]
-    first = doc[np.nonzero(starts)[0]][run] if len(doc) else doc
-    later = doc > first
-    repeated = np.zeros(run[-1] + 1 if len(run) else 0, dtype=bool)
+    if not len(order):
+        return columns, place
+    sorted_doc = doc[order]
+    later = sorted_doc > sorted_doc[np.nonzero(starts)[0]][run]
+    repeated = np.zeros(run[-1] + 1, dtype=bool)
     repeated[run[later]] = True
-    kind = np.where(later, DECIDED, np.where(repeated[run], REPEATED, SINGLE)).astype(np.int64) if len(run) else place
-    spread = mixed(place.astype(np.uint64) * _ODD[0] + doc.astype(np.uint64))
-    columns = [np.where(later, spread, c) for c in columns]
-    return columns, doc, place | (kind << _KIND)
+    kind = np.empty(len(order), dtype=np.int64)
+    kind[order] = np.where(later, DECIDED, np.where(repeated[run], REPEATED, SINGLE))
+    spread = (mixed(doc.astype(np.uint64) + place.astype(np.uint64) * _ODD[0])) & np.uint64(0xFFFF)
+    decided = kind == DECIDED
+    columns = [np.where(decided, np.uint64(0) if i else spread, c) for i, c in enumerate(columns)]
+    return columns, place | (kind << _KIND)
 
 
 def _places(text_key: int, pos: np.ndarray) -> np.ndarray:
@@ -117,7 +123,8 @@ def _hash_rows(find: Callable, lanes: int) -> Callable:
                 for column, values in zip(found, [*hashes, np.full(len(pos), doc, dtype=np.int64), _places(key, pos)], strict=True):
                     column.append(values)
             joined = [np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in found]
-            hashes, doc, place = settle_locally([h.astype(np.uint64) for h in joined[:lanes]], *joined[lanes:])
+            doc = joined[lanes]
+            hashes, place = settle_locally([h.astype(np.uint64) for h in joined[:lanes]], *joined[lanes:])
             for at in range(0, max(1, len(doc)), 100_000):
                 part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([*(pa.array(h[part].view(np.int64)) for h in hashes), pa.array(doc[part]), pa.array(place[part])], names)
@@ -181,15 +188,16 @@ def _repeated(docs: DataFrame, find: Callable, lanes: int, only_later: bool) ->
     )
 
 
-def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int, later_copies: DataFrame) -> DataFrame:
     """of_doc, of_text and the places of windows whose words also start in a smaller document.
 
-    ``docs`` has doc_id, text_key and text.  Level by level: anchors of the
+    ``docs`` has doc_id, text_key and text; ``later_copies`` are rows to leave out.  Level by level: anchors of the
     second level's windows; the windows whose anchors repeat; then windows that
     begin and end with repeated windows of the level before.
     """
     lengths = levels(window)
-    given = docs.select("doc_id", "text_key", "text")
+    of_text = (F.col("doc_id") == F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))
+    given = docs.join(later_copies, of_text, "left_anti").select("doc_id", "text_key", "text")
     if len(lengths) == 1:
         every = lambda w, _: (window_hashes(w, window), window_hashes(w, window, 1), np.arange(max(0, len(w) - window + 1)))
         return _repeated(given, every, 2, True)
@@ -198,7 +206,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     def base(words: np.ndarray, _: None) -> tuple[np.ndarray, np.ndarray]:
         hashes, of_window = anchors(words, short, long)
         pos = np.unique(of_window)
-        return hashes[pos], pos
+        return hashes[pos] & _ANCHOR_BITS, pos
 
     found = _repeated(given, base, 1, False)
     for before, length in zip(lengths, lengths[1:], strict=False):
@@ -211,10 +219,10 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
             else:
                 n = max(0, len(words) - length + 1)
                 pos = np.nonzero(repeats[:n] & repeats[length - before : length - before + n])[0]
-            return window_hashes(words, length)[pos], window_hashes(words, length, 1)[pos], pos
+            return window_hashes(words, length)[pos], window_hashes(words, length, 1)[pos] >> np.uint64(32), pos
 
-        of_text = (F.col("doc_id") == F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))
-        candidates = given.join(found, of_text).select("doc_id", "text_key", "text", "places")
+        # joined to all rows, and not to ``given``, so that this and the last join share one exchange of texts
+        candidates = docs.join(found, of_text).select("doc_id", "text_key", "text", "places")
         found = _repeated(candidates, extended, 2, length == window)
     return found
 
@@ -223,16 +231,17 @@ def _keep_batches(window: int) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, places in zip(batch.column("text"), batch.column("places").to_pylist(), strict=True):
-                words = (text.as_py() or "").encode().split()
-                if places:
+            columns = (batch.column("text"), batch.column("places").to_pylist(), batch.column("copy").to_pylist())
+            for text, places, copy in zip(*columns, strict=True):
+                words = left = (text.as_py() or "").encode().split()
+                if copy and len(words) >= window:
+                    left = []
+                elif places:
                     change = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(change, np.array(places), 1)
                     np.add.at(change, np.array(places) + window, -1)
                     covered = np.cumsum(change)[: len(words)] > 0
                     left = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                else:
-                    left = words
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
@@ -244,23 +253,38 @@ def _keep_batches(window: int) -> Callable:
     return read
 
 
+def copies(keyed: DataFrame) -> DataFrame:
+    """of_doc and of_text of the rows whose text a smaller document has too (by 128 bits of hash)."""
+    digests = keyed.select("doc_id", "text_key", F.xxhash64("text").alias("d0"), F.xxhash64("text", F.lit(1)).alias("d1"))
+    firsts = digests.groupBy(F.col("d0").alias("e0"), F.col("d1").alias("e1")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    same = (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1")) & (F.col("doc_id") > F.col("first"))
+    return digests.join(firsts.where("first < last"), same).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
+
+
 def remove_repeated(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words, one blank between) of every row.
 
     A word goes if a window of ``window`` words that covers it also starts in a
-    row with a smaller id; windows are judged on the input.
+    row with a smaller id; windows are judged on the input.  A copy of a whole
+    text is settled by its digest, and only the first of its kind is cut up.
 
     Null or short texts lose nothing.  Rows with a null id keep all words and
     remove none elsewhere.  Rows that share an id don't remove from each other.
     Empty table: empty result.  Extra columns: ignored.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = given.where(F.col("doc_id").isNotNull()).select(
-        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0x3FFFFFFF).alias("text_key"), "text"
-    )
-    found = repeated_windows(keyed, window)
+    if (id_col, text_col, docs.schema[id_col].dataType.simpleString()) == ("doc_id", "text", "bigint"):
+        given = docs.select("doc_id", "text")  # without aliases, all uses of the texts share one exchange
+    else:
+        given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    named = given.where(F.col("doc_id").isNotNull())
+    shared_ids = named.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    text_key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0x3FFFFFFF) if shared_ids else F.lit(0).cast("long")
+    keyed = named.select("doc_id", text_key.alias("text_key"), "text")
     of_text = (F.col("doc_id") == F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))
-    judged = keyed.join(found, of_text, "left").select("doc_id", "text", "places")
-    without = given.where(F.col("doc_id").isNull()).withColumn("places", F.lit(None).cast("array<int>"))
+    later = materialize(copies(keyed).distinct(), "copies")
+    found = repeated_windows(keyed, window, later).withColumn("copy", F.lit(False))
+    settled = later.select("of_doc", "of_text", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("copy"))
+    judged = keyed.join(found.unionByName(settled), of_text, "left").select("doc_id", "text", "places", "copy")
+    without = given.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<int>").alias("places"), F.lit(False).alias("copy"))
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     return judged.unionByName(without).mapInArrow(_keep_batches(window), schema)
