@@ -12,6 +12,8 @@ from millrace.llm.common import discard, materialize
 MAX_COPIES = 3
 #: Weights by the order of the sources, repeating.
 WEIGHTS = (1, 2, 3)
+#: Documents that may join behind the cut to bring a source nearer to its target.
+CLOSING = 3
 #: Documents of a source that share one step of the cumulative sum.
 BUCKET_ROWS = 4000
 
@@ -59,7 +61,7 @@ def drawn_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, see
     """doc_id, source, size, text_md5 and u, uniform in (0, 1) from a digest of seed, id and text."""
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("text_md5")))
     return docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("size"),
         F.coalesce(F.md5(F.col(text_col)), F.lit("")).alias("text_md5"),
@@ -79,7 +81,7 @@ def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def source_plan(rows: DataFrame, weights: tuple, max_copies: int, bucket_rows: int) -> DataFrame:
-    """What each source takes: certain copies, the cut of the Pareto ranking, the closing document.
+    """What each source takes: certain copies, the cut of the Pareto ranking, the closing documents.
 
     One row per source; every step over documents is a sum, minimum or maximum
     by source (and bucket), and only the bucket of the cut is put in order.
@@ -117,19 +119,25 @@ def source_plan(rows: DataFrame, weights: tuple, max_copies: int, bucket_rows: i
         .groupBy("cut_source", F.col("at.bucket").alias("cut_bucket"))
         .agg(F.max(F.when(F.col("upto") <= F.col("open_words"), F.col("rank"))).alias("cut_rank"))
     )
-    plan = materialize(plan.join(cuts, of_cut, "left").drop("cut_source").coalesce(1), "mix-cuts")
-    state = with_plan(rows, plan.where("p > 0")).withColumn("drawn", drawn())
-    got = state.groupBy("source", "open_words").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("got"))
-    got = got.select(F.col("source").alias("got_source"), (F.col("open_words") - F.col("got")).alias("open"))
-    miss = F.abs(F.col("size") - F.col("open"))
-    closing = (
-        state.where(~F.col("drawn"))
-        .join(got, F.col("source").eqNullSafe(F.col("got_source")))
-        .where(miss < F.abs(F.col("open")))
-        .groupBy("got_source")
-        .agg(F.min(F.struct(miss.alias("miss"), "rank"))["rank"].alias("closing"))
-    )
-    return plan.join(closing, F.col("source").eqNullSafe(F.col("got_source")), "left").drop("got_source")
+    none = F.array().cast("array<struct<pareto:double,doc_id:bigint,text_md5:string>>")
+    plan = plan.join(cuts, of_cut, "left").drop("cut_source").withColumn("closing", none)
+    plan = materialize(plan.coalesce(1), "mix-cuts")
+    for _ in range(CLOSING):
+        state = with_plan(rows, plan.where("p > 0")).withColumn("in", drawn() | closing())
+        got = state.groupBy("source", "open_words").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("got"))
+        got = got.select(F.col("source").alias("got_source"), (F.col("open_words") - F.col("got")).alias("open"))
+        miss = F.abs(F.col("size") - F.col("open"))
+        nearest = (
+            state.where(~F.col("in"))
+            .join(got, F.col("source").eqNullSafe(F.col("got_source")))
+            .where(miss < F.abs(F.col("open")))
+            .groupBy(F.col("got_source").alias("near_source"))
+            .agg(F.min(F.struct(miss.alias("miss"), "rank"))["rank"].alias("near"))
+        )
+        more = F.when(F.col("near").isNotNull(), F.array_append("closing", F.col("near"))).otherwise(F.col("closing"))
+        joined = plan.join(nearest, F.col("source").eqNullSafe(F.col("near_source")), "left").withColumn("closing", more)
+        plan = materialize(joined.drop("near_source", "near").coalesce(1), "mix-closing")
+    return plan
 
 
 def drawn() -> Column:
@@ -142,9 +150,13 @@ def drawn() -> Column:
     )
 
 
+def closing() -> Column:
+    """Whether a row is one of its source's closing documents."""
+    return F.exists("closing", lambda r: F.coalesce(r == F.col("rank"), F.lit(False)))
+
+
 def copies_taken() -> Column:
-    closing = F.coalesce(F.col("rank") == F.col("closing"), F.lit(False))
-    return (F.col("certain") + F.when(drawn() | closing, 1).otherwise(0)).cast("long")
+    return (F.col("certain") + F.when(drawn() | closing(), 1).otherwise(0)).cast("long")
 
 
 def mix(
@@ -164,8 +176,8 @@ def mix(
     sampling: documents are ranked by [u / (1 - u)] / [p / (1 - p)], u uniform
     from a digest of id and text, and the longest prefix within the open words
     is taken.  p is the source's own, so inclusion is unequal between sources.
-    Last, the one document left whose size comes nearest to the words still
-    open joins if that brings the source nearer to its target.
+    Last, and up to CLOSING times, the document left whose size comes nearest
+    to the words still open joins if that brings the source nearer to its target.
 
     A source's ranking is cut into buckets of u (the rank is monotone in u
     within a source), whose sums locate the cut; only the bucket that holds the
@@ -176,7 +188,7 @@ def mix(
     alike.  Empty table: empty result.  Extra columns: ignored.
     """
     rows = materialize(drawn_rows(docs, id_col, text_col, source_col, seed), "mix-rows")
-    plan = materialize(source_plan(rows, weights, max_copies, bucket_rows).coalesce(1), "mix-source")
+    plan = source_plan(rows, weights, max_copies, bucket_rows)
     return with_plan(rows, plan).withColumn("copies", copies_taken()).select(
         "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
@@ -197,12 +209,12 @@ def repeat_documents(
     Each row meets its source's plan (a row per source); texts aren't shuffled.
     """
     rows = materialize(drawn_rows(docs, id_col, text_col, source_col, seed), "mix-rows")
-    plan = materialize(source_plan(rows, weights, max_copies, bucket_rows).coalesce(1), "mix-source")
+    plan = source_plan(rows, weights, max_copies, bucket_rows)
     discard(rows)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     given = docs.withColumn("__whole", whole).select("__whole")
     fields = {"doc_id": id_col, "text": text_col, "source": source_col}
-    given = given.select("__whole", *[F.col("__whole")[c].alias(k) for k, c in fields.items()])
+    given = given.select("__whole", *[F.col("__whole")[c].alias(k) for k, c in fields.items()]).withColumn("doc_id", F.col("doc_id").cast("long"))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("text_md5")))
     keyed = given.withColumn("text_md5", F.coalesce(F.md5("text"), F.lit(""))).withColumn("source", F.col("source").cast("string"))
     keyed = keyed.withColumn("u", (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(2**52))
