@@ -334,14 +334,16 @@ def token_counts(
     Extra columns: ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    n_chunks = F.greatest(F.ceil(F.length(text) / chunk_chars), F.lit(1)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda i: F.substring(text, i * chunk_chars + 1, F.lit(chunk_chars)))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
+    n_chunks = F.greatest(F.ceil(F.length("whole") / chunk_chars), F.lit(1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda i: F.substring("whole", i * chunk_chars + 1, F.lit(chunk_chars)))
+    # rows are numbered before, and not while, they are cut
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("whole"))
+    rows = numbered.select(
+        "row",
+        "doc_id",
+        F.octet_length("whole").cast("long").alias("n_bytes"),
         n_chunks.alias("n_chunks"),
-        F.posexplode(F.when(n_chunks == 1, F.array(text)).otherwise(cut)).alias("nth", "chunk"),
+        F.posexplode(F.when(n_chunks == 1, F.array("whole")).otherwise(cut)).alias("nth", "chunk"),
     )
     schema = "row long, doc_id long, n_bytes long, n_chunks int, nth int, head string, tokens long, tail string"
     maps = rows.mapInArrow(_map_batches(path), schema)
