@@ -31,8 +31,16 @@ def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """
     if not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2.0**53:
         return (a @ b.T).astype(np.int64)
-    exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -_LIMIT - 1, _LIMIT).astype(np.int64)
+    return held(as_integers(a) @ as_integers(b).T)
+
+
+def as_integers(x: np.ndarray) -> np.ndarray:
+    return np.frompyfunc(int, 1, 1)(x)
+
+
+def held(x: np.ndarray) -> np.ndarray:
+    """Python's integers, held to the range of a long."""
+    return np.frompyfunc(lambda v: min(max(v, -_LIMIT - 1), _LIMIT), 1, 1)(x).astype(np.int64)
 
 
 def exact_top_k(
@@ -74,8 +82,8 @@ def exact_top_k(
     of_queries, _ = kept(of_queries, "topk-query-vectors")
 
     parts = F.array(*[F.struct(F.lit(i).alias("list"), F.expr(f"substring(vector, {8 * a + 1}, {8 * (b - a)})").alias("part")) for i, (a, b) in enumerate(slices)])
-    held = vectors.select("class_id", F.explode(parts).alias("p"), F.pmod(F.xxhash64("class_id"), F.lit(chunks)).cast("long").alias("chunk"))
-    held = held.select("p.list", "chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "class_id", "p.part")
+    entries = vectors.select("class_id", F.explode(parts).alias("p"), F.pmod(F.xxhash64("class_id"), F.lit(chunks)).cast("long").alias("chunk"))
+    entries = entries.select("p.list", "chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "class_id", "p.part")
 
     def asked(with_bound: DataFrame) -> DataFrame:
         q_parts = F.array(*[F.struct(F.lit(i).alias("list"), F.expr(f"substring(query_vector, {8 * a + 1}, {8 * (b - a)})").alias("part")) for i, (a, b) in enumerate(slices)])
@@ -107,7 +115,7 @@ def exact_top_k(
             return pd.DataFrame({"q": q, "class_id": c, "list": np.full(len(q), key[0]), "part": s})
 
         keys = ["list", "chunk", "block"]
-        return held.groupBy(*keys).cogroup(asked(with_bound).groupBy(*keys)).applyInPandas(cell, "q long, class_id long, list long, part long")
+        return entries.groupBy(*keys).cogroup(asked(with_bound).groupBy(*keys)).applyInPandas(cell, "q long, class_id long, list long, part long")
 
     def resolved(pairs: DataFrame) -> DataFrame:
         """q, class_id and exact score of pairs."""
@@ -118,7 +126,7 @@ def exact_top_k(
                 for at in range(0, batch.num_rows, 2048):
                     a, b = (unpacked(batch.column(i).slice(at, 2048).to_pylist(), width) for i in (2, 3))
                     small = not a.size or np.abs(a).max() * np.abs(b).max() * width < 2.0**53
-                    values[at : at + len(a)] = (a * b).sum(axis=1) if small else [int(np.clip(x, -_LIMIT - 1, _LIMIT)) for x in (a.astype(object) * b.astype(object)).sum(axis=1)]
+                    values[at : at + len(a)] = (a * b).sum(axis=1) if small else held((as_integers(a) * as_integers(b)).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], ["q", "class_id", "score"])
 
         v = vectors.withColumnRenamed("class_id", "of_class")
@@ -135,12 +143,12 @@ def exact_top_k(
     bounds, _ = kept(bounds.select("of_q", "bound"), "topk-bounds")
     # 2: all entries that reach the bound's share
     asked_again = of_queries.join(bounds, F.col("q") == F.col("of_q")).drop("of_q")
-    sums = in_cells(asked_again).groupBy("q", "class_id").agg(F.sum("part").alias("sum"), F.count(F.lit(1)).alias("seen"))
+    sums = in_cells(asked_again).groupBy("q", "class_id").agg(F.sum(F.col("part").cast("decimal(20,0)")).alias("sum"), F.count(F.lit(1)).alias("seen"))
     sums, _ = kept(sums, "topk-sums")
-    whole = sums.where(F.col("seen") == m).select("q", "class_id", F.col("sum").alias("score")).union(known).distinct()
+    whole = sums.where(F.col("seen") == m).select("q", "class_id", F.least(F.greatest("sum", F.lit(-_LIMIT - 1)), F.lit(_LIMIT)).cast("long").alias("score")).union(known).distinct()
     floor = best(whole, "q", keep, F.col("score").desc(), F.col("class_id")).groupBy(F.col("q").alias("floor_q")).agg(F.min("score").alias("floor"))
     # 3: what could still reach the k-th known score
-    could = F.col("sum") + (m - F.col("seen")) * F.col("bound") / m
+    could = F.col("sum").cast("double") + (m - F.col("seen")) * F.col("bound") / m
     open_pairs = (
         sums.where(F.col("seen") < m)
         .join(bounds, F.col("q") == F.col("of_q"))
