@@ -24,6 +24,8 @@ BLOCK = 256
 #: At most so many labelled rows, those of least hash, are used to fit the network.
 MAX_LABELLED = 20_000
 THRESHOLD = 0.7
+#: Small samples are read more often, up to so many steps.
+LEAST_STEPS = 600
 #: Folds: rows whose crc32 of the id's text leaves this remainder are held out.
 FOLDS, HELD_OUT = 4, 2
 
@@ -137,15 +139,17 @@ def fit_network(x: np.ndarray, y: np.ndarray, width: int = 32, epochs: int = 60,
     shift, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     net = Network(shift, scale, rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], width)), np.zeros(width), rng.normal(0, width**-0.5, width), 0.0)
     share = (y.sum() + 1) / (len(y) + 2)
+    net.last_bias = float(np.log(share / (1 - share)))
     if len(np.unique(y)) < 2:
-        net.last, net.last_bias = np.zeros(width), float(np.log(share / (1 - share)))
+        net.last = np.zeros(width)
         return net
     order = rng.permutation(len(x))
     rest, train = order[: len(x) // 5], order[len(x) // 5 :]
     z = (x - shift) / scale
     state = [np.zeros((2, *np.shape(p))) for p in (net.hidden, net.hidden_bias, net.last, net.last_bias)]
     step = 0
-    for _ in range(epochs):
+    batches = -(-len(train) // 256)
+    for _ in range(max(epochs, LEAST_STEPS // batches)):
         rng.shuffle(train)
         for at in range(0, len(train), 256):
             rows = train[at : at + 256]
