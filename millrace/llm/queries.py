@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.ann import nearest
 from millrace.llm.chat import format_chats
 from millrace.llm.common import table
-from millrace.llm.mixing import mix
+from millrace.llm.mixing import CLOSING, mix
 from millrace.llm.packing import pack
 from millrace.llm.pii import find_pii, fit_pii
 from millrace.llm.quality import score_quality
@@ -106,6 +106,53 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def _closing_sql(k: int) -> str:
+    """One closing round: the document left whose size comes nearest to the words still open."""
+    return f"""
+), o{k} AS (
+  SELECT source AS o_source, any_value(open_words) - sum(CASE WHEN chosen THEN size ELSE 0 END) AS open FROM c{k} WHERE p > 0 GROUP BY 1
+), n{k} AS (
+  SELECT doc_id AS n_doc, source AS n_source FROM c{k} JOIN o{k} ON source IS NOT DISTINCT FROM o_source WHERE p > 0 AND NOT chosen AND abs(size - open) < abs(open)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - open), pareto, doc_id) = 1
+), c{k + 1} AS (
+  SELECT c{k}.* REPLACE (chosen OR n_doc IS NOT NULL AS chosen) FROM c{k} LEFT JOIN n{k} ON doc_id = n_doc AND source IS NOT DISTINCT FROM n_source"""
+
+
+OP7_SQL = (
+    r"""
+WITH base AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(md5(text), '') AS m FROM documents
+), b AS (
+  SELECT *, (('0x' || substr(md5(concat_ws('|', 'mix', doc_id::VARCHAR, m)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM base
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY 1
+), w AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s
+), r AS (
+  SELECT *, (3 * source_size)::DOUBLE AS cap, (3 * source_size)::DOUBLE / weight AS ratio FROM w
+), l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER before, 0)) / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER before, 0)) AS level FROM r
+  WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT *, (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1) AS final FROM l
+), t AS (
+  SELECT source, source_size, final IS NULL OR weight * final >= cap AS capped, CASE WHEN final IS NULL OR weight * final >= cap THEN cap ELSE weight * final END AS target FROM f
+), h AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0::DOUBLE WHEN capped THEN 3::DOUBLE ELSE target / source_size END AS share FROM t
+), q AS (
+  SELECT source AS q_source, source_size, target, floor(share)::BIGINT AS certain, share - floor(share) AS p, target - floor(share) * source_size AS open_words FROM h
+), d AS (
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS pareto FROM b JOIN q ON source IS NOT DISTINCT FROM q_source
+), c0 AS (
+  SELECT *, p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY pareto, doc_id, m ROWS UNBOUNDED PRECEDING) <= open_words AS chosen FROM d"""
+    + "".join(map(_closing_sql, range(CLOSING)))
+    + f"""
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, ((certain + chosen::BIGINT) * size)::BIGINT AS taken, source, certain + chosen::BIGINT AS copies FROM c{CLOSING}
+"""
+)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -132,4 +179,4 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii": op10_pii,
 }
-ORACLE = {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL}
+ORACLE = {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_mix_sources": OP7_SQL}
