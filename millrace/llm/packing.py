@@ -30,7 +30,7 @@ CAPACITY = 2048
 #: Ends each document.
 END_ID = 0
 #: Distinct words, and pieces, of which a worker remembers the ids (in each of two generations).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -88,10 +88,12 @@ class WordEncoder:
         text = word.decode()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        if _ODD.search(text):
+        if not (text.isascii() and text.isprintable()) and _ODD.search(text):
             return self.whole(text)
         if text.isalpha():
             return self.pieces[text.lower()]
+        if text[-1] in ",.;:!?" and text[:-1].isalpha():
+            return self.pieces[text[:-1].lower()] + self.pieces[text[-1]]
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
