@@ -16,6 +16,8 @@ from millrace.llm.components import connected_components
 
 SEED = 42
 SHINGLE = 3
+#: Fingerprints that more than one in so many rows has are joined apart.
+HOT_SHARE = 200
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -124,17 +126,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component.  Empty table: empty result.  Extra columns: ignored.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     labels = connected_components(near_links(prints, max_bits))
     linked = labels.join(classes, F.col("node") == F.col("fp")).select("label", "fp", "first")
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     linked = linked.join(smallest, "label").select(F.col("fp").alias("linked_fp"), "component_id")
     of_print = classes.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
-        F.col("fp").alias("class_fp"), F.coalesce("component_id", "first").alias("component_id")
-    )
-    return prints.join(of_print, F.col("fp") == F.col("class_fp")).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("fp").alias("class_fp"), F.coalesce("component_id", "first").alias("component_id"), "n"
     )
+    of_print = materialize(of_print, "components")
+    # fingerprints of over a 200th of all rows are fewer than 200; their rows stay where they are, and the others are dealt
+    hot = F.col("n") * HOT_SHARE > prints.count()
+    few = F.broadcast(of_print.where(hot).select(F.col("class_fp").alias("hot_fp"), F.col("component_id").alias("hot_component")))
+    marked = prints.join(few, F.col("fp") == F.col("hot_fp"), "left")
+    dealt = marked.where("hot_fp is null").join(of_print.where(~hot), F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    stay = marked.where("hot_fp is not null").select("doc_id", "fp", F.col("hot_component").alias("component_id"))
+    return dealt.unionByName(stay).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
