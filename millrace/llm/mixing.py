@@ -14,6 +14,9 @@ MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 #: Documents that may join behind the cut to bring a source nearer to its target.
 CLOSING = 3
+#: A source this share of its target away from it passes over the documents that are too long for what is open.
+NEAR = 0.05
+RANK = "struct<pareto:double,doc_id:bigint,text_md5:string>"
 #: Documents of a source that share one step of the cumulative sum.
 BUCKET_ROWS = 4000
 
@@ -101,35 +104,77 @@ def source_plan(rows: DataFrame, weights: tuple, max_copies: int, bucket_rows: i
         .drop("weight", "capped", "n_docs")
     )
     plan = materialize(plan.coalesce(1), "mix-plan")
-    open_rows = with_plan(rows, plan.where("p > 0"))
-    keys = ["source", "open_words"]
-    sums = open_rows.groupBy(*keys, "bucket").agg(F.sum("size").alias("words"))
+    cuts = prefix_cuts(with_plan(rows, plan.where("p > 0")).withColumn("room", F.col("open_words")))
+    none = F.array().cast(f"array<{RANK}>")
+    passes = F.array().cast(f"array<struct<room:double,bucket:bigint,rank:{RANK}>>")
+    plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
+    plan = plan.withColumn("closing", none).withColumn("passes", passes).withColumn("far", F.lit(True))
+    plan = with_closing(rows, materialize(plan.coalesce(1), "mix-cuts"))
+    left = open_left(rows, plan)
+    far = F.coalesce(F.abs(F.col("open")) > NEAR * F.col("target"), F.lit(False))
+    plan = plan.join(left, F.col("source").eqNullSafe(F.col("got_source")), "left").withColumn("far", far).drop("got_source", "open")
+    plan = materialize(plan.withColumn("closing", F.when(F.col("far"), none).otherwise(F.col("closing"))).coalesce(1), "mix-far")
+    if plan.where("far").count():
+        plan = with_closing(rows, with_passes(rows, plan))
+    return plan.drop("far")
+
+
+def prefix_cuts(open_rows: DataFrame) -> DataFrame:
+    """By source, where the longest prefix of the ranking within ``room`` ends; no row for a source that fits whole."""
+    sums = open_rows.groupBy("source", "room", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
         sums.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-        .where("before <= open_words and before + words > open_words")
+        .where("before <= room and before + words > room")
         .groupBy(F.col("source").alias("cut_source"))
         .agg(F.min(F.struct("bucket", "before")).alias("at"))
     )
     of_cut = F.col("source").eqNullSafe(F.col("cut_source"))
     ordered = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = (
+    return (
         open_rows.join(cuts, of_cut & (F.col("bucket") == F.col("at.bucket")))
         .withColumn("upto", F.sum("size").over(ordered) + F.col("at.before"))
         .groupBy("cut_source", F.col("at.bucket").alias("cut_bucket"))
-        .agg(F.max(F.when(F.col("upto") <= F.col("open_words"), F.col("rank"))).alias("cut_rank"))
+        .agg(F.max(F.when(F.col("upto") <= F.col("room"), F.col("rank"))).alias("cut_rank"))
     )
-    none = F.array().cast("array<struct<pareto:double,doc_id:bigint,text_md5:string>>")
-    plan = plan.join(cuts, of_cut, "left").drop("cut_source").withColumn("closing", none)
-    plan = materialize(plan.coalesce(1), "mix-cuts")
+
+
+def open_left(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """got_source and the words still ``open`` of every source that draws."""
+    state = with_plan(rows, plan.where("p > 0"))
+    got = state.groupBy("source", "open_words").agg(F.sum(F.when(drawn() | closing(), F.col("size")).otherwise(0)).alias("got"))
+    return got.select(F.col("source").alias("got_source"), (F.col("open_words") - F.col("got")).alias("open"))
+
+
+def with_passes(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Far sources go on down their ranking past the documents that exceed the room left, until none fits.
+
+    A pass takes the longest prefix of the documents that fit.  The room only
+    shrinks, so what was passed over never fits later, and a pass is told by
+    its room and its end.
+    """
+    while True:
+        left = materialize(open_left(rows, plan.where("far")).where("open > 0").coalesce(1), "mix-open")
+        state = with_plan(rows, plan.where("p > 0 and far")).where(~drawn())
+        fits = state.join(left, F.col("source").eqNullSafe(F.col("got_source"))).where("size > 0 and size <= open").withColumn("room", F.col("open"))
+        able = materialize(fits.groupBy(F.col("source").alias("able_source"), F.col("room").alias("able_room")).count().drop("count").coalesce(1), "mix-able")
+        if not able.count():
+            return plan
+        ends = able.join(prefix_cuts(fits), F.col("able_source").eqNullSafe(F.col("cut_source")), "left")
+        ends = ends.select("able_source", F.struct(F.col("able_room").cast("double").alias("room"), F.col("cut_bucket").alias("bucket"), F.col("cut_rank").alias("rank")).alias("end"))
+        more = F.when(F.col("end").isNotNull(), F.array_append("passes", F.col("end"))).otherwise(F.col("passes"))
+        joined = plan.join(ends, F.col("source").eqNullSafe(F.col("able_source")), "left").withColumn("passes", more)
+        plan = materialize(joined.drop("able_source", "end").coalesce(1), "mix-passes")
+
+
+def with_closing(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Up to CLOSING times, the document left that brings a far source nearest to its target joins."""
     for _ in range(CLOSING):
-        state = with_plan(rows, plan.where("p > 0")).withColumn("in", drawn() | closing())
-        got = state.groupBy("source", "open_words").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("got"))
-        got = got.select(F.col("source").alias("got_source"), (F.col("open_words") - F.col("got")).alias("open"))
+        state = with_plan(rows, plan.where("p > 0 and far")).withColumn("in", drawn() | closing())
         miss = F.abs(F.col("size") - F.col("open"))
         nearest = (
             state.where(~F.col("in"))
-            .join(got, F.col("source").eqNullSafe(F.col("got_source")))
+            .join(open_left(rows, plan.where("far")), F.col("source").eqNullSafe(F.col("got_source")))
             .where(miss < F.abs(F.col("open")))
             .groupBy(F.col("got_source").alias("near_source"))
             .agg(F.min(F.struct(miss.alias("miss"), "rank"))["rank"].alias("near"))
@@ -141,12 +186,17 @@ def source_plan(rows: DataFrame, weights: tuple, max_copies: int, bucket_rows: i
 
 
 def drawn() -> Column:
-    """Whether a row's Pareto rank is within its source's cut (a source without a cut takes all that is open)."""
+    """Whether a row's Pareto rank is within its source's cut (a source without a cut takes all that is open) or a pass took it."""
     within = F.coalesce(F.col("rank") <= F.col("cut_rank"), F.lit(False))
+
+    def taken(s: Column) -> Column:
+        before = s["bucket"].isNull() | (F.col("bucket") < s["bucket"]) | ((F.col("bucket") == s["bucket"]) & F.coalesce(F.col("rank") <= s["rank"], F.lit(False)))
+        return (F.col("size") > 0) & (F.col("size") <= s["room"]) & before
+
     return (
         F.when(F.col("p") <= 0, False)
         .when(F.col("cut_bucket").isNull(), True)
-        .otherwise((F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & within))
+        .otherwise((F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & within) | F.exists("passes", taken))
     )
 
 
@@ -178,6 +228,9 @@ def mix(
     is taken.  p is the source's own, so inclusion is unequal between sources.
     Last, and up to CLOSING times, the document left whose size comes nearest
     to the words still open joins if that brings the source nearer to its target.
+    A source that this leaves further than NEAR from its target (a very long
+    document came before the cut or closed it) instead goes on down its ranking
+    past every document longer than what is open, until none fits, and closes then.
 
     A source's ranking is cut into buckets of u (the rank is monotone in u
     within a source), whose sums locate the cut; only the bucket that holds the
@@ -211,12 +264,14 @@ def repeat_documents(
     rows = materialize(drawn_rows(docs, id_col, text_col, source_col, seed), "mix-rows")
     plan = source_plan(rows, weights, max_copies, bucket_rows)
     discard(rows)
+    any_pass = plan.where("size(passes) > 0").count() > 0
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     given = docs.withColumn("__whole", whole).select("__whole")
     fields = {"doc_id": id_col, "text": text_col, "source": source_col}
     given = given.select("__whole", *[F.col("__whole")[c].alias(k) for k, c in fields.items()]).withColumn("doc_id", F.col("doc_id").cast("long"))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("text_md5")))
     keyed = given.withColumn("text_md5", F.coalesce(F.md5("text"), F.lit(""))).withColumn("source", F.col("source").cast("string"))
+    keyed = keyed.withColumn("size", n_words(F.col("text")) if any_pass else F.lit(0))  # only passes ask for it
     keyed = keyed.withColumn("u", (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(2**52))
     return (
         with_plan(keyed.drop("text"), plan)

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import defaultdict
 
@@ -59,6 +60,28 @@ def test_caps_and_resharing(spark):
     assert sum(got.values()) == pytest.approx(111)
 
 
+def test_very_long_document_is_passed_over(spark):
+    """One document of a third of its source's words, first in the ranking: all later ones that fit still count."""
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(i, words(20 + i % 11), "ab"[i % 2]) for i in range(400)]
+    for k, s in ((1000, "a"), (1001, "b")):
+        rows.append((k, words(sum(20 + i % 11 for i in range(400) if "ab"[i % 2] == s) // 2), s))
+    first = lambda seed, k: int(hashlib.md5(f"{seed}|{k}|{hashlib.md5(rows[k - 600][1].encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
+    seed = next(f"s{i}" for i in range(1000) if first(f"s{i}", 1001) < 0.05 and first(f"s{i}", 1000) < 0.3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = mixing.mix(docs, seed=seed, bucket_rows=50).collect()
+    taken, target = defaultdict(int), {r.source: r.target for r in out}
+    for r in out:
+        taken[r.source] += r.taken
+    for s in "ab":
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s], (s, taken[s], target[s])
+    copies = {r.doc_id: r.copies for r in out if r.copies}
+    got = defaultdict(int)
+    for r in mixing.repeat_documents(docs, seed=seed, bucket_rows=50).collect():
+        got[r.doc_id] += 1
+    assert dict(got) == copies
+
+
 def test_empty(nothing):
     assert mixing.mix(nothing).count() == 0
     assert mixing.repeat_documents(nothing).count() == 0
