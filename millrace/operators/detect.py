@@ -54,21 +54,23 @@ TESTS: dict[str, Callable[[Column], Column]] = {
 KEYWORDS = {r"income|salary|revenue|expense|price|amount|amt|budget": "currency", r"discount": "percentage", r"fiscal.*year": "fiscal_year"}
 
 
-#: Types are told from so many rows, as a person would look at the head of a table; None reads all.
-SAMPLE = 100
+#: Types are told from all rows; a number asks for a quick look at so many, which may be any.
+SAMPLE = None
 
 
 def scores(df: DataFrame, columns: list[str] | None = None, sample: int | None = SAMPLE) -> DataFrame:
     """column_name and one score by type: share of non-null values that pass the type's test.
 
-    All columns and types are one pass over the table (or the first ``sample`` rows).
+    All columns and types are one pass over the table (or ``sample`` rows of it).
     """
     columns = columns or df.columns
     values = (df.limit(sample) if sample else df).select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in columns])).alias("p")
     )
-    values = values.select("p.*").where("v is not null and v <> ''")
-    return values.groupBy("column_name").agg(*[F.avg(t(F.col("v")).cast("int")).alias(k) for k, t in TESTS.items()])
+    # equal values are tested once
+    values = values.select("p.*").where("v is not null and v <> ''").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    tested = values.select("column_name", "n", *[t(F.col("v")).cast("int").alias(k) for k, t in TESTS.items()])
+    return tested.groupBy("column_name").agg(*[(F.sum(F.col(k) * F.col("n")) / F.sum(F.when(F.col(k).isNotNull(), F.col("n")))).alias(k) for k in TESTS])
 
 
 def choose(name: str, row: dict[str, float]) -> tuple[str, float]:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import temporal
 from millrace.functions.units import MEASURES, dominant_unit, match_share, normalised
-from millrace.operators import features, impute, joins, metrics, rows, stats, structure
+from millrace.operators import detect, features, impute, joins, metrics, rows, stats, structure
 from millrace.plans import cleaning
 from millrace.sources import readers
 
@@ -143,3 +143,13 @@ def test_plan_runs_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r[0] for r in spark.table("cleaned_weights").collect()) == [3.18, 5.0]
+
+
+def test_types_are_told_from_all_rows(spark):
+    """A head of nulls or of another form than most rows decides nothing."""
+    i = F.col("id")
+    t = spark.range(400).coalesce(1).select(F.when(i >= 150, F.lit("12 kg")).alias("late"), F.when(i < 150, i.cast("string")).otherwise("12 kg").alias("mixed"))
+    assert {c: kind for c, (kind, _) in detect.semantic_types(t).items()} == {"late": "weight", "mixed": "weight"}
+    plan = cleaning.decide(t)
+    assert [c.kind for c in plan.columns] == ["weight", "weight"]
+    assert cleaning.apply(t, plan).where("`mixed_(kg)` is not null").count() >= 250
