@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,45 +24,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import materialize
+from millrace.llm.common import MEMORY_BYTES, Memory, in_slices, materialize
 from millrace.llm.token_counts import byte_alphabet
 
 CAPACITY = 2048
 #: Ends each document.
 END_ID = 0
-#: Distinct words, and pieces, of which a worker remembers the ids (in each of two generations).
-CACHE_WORDS = 300_000
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 )
 
 
-class Memory(dict):
-    """Results of ``find`` by key, in two generations of at most ``CACHE_WORDS`` (and what one text adds)."""
-
-    def __init__(self, find: Callable):
-        super().__init__()
-        self.find, self.old = find, {}
-
-    def __missing__(self, key):
-        self[key] = value = self.old[key] if key in self.old else self.find(key)
-        return value
-
-    def age(self) -> None:
-        if len(self) > CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-
-
 class WordEncoder:
     """Encoder of texts to little-endian 32-bit ids for a vocabulary that drops white space.
 
     The vocabulary's pre-tokenizer cuts at white space and drops it, so a
     text's ids are its words' ids in a row, and the ids of a word are those of
-    the pieces into which the vocabulary's own pattern cuts it.  Words and
-    pieces are kept in two generations of bounded size, so that frequent ones
-    stay.  Texts with a special string, and words for which lower-casing or
+    the pieces into which the vocabulary's own pattern cuts it.  A task
+    remembers words and pieces within a bounded number of bytes, frequent ones
+    longest.  Texts with a special string, and words for which lower-casing or
     white space could differ between libraries, are encoded by the tokenizer.
     """
 
@@ -75,25 +57,36 @@ class WordEncoder:
         self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in splits if x["type"] == "Split"))
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.visible = {b: c for c, b in byte_alphabet().items()}
-        self.words, self.pieces = Memory(self.word), Memory(self.piece)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start a task with empty memories."""
+        self.words, self.pieces = Memory(self.word, MEMORY_BYTES * 9 // 10), Memory(self.piece, MEMORY_BYTES // 10)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.visible)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
+        shown = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.visible)
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone
+            low = word.lower()
+            return self.piece(low.decode()) if low == word else self.words[low]
+        if word[-1] in b",.;:!?" and word[:-1].isalpha():
+            return self.words[word[:-1].lower()] + self.pieces[chr(word[-1])]
         text = word.decode()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if not (text.isascii() and text.isprintable()) and _ODD.search(text):
             return self.whole(text)
         if text.isalpha():
-            return self.pieces[text.lower()]
+            low = text.lower()
+            return self.piece(low) if low == text else self.words[low.encode()]
         if text[-1] in ",.;:!?" and text[:-1].isalpha():
-            return self.pieces[text[:-1].lower()] + self.pieces[text[-1]]
+            return self.words[text[:-1].lower().encode()] + self.pieces[text[-1]]
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
@@ -110,26 +103,26 @@ class WordEncoder:
 _ODD = re.compile("[\u03a3\u0130\x1c-\x1f]")
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> Callable[[str], bytes]:
-    return WordEncoder(path).encode
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def _piece_batches(path: str, capacity: int) -> Callable:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                for at in range(0, len(ids), 4 * capacity):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, at // (4 * capacity), at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = zip(*rows, strict=True) if rows else ([] for _ in _PIECES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECES.types, strict=True)], schema=_PIECES)
+    end = np.array([END_ID], dtype="<u4").tobytes()
+
+    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder = word_encoder(path)
+        rows: list[tuple] = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = encoder.encode(text.as_py() or "") + end
+            for at in range(0, len(ids), 4 * capacity):
+                part = ids[at : at + 4 * capacity]
+                rows.append((doc_id, at // (4 * capacity), at // 4, len(part) // 4, zlib.crc32(part)))
+        columns = zip(*rows, strict=True) if rows else ([] for _ in _PIECES)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECES.types, strict=True)], schema=_PIECES)
 
-    return cut
+    return in_slices(pieces, lambda: word_encoder(path).forget())
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -308,7 +301,7 @@ def pack(
     text_col: str = "text",
     capacity: int = CAPACITY,
     groups: int = 48,
-    chunk_rows: int = 20_000,
+    chunk_rows: int = 2_000,
 ) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 

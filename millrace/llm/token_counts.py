@@ -9,11 +9,15 @@ of what is before it, so the last tokens of the recent prefixes, as far back as
 a vocabulary entry can still reach, decide every later step.  States are made
 when they are first reached.
 
-A text is read in chunks.  Between a character that is no white space and one
-that is, the splitter is in its start state, whatever came before; so a chunk's
-state map is what it holds before the first such place (its head, to be read
-from the state that the chunk is entered in), the tokens between the first and
-the last, and what follows the last (its tail).  Maps compose associatively.
+A text is read in chunks.  Where white space follows other characters, and
+where a letter, a number and another sign meet (but for an apostrophe before a
+letter), the splitter's state behind the place is the same whatever came before.
+So a chunk's state map is what it holds before the first such place (its head,
+to be read from the state that the chunk is entered in), the tokens between the
+first and the last, and what follows the last (its tail).  Maps compose
+associatively; the maps of a text are scanned in blocks, and then the blocks.
+A run of one class of characters longer than a chunk, such as a genome, has no
+such place: it is one piece to the vocabulary and is counted in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -30,13 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Segments of which a worker remembers the count (in each of two generations), and states it keeps.
-CACHE_SEGMENTS = 300_000
+from millrace.llm.common import MEMORY_BYTES, in_slices
+
+#: A chunk's head, the tokens between head and tail (None: all is head), and its tail.
+Map = tuple[str, int | None, str]
+
+#: States that a worker keeps.
 CACHE_STATES = 200_000
 #: Characters whose new segments advance together.
-GROUP_CHARS = 4_000_000
-#: Characters of a chunk.
+GROUP_CHARS = 1_000_000
+#: Characters of a chunk, and chunks of a block: a text of the longest kind (2**31 bytes) has at most 128 blocks.
 CHUNK = 1 << 16
+BLOCK = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -205,7 +214,10 @@ def split_cuts(segment: str, white: int) -> list[int]:
 
 _SEGMENT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _WHITE = re.compile(f"[{WHITE_SPACE}]*")
-_RESET = re.compile(f"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])")
+
+
+#: What a remembered segment takes besides its characters, and the longest segment that is remembered.
+_ENTRY, _LONGEST = 120, 256
 
 
 class Counter:
@@ -219,8 +231,14 @@ class Counter:
         self.merger = Merger([tuple(bytes(alphabet[c] for c in part) for part in pair) for pair in pairs])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.longest_special = max(map(len, special), default=0)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start a task with empty memories (the transducers stay)."""
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
+        self.size = 0
 
     def pieces(self, segment: str) -> tuple[list[str], int]:
         """The splitter over one segment that is entered in the start state: pieces, special tokens."""
@@ -243,9 +261,13 @@ class Counter:
         found = {p: self.old[p] for p in fresh if p in self.old}
         unknown = list(fresh.difference(found))
         found.update(zip(unknown, self.merger.counts([p.encode() for p in unknown]), strict=True))
-        self.young.update(found)
+        self.remember(found)
         count = self.young.__getitem__
-        self.young.update((s, sum(map(count, p)) + special) for s, (p, special) in split.items() if special or len(p) != 1)
+        self.remember({s: sum(map(count, p)) + special for s, (p, special) in split.items() if special or len(p) != 1})
+
+    def remember(self, counts: dict[str, int]) -> None:
+        self.young.update(counts)
+        self.size += _ENTRY * len(counts) + sum(map(len, counts))
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Tokens of texts; a segment that was met before is one step."""
@@ -258,68 +280,101 @@ class Counter:
             split = [_SEGMENT.findall(t) for t in texts[at:end]]
             if fresh := set(chain.from_iterable(split)).difference(self.young):
                 kept = {s: self.old[s] for s in fresh if s in self.old}
-                self.young.update(kept)
+                self.remember(kept)
                 self.learn(fresh.difference(kept))
             out += [sum(map(self.young.__getitem__, s)) for s in split]
-            if len(self.young) > CACHE_SEGMENTS:
-                self.young, self.old = {}, self.young
+            if any(len(s) > _LONGEST for s in fresh):
+                for s in [s for s in self.young if len(s) > _LONGEST]:
+                    del self.young[s]
+                    self.size -= _ENTRY + len(s)
+            if self.size > MEMORY_BYTES // 2:
+                self.young, self.old, self.size = {}, self.young, 0
             at = end
         return out
 
     def count(self, text: str) -> int:
         return self.count_all([text])[0]
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
+    def resets(self, chunk: str, i: int) -> bool:
+        """Whether the splitter's state behind place ``i`` of a chunk doesn't depend on what came before."""
+        a, b = chunk[i - 1], chunk[i]
+        if a in WHITE_SPACE:
+            return False
+        if b in WHITE_SPACE:
+            return True
+        left, right = (OTHERS if (k := begin(c)) == MARK else k for c in (a, b))
+        if left == right or (a == "'" and right == LETTERS):
+            return False
+        reach = self.longest_special
+        if not reach:
+            return True
+        if i < reach or i > len(chunk) - reach:  # a special string could lie across the chunk's end
+            return False
+        near = chunk[i - reach : i + reach]
+        return not any(m.start() < reach < m.end() for m in self.special.finditer(near))
+
+    def chunk_map(self, chunk: str) -> Map:
         """State map of a chunk: (head, tokens between, tail); tokens None: all is head, nothing resets the state."""
-        first = _RESET.search(chunk)
-        if first is None:
+        a = next((i for i in range(1, len(chunk)) if self.resets(chunk, i)), None)
+        if a is None:
             return chunk, None, ""
-        a = b = first.start()
-        for i in range(len(chunk) - 1, a, -1):
-            if _RESET.match(chunk, i):
-                b = i
-                break
+        b = next(i for i in range(len(chunk) - 1, a - 1, -1) if self.resets(chunk, i))
         return chunk[:a], self.count(chunk[a:b]), chunk[b:]
 
-    def compose(self, maps: list[dict]) -> int:
-        """Tokens of a text from its chunks' maps in order."""
-        total, entered = 0, []
-        for m in maps:
-            entered.append(m["head"])
-            if m["tokens"] is not None:
-                total += self.count("".join(entered)) + m["tokens"]
-                entered = [m["tail"]]
-        return total + self.count("".join(entered))
+    def join(self, a: Map, b: Map) -> Map:
+        """The map of two chunks in a row; associative."""
+        if a[1] is None:
+            return a[0] + b[0], b[1], b[2]
+        if b[1] is None:
+            return a[0], a[1], a[2] + b[0]
+        return a[0], a[1] + self.count(a[2] + b[0]) + b[1], b[2]
+
+    def scan(self, maps: list[Map]) -> Map:
+        """The map of chunks in order, joined pair by pair in rounds."""
+        while len(maps) > 1:
+            maps = [self.join(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
+    def total(self, whole: Map) -> int:
+        """Tokens of a text from its map: it is entered in the start state."""
+        return self.count(whole[0]) + (whole[1] or 0) + self.count(whole[2])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def _map_batches(path: str) -> Callable:
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
-        for batch in batches:
-            chunks, whole = batch.column("chunk").to_pylist(), [n == 1 for n in batch.column("n_chunks").to_pylist()]
-            counts = iter(c.count_all([t for t, w in zip(chunks, whole, strict=True) if w]))
-            maps = [("", next(counts), "") if w else c.chunk_map(t) for t, w in zip(chunks, whole, strict=True)]
-            head, tokens, tail = zip(*maps, strict=True) if maps else ((), (), ())
-            names = ["row", "doc_id", "n_bytes", "n_chunks", "nth"]
-            columns = [*map(batch.column, names), pa.array(head, pa.string()), pa.array(tokens, pa.int64()), pa.array(tail, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "head", "tokens", "tail"])
+def _with_counter(path: str, read: Callable) -> Callable:
+    return in_slices(lambda batch: read(counter(path), batch), lambda: counter(path).forget(), 2048)
 
-    return read
 
+_MAP = ("head", "tokens", "tail")
+_MAP_TYPES = (pa.string(), pa.int64(), pa.string())
 
-def _compose_batches(path: str) -> Callable:
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [n + counter(path).compose(m) if m else n for n, m in zip(*(batch.column(x).to_pylist() for x in ("tokens", "maps")), strict=True)]
-            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens"])
 
-    return read
+def _with_maps(batch: pa.RecordBatch, names: list[str], maps: list[Map]) -> pa.RecordBatch:
+    columns = zip(*maps, strict=True) if maps else ((), (), ())
+    return pa.RecordBatch.from_arrays([*map(batch.column, names), *(pa.array(c, t) for c, t in zip(columns, _MAP_TYPES, strict=True))], [*names, *_MAP])
+
+
+def _map_chunks(c: Counter, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A chunk's map; a text of one chunk is counted at once."""
+    chunks, whole = batch.column("chunk").to_pylist(), [n == 1 for n in batch.column("n_chunks").to_pylist()]
+    counts = iter(c.count_all([t for t, w in zip(chunks, whole, strict=True) if w]))
+    maps = [("", next(counts), "") if w else c.chunk_map(t) for t, w in zip(chunks, whole, strict=True)]
+    return _with_maps(batch, ["row", "doc_id", "n_bytes", "nth"], maps)
+
+
+def _scan_maps(c: Counter, batch: pa.RecordBatch) -> pa.RecordBatch:
+    maps = [c.scan([(m["head"], m["tokens"], m["tail"]) for m in ms]) for ms in batch.column("maps").to_pylist()]
+    return _with_maps(batch, ["row", "doc_id", "n_bytes", "nth"], maps)
+
+
+def _count_texts(c: Counter, batch: pa.RecordBatch) -> pa.RecordBatch:
+    maps = batch.column("maps").to_pylist()
+    counts = [c.total(c.scan([(m["head"], m["tokens"], m["tail"]) for m in ms])) for ms in maps]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(
@@ -328,8 +383,8 @@ def token_counts(
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens) of every row.
 
     Texts of more than ``chunk_chars`` characters are read in chunks, each giving
-    a state map; the maps of a text, not its chunks, meet and are composed in
-    order.  Null text: empty, no tokens.  Null ids and repeated rows: a row each.
+    a state map; the maps of a text, not its chunks, are scanned in order, first
+    within blocks of BLOCK chunks and then over the blocks.  Null text: empty, no tokens.  Null ids and repeated rows: a row each.
     Special strings inside a text are one token.  Empty table: empty result.
     Extra columns: ignored.
     """
@@ -345,14 +400,10 @@ def token_counts(
         n_chunks.alias("n_chunks"),
         F.posexplode(F.when(n_chunks == 1, F.array("whole")).otherwise(cut)).alias("nth", "chunk"),
     )
-    schema = "row long, doc_id long, n_bytes long, n_chunks int, nth int, head string, tokens long, tail string"
-    maps = rows.mapInArrow(_map_batches(path), schema)
-    whole = F.col("n_chunks") == 1
-    texts = maps.groupBy("row", "doc_id", "n_bytes").agg(
-        F.coalesce(F.sum(F.when(whole, F.col("tokens"))), F.lit(0)).alias("tokens"),
-        F.array_sort(F.collect_list(F.when(~whole, F.struct("nth", "head", "tokens", "tail")))).alias("maps"),
-    )
-    counted = texts.select("doc_id", "n_bytes", "tokens", "maps").mapInArrow(
-        _compose_batches(path), "doc_id long, n_bytes long, n_tokens long"
-    )
+    maps = rows.mapInArrow(_with_counter(path, _map_chunks), "row long, doc_id long, n_bytes long, nth int, head string, tokens long, tail string")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("nth", *_MAP))), lambda m: F.struct(*[m[x].alias(x) for x in _MAP])).alias("maps")
+    keys = ["row", "doc_id", "n_bytes"]
+    blocks = maps.groupBy(*keys, F.floor(F.col("nth") / BLOCK).cast("int").alias("nth")).agg(ordered)
+    scanned = blocks.mapInArrow(_with_counter(path, _scan_maps), "row long, doc_id long, n_bytes long, nth int, head string, tokens long, tail string")
+    counted = scanned.groupBy(*keys).agg(ordered).select("doc_id", "n_bytes", "maps").mapInArrow(_with_counter(path, _count_texts), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -30,12 +30,30 @@ def test_chunk_maps_compose():
     c, r = token_counts.Counter(BYTES), random.Random(4)
     for text in random_texts(400, 3):
         n = r.randint(1, 30)
-        maps = [dict(zip(("head", "tokens", "tail"), c.chunk_map(text[i : i + n]), strict=True)) for i in range(0, len(text), n)]
-        assert c.compose(maps) == c.count(text)
-
-
-@pytest.mark.parametrize("chunk", [1 << 16, 50])
-def test_count_rows(corpus, corpus_rows, chunk):
+        maps = [c.chunk_map(text[i : i + n]) for i in range(0, len(text), n)]
+        if maps:
+            assert c.total(c.scan(maps)) == c.count(text)
+            k = r.randint(1, len(maps))
+            assert c.total(c.scan([c.scan(maps[i : i + k]) for i in range(0, len(maps), k)])) == c.count(text)
+
+
+def test_texts_without_blanks_are_shared_among_chunks():
+    """Heads and tails are short in Chinese prose and in base64, so that counting stays with the chunks."""
+    c, t, r = token_counts.Counter(BYTES), tokenizers.Tokenizer.from_file(BYTES), random.Random(6)
+    chinese = "".join(r.choice("的一是不了人我在有他这中大来上国") if r.random() < 0.9 else r.choice("，。") for _ in range(3000))
+    base64 = "".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(3000))
+    for text in (chinese, base64, base64[:1000] + "<|endoftext|>" * 30 + chinese[:1000]):
+        maps = [c.chunk_map(text[i : i + 500]) for i in range(0, len(text), 500)]
+        assert "<" in text or all(m[1] is not None and len(m[0]) + len(m[2]) < 150 for m in maps)
+        assert c.total(c.scan(maps)) == c.count(text) == len(t.encode(text, add_special_tokens=False).ids)
+    genome = "".join(r.choice("ACGT") for _ in range(2000))  # one piece: all head
+    maps = [c.chunk_map(genome[i : i + 500]) for i in range(0, len(genome), 500)]
+    assert all(m[1] is None for m in maps) and c.total(c.scan(maps)) == c.count(genome)
+
+
+@pytest.mark.parametrize(("chunk", "block"), [(1 << 16, 256), (50, 256), (50, 3)])
+def test_count_rows(corpus, corpus_rows, chunk, block, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK", block)
     t = tokenizers.Tokenizer.from_file(BYTES)
     want = [(i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x, _ in corpus_rows]
     got = [(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(corpus, BYTES, chunk_chars=chunk).collect()]
@@ -43,11 +61,29 @@ def test_count_rows(corpus, corpus_rows, chunk):
 
 
 def test_word_ids_equal_the_library():
-    t, encode, texts = tokenizers.Tokenizer.from_file(WORDS), packing.word_encoder(WORDS), random_texts(3000, 9)
+    t, encode, texts = tokenizers.Tokenizer.from_file(WORDS), packing.word_encoder(WORDS).encode, random_texts(3000, 9)
     for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
         assert encode(text) == np.array(e.ids, dtype="<u4").tobytes()
 
 
+def test_memories_are_bounded_and_forgotten():
+    encoder = packing.WordEncoder(WORDS)
+    encoder.words.limit = 50_000
+    words = [f"w{i}" for i in range(5000)]
+    for w in words:
+        encoder.encode(w)
+    assert len(encoder.words) + len(encoder.words.old) < 700
+    encoder.encode("x" * 5000)
+    assert (b"x" * 5000) not in encoder.words
+    encoder.forget()
+    assert not encoder.words and not encoder.pieces
+    c = token_counts.Counter(BYTES)
+    c.count_all([" ".join(words), "y" * 5000])
+    assert "y" * 5000 not in c.young and c.size == sum(120 + len(s) for s in c.young)
+    c.forget()
+    assert not c.young and not c.old
+
+
 def test_packing(corpus, corpus_rows):
     t = tokenizers.Tokenizer.from_file(WORDS)
     want = []
