@@ -1,4 +1,9 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: a prefix-filtered join, verified, and components."""
+"""Sets of word shingles: their exact Jaccard similarity, and a prefix-filtered join for the pairs that fingerprints can't tell.
+
+Of two texts with a similarity of 0.8 some ten of 64 fingerprint bits differ,
+far beyond a small Hamming ball.  What multi-index hashing finds comes first
+(millrace.llm.simhash); the join here completes it, so that no pair is lost.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +12,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import discard, materialize
+from millrace.llm.common import in_slices, materialize
 from millrace.llm.components import connected_components
 
-SHINGLE = 5
 #: Similarity as a fraction, so that sizes are compared in whole numbers.
 SIMILARITY = (4, 5)
 #: Texts that tell which shingles are frequent, and so many of these come last; this sets the work, never the result.
-ORDER_TEXTS = 20_000
+ORDER_TEXTS = 100_000
 ORDER_SHINGLES = 200_000
+#: Fingerprints of texts of a similarity of 0.8 differ in more bits than this once in ten million pairs.
+FAR_BITS = 28
+#: Sets of one head that are compared pair by pair.
+FEW = 16
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; a text of fewer words is one shingle, one without words has none.
 
     Words are those of the fingerprints: A-Z lowered, cut at the six ASCII white spaces.
@@ -56,84 +64,177 @@ def frequent_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.
     return found["h"].to_numpy(), found["count"].to_numpy()
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, node (a digest of the set), n and the set, rare shingles first, of every row."""
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half of the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
+        part = hashes[at : at + 65536].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def least_common(n: int, similarity: tuple[int, int]) -> int:
+    """Shingles of a set of ``n`` that a similar set must have, at least."""
+    p, q = similarity
+    return -(-n * p // q)
+
+
+_SETS = "doc_id long, node long, fp long, n int, heads array<long>, members binary"
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """Every row's doc_id, node (a digest of its set), fp (the set's SimHash), n, heads and members.
+
+    Heads are the rarest shingles, of which a similar set must have one; members
+    are all, as 32-bit hashes (a pair's common count is off by chance collisions
+    only, n * n / 2**32 on average).
+    """
     frequent, counts = frequent_shingles(docs, text_col, shingle)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], dtype=np.uint64).view(np.int64)
-            for i, s in enumerate(found):
-                if len(frequent) and len(s):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    often = np.where(frequent[at] == s, counts[at], 0)
-                    found[i] = s[np.argsort(often, kind="stable")]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int64)
-            values = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
-            arrays = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(values)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(np.diff(ends).astype(np.int32)), arrays], ["doc_id", "node", "n", "shingles"])
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, prints, sizes, heads, members = [], [], [], [], []
+        for t in batch.column(1):
+            s = shingle_set(t.as_py(), shingle)
+            nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
+            prints.append(majority(s))
+            sizes.append(len(s))
+            members.append((s >> np.uint64(32)).astype("<u4").tobytes())
+            if len(frequent) and len(s):
+                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                often = np.where(frequent[at] == s, counts[at], 0)
+                s = s[np.argsort(often, kind="stable")]
+            heads.append(s[: len(s) - least_common(len(s), similarity) + 1].view(np.int64))
+        ids = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, prints)]
+        columns = [batch.column(0), *ids, pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(members, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "n", "heads", "members"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(sets, "doc_id long, node long, n int, shingles array<long>")
+    return given.mapInArrow(in_slices(sets), _SETS)
 
 
-def similar_links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Links (u, v) that join the nodes of all pairs of sets whose Jaccard similarity is at least ``similarity``.
+def shared_heads(sets: DataFrame) -> DataFrame:
+    """h, node, n, at (place among the node's heads) and m (nodes with this head) of heads that several nodes have."""
+    heads = sets.where("n > 0").select("node", "n", F.posexplode("heads").alias("at", "h"))
+    heads = heads.repartition("h").dropDuplicates(["h", "node"])
+    return heads.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("m > 1")
+
+
+def head_pairs(a: DataFrame, b: DataFrame, similarity: tuple[int, int], others: Column | None = None) -> DataFrame:
+    """Pairs u < v of nodes with a common head (or signature) that sizes and places allow."""
+    p, q = similarity
+    a, b = (x.select("h", *[F.col(c).alias(f"{c}_{k}") for c in x.columns if c != "h"]) for k, x in (("a", a), ("b", b)))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p) & (room * (p + q) >= (F.col("n_a") + F.col("n_b")) * p)
+    both = a.join(b, "h").where((F.col("node_a") != F.col("node_b")) & fits & (F.lit(True) if others is None else others))
+    return both.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
+
+
+def verified(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int], far_bits: int = FAR_BITS) -> DataFrame:
+    """The pairs (u, v) of at least the given Jaccard similarity; ``members`` has node, fp and members.
 
-    Two such sets share a shingle among the first n - ceil(similarity * n) + 1
-    of either, whatever the common order is; in the places of their first common
-    shingle enough of both is left.  Where a shingle has many sets, each is first
-    compared with the least and the greatest of them; then all pairs that are
-    not yet in one component are.  Nothing is capped or dropped.
+    Fingerprints are compared first: pairs that differ in more than ``far_bits`` don't fetch their sets.
     """
     p, q = similarity
-    places = F.col("n") - F.ceil(F.col("n") * p / q) + 1
-    heads = sets.where("n > 0").select("node", "n", F.posexplode(F.slice("shingles", 1, places.cast("int"))).alias("at", "h"))
-    heads = heads.repartition("h").dropDuplicates(["h", "node"])
-    shared = materialize(heads.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("m > 1"), "shared")
-    wanted = shared.select("node").distinct()
-    wide = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles"), "wide-sets")
-
-    def pairs(a: DataFrame, b: DataFrame, others: F.Column) -> DataFrame:
-        """Pairs with a common shingle that sizes and places allow."""
-        a, b = (x.select("h", *[F.col(c).alias(f"{c}_{k}") for c in x.columns if c != "h"]) for k, x in (("a", a), ("b", b)))
-        room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-        fits = (F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p) & (room * (p + q) >= (F.col("n_a") + F.col("n_b")) * p)
-        both = a.join(b, "h").where((F.col("node_a") != F.col("node_b")) & others & fits)
-        return both.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
-
-    def verified(found: DataFrame) -> DataFrame:
-        left, right = (wide.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "uv")
-        common = F.size(F.array_intersect("of_u", "of_v"))
-        enough = common * (p + q) >= (F.size("of_u") + F.size("of_v")) * p
-        return found.join(left, "u").join(right, "v").where(enough).select("u", "v")
-
-    of_shingle = Window.partitionBy("h").orderBy("node")
-    ends = shared.withColumn("nth", F.row_number().over(of_shingle)).where("nth = 1 or nth = m")
-    first = materialize(verified(pairs(ends.drop("nth", "m"), shared.drop("m"), F.lit(True))), "similar")
-    labels = connected_components(first)
-    labelled = shared.where("m > 3").join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
-    labelled = labelled.select("h", "node", "n", "at", "m", F.coalesce("label", "node").alias("label"))
-    labelled = labelled.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h", "label")))
-    labelled = labelled.withColumn("most", F.max(F.struct("size", "label")).over(Window.partitionBy("h")))
-    # of two sets in different components one at least is outside the shingle's largest
-    apart = materialize(labelled.where("most.size < m").withColumn("minor", F.col("label") != F.col("most.label")).drop("size", "most", "m"), "apart")
-    rest = pairs(apart.where("minor"), apart, F.col("label_a") != F.col("label_b"))
-    return first.unionByName(materialize(verified(rest), "similar"))
-
-
-def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The documents whose id is the smallest of its component of similar documents; the columns of ``docs``.
-
-    Documents of equal shingle sets are one node from the start; null and
-    wordless texts are all alike.  Rows that share an id stay or go together;
-    rows with a null id stay.
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = (np.frombuffer(z.as_py(), dtype="<u4") for z in (x, y))
+            common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+            keep.append(common * (p + q) >= (len(a) + len(b)) * p)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    def of(k: str, *columns: str) -> DataFrame:
+        return members.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
+
+    near = pairs.join(of("u", "fp"), "u").join(of("v", "fp"), "v").where(F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= far_bits).select("u", "v")
+    both = near.join(of("u", "members"), "u").join(of("v", "members"), "v")
+    return both.select("u", "v", "members_u", "members_v").mapInArrow(in_slices(judge), "u long, v long")
+
+
+def size_level(n: int, similarity: tuple[int, int]) -> tuple[int, int]:
+    """Level of a set's size and the level's largest size; sizes of similar sets are in one level or in neighbouring ones."""
+    p, q = similarity
+    level, high = 0, 1
+    while high < n:
+        level, high = level + 1, (high + 1) * q // p
+    return level, high
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(27))
+
+
+def signatures(members: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Hashes of which two sets of at least the given similarity share one.
+
+    For its level and the next, a set is dealt by hash into more parts than
+    similar sets of that size can have different members; so one part at least
+    is the same in both.  Some parts more are made, so that this is one with
+    members; only a set with as many empty parts as that gives these as well.
+    A passage that two otherwise different texts share rarely fills a part.
     """
-    sets = materialize(shingle_sets(docs, id_col, text_col, shingle), "shingle-sets")
-    labels = connected_components(similar_links(sets, similarity)).withColumnRenamed("node", "labelled")
-    classes = sets.groupBy("node").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(labels, F.col("node") == F.col("labelled"), "left").select(F.coalesce("label", "node").alias("label"), "first")
-    kept = materialize(classes.groupBy("label").agg(F.min("first").alias("__kept")).select("__kept"), "kept")
-    discard(sets)
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    p, q = similarity
+    level, high = size_level(len(members), similarity)
+    out = []
+    values = _mixed(members.astype(np.uint64) + np.uint64(1))
+    for k, top in ((level, high), (level + 1, (high + 1) * q // p)):
+        most = 2 * top * (q - p) // (p + q)  # members in which similar sets of this level differ
+        parts = most + 1 + -(-most // 10)
+        part = (values >> np.uint64(20)) % np.uint64(parts)
+        own = np.zeros(parts, dtype=np.uint64)
+        np.add.at(own, part.astype(np.int64), values)
+        filled = np.bincount(part.astype(np.int64), minlength=parts) > 0
+        names = _mixed(own ^ _mixed(np.arange(parts, dtype=np.uint64) + np.uint64(k << 40)))
+        out.append(names if (~filled).sum() >= parts - most else names[filled])
+    return np.concatenate(out)
+
+
+def signature_rows(labelled: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """h (a signature), node, n, fp and label of labelled nodes with their members."""
+
+    def rows(some: pa.RecordBatch) -> pa.RecordBatch:
+        found = [signatures(np.frombuffer(m.as_py(), dtype="<u4"), similarity).view(np.int64) for m in some.column(3)]
+        who = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        n = pa.array([len(m.as_py()) // 4 for m in some.column(3)], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), some.column(0).take(who), n.take(who), some.column(1).take(who), some.column(2).take(who)], ["h", "node", "n", "fp", "label"])
+
+    return labelled.select("node", "fp", "label", "members").mapInArrow(in_slices(rows), "h long, node long, n int, fp long, label long")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Rows of the keys h whose nodes have several labels; ``minor``: the label isn't the most frequent one there.
+
+    Of two nodes with different labels one at least is minor.
+    """
+    sizes = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy(F.col("h").alias("of_h")).agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return rows.join(most, F.col("h") == F.col("of_h")).withColumn("minor", F.col("label") != F.col("most.label")).drop("of_h", "most", "labels")
+
+
+def similar_links(shared: DataFrame, members: DataFrame, first: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Links (u, v) that, with the links ``first``, join the nodes of all pairs of sets of at least ``similarity``.
+
+    Two such sets have a common head, whatever the common order of shingles is,
+    and in the places of the first one enough of both is left.  Where a head
+    has several sets, each is compared with the least and the greatest of them
+    at first.  What is then not in one component is compared pair by pair where
+    the head has at most FEW sets; the sets of other heads meet by signatures,
+    which texts that share no more than a passage hardly have in common.
+    Nothing is capped or dropped.
+    """
+    p, q = similarity
+    row = F.struct("node", "n", "at")
+    ends = shared.groupBy("h").agg(F.array_distinct(F.array(F.min(row), F.max(row))).alias("ends")).select("h", F.explode("ends").alias("e")).select("h", "e.*")
+    found = materialize(first.unionByName(verified(head_pairs(ends, shared.drop("m"), similarity), members, similarity)), "similar")
+    labels = connected_components(found).withColumnRenamed("node", "labelled")
+    named = lambda x: x.join(labels, F.col("node") == F.col("labelled"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled")
+    few = apart(named(shared.where(f"m > 3 and m <= {FEW}").drop("m")))
+    many = apart(named(shared.where(f"m > {FEW}").select("h", "node"))).select("node").distinct()
+    by_sign = apart(materialize(signature_rows(named(members.join(many, "node", "left_semi")), similarity), "signatures"))
+    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR_BITS
+    rest = head_pairs(few.where("minor"), few, similarity, F.col("label_a") != F.col("label_b"))
+    by_sign = materialize(by_sign.withColumn("at", F.lit(0)), "apart")
+    rest = rest.unionByName(head_pairs(by_sign.where("minor"), by_sign, similarity, (F.col("label_a") != F.col("label_b")) & near))
+    return found.unionByName(materialize(verified(rest.distinct(), members, similarity), "similar"))

@@ -1,8 +1,11 @@
-"""SimHash near-duplicates: 64-bit fingerprints, multi-index hashing, connected components."""
+"""SimHash near-duplicates: 64-bit fingerprints, multi-index hashing, connected components.
 
-from __future__ import annotations
+With a similarity asked for, fingerprints are those of shingle sets, the pairs
+that multi-index hashing finds are checked on the sets, and the pairs beyond
+its Hamming balls come from a prefix-filtered join (millrace.llm.jaccard).
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
 import pandas as pd
@@ -11,11 +14,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, in_slices, materialize
 from millrace.llm.components import connected_components
+from millrace.llm.jaccard import SIMILARITY, majority, shared_heads, shingle_sets, similar_links, verified
 
 SEED = 42
 SHINGLE = 3
+#: Words of a shingle where a similarity is asked for.
+WIDE_SHINGLE = 5
+#: Bits that the multi-index hashing here can bridge.
+MOST_BITS = 3
 #: Fingerprints that more than one in so many rows has are joined apart.
 HOT_SHARE = 200
 
@@ -34,23 +42,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
     hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
-        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
-def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row."""
 
+    def prints_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(fingerprint_batches, "doc_id long, fp long")
+    return given.mapInArrow(in_slices(prints_of), "doc_id long, fp long")
 
 
 def _cell_links(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
@@ -76,8 +79,8 @@ def _cell_links(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(forest, columns=["u", "v"], dtype=np.int64)
 
 
-def near_links(prints: DataFrame, max_bits: int = 3, bucket_limit: int = 256) -> DataFrame:
-    """Links (u, v) that join all distinct ``fp`` within ``max_bits`` (at most 3) differing bits.
+def near_links(prints: DataFrame, max_bits: int = MOST_BITS, bucket_limit: int = 256) -> DataFrame:
+    """Links (u, v) that join all distinct ``fp`` within ``max_bits`` (at most MOST_BITS) differing bits.
 
     Multi-index hashing with two 32-bit segments: of two linked fingerprints one
     segment differs in at most one bit.  Each fingerprint enters the table of
@@ -91,6 +94,8 @@ def near_links(prints: DataFrame, max_bits: int = 3, bucket_limit: int = 256) ->
     is searched in blocks and gives a spanning forest of its links, not all of
     them.  Nothing is capped or dropped.
     """
+    if not 0 <= max_bits <= MOST_BITS:
+        raise ValueError(f"two segments with balls of radius one find at most {MOST_BITS} differing bits, not {max_bits}")
     halves = F.array(*[F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned("fp", 32 * s).bitwiseAND(0xFFFFFFFF).alias("key")) for s in (0, 1)])
     entries = prints.select("fp").distinct().select("fp", F.explode(halves).alias("e")).select("fp", "e.seg", "e.key")
     flips = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)), lambda m: F.col("key").bitwiseAND(m) == 0)
@@ -117,7 +122,7 @@ def near_links(prints: DataFrame, max_bits: int = 3, bucket_limit: int = 256) ->
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MOST_BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row.
 
     Documents of equal fingerprint are one node from the start, so a group of
@@ -125,7 +130,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and link like others.  Null ids have a row but name no
     component.  Empty table: empty result.  Extra columns: ignored.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     labels = connected_components(near_links(prints, max_bits))
     linked = labels.join(classes, F.col("node") == F.col("fp")).select("label", "fp", "first")
@@ -144,10 +149,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return dealt.unionByName(stay).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of every row: documents are linked by a Jaccard similarity of word shingles.
+
+    Documents of equal shingle sets are one node from the start.  Fingerprints
+    of the sets meet by multi-index hashing; of these links those of enough
+    similarity stand, and the others' sets go on to the prefix-filtered join,
+    since similar texts mostly lie further apart than its Hamming balls reach.
+
+    Null and wordless texts are all alike.  Null ids have a row but name no
+    component.  Empty table: empty result.  Extra columns: ignored.
+    """
+    sets = materialize(shingle_sets(docs, id_col, text_col, shingle, similarity), "shingle-sets")
+    rows = materialize(sets.select("doc_id", "node", "fp"), "shingle-nodes")
+    shared = materialize(shared_heads(sets), "shared")
+    of_print = rows.groupBy("fp").agg(F.min("node").alias("node"))
+    prints = materialize(near_links(rows), "near-prints")
+    links = prints.join(of_print.withColumnsRenamed({"fp": "u", "node": "un"}), "u").join(of_print.withColumnsRenamed({"fp": "v", "node": "vn"}), "v").select("un", "vn")
+    equal = rows.select("fp", F.col("node").alias("un")).join(of_print.withColumnRenamed("node", "vn"), "fp").where("un <> vn").select("un", "vn")
+    links = materialize(links.unionByName(equal).select(F.least("un", "vn").alias("u"), F.greatest("un", "vn").alias("v")).distinct(), "near-sets")
+    wanted = shared.select("node").unionByName(links.select(F.col("u").alias("node"))).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    members = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "fp", "members"), "members")
+    discard(sets)
+    first = materialize(verified(links, members, similarity), "similar")
+    labels = connected_components(similar_links(shared, members, first, similarity)).withColumnRenamed("node", "labelled")
+    classes = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+    classes = classes.join(labels, F.col("node") == F.col("labelled"), "left").select("node", F.coalesce("label", "node").alias("label"), "first")
+    classes = materialize(classes, "classes")
+    for done in (shared, members, prints, links, first):
+        discard(done)
+    least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_node = classes.join(least, "label").select(F.col("node").alias("of_node"), "component_id")
+    return rows.join(of_node, F.col("node") == F.col("of_node")).select("doc_id", "component_id")
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MOST_BITS, shingle: int = SHINGLE, similarity: tuple[int, int] | None = None
+) -> DataFrame:
     """The documents whose id is the smallest of its component; the columns of ``docs``.
 
-    Rows that share an id stay or go together; rows with a null id stay.
+    Components are those of fingerprints within ``max_bits`` or, where a
+    ``similarity`` is given, of shingle sets that similar (similar_classes).
+
+    Rows that share an id stay or go together, so of an id with different texts
+    all stay if one of them is its component's first; rows with a null id stay.
+    Null and wordless texts are alike.  Empty table: empty result.
     """
-    kept = near_duplicates(docs, id_col, text_col, max_bits).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    found = similar_classes(docs, id_col, text_col, shingle, similarity) if similarity else near_duplicates(docs, id_col, text_col, max_bits, shingle)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -3,6 +3,7 @@ import re
 import string
 
 import numpy as np
+import pytest
 import xxhash
 
 from millrace.llm import simhash
@@ -73,6 +74,11 @@ def test_crowded_buckets_lose_no_link(spark):
         assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def test_more_bits_than_the_balls_reach_are_refused(spark):
+    with pytest.raises(ValueError, match="at most 3"):
+        simhash.near_links(spark.createDataFrame([(1,)], "fp long"), 4)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 200), (301, 300), (300, 301)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
