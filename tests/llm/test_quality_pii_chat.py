@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from millrace.llm import chat, pii, quality
 
@@ -94,6 +95,75 @@ def test_pii_adds_loose_forms_and_keeps_base(spark):
     assert "@" not in " ".join(filter(None, masked.values()))
 
 
+def check_digit(digits):
+    return next(d for d in "0123456789" if pii.luhn(digits + d))
+
+
+def mixed_corpus(loose_in=12, n=900):
+    """Texts with fixed matches, loose forms of them and secrets, and decoys; with the true spans of what isn't fixed."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+
+    def card(valid=True):
+        d = "4" + digits(14)
+        last = check_digit(d)
+        return d + (last if valid else str((int(last) + r.randint(1, 9)) % 10))
+
+    fours = lambda d, sep: sep.join(d[i : i + 4] for i in range(0, 16, 4))
+    fixed = [lambda: f"{word()}@{word()}.org", lambda: f"10.{r.randint(0, 255)}.4.{r.randint(0, 255)}", lambda: f"+44 {digits(2)} {digits(4)} {digits(4)}", card]
+    loose = [
+        ("email", lambda: f"{word()} (at) {word()}.org"), ("email", lambda: f"{word()}[at]{word()}[dot]org"), ("ip", lambda: f"10[.]{r.randint(0, 255)}[.]4[.]{r.randint(0, 255)}"),
+        ("card", lambda: fours(card(), ".")), ("phone", lambda: f"0044 {digits(2)} {digits(4)} {digits(4)}"), ("secret", lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))),
+    ]
+    decoys = [lambda: card(False), lambda: fours(card(False), "/"), lambda: f"{r.randint(1, 28):02}-{r.randint(1, 12):02}-{r.randint(1990, 2030)}", lambda: f"{r.randint(1990, 2030)}/10/{r.randint(10, 28)}", lambda: f"{r.randint(1, 9)}.{digits(3)},{digits(2)} EUR", lambda: f"{digits(3)}.{digits(3)}.999.{digits(3)}"]
+    rows, truth = [], {}
+    for i in range(n):
+        words = [word() for _ in range(40)]
+        words[5], words[30] = (r.choice(decoys)() for _ in range(2))
+        if i % 2 == 0:
+            words[15] = r.choice(fixed)()
+        if i % loose_in == 1:
+            kind, make = r.choice(loose)
+            form = make()
+            words[22] = f'token = "{form}"' if kind == "secret" else form
+            text = " ".join(words)
+            truth[i] = (kind, text.index(form), text.index(form) + len(form))
+        rows.append((i, " ".join(words)))
+    return rows, truth
+
+
+@pytest.mark.parametrize("loose_in", [30, 3])
+def test_added_spans_are_right_and_most_loose_forms_are_found(spark, loose_in):
+    """Rare or common, loose forms are added; numbers that fail their check, dates and prices aren't."""
+    rows, truth = mixed_corpus(loose_in)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    right = wrong = 0
+    for x in pii.find_pii(docs, pii.fit_pii(docs)).collect():
+        for s in set(filter(None, x.spans.split(","))) - set(x.base_spans.split(",")):
+            kind, a, b = s.split(":")
+            want = truth.get(x.doc_id)
+            if want and kind == want[0] and int(a) < want[2] and want[1] < int(b):
+                right += 1
+            else:
+                wrong += 1
+    assert right / max(1, right + wrong) >= 0.9
+    assert right >= 0.8 * len(truth)
+
+
+def test_pii_of_nothing_odd_names_and_a_long_text(spark, nothing):
+    assert pii.fit_pii(nothing).threshold == np.inf
+    assert pii.find_pii(nothing, pii.Trees()).count() == 0 and pii.redact(nothing, pii.Trees()).count() == 0
+    r = random.Random(2)
+    long = " ".join(r.choice(["word", "12-13", "4.5.6", "x@y", "+1"]) for _ in range(200_000)) + " mail a.b@example.org now"
+    docs = spark.createDataFrame([(1, long, 7, "a", 1.5, "b"), (2, None, 8, "c", None, None)], "doc_id long, text string, n_email int, spans string, features double, base_spans string")
+    trees = pii.fit_pii(docs)
+    got = {x.doc_id: x for x in pii.find_pii(docs, trees).collect()}
+    assert got[1].n_email == 1 and got[1].base_spans == pii.joined(base_by_plain_patterns(long)) and got[2].spans == ""
+    kept = pii.redact(docs, trees, length_col=None)
+    assert kept.columns == docs.columns and {x.doc_id: x.n_email for x in kept.collect()} == {1: 7, 2: 8}
+
+
 def test_trees_without_two_labels():
     assert pii.fit_trees(np.zeros((5, 3)), np.zeros(5)).threshold == np.inf
 
