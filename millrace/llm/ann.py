@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Vectors are projected to a few dimensions, shifted, and put in the order of a
-Hilbert curve, several times with other projections and shifts.  Each order is
-range-partitioned and numbered by Spark; a query is compared with the vectors
-near its place in each order, and what the orders propose is merged and ranked
-on the original vectors.  The width of these windows is measured, not guessed: a
-bounded sample of queries is answered exactly, and the width is the distance in
-place that holds the wanted share of their true neighbours.
+Hilbert curve, many times with other projections and shifts.  Each order is
+range-partitioned and numbered by Spark.  Orders carry short codes of the
+vectors (four bits a component), not the vectors.  A query asks those orders in
+which its projections are most pronounced, since there its neighbours crowd
+most, and meets the codes within a window of places around its own; what the
+windows propose is merged, and the best of it is ranked on the original vectors.
+
+The width of the windows is measured, not guessed: a bounded sample of queries
+is answered exactly, and the width is the distance in place, in the nearest of
+the orders asked, that holds the wanted share of their true neighbours.
 """
 
 from __future__ import annotations
@@ -23,14 +27,16 @@ from pyspark.sql.window import Window
 
 from millrace.llm.vectors import answers, best, kept, packed, query_classes, unpacked, usable_vectors, vector_classes, width_of
 
-#: Orders, projected dimensions, and bits of each in a key (DIMS * BITS at most 62).
-CURVES, DIMS, BITS = 4, 6, 8
+#: Orders, how many of them a query asks, projected dimensions, and bits of each in a key (DIMS * BITS at most 62).
+CURVES, ASKED, DIMS, BITS = 32, 24, 8, 7
 #: At most so many queries, those of least hash, are answered exactly to set the window.
 SAMPLE_QUERIES = 64
-#: Share of their neighbours that the window must hold; recall of all queries comes out near it.
-WANTED = 0.95
-#: Bytes of vectors in one cell's matrix.
-CELL_BYTES = 16 << 20
+#: Share of their neighbours that the windows must hold; recall of all queries comes out near it.
+WANTED = 0.93
+#: Bytes of codes, and queries, in one cell.
+CELL_BYTES, CELL_QUERIES = 1 << 19, 8192
+#: Candidates by code that are ranked on the original vectors, for each neighbour wanted.
+SHORTLIST = 2
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -63,16 +69,38 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def projection(curve: int, width: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Orthonormal directions, as far as there are so many, and shifts."""
     rng = np.random.default_rng([seed, curve])
-    return rng.normal(0, 1, (width, DIMS)), rng.random(DIMS)
+    directions = np.linalg.qr(rng.normal(0, 1, (width, min(DIMS, width))))[0]
+    if width < DIMS:
+        directions = np.hstack([directions, rng.normal(0, 1, (width, DIMS - width)) / math.sqrt(width)])
+    return directions * math.sqrt(width), rng.random(DIMS)
 
 
-def curve_keys(points: np.ndarray, curve: int) -> np.ndarray:
-    """Keys of unit vectors: projected, brought to even use of [0, 1], shifted within a grid of twice the size."""
+def curve_keys(points: np.ndarray, curve: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of unit vectors (projected, brought to even use of [0, 1], shifted within a grid of twice the size), and how pronounced the projections are."""
     matrix, shift = projection(curve, points.shape[1])
-    spread = 1 / (1 + np.exp(-1.7 * points @ matrix))
+    projected = points @ matrix
+    spread = 1 / (1 + np.exp(-1.7 * projected))
     cells = np.minimum((spread + shift) * 2 ** (BITS - 1), 2**BITS - 1).astype(np.int64)
-    return hilbert_keys(cells, BITS)
+    return hilbert_keys(cells, BITS), np.abs(projected).sum(axis=1)
+
+
+def codes_of(vectors: np.ndarray) -> list[bytes]:
+    """Four bits a component, scaled by the vector's largest, behind the scale."""
+    scale = np.maximum(np.abs(vectors).max(axis=1, initial=0), 1e-300) / 7
+    levels = (np.rint(vectors / scale[:, None]) + 8).astype(np.uint8)
+    if levels.shape[1] % 2:
+        levels = np.hstack([levels, np.full((len(levels), 1), 8, dtype=np.uint8)])
+    nibbles = levels[:, ::2] << 4 | levels[:, 1::2]
+    return [s.tobytes() + n.tobytes() for s, n in zip(scale.astype("<f8"), nibbles, strict=True)]
+
+
+def decoded(codes, width: int) -> np.ndarray:
+    rows = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(-1, 8 + (width + 1) // 2)
+    scale, nibbles = rows[:, :8].copy().view("<f8"), rows[:, 8:]
+    levels = np.stack([nibbles >> 4, nibbles & 15], axis=2).reshape(len(rows), -1)[:, :width]
+    return (levels.astype(np.float32) - 8) * scale.astype(np.float32)
 
 
 def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -120,11 +148,12 @@ def sample_truth(sample: pd.DataFrame, vectors: DataFrame, width: int, keep: int
 
 
 def ordered(vectors: DataFrame, of_queries: DataFrame, width: int, longest: float) -> DataFrame:
-    """curve, role (0 candidate, 1 query), id, vector and place of all vectors in every order.
+    """curve, role (0 candidate, 1 query), id, code and place of all vectors in every order, and of queries in those that they ask.
 
     Places count from 0 within a curve.  Spark range-partitions by (curve, key);
     rows are numbered within partitions, written down, and shifted by the counts
-    of the partitions before (one row per partition).
+    of the partitions before (one row per partition).  A query's code is its
+    vector as it is.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,38 +161,92 @@ def ordered(vectors: DataFrame, of_queries: DataFrame, width: int, longest: floa
             rows = unpacked(batch.column(2).to_pylist(), width)
             role = batch.column(0).to_numpy()
             points = np.where(role[:, None] == 0, lifted(rows, longest), asking(rows))
-            for curve in range(CURVES):
-                columns = [pa.array(np.full(len(rows), curve, dtype=np.int32)), pa.array(curve_keys(points, curve)), *batch.columns]
-                yield pa.RecordBatch.from_arrays(columns, ["curve", "key", "role", "id", "vector"])
+            found = [curve_keys(points, curve) for curve in range(CURVES)]
+            weakest = np.sort([strength for _, strength in found], axis=0)[CURVES - ASKED]
+            codes = np.array(codes_of(rows), dtype=object)
+            codes[role == 1] = [r.astype("<f4").tobytes() for r in rows[role == 1]]
+            for curve, (key, strength) in enumerate(found):
+                use = (role == 0) | (strength >= weakest)
+                columns = [np.full(use.sum(), curve, dtype=np.int32), key[use], role[use], batch.column(1).to_numpy()[use]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(codes[use], pa.binary())], ["curve", "key", "role", "id", "code"])
 
     both = vectors.select(F.lit(0).alias("role"), F.col("class_id").alias("id"), "vector").unionByName(
         of_queries.select(F.lit(1).alias("role"), F.col("q").alias("id"), F.col("query_vector").alias("vector"))
     )
-    keyed = both.mapInArrow(keys, "curve int, key long, role int, id long, vector binary")
+    keyed = both.mapInArrow(keys, "curve int, key long, role int, id long, code binary")
     parts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = keyed.repartitionByRange(parts, "curve", "key", "role", "id").sortWithinPartitions("curve", "key", "role", "id")
+    # by id within a key, so that queries stand among candidates where many keys are equal
+    dealt = keyed.repartitionByRange(parts, "curve", "key", "id", "role").sortWithinPartitions("curve", "key", "id", "role")
     # the low 33 bits of this number count rows within a partition, the others are the partition
     numbered = dealt.withColumn("number", F.monotonically_increasing_id())
-    numbered = numbered.select("curve", "role", "id", "vector", F.shiftright("number", 33).alias("part"), F.col("number").bitwiseAND((1 << 33) - 1).alias("nth"))
+    numbered = numbered.select("curve", "role", "id", "code", F.shiftright("number", 33).alias("part"), F.col("number").bitwiseAND((1 << 33) - 1).alias("nth"))
     numbered, _ = kept(numbered, "ann-order")
     counts = numbered.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("from"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col("curve").alias("of_curve"), F.col("part").alias("of_part"), (before - F.col("from")).alias("start"))
     at = (F.col("curve") == F.col("of_curve")) & (F.col("part") == F.col("of_part"))
-    return numbered.join(starts, at).select("curve", "role", "id", "vector", (F.col("start") + F.col("nth")).alias("place"))
+    return numbered.join(starts, at).select("curve", "role", "id", "code", (F.col("start") + F.col("nth")).alias("place"))
 
 
 def window_width(places: DataFrame, truth: pd.DataFrame, wanted: float) -> int:
-    """Distance in place, in the nearest of the orders, within which the wanted share of the true pairs lies."""
+    """Distance in place, in the nearest of the orders asked, within which the wanted share of the true pairs lies."""
     ids = places.sparkSession.createDataFrame(
         pd.DataFrame({"of_role": [1] * len(truth) + [0] * len(truth), "of_id": [*truth["q"], *truth["class_id"]]}).drop_duplicates(), "of_role int, of_id long"
     )
     mine = places.join(F.broadcast(ids), (F.col("role") == F.col("of_role")) & (F.col("id") == F.col("of_id"))).select("curve", "role", "id", "place").toPandas()
-    at = {(c, r, i): p for c, r, i, p in mine.itertuples(index=False)}
-    gaps = [min(abs(at[c, 1, q] - at[c, 0, v]) for c in range(CURVES)) for q, v in zip(truth["q"], truth["class_id"], strict=True)]
+    at: dict[tuple[int, int], dict[int, int]] = {}
+    for c, r, i, p in mine.itertuples(index=False):
+        at.setdefault((r, i), {})[c] = p
+    gaps = [min(abs(p - at[0, v][c]) for c, p in at[1, q].items()) for q, v in zip(truth["q"], truth["class_id"], strict=True)]
     return int(np.sort(gaps)[min(len(gaps) - 1, math.ceil(wanted * len(gaps)))]) + 1
 
 
+def window_pairs(places: DataFrame, window: int, width: int, keep: int, n_places: int, asked: int) -> DataFrame:
+    """q, class_id and score by code: of each order that a query asks, the ``keep`` best within the window around its place.
+
+    An order is cut into blocks of places.  A candidate is in one block; a query
+    goes to the blocks that its window meets.  If these windows hold more
+    queries than a cell should have, they are dealt to several cells of the block.
+    """
+    block_rows = max(256, CELL_BYTES // (8 + (width + 1) // 2))
+    parts = -(-(block_rows + 2 * window) * asked // (n_places * CELL_QUERIES)) or 1
+    last = (n_places - 1) // block_rows
+    own = places.where("role = 0").select("curve", F.floor(F.col("place") / block_rows).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "place", "id", "code")
+    first, end = (F.floor((F.col("place") + d * window) / block_rows) for d in (-1, 1))
+    blocks = F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(end, F.lit(last).cast("long")))
+    seekers = places.where("role = 1").select(
+        F.col("curve").alias("in_curve"), F.explode(blocks).alias("in_block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("in_part"),
+        F.col("place").alias("from_place"), F.col("id").alias("q"), F.col("code").alias("asked"),
+    )
+
+    def cell(key: tuple, held: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(held) and len(questions):
+            held, questions = held.sort_values("place"), questions.sort_values("from_place")
+            codes, places_, ids = decoded(held["code"], width), held["place"].to_numpy(), held["id"].to_numpy()
+            at, who = questions["from_place"].to_numpy(), questions["q"].to_numpy()
+            asking_ = np.frombuffer(b"".join(questions["asked"]), dtype="<f4").reshape(-1, width)
+            low, high = np.searchsorted(places_, at - window), np.searchsorted(places_, at + window, side="right")
+            for i in range(0, len(at), 16):  # neighbours in place, whose windows mostly cover the same rows
+                a, b = low[i], high[i : i + 16].max()
+                if a == b:
+                    continue
+                some = asking_[i : i + 16] @ codes[a:b].T
+                row = np.arange(a, b)
+                some[(row < low[i : i + 16, None]) | (row >= high[i : i + 16, None])] = -np.inf
+                top = np.argpartition(-some, min(keep, b - a) - 1, axis=1)[:, :keep]
+                score = np.take_along_axis(some, top, axis=1)
+                good = score > -np.inf
+                out.append((np.repeat(who[i : i + 16], good.sum(axis=1)), ids[a + top[good]], score[good]))
+        if not out:
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "class_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float32")})
+        q, c, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"q": q, "class_id": c, "score": s})
+
+    cells, asking_cells = own.groupBy("curve", "block", "part"), seekers.groupBy("in_curve", "in_block", "in_part")
+    return cells.cogroup(asking_cells).applyInPandas(cell, "q long, class_id long, score float")
+
+
 def nearest(
     df: DataFrame,
     is_query: Column,
@@ -172,12 +255,14 @@ def nearest(
     vector_col: str = "embedding",
     wanted: float = WANTED,
     sample_queries: int = SAMPLE_QUERIES,
-    least_window: int = 256,
+    least_window: int = 32,
+    stats: dict | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: ``k`` near neighbours by inner product, nearest first; ties to the smaller id.
 
     Every vector is in every order; at least ``k`` are returned if there are as
-    many.  ``is_query`` is a condition on the column ``id``.
+    many.  ``is_query`` is a condition on the column ``id``.  ``stats``, if
+    given, gets the window and the share of all vectors that a query meets.
 
     Vectors null, zero or with null or non-finite components, and null ids, take
     no part.  Shorter vectors count as ending in zeros.  Equal vectors are one
@@ -195,28 +280,20 @@ def nearest(
     longest = math.sqrt(classes.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).first()[0])
     places = ordered(vectors, of_queries, width, longest)
     sample = of_queries.orderBy(F.xxhash64("q"), "q").limit(sample_queries).toPandas()
-    window = max(least_window, window_width(places, sample_truth(sample, vectors, width, keep).toPandas(), wanted))
-
-    # a query meets its own block of places and the two beside it, which hold all places within the window
-    cell_rows = max(256, CELL_BYTES // (8 * width))
-    parts = -(-window // cell_rows)
-    blocks = -(-(n + asked) // window)
-    block, part = F.floor(F.col("place") / window), (F.floor(F.col("place") % window / cell_rows)).cast("long")
-    own = places.where("role = 0").select("curve", block.alias("block"), part.alias("part"), "id", "vector")
-    near = F.filter(F.array(block - 1, block, block + 1), lambda b: (b >= 0) & (b < blocks))
-    every_part = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
-    seekers = places.where("role = 1").select(F.col("curve").alias("in_curve"), F.explode(near).alias("in_block"), F.col("id").alias("q"), F.col("vector").alias("asked"))
-    seekers = seekers.select("in_curve", "in_block", F.explode(every_part).alias("in_part"), "q", "asked")
+    window = max(least_window, keep, window_width(places, sample_truth(sample, vectors, width, keep).toPandas(), wanted))
+    if stats is not None:
+        stats |= {"window": window, "share": ASKED * (2 * window + 1) / (n + asked)}
 
-    def cell(key: tuple, held: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        a, b = unpacked(questions["asked"], width), unpacked(held["vector"], width)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "class_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        who, which = top_rows(a, b, keep)
-        scores = np.concatenate([scores_of(a[who[i : i + 4096]], b[which[i : i + 4096]]) for i in range(0, len(who), 4096)])
-        return pd.DataFrame({"q": questions["q"].to_numpy()[who], "class_id": held["id"].to_numpy()[which], "score": scores})
+    found = window_pairs(places, window, width, keep, n + asked, asked)
+    found = best(found.groupBy("q", "class_id").agg(F.max("score").alias("score")), "q", SHORTLIST * keep, F.col("score").desc(), F.col("class_id"))
+    short, _ = kept(found.select("q", "class_id"), "ann-shortlist")
 
-    cells, asking_cells = own.groupBy("curve", "block", "part"), seekers.groupBy("in_curve", "in_block", "in_part")
-    found = cells.cogroup(asking_cells).applyInPandas(cell, "q long, class_id long, score double")
-    found = found.groupBy("q", "class_id").agg(F.max("score").alias("score"))
-    return answers(queries, best(found, "q", keep, F.col("score").desc(), F.col("class_id")), classes, k)
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (unpacked(batch.column(i).to_pylist(), width) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores_of(a, b))], ["q", "class_id", "score"])
+
+    with_vectors = short.join(vectors.withColumnRenamed("class_id", "of_class"), F.col("class_id") == F.col("of_class"))
+    with_vectors = with_vectors.join(of_queries.withColumnRenamed("q", "of_q"), F.col("q") == F.col("of_q"))
+    ranked = with_vectors.select("q", "class_id", "vector", "query_vector").mapInArrow(exact, "q long, class_id long, score double")
+    return answers(queries, best(ranked, "q", keep, F.col("score").desc(), F.col("class_id")), classes, k)

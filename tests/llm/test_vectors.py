@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, topk
@@ -67,6 +68,36 @@ def test_neighbours(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize(("kind", "most"), [("clustered", 0.1), ("isotropic", 0.45)])
+def test_narrow_windows_find_the_neighbours(spark, kind, most):
+    """Windows that hold a small part of the table, on clustered and on isotropic vectors of different lengths."""
+    rng = np.random.default_rng(5)
+    n, dims = 12000, 10
+    points = rng.normal(0, 1, (n, dims))
+    if kind == "clustered":
+        points = 3 * rng.normal(0, 1, (300, dims))[rng.integers(0, 300, n)] + 0.3 * points
+    points *= rng.uniform(0.9, 1.1, (n, 1)) / np.linalg.norm(points, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, p.tolist(), i, i, "x") for i, p in enumerate(points)], "vec_id long, embedding array<double>, place int, curve int, code string").repartition(4)
+    stats = {}
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 40 == 0, 10, stats=stats, least_window=8).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert stats["share"] < most
+    products = points[::40] @ points.T
+    products[np.arange(len(products)), np.arange(0, n, 40)] = -np.inf
+    true = np.argsort(-products, axis=1)[:, :10]
+    assert all(len(x) == 10 for x in got.values())
+    assert np.mean([len(got[40 * i] & set(t.tolist())) / 10 for i, t in enumerate(true)]) >= 0.9
+
+
+def test_codes():
+    rng = np.random.default_rng(1)
+    for width in (1, 7, 64):
+        v = rng.normal(0, 1, (50, width))
+        back = ann.decoded(ann.codes_of(v), width)
+        assert np.abs(back - v).max() <= np.abs(v).max() / 13 + 1e-6
+
+
 def test_hilbert_keys_are_a_curve():
     for n, bits in ((2, 4), (3, 3)):
         grid = np.stack(np.meshgrid(*[np.arange(2**bits)] * n, indexing="ij"), axis=-1).reshape(-1, n)
