@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import in_slices, release
+
 #: Words share this many vectors by hash, which bounds the table whatever the vocabulary.
 SLOTS = 1 << 14
 DIMS = 64
@@ -62,12 +64,13 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for text in batch.column(0):
             texts.append(units(text.as_py()))
             size += len(texts[-1])
-            if size > 500_000:
+            if size > 200_000:
                 add_contexts(total, texts)
                 texts, size = [], 0
     add_contexts(total, texts)
     blocks = total.astype("<f4").reshape(-1, BLOCK * DIMS)
     used = [i for i, b in enumerate(blocks) if b.any()]
+    release()
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "part"])
 
 
@@ -203,10 +206,9 @@ def fit_judge(
     """
     vectors = word_vectors(docs, text_col)
 
-    def pool_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [pooled(vectors, units(t.as_py())).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["doc_id", "features", "label"])
+    def pool(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [pooled(vectors, units(t.as_py())).tobytes() for t in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["doc_id", "features", "label"])
 
     known = (
         labels.select(F.col("doc_id").cast("long").alias("of_doc"), F.col(label_col).cast("int").alias("label"))
@@ -219,7 +221,7 @@ def fit_judge(
     # the sample's size is bounded, so it goes to the texts and not they to it
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sample = given.join(F.broadcast(known), F.col("doc_id") == F.col("of_doc")).select("doc_id", "text", "label")
-    sample = sample.mapInArrow(pool_batches, "doc_id long, features binary, label int").toPandas()
+    sample = sample.mapInArrow(in_slices(pool), "doc_id long, features binary, label int").toPandas()
     sample = sample.sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
     x = np.array([np.frombuffer(f, dtype="<f4") for f in sample["features"]]).reshape(-1, FEATURES)
     return Judge(vectors, fit_network(x, sample["label"].to_numpy(dtype=np.float64)))
@@ -234,13 +236,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     judge = fit_judge(docs, labels, id_col, text_col)
 
-    def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = judge.scores(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scores = judge.scores(batch.column(1).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(score_batches, "doc_id long, score double").select(
+    return given.mapInArrow(in_slices(score), "doc_id long, score double").select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
@@ -249,12 +250,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose text scores at least the threshold; the columns of ``docs``."""
+    """The rows whose text scores at least the threshold; the columns of ``docs``.
+
+    Null and empty texts have a score like others.  Repeated rows stay or go
+    together.  Empty table: empty result.  Without labels every score is one
+    half, and nothing stays.
+    """
     judge = fit_judge(docs, labels, id_col, text_col)
 
-    def good_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = judge.scores(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-            yield batch.filter(pa.array(scores >= THRESHOLD))
+    def good(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scores = judge.scores(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+        return batch.filter(pa.array(scores >= THRESHOLD))
 
-    return docs.mapInArrow(good_batches, docs.schema)
+    return docs.mapInArrow(in_slices(good), docs.schema)
