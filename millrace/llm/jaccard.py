@@ -26,8 +26,6 @@ ORDER_TEXTS = 100_000
 ORDER_SHINGLES = 200_000
 #: Fingerprints of texts of a similarity of 0.8 differ in more bits than this once in ten million pairs.
 FAR_BITS = 28
-#: Sets of one head that are compared pair by pair.
-FEW = 16
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -120,7 +118,7 @@ def shared_heads(sets: DataFrame) -> DataFrame:
 
 
 def head_pairs(a: DataFrame, b: DataFrame, similarity: tuple[int, int], others: Column | None = None) -> DataFrame:
-    """Pairs u < v of nodes with a common head (or signature) that sizes and places allow."""
+    """Pairs u < v of nodes with a common head that sizes and places allow."""
     p, q = similarity
     a, b = (x.select("h", *[F.col(c).alias(f"{c}_{k}") for c in x.columns if c != "h"]) for k, x in (("a", a), ("b", b)))
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
@@ -152,57 +150,6 @@ def verified(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int],
     return both.select("u", "v", "members_u", "members_v").mapInArrow(in_slices(judge), "u long, v long")
 
 
-def size_level(n: int, similarity: tuple[int, int]) -> tuple[int, int]:
-    """Level of a set's size and the level's largest size; sizes of similar sets are in one level or in neighbouring ones."""
-    p, q = similarity
-    level, high = 0, 1
-    while high < n:
-        level, high = level + 1, (high + 1) * q // p
-    return level, high
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return x ^ (x >> np.uint64(27))
-
-
-def signatures(members: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
-    """Hashes of which two sets of at least the given similarity share one.
-
-    For its level and the next, a set is dealt by hash into more parts than
-    similar sets of that size can have different members; so one part at least
-    is the same in both.  Some parts more are made, so that this is one with
-    members; only a set with as many empty parts as that gives these as well.
-    A passage that two otherwise different texts share rarely fills a part.
-    """
-    p, q = similarity
-    level, high = size_level(len(members), similarity)
-    out = []
-    values = _mixed(members.astype(np.uint64) + np.uint64(1))
-    for k, top in ((level, high), (level + 1, (high + 1) * q // p)):
-        most = 2 * top * (q - p) // (p + q)  # members in which similar sets of this level differ
-        parts = most + 1 + -(-most // 10)
-        part = (values >> np.uint64(20)) % np.uint64(parts)
-        own = np.zeros(parts, dtype=np.uint64)
-        np.add.at(own, part.astype(np.int64), values)
-        filled = np.bincount(part.astype(np.int64), minlength=parts) > 0
-        names = _mixed(own ^ _mixed(np.arange(parts, dtype=np.uint64) + np.uint64(k << 40)))
-        out.append(names if (~filled).sum() >= parts - most else names[filled])
-    return np.concatenate(out)
-
-
-def signature_rows(labelled: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """h (a signature), node, n, fp and label of labelled nodes with their members."""
-
-    def rows(some: pa.RecordBatch) -> pa.RecordBatch:
-        found = [signatures(np.frombuffer(m.as_py(), dtype="<u4"), similarity).view(np.int64) for m in some.column(3)]
-        who = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-        n = pa.array([len(m.as_py()) // 4 for m in some.column(3)], pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), some.column(0).take(who), n.take(who), some.column(1).take(who), some.column(2).take(who)], ["h", "node", "n", "fp", "label"])
-
-    return labelled.select("node", "fp", "label", "members").mapInArrow(in_slices(rows), "h long, node long, n int, fp long, label long")
-
-
 def apart(rows: DataFrame) -> DataFrame:
     """Rows of the keys h whose nodes have several labels; ``minor``: the label isn't the most frequent one there.
 
@@ -219,22 +166,17 @@ def similar_links(shared: DataFrame, members: DataFrame, first: DataFrame, simil
     Two such sets have a common head, whatever the common order of shingles is,
     and in the places of the first one enough of both is left.  Where a head
     has several sets, each is compared with the least and the greatest of them
-    at first.  What is then not in one component is compared pair by pair where
-    the head has at most FEW sets; the sets of other heads meet by signatures,
-    which texts that share no more than a passage hardly have in common.
-    Nothing is capped or dropped.
+    at first.  Then all pairs of different components are compared, each at its
+    first common head alone.  Nothing is capped or dropped.
     """
-    p, q = similarity
     row = F.struct("node", "n", "at")
     ends = shared.groupBy("h").agg(F.array_distinct(F.array(F.min(row), F.max(row))).alias("ends")).select("h", F.explode("ends").alias("e")).select("h", "e.*")
     found = materialize(first.unionByName(verified(head_pairs(ends, shared.drop("m"), similarity), members, similarity)), "similar")
     labels = connected_components(found).withColumnRenamed("node", "labelled")
-    named = lambda x: x.join(labels, F.col("node") == F.col("labelled"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled")
-    few = apart(named(shared.where(f"m > 3 and m <= {FEW}").drop("m")))
-    many = apart(named(shared.where(f"m > {FEW}").select("h", "node"))).select("node").distinct()
-    by_sign = apart(materialize(signature_rows(named(members.join(many, "node", "left_semi")), similarity), "signatures"))
-    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR_BITS
-    rest = head_pairs(few.where("minor"), few, similarity, F.col("label_a") != F.col("label_b"))
-    by_sign = materialize(by_sign.withColumn("at", F.lit(0)), "apart")
-    rest = rest.unionByName(head_pairs(by_sign.where("minor"), by_sign, similarity, (F.col("label_a") != F.col("label_b")) & near))
-    return found.unionByName(materialize(verified(rest.distinct(), members, similarity), "similar"))
+    open_rows = shared.where("m > 3").drop("m").join(labels, F.col("node") == F.col("labelled"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled")
+    heads = members.select(F.col("node").alias("of_node"), "heads")
+    several = apart(open_rows).join(heads, F.col("node") == F.col("of_node")).withColumn("earlier", F.slice("heads", F.lit(1), F.col("at"))).drop("of_node", "heads")
+    several = materialize(several, "apart")
+    others = (F.col("label_a") != F.col("label_b")) & ~F.arrays_overlap("earlier_a", "earlier_b")
+    rest = head_pairs(several.where("minor"), several, similarity, others)
+    return found.unionByName(materialize(verified(rest, members, similarity), "similar"))

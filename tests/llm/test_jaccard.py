@@ -71,18 +71,6 @@ def test_order_of_shingles_does_not_matter(spark, rows, monkeypatch):
     assert {x.doc_id for x in simhash.one_of_each(docs, shingle=5, similarity=(4, 5)).collect()} - {None} == brute_kept(rows)
 
 
-def test_similar_sets_share_a_signature():
-    """All pairs of sizes up to 40, and larger ones, at the least similarity."""
-    r = np.random.default_rng(3)
-    for n in [*range(1, 41)] * 4 + [100, 333, 1000]:
-        base = r.choice(2**32, 2 * n, replace=False).astype(np.uint32)
-        for m in range(-(-4 * n // 5), 5 * n // 4 + 1):
-            common = next(i for i in range(min(n, m) + 1) if 5 * i >= 4 * (n + m - i))
-            if common <= min(n, m) and n + m - common <= 2 * n:
-                a, b = base[:n], np.concatenate([base[:common], base[n : n + m - common]])
-                assert set(jaccard.signatures(a, (4, 5)).tolist()) & set(jaccard.signatures(b, (4, 5)).tolist())
-
-
 def test_classes_name_every_row(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = simhash.similar_classes(docs).collect()
