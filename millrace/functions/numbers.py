@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from millrace.functions.units import _lookup
 
-# Currency signs and codes, multipliers, and pay periods in a year.
-SIGNS = {"R$": "BRL", "$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₩": "KRW", "₽": "RUB", "₺": "TRY", "₫": "VND", "₪": "ILS", "฿": "THB", "₱": "PHP", "₦": "NGN"}
-CODES = ("USD", "EUR", "GBP", "JPY", "INR", "CNY", "AUD", "CAD", "CHF", "SEK", "NOK", "DKK", "NZD", "SGD", "HKD", "KRW", "BRL", "RUB", "ZAR", "MXN", "AED", "SAR")
+# Currency signs and codes, multipliers, pay periods in a year, and rates to INR.
+SIGNS = {"R$": "BRL", "$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₩": "KRW", "₽": "RUB", "₨": "INR", "Rs": "INR", "৳": "BDT", "฿": "THB", "₱": "PHP", "₫": "VND", "₪": "ILS", "₦": "NGN", "Rp": "IDR", "kr": "SEK", "₺": "TRY"}
+CODES = ("USD", "EUR", "GBP", "JPY", "INR", "AUD", "CAD", "CHF", "KRW", "RUB", "BDT", "THB", "PHP", "VND", "ILS", "NGN", "BRL", "IDR", "SEK", "NOK", "DKK", "ISK", "CNY", "NZD", "SGD", "HKD", "ZAR", "MXN", "AED", "SAR")
 MULTIPLIERS = {"cr": 1e7, "crore": 1e7, "lakh": 1e5, "lac": 1e5, "l": 1e5, "k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9}
-PERIODS = {"hour": 2080.0, "hr": 2080.0, "day": 260.0, "week": 52.0, "wk": 52.0, "month": 12.0, "mo": 12.0, "year": 1.0, "yr": 1.0, "annum": 1.0}
+PERIODS = {"hour": 2080.0, "hr": 2080.0, "h": 2080.0, "day": 260.0, "daily": 260.0, "week": 52.0, "weekly": 52.0, "wk": 52.0, "month": 12.0, "monthly": 12.0, "mo": 12.0, "year": 1.0, "yearly": 1.0, "yr": 1.0, "annum": 1.0, "annual": 1.0, "annually": 1.0, "pa": 1.0}
+RATES_TO_INR = {"USD": 83.12, "EUR": 91.23, "GBP": 105.45, "INR": 1.0, "JPY": 0.56, "CNY": 11.52, "AUD": 55.23, "CAD": 61.45}
 WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 
 _SIGN = "(" + "|".join(x.replace("$", r"\$") for x in SIGNS) + ")"
+_CODE = f"({'|'.join(CODES)})"
 _AMOUNT = r"(\d[\d.,]*)"
-_SCALE = r"(?:\s*(cr|crore|lakh|lac|k|thousand|mn|million|bn|billion|m|b)\b)?"
-MONEY = rf"(?i)^\s*[-(]?\s*(?:{_SIGN}|({'|'.join(CODES)}))?\s*{_AMOUNT}{_SCALE}\s*(?:{_SIGN}|({'|'.join(CODES)}))?\s*\)?\s*$"
+_SCALE = r"(?:\s*(crore|cr|lakh|lac|thousand|million|mn|billion|bn|k|m|b)\b)?"
+MONEY = rf"(?i)^\s*(?:(?:save|discount|off)\s+)?[-(]?\s*(?:{_SIGN}\.?|{_CODE})?\s*{_AMOUNT}{_SCALE}\s*(?:{_SIGN}|{_CODE})?\s*\)?\s*$"
+#: What all money strings look like at a glance; it spares the pattern above most other strings.
+_GLANCE = r"^[^\d]{0,16}\d[\d.,]*[^\d]{0,16}$"
+_BY_SIGN = {k.lower(): v for k, v in SIGNS.items()}
 
 
 def plain_number(text: Column) -> Column:
@@ -26,35 +31,79 @@ def plain_number(text: Column) -> Column:
     The later of dot and comma is the decimal sign if both occur; a lone comma
     is one if other than three digits follow it.
     """
-    european = text.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$") & ~text.rlike(r"^\d{1,3}\.\d{3}$") | text.rlike(r"^\d+,\d{1,2}$") | text.rlike(r"^\d{1,3}\.\d{3},\d+$")
-    us = F.regexp_replace(text, ",", "")
-    eu = F.regexp_replace(F.regexp_replace(text, r"\.", ""), ",", ".")
-    out = F.when(european, eu).otherwise(us)
-    return F.when(out.rlike(r"^\d+(\.\d*)?$"), out.cast("double"))
+    european = text.rlike(r"^\d{1,3}(\.\d{3}){2,}(,\d+)?$|^\d+,\d{1,2}$|^\d{1,3}\.\d{3},\d+$")
+    eu = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    us = F.replace(text, F.lit(","), F.lit(""))
+    return F.when(text.rlike(r"^\d+(\.\d*)?$") & ~text.rlike(r"^\d{1,3}(\.\d{3}){2,}$"), text.cast("double")).when(european, eu.cast("double")).when(us.rlike(r"^\d+(\.\d*)?$"), us.cast("double"))
+
+
+def is_money(c: Column) -> Column:
+    return c.rlike(_GLANCE) & c.rlike(MONEY)
 
 
 def currency_of(c: Column) -> Column:
     """ISO code of a money string, by sign or code before or behind the amount; ``R$`` is tried before ``$``."""
-    sign = F.nullif(F.concat(F.regexp_extract(c, MONEY, 1), F.regexp_extract(c, MONEY, 5)), F.lit(""))
-    code = F.nullif(F.upper(F.concat(F.regexp_extract(c, MONEY, 2), F.regexp_extract(c, MONEY, 6))), F.lit(""))
-    return F.when(c.rlike(MONEY), F.coalesce(code, _lookup(SIGNS, sign)))
+    marks = F.regexp_replace(c, r"(?i)[\d.,\s()-]|save|discount|off", "")
+    code = F.nullif(F.regexp_extract(F.upper(marks), _CODE, 1), F.lit(""))
+    sign = F.nullif(F.lower(F.regexp_extract(marks, rf"(?i){_SIGN}", 1)), F.lit(""))
+    return F.when(is_money(c), F.coalesce(code, _lookup(_BY_SIGN, sign)))
 
 
 def money_amount(c: Column) -> Column:
     """Amount of a money string with its multiplier; negative with a minus or in brackets."""
-    scale = F.lower(F.regexp_extract(c, MONEY, 4))
-    value = plain_number(F.regexp_extract(c, MONEY, 3)) * F.coalesce(_lookup(MULTIPLIERS, scale), F.lit(1.0))
-    return F.when(c.rlike(MONEY), F.when(c.rlike(r"^\s*[-(]"), -value).otherwise(value))
+    scale = F.nullif(F.lower(F.regexp_extract(c, rf"(?i){_AMOUNT}{_SCALE}", 2)), F.lit(""))
+    value = plain_number(F.regexp_extract(c, _AMOUNT, 1)) * F.coalesce(_lookup(MULTIPLIERS, scale), F.lit(1.0))
+    return F.when(is_money(c), F.when(c.rlike(r"^\s*[-(]"), -value).otherwise(value))
+
+
+_PERIOD = "(" + "|".join(sorted(PERIODS, key=len, reverse=True)) + ")"
+_PAY_AMOUNT = rf"(?:{_SIGN}|{_CODE})?\s*{_AMOUNT}{_SCALE}(?:\s*(?:-|–|to)\s*(?:{_SIGN}|{_CODE})?\s*{_AMOUNT}{_SCALE})?\s*(?:{_CODE})?"
+_PAY = rf"(?i)^\s*{_PAY_AMOUNT}\s*(?:/|per|an?|-)?\s*{_PERIOD}\s*$"
+_PAY_BEFORE = rf"(?i)^\s*{_PERIOD}\s*:?\s*{_PAY_AMOUNT}\s*$"
+_LPA = r"(?i)^\s*(?:₹|inr|rs\.?)?\s*(\d+(?:\.\d+)?)(?:\s*(?:-|–|to)\s*(\d+(?:\.\d+)?))?\s*(?:lpa|lakhs?\s+(?:per\s+annum|pa))\s*$"
+
+
+def is_pay(c: Column) -> Column:
+    return c.rlike(_PAY) | c.rlike(_PAY_BEFORE) | c.rlike(_LPA)
+
 
+def pay_parts(c: Column) -> Column:
+    """amount (the middle of a range), currency (ISO code) and per_year (periods in a year) of pay strings; null for others."""
+    return F.transform(F.array(c), _pay_parts)[0]  # bound once, as its parts are asked for several times
 
-_PAY = rf"(?i)^\s*(?:{_SIGN})?\s*{_AMOUNT}{_SCALE}\s*(?:/|per|an?)\s*(hour|hr|day|week|wk|month|mo|year|yr|annum)\s*$"
+
+def _pay_parts(c: Column) -> Column:
+    after = c.rlike(_PAY)
+    known = after | c.rlike(_PAY_BEFORE)
+
+    def group(i: int) -> Column:
+        return F.nullif(F.when(after, F.regexp_extract(c, _PAY, i)).otherwise(F.regexp_extract(c, _PAY_BEFORE, i + 1)), F.lit(""))
+
+    def number(i: int, scale: Column) -> Column:
+        return plain_number(group(i)) * F.coalesce(_lookup(MULTIPLIERS, F.lower(scale)), F.lit(1.0))
+
+    high_scale = group(8)
+    low = number(3, F.coalesce(group(4), high_scale))  # a multiplier behind the second number holds for both
+    high = number(7, high_scale)
+    period = F.lower(F.when(after, F.regexp_extract(c, _PAY, 10)).otherwise(F.regexp_extract(c, _PAY_BEFORE, 1)))
+    code = F.coalesce(F.upper(group(2)), _lookup(_BY_SIGN, F.lower(group(1))), F.upper(group(9)))
+    part = lambda i: F.nullif(F.regexp_extract(c, _LPA, i), F.lit("")).cast("double") * 1e5
+    made = lambda amount, currency, per: F.struct(amount.alias("amount"), currency.alias("currency"), per.alias("per_year"))
+    return F.when(c.rlike(_LPA), made((part(1) + F.coalesce(part(2), part(1))) / 2, F.lit("INR"), F.lit(1.0))).when(
+        known, made((low + F.coalesce(high, low)) / 2, code, _lookup(PERIODS, period))
+    )
 
 
 def yearly_pay(c: Column) -> Column:
-    """Pay per year of strings such as ``$50k/year``, ``20 per hour`` or ``8 LPA``."""
-    value = plain_number(F.regexp_extract(c, _PAY, 2)) * F.coalesce(_lookup(MULTIPLIERS, F.lower(F.regexp_extract(c, _PAY, 3))), F.lit(1.0))
-    lpa = r"(?i)^\s*(\d+(?:\.\d+)?)\s*lpa\s*$"
-    return F.when(c.rlike(lpa), F.regexp_extract(c, lpa, 1).cast("double") * 1e5).when(c.rlike(_PAY), value * _lookup(PERIODS, F.lower(F.regexp_extract(c, _PAY, 4))))
+    """Pay per year, in its own currency, of strings such as ``$50k/year``, ``annual 50k``, ``10-20 per hour`` or ``8 LPA``."""
+    parts = pay_parts(c)
+    return parts["amount"] * parts["per_year"]
+
+
+def yearly_pay_inr(c: Column) -> Column:
+    """Pay per year in INR by the fixed rates; without a currency the amount as it is."""
+    parts = pay_parts(c)
+    return F.bround(parts["amount"] * parts["per_year"] * F.coalesce(_lookup(RATES_TO_INR, parts["currency"]), F.when(parts["currency"].isNull(), 1.0)), 2)
 
 
 def percentage(c: Column, digits: int = 4) -> Column:

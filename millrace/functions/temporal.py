@@ -13,33 +13,52 @@ from millrace.functions.units import _lookup
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 MONTH_NAMES = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 DAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
-DATE_FORMATS = ("d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "d-M-yy", "d/M/yy", "d.M.yy", "d MMM yyyy", "d-MMM-yyyy", "MMM d yyyy", "d MMMM yyyy", "MMMM d yyyy", "yyyyMMdd", "MMM yyyy", "MMMM yyyy")
-TIME_FORMATS = ("H:m:s", "H:m", "h:m:s a", "h:m a", "h a")
+#: Shapes of dates, each with the one format that reads it: a value is told by its shape and parsed once.
+DATE_SHAPES = (
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2} \d{4}$", "MMM d yyyy"), (r"^[A-Z][a-z]{3,} \d{1,2} \d{4}$", "MMMM d yyyy"), (r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$", "d MMMM yyyy"), (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"), (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
+    (r"^\d{1,2}-\d{1,2}-\d{2}$", "d-M-yy"), (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"), (r"^\d{1,2}\.\d{1,2}\.\d{2}$", "d.M.yy"), (r"^[A-Z][a-z]{2} \d{4}$", "MMM yyyy"), (r"^[A-Z][a-z]{3,} \d{4}$", "MMMM yyyy"),
+)
 CLOCK_WORDS = {"noon": "12:00", "midnight": "00:00", "morning": "09:00", "afternoon": "15:00", "evening": "18:00", "night": "21:00"}
 
 
-def _first_of(c: Column, formats: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: F.coalesce(a, b), [F.try_to_timestamp(c, F.lit(f)) for f in formats])
-
-
 def _tidy(c: Column) -> Column:
-    t = F.regexp_replace(F.trim(c), r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1")
-    return F.initcap(F.regexp_replace(F.regexp_replace(t, ",", " "), r"\s+", " "))
+    t = F.regexp_replace(F.trim(c), r"(?i)(\d)(?:st|nd|rd|th)\b|[,\s]+", "$1 ")
+    return F.trim(F.initcap(F.regexp_replace(t, " +", " ")))
 
 
 def date_of(c: Column) -> Column:
-    """Date of a string in any of the known forms; null for others and for days that don't exist."""
-    return _first_of(_tidy(c), DATE_FORMATS).cast("date")
+    """Date of a string in any of the known forms; null for others and for days that don't exist.
+
+    The tidied string is bound once, by a one-element array: inlined, it would be
+    worked out anew for each shape.
+    """
+
+    def parsed(t: Column) -> Column:
+        out = F.when(~t.rlike(r"^(?:\d|[A-Z][a-z]{2,8} \d)") | (F.length(t) > 30), F.lit(None).cast("date"))
+        for shape, form in DATE_SHAPES:
+            out = out.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(form)).cast("date"))
+        return out
+
+    return F.transform(F.array(_tidy(c)), parsed)[0]
 
 
 def date_text(c: Column) -> Column:
     return F.date_format(date_of(c), "dd-MM-yyyy")
 
 
+_TIME = r"(?i)^\s*(\d{1,2})(?::(\d{1,2}))?(?::(\d{1,2}))?\s*(?:([ap])\.?m\.?)?\s*$"
+
+
 def time_of(c: Column) -> Column:
     """24-hour HH:mm of times, with or without seconds and AM or PM, and of clock words."""
-    t = F.upper(F.regexp_replace(F.trim(c), r"(?i)\s*([ap])\.?m\.?$", " $1M"))
-    return F.coalesce(_lookup(CLOCK_WORDS, F.lower(F.trim(c))), F.date_format(_first_of(t, TIME_FORMATS), "HH:mm"))
+    part = lambda i: F.nullif(F.regexp_extract(c, _TIME, i), F.lit("")).cast("int")
+    hour, minute, second, half = part(1), part(2), part(3), F.lower(F.regexp_extract(c, _TIME, 4))
+    of_day = F.when(half == "", F.when(minute.isNotNull() & (hour < 24), hour)).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    good = (F.coalesce(minute, F.lit(0)) < 60) & (F.coalesce(second, F.lit(0)) < 60) & of_day.isNotNull()
+    clock = F.when(good, F.format_string("%02d:%02d", of_day, F.coalesce(minute, F.lit(0))))
+    return F.when(c.rlike(_TIME), clock).otherwise(_lookup(CLOCK_WORDS, F.lower(F.trim(c))))
 
 
 def seconds_of_day(c: Column) -> Column:
@@ -56,11 +75,12 @@ def time_text(seconds: Column) -> Column:
 def datetime_of(c: Column) -> Column:
     """Timestamp of a date followed by a time, or of a date alone; null where either part is no such thing."""
     shape = r"(?i)^\s*(.*?\d{2,4}.*?)[\sT]+(\d{1,2}(?::\d{1,2}){1,2}\s*(?:[ap]\.?m\.?)?)\s*$"
-    date, time = date_of(F.regexp_extract(c, shape, 1)), time_of(F.regexp_extract(c, shape, 2))
-    exact = F.regexp_extract(c, r":\d{1,2}:(\d{1,2})", 1)
-    seconds = F.coalesce(F.nullif(exact, F.lit("")).cast("int"), F.lit(0))
-    text = F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" "), time, F.format_string(":%02d", seconds))
-    return F.when(c.rlike(shape), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))).otherwise(date_of(c).cast("timestamp"))
+    timed = c.rlike(shape)
+    date, clock = date_of(F.when(timed, F.regexp_extract(c, shape, 1)).otherwise(c)), F.when(timed, F.regexp_extract(c, shape, 2))
+    minutes = F.when(timed, time_of(clock)).otherwise("00:00")
+    seconds = F.coalesce(F.nullif(F.regexp_extract(clock, r":\d{1,2}:(\d{1,2})", 1), F.lit("")).cast("int"), F.lit(0))
+    hour, minute = F.substring(minutes, 1, 2).cast("int"), F.substring(minutes, 4, 2).cast("int")
+    return F.timestamp_seconds(F.unix_date(date) * 86400 + hour * 3600 + minute * 60 + seconds)
 
 
 def datetime_text(c: Column) -> Column:

@@ -171,18 +171,26 @@ def _lookup(pairs: dict, key: Column) -> Column:
 
 def unit_of(value: Column, measure: Measure) -> Column:
     """Canonical unit of a value such as ``12.5 km``; null if it is none."""
-    word = F.lower(F.regexp_extract(value, measure.pattern(), 2))
-    return F.when(value.rlike(measure.pattern()), _lookup(measure.spellings, word))
+    return _lookup(measure.spellings, F.nullif(F.lower(F.regexp_extract(value, measure.pattern(), 2)), F.lit("")))
 
 
 def amount_of(value: Column, measure: Measure) -> Column:
-    return F.when(value.rlike(measure.pattern()), F.regexp_replace(F.regexp_extract(value, measure.pattern(), 1), ",", "").cast("double"))
+    number = F.nullif(F.regexp_extract(value, measure.pattern(), 1), F.lit(""))
+    return F.replace(number, F.lit(","), F.lit("")).cast("double")
 
 
 def converted(value: Column, measure: Measure, target: Column | str) -> Column:
     """The value in ``target`` unit, rounded half-even to the measure's digits; null if it is no measurement."""
-    target = F.lit(target) if isinstance(target, str) else target
     unit, amount = unit_of(value, measure), amount_of(value, measure)
+    if isinstance(target, str):  # the unit's factor, and then one product: the unit is looked up once
+        by, behind = measure.factors[target], (measure.offsets or {}).get(target, 0.0)
+        if measure.offsets:
+            steps = {u: F.struct(F.lit(o).alias("before"), F.lit(measure.factors[u]).alias("by")) for u, o in measure.offsets.items()}
+            step = F.create_map(*[x for u, v in steps.items() for x in (F.lit(u), v)])[unit]
+            out = F.when(unit == target, amount).otherwise((amount + step["before"]) * step["by"] / by - behind)
+        else:
+            out = F.when(unit == target, amount).otherwise(amount * _lookup(measure.factors, unit) / by)
+        return F.bround(out, measure.digits)
     if measure.offsets:
         base = (amount + _lookup(measure.offsets, unit)) * _lookup(measure.factors, unit)
         out = base / _lookup(measure.factors, target) - _lookup(measure.offsets, target)

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.stats import boxes, correlation_free_scatter, group_means, histogram, value_counts
+from millrace.operators.overview import bar_counts, lookup_column
+from millrace.operators.stats import boxes, correlation_free_scatter, group_means, histogram
 
 
 @dataclass(frozen=True)
@@ -17,6 +18,16 @@ class Chart:
     y: str | None = None
 
 
+def planned_charts(df: DataFrame, structural: list[tuple[str, str]], distinct: dict[str, int], covered: set[str] = frozenset()) -> list[Chart]:
+    """The default charts; of a lookup table (each category once) the bars show its first number, whatever the number of categories."""
+    charts = default_charts(structural, distinct, covered)
+    drawn = {c.x for c in charts}
+    for name, kind in structural:
+        if name not in covered and name not in drawn and kind in ("categorical", "text", "identifier") and distinct.get(name, 0) <= 50 and lookup_column(df, name):
+            charts.append(Chart("bar", name))
+    return charts
+
+
 def default_charts(structural: list[tuple[str, str]], distinct: dict[str, int], covered: set[str] = frozenset()) -> list[Chart]:
     """Pie up to 12 levels, bar up to 20, histogram for numbers, for columns that no chart covers yet."""
     out = []
@@ -35,7 +46,7 @@ def chart_data(df: DataFrame, chart: Chart) -> DataFrame:
     if chart.kind in {"bar", "pie"}:
         if chart.y:
             return group_means(df, F.col(chart.x), chart.y).orderBy("x")
-        return value_counts(df, chart.x, 15)
+        return bar_counts(df, chart.x)
     if chart.kind == "line":
         if chart.y:
             return group_means(df, F.col(chart.x), chart.y).orderBy("x")

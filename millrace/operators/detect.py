@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions import numbers, places, temporal
-from millrace.functions.units import MEASURES
+from millrace.functions.units import MEASURES, dominant_unit
 from millrace.operators.rows import is_number
 
 
@@ -31,13 +33,15 @@ TESTS: dict[str, Callable[[Column], Column]] = {
     "fiscal_year": _not_null(temporal.fiscal_year),
     "duration": lambda c: temporal.duration_seconds(c).isNotNull() & ~is_number(c),
     "currency": _not_null(numbers.currency_of),
-    "salary": _not_null(numbers.yearly_pay),
+    "salary": numbers.is_pay,
     "number_systems": _not_null(numbers.numeral),
     "percentage": _not_null(numbers.percentage),
     "ratio": _not_null(numbers.ratio),
     "integer": lambda c: c.rlike(r"^[+-]?\d{1,3}(,\d{3})+$|^[+-]?\d+$"),
     "float": lambda c: c.rlike(r"^[+-]?(\d+\.\d+|\.\d+)$"),
     **{k: (lambda c, m=m: c.rlike(m.pattern())) for k, m in MEASURES.items()},
+    "latitude": lambda c: places.latitude(c).isNotNull() & c.rlike(r"(?i)[ns°.]"),
+    "longitude": lambda c: places.longitude(c).isNotNull() & c.rlike(r"(?i)[ew°.]"),
     "geo_coordinate": _not_null(places.geo_pair),
     "timezone": lambda c: places.is_a("timezone", c),
     "boolean": lambda c: F.lower(c).isin(*places.TRUE_WORDS, *places.FALSE_WORDS),
@@ -48,43 +52,181 @@ TESTS: dict[str, Callable[[Column], Column]] = {
     "file_path": lambda c: places.is_a("path", c),
     "files": lambda c: places.is_a("file", c),
     "version": lambda c: places.is_a("version", c) & ~is_number(c),
+    "varchar": lambda c: (F.length(F.regexp_replace(c, "[^A-Za-z0-9]", "")) > 0.6 * F.length(c)) & c.rlike("[A-Za-z]") & c.rlike(r"\d") & ~places.is_a("timezone", c),
+    "text": lambda c: c.rlike(r"^[\p{L}\s.,;:!?'\"()&-]+$"),
 }
 
 #: Words in a column's name that force a type when no test is sure.
 KEYWORDS = {r"income|salary|revenue|expense|price|amount|amt|budget": "currency", r"discount": "percentage", r"fiscal.*year": "fiscal_year"}
 
 
-#: Types are told from all rows; a number asks for a quick look at so many, which may be any.
+#: Types are told from all rows; a number asks for a look at that many values of each column.
 SAMPLE = None
 
 
+def _values(df: DataFrame, columns: list[str], sample: int | None) -> DataFrame:
+    """column_name, v and n: the different non-null values of each column and how often they occur.
+
+    With a sample these are a column's first ``sample`` non-null values in the
+    order of the rows' numbers, so that neither leading nulls nor the order of
+    partitions change what is looked at.
+    """
+    pair = lambda c: F.struct(F.lit(c).alias("column_name"), F.trim(F.col(f"`{c}`").cast("string")).alias("v"))
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), F.explode(F.array(*map(pair, columns))).alias("p"))
+    rows = rows.select("__row", "p.*").where("v is not null and v <> ''")
+    if sample:
+        nth = F.row_number().over(Window.partitionBy("column_name").orderBy("__row"))
+        rows = rows.withColumn("__nth", nth).where(F.col("__nth") <= sample)
+    return rows.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def scores(df: DataFrame, columns: list[str] | None = None, sample: int | None = SAMPLE) -> DataFrame:
     """column_name and one score by type: share of non-null values that pass the type's test.
 
-    All columns and types are one pass over the table (or ``sample`` rows of it).
+    All columns and types are one pass over the table; equal values are tested once.
     """
-    columns = columns or df.columns
-    values = (df.limit(sample) if sample else df).select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in columns])).alias("p")
-    )
-    # equal values are tested once
-    values = values.select("p.*").where("v is not null and v <> ''").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    tested = values.select("column_name", "n", *[t(F.col("v")).cast("int").alias(k) for k, t in TESTS.items()])
-    return tested.groupBy("column_name").agg(*[(F.sum(F.col(k) * F.col("n")) / F.sum(F.when(F.col(k).isNotNull(), F.col("n")))).alias(k) for k in TESTS])
+    values = _values(df, columns or df.columns, sample)
+    names = list(TESTS)
+    # a few tests to a projection, so that each compiles; they share the exchange of values
+    parts = [_scored(values, names[i : i + TESTS_AT_ONCE]) for i in range(0, len(names), TESTS_AT_ONCE)]
+    return reduce(lambda a, b: a.join(b, "column_name"), parts)
+
+
+#: Tests in one projection.
+TESTS_AT_ONCE = 8
+
+
+def _scored(values: DataFrame, names: list[str]) -> DataFrame:
+    tested = values.select("column_name", "n", *[TESTS[k](F.col("v")).cast("int").alias(k) for k in names])
+    return tested.groupBy("column_name").agg(*[(F.sum(F.col(k) * F.col("n")) / F.sum(F.when(F.col(k).isNotNull(), F.col("n")))).alias(k) for k in names])
+
+
+#: Types that hold a measure, in the order in which they are preferred to a general type.
+GENERAL = ("varchar", "text")
+TEMPORAL, MONEY_TYPES = ("timestamp", "datetime", "date", "time"), ("currency", "salary")
 
 
-def choose(name: str, row: dict[str, float]) -> tuple[str, float]:
-    """Type and confidence from a column's scores: the best, the first of equals; below one half a name's keyword or none."""
-    best = max(TESTS, key=lambda k: (row.get(k) or 0.0, -list(TESTS).index(k)))
+def of_equal_rank(row: dict[str, float], kinds) -> str:
+    """The best type by score; of equals the first in order."""
+    order = list(TESTS)
+    return max(kinds, key=lambda k: (row.get(k) or 0.0, -order.index(k)))
+
+
+def overridden(best: str, row: dict[str, float], facts: dict[str, float]) -> tuple[str, float] | None:
+    """Type and confidence where a rule beats the best score.
+
+    ``facts`` are shares of a column's values: ``bare_year`` (four digits from
+    1900 to 2100), ``ratio_like`` and ``time_like`` (of forms a:b, those beyond
+    the clock and those within it), and the flags ``true_side`` and ``false_side``.
+    """
+    score = lambda k: row.get(k) or 0.0
+    if facts.get("year_named") and facts.get("bare_year", 0) > 0.7:
+        return "year", facts["bare_year"]
+    if score("ratio") > 0.5 and facts.get("ratio_like", 0) > facts.get("time_like", 0):
+        return "ratio", score("ratio")
+    if score("boolean") > 0.8 and facts.get("true_side") and facts.get("false_side"):
+        return "boolean", max(score("boolean"), 0.9)
+    if best in GENERAL:
+        for kind in (*MEASURES, "salary"):
+            if score(kind) >= 0.6:
+                return kind, score(kind)
+    if best in ("integer", *GENERAL) and score("number_systems") >= 0.6 and score("number_systems") > score("integer"):
+        return "number_systems", score("number_systems")
+    return None
+
+
+def is_mixed(row: dict[str, float]) -> bool:
+    """Incompatible forms in one column: dates beside money, or several temporal forms of which none is in four of five values."""
+    if (row.get("number_systems") or 0) >= 0.6:
+        return False
+    often = {k for k in TESTS if (row.get(k) or 0) > 0.2}
+    temporal_ = [k for k in TEMPORAL if k in often]
+    if temporal_ and often & set(MONEY_TYPES):
+        return True
+    return len(temporal_) > 1 and max(row[k] for k in temporal_) < 0.8
+
+
+def basic_type(facts: dict[str, float]) -> str:
+    """integer or float where over four of five values are numbers, else varchar or text by mean length."""
+    if facts.get("numbers", 0) > 0.8:
+        return "float" if facts.get("fractions", 0) > 0 else "integer"
+    return "varchar" if facts.get("mean_length") is not None and facts["mean_length"] < 100 else "text"
+
+
+def choose(name: str, row: dict[str, float], facts: dict[str, float] | None = None) -> tuple[str, float]:
+    """Type and confidence of a column from its scores and facts.
+
+    The best score, the first of equals, unless a rule overrides it; mixed
+    columns are ``mixed``; below one half the basic type with confidence 0.
+    Below 0.6, a word in the column's name forces a type.
+    """
+    facts = facts or {}
+    best = of_equal_rank(row, TESTS)
     score = row.get(best) or 0.0
-    if best == "number_systems" and (row.get("integer") or 0) + (row.get("float") or 0) >= score:
-        best = "integer" if (row.get("integer") or 0) >= (row.get("float") or 0) else "float"
-    if score < 0.6:
+    found = overridden(best, row, {**facts, "year_named": "year" in name.lower()})
+    if found is None and is_mixed(row):
+        found = ("mixed", 0.0)
+    if found is None:
+        if best == "number_systems" and (row.get("integer") or 0) + (row.get("float") or 0) >= score:
+            best = of_equal_rank(row, ("integer", "float"))
+        found = (best, score) if score >= 0.5 else (basic_type(facts) if facts else "text", 0.0)
+    if found[1] < 0.6 and found[0] != "mixed":
         for words, kind in KEYWORDS.items():
             if re.search(words, name, re.IGNORECASE):
                 return kind, 0.6
-    return (best, score) if score >= 0.5 else ("text", 0.0)
+    return found
+
+
+def column_facts(df: DataFrame, columns: list[str] | None = None, sample: int | None = SAMPLE) -> DataFrame:
+    """column_name and the shares and flags that the rules of choose() look at: one pass, one row a column."""
+    values = _values(df, columns or df.columns, sample)
+    v = F.col("v")
+    pair = r"^(\d{1,9}):(\d{1,9})$"
+    left, right = (F.nullif(F.regexp_extract(v, pair, i), F.lit("")).cast("int") for i in (1, 2))
+    beyond = (right > 59) | (left > 23)
+    low = F.lower(v)
+    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
+    return values.groupBy("column_name").agg(
+        share(is_number(v)).alias("numbers"),
+        share(is_number(v) & ~v.rlike(r"^[+-]?\d+(\.0*)?$")).alias("fractions"),
+        share(v.rlike(r"^(19\d\d|20\d\d|2100)$")).alias("bare_year"),
+        share(v.rlike(pair) & beyond | v.rlike(r"^\d+/\w+$")).alias("ratio_like"),
+        share(v.rlike(pair) & ~beyond).alias("time_like"),
+        F.max(low.isin(*places.TRUE_WORDS)).alias("true_side"),
+        F.max(low.isin(*places.FALSE_WORDS)).alias("false_side"),
+        (F.sum(F.length(v) * F.col("n")) / F.sum("n")).alias("mean_length"),
+    )
 
 
 def semantic_types(df: DataFrame, sample: int | None = SAMPLE) -> dict[str, tuple[str, float]]:
-    return {r["column_name"]: choose(r["column_name"], r.asDict()) for r in scores(df, sample=sample).collect()}
+    """Type and confidence of every column; columns without a value are text."""
+    facts = {r["column_name"]: r.asDict() for r in column_facts(df, sample=sample).collect()}  # a row a column
+    found = {r["column_name"]: choose(r["column_name"], r.asDict(), facts[r["column_name"]]) for r in scores(df, sample=sample).collect()}
+    return {c: found.get(c, ("text", 0.0)) for c in df.columns}
+
+
+def units_in_strings(df: DataFrame, column: str) -> tuple[str, str] | None:
+    """Kind and unit of the strings among a column's numbers: the one measure that half of them are of.
+
+    Null where two measures tie, or where a type without units fits as well.
+    """
+    c = F.trim(F.col(f"`{column}`").cast("string"))
+    strings = df.select(c.alias(column)).where(F.col(f"`{column}`").isNotNull() & ~is_number(F.col(f"`{column}`")))
+    rows = scores(strings).collect()
+    if not rows:
+        return None
+    row = rows[0].asDict()
+    with_units = {k: row.get(k) or 0.0 for k in (*MEASURES, "currency", "percentage")}
+    best = max(with_units.values())
+    tied = [k for k, x in with_units.items() if x == best]
+    others = max((row.get(k) or 0.0 for k in TESTS if k not in with_units and k not in GENERAL), default=0.0)
+    if best < 0.5 or len(tied) > 1 or others >= best:
+        return None
+    kind = tied[0]
+    unit = "%" if kind == "percentage" else _vote(strings, numbers.currency_of(F.col(f"`{column}`"))) if kind == "currency" else dominant_unit(strings, column, MEASURES[kind])
+    return kind, unit
+
+
+def _vote(df: DataFrame, c: Column) -> str | None:
+    row = df.select(c.alias("v")).where("v is not null").groupBy("v").count().orderBy(F.desc("count"), "v").first()
+    return row["v"] if row else None

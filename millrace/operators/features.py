@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import re
+from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.places import boolean_of
+from millrace.operators.profile import profile_columns
+
 _OPS = {
     ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b,
     "=": lambda a, b: a.eqNullSafe(b), "!=": lambda a, b: ~a.eqNullSafe(b),
@@ -44,9 +51,11 @@ def encoding_for(distinct: int) -> str:
     return "ordered_target"
 
 
-def one_hot(df: DataFrame, column: str, drop_first: bool = False) -> DataFrame:
-    """Indicator columns of the sorted categories (at most a few; their values are fetched)."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+def one_hot(df: DataFrame, column: str, drop_first: bool = False, most: int = 100) -> DataFrame:
+    """Indicator columns of the sorted categories; more than ``most`` categories are an error."""
+    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} categories")
     return df.select("*", *[F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in values[1 if drop_first else 0 :]])
 
 
@@ -76,6 +85,69 @@ def ordered_target_encoded(df: DataFrame, column: str, target: str, order: str,
     return df.join(prior).withColumn(f"{column}_enc", (s + smoothing * F.col("__prior")) / (n + smoothing)).drop("__prior")
 
 
+#: Weight of the overall mean in the m-estimate.
+M_ESTIMATE = 30.0
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """How one column is encoded."""
+
+    column: str
+    kind: str
+
+
+def encoding_plan(df: DataFrame, columns: list[str]) -> list[Encoding]:
+    """An encoding for each categorical column by its number of categories, from one profile."""
+    distinct = {r["column_name"]: r["unique_count"] for r in profile_columns(df, columns).collect()}
+    return [Encoding(c, encoding_for(distinct.get(c, 0))) for c in columns]
+
+
+def encode(df: DataFrame, plan: list[Encoding], target: str, order: str) -> DataFrame:
+    """The table with its categorical columns encoded as planned; the columns themselves are dropped."""
+    out = df
+    for e in plan:
+        if e.kind in ("one_hot", "one_hot_drop_first"):
+            out = one_hot(out, e.column, e.kind == "one_hot_drop_first")
+        elif e.kind == "frequency":
+            out = frequency_encoded(out, e.column)
+        elif e.kind == "ordered_target":
+            out = ordered_target_encoded(out, e.column, target, order)
+        else:
+            out = target_encoded(out, e.column, target, M_ESTIMATE if e.kind == "m_estimate" else 10.0)
+        out = out.drop(e.column)
+    return out
+
+
+def text_method(rows: int, mean_length: float) -> tuple[str, int]:
+    """Hashing for large tables, counts for short texts, else TF-IDF; and the number of features."""
+    if rows > 10_000:
+        return "hashing", 1 << 18
+    if mean_length <= 30:
+        return "counts", 100
+    return "tf_idf", 500 if mean_length <= 300 else 1000
+
+
+def text_features(column: str, method: str, size: int) -> Pipeline:
+    """A Spark ML pipeline from a column of texts to ``{column}_vector``."""
+    words = RegexTokenizer(inputCol=column, outputCol=f"{column}__words", pattern=r"\W+")
+    if method == "hashing":
+        return Pipeline(stages=[words, HashingTF(inputCol=f"{column}__words", outputCol=f"{column}_vector", numFeatures=size)])
+    counts = CountVectorizer(inputCol=f"{column}__words", outputCol=f"{column}_vector" if method == "counts" else f"{column}__counts", vocabSize=size)
+    return Pipeline(stages=[words, counts] if method == "counts" else [words, counts, IDF(inputCol=f"{column}__counts", outputCol=f"{column}_vector")])
+
+
+def boolean_number(c: Column) -> Column:
+    """1.0, 0.0 or null of true and false words and values."""
+    return boolean_of(c.cast("string")).cast("double")
+
+
+def feature_type(kinds: dict[str, str]) -> str:
+    """numeric, categorical or text if all features are that, else mixed."""
+    found = set(kinds.values())
+    return found.pop() if len(found) == 1 else "mixed"
+
+
 def date_parts(df: DataFrame, column: str) -> DataFrame:
     """Year, month, day, weekday (Monday 0), and sine and cosine of the month."""
     d, turn = F.col(column), F.month(column) * (2 * 3.141592653589793 / 12)
@@ -110,7 +182,7 @@ def scaler_for(low: float, high: float, mean: float, std: float, skew: float, iq
         return "none"
     if abs(skew) > 2:
         return "robust"
-    if high > 1e6:
+    if abs(high) > 1e6:
         return "decimal"
     if iqr > std:
         return "robust"
@@ -130,19 +202,54 @@ def mutual_information(df: DataFrame, features: list[str], target: str) -> DataF
     return terms.groupBy("feature").agg(F.bround(F.sum("t"), 8).alias("mi"))
 
 
-def binned(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Continuous values to equal-count bins, for mutual information."""
-    marks = F.broadcast(df.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("__q")))
-    return df.join(marks).withColumn(f"{column}_bin", F.size(F.filter("__q", lambda q: q < F.col(column)))).drop("__q")
+def binned(df: DataFrame, column: str, bins: int = 10, accuracy: int | None = None) -> DataFrame:
+    """Continuous values to bins of equal counts, for mutual information; ``accuracy`` asks for approximate quantiles."""
+    marks = [F.lit(i / bins) for i in range(1, bins)]
+    q = F.percentile_approx(column, F.array(*marks), accuracy) if accuracy else F.percentile(column, F.array(*marks))
+    edges = F.broadcast(df.agg(q.alias("__q")))  # one row
+    return df.join(edges).withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), F.size(F.filter("__q", lambda q: q < F.col(column))))).drop("__q")
+
+
+def ranked_features(df: DataFrame, features: list[str], target: str, bins: int = 10, least: float = 0.01, most: int = 10) -> DataFrame:
+    """Features by mutual information with the target, as shares of the largest: at most ``most`` of at least ``least``, one at any rate.
+
+    Numbers of more than twenty distinct values, and such a target, are cut
+    into bins of equal counts first.
+    """
+    numbers = {c for c, t in df.dtypes if t in {"int", "bigint", "smallint", "tinyint", "float", "double"} or t.startswith("decimal")}
+    wide = {r["column_name"] for r in profile_columns(df, [*features, target]).collect() if r["unique_count"] > 20} & numbers
+    out = df
+    for c in sorted(wide):
+        out = binned(out, c, bins).drop(c).withColumnRenamed(f"{c}_bin", c)
+    scores = mutual_information(out, features, target)
+    top = F.max("mi").over(Window.partitionBy())  # a row a feature
+    ranked = scores.select("feature", F.bround(F.coalesce(F.col("mi") / F.nullif(top, F.lit(0.0)), F.lit(0.0)), 6).alias("score"))
+    nth = F.row_number().over(Window.orderBy(F.desc("score"), "feature"))
+    return ranked.withColumn("rank", nth).where((F.col("rank") == 1) | ((F.col("score") >= least) & (F.col("rank") <= most)))
 
 
 def split(df: DataFrame, key: str, label: str | None = None, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds is_test, of ``share`` of the rows (of each label, if the least has two): reproducible by a hash of the key.
+    """Adds is_test for ``share`` of the rows, reproducibly by a hash of the key.
 
-    Rows are cut at the hash's share, not sorted: nothing is shuffled.
+    With a label the rows are stratified to a count: of each label the
+    ceil(share * n) rows of least hash, if the rarest label has two rows and
+    both parts can hold every label; else, and without a label, rows are cut at
+    the hash's share and nothing is shuffled.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), *([F.col(label)] if label else [])), F.lit(1_000_000)) / 1_000_000
-    return df.withColumn("is_test", u < share)
+    hashed = F.xxhash64(F.col(key), F.lit(seed))
+    if label is not None:
+        classes = df.groupBy(F.col(label).alias("l")).count().agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("k"), F.sum("count").alias("n")).first()
+        if classes["n"] and classes["least"] >= 2 and math.floor(share * classes["n"]) >= classes["k"] and math.floor((1 - share) * classes["n"]) >= classes["k"]:
+            # the place of the cut by label; within a label rows are counted by the hash's upper bits first, so no label meets in one task
+            rows = df.withColumn("__h", hashed).withColumn("__b", F.shiftright("__h", 54))
+            sizes = rows.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+            by = Window.partitionBy("__l")
+            sizes = sizes.withColumn("__before", F.sum("__n").over(by.orderBy("__of")) - F.col("__n")).withColumn("__want", F.ceil(share * F.sum("__n").over(by)))
+            joined = rows.join(sizes.drop("__n"), F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__of")))
+            nth = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key)) + F.col("__before")
+            return joined.withColumn("is_test", nth <= F.col("__want")).drop("__h", "__b", "__l", "__of", "__before", "__want")
+        hashed = F.xxhash64(F.col(key), F.lit(seed), F.col(label))
+    return df.withColumn("is_test", F.pmod(hashed, F.lit(1_000_000)) / 1_000_000 < share)
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:

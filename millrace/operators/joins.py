@@ -47,14 +47,17 @@ def join_tables(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
 
 
 def run_plan(plan: list[Join], tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All tables after the plan; steps that name unknown tables or share no key are skipped."""
+    """All tables after the plan; steps that name unknown tables or share no key are skipped, unknown kinds of join are errors."""
+    wrong = sorted({s.how for s in plan} - HOW)
+    if wrong:
+        raise ValueError(f"how must be one of {sorted(HOW)}, not {', '.join(wrong)}")
     known = dict(tables)
     for step in plan:
         if step.left in known and step.right in known:
-            try:
-                known[step.result or f"{step.left}_{step.right}"] = join_tables(known[step.left], known[step.right], list(step.on), step.how)
-            except ValueError:
-                continue
+            left, right = known[step.left], known[step.right]
+            keys = [k for k in step.on if k in left.columns and k in right.columns]
+            if keys:
+                known[step.result or f"{step.left}_{step.right}"] = join_tables(left, right, keys, step.how)
     return known
 
 
@@ -81,7 +84,9 @@ def merge_on_keys(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
 
 
 def concat_files(tables: dict[str, DataFrame]) -> DataFrame:
-    """All rows of tables with the same columns, with the table's name as ``filename``."""
+    """All rows of tables with the same columns, with the table's name as ``filename``; other columns are an error."""
+    if len({frozenset(t.columns) for t in tables.values()}) > 1:
+        raise ValueError("the tables have different columns")
     return reduce(lambda a, b: a.unionByName(b), [t.withColumn("filename", F.lit(n)) for n, t in tables.items()])
 
 

@@ -6,30 +6,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.impute import order_ranges, with_known
+from millrace.operators.stats import histogram
+
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull()).groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Accuracy, balanced accuracy, macro and weighted precision, recall and F1, Matthews, kappa, from the confusion counts."""
-    m = confusion(df, label, prediction)
+def per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """By class: support, precision, recall, f1, f2, jaccard and specificity, from the confusion counts."""
+    return _classes(confusion(df, label, prediction)).select("class", F.col("t").cast("long").alias("support"), *[F.bround(c, 8).alias(c) for c in ("precision", "recall", "f1", "f2", "jaccard", "specificity")])
+
+
+def _classes(m: DataFrame) -> DataFrame:
+    """A row a class: t (true), hit, said (predicted), n (all) and its scores."""
     by_label = m.groupBy(F.col("label").alias("c")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("hit"))
     by_prediction = m.groupBy(F.col("prediction").alias("p")).agg(F.sum("n").alias("said"))
-    rows = by_label.join(by_prediction, F.col("c") == F.col("p"), "outer").select(*[F.coalesce(x, F.lit(0)).cast("double").alias(x) for x in ("t", "hit", "said")])
-    rows = rows.withColumn("precision", F.coalesce(F.col("hit") / F.nullif("said", F.lit(0.0)), F.lit(0.0))).withColumn("recall", F.coalesce(F.col("hit") / F.nullif("t", F.lit(0.0)), F.lit(0.0)))
-    rows = rows.withColumn("f1", F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
+    rows = by_label.join(by_prediction, F.col("c") == F.col("p"), "outer").select(F.coalesce("c", "p").alias("class"), *[F.coalesce(x, F.lit(0)).cast("double").alias(x) for x in ("t", "hit", "said")])
+    rows = rows.withColumn("n", F.sum("t").over(Window.partitionBy()))  # over classes, not rows
+    part = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
+    hit, t, said, n = (F.col(x) for x in ("hit", "t", "said", "n"))
+    rows = rows.withColumn("precision", part(hit, said)).withColumn("recall", part(hit, t))
+    f = lambda b: part((1 + b * b) * F.col("precision") * F.col("recall"), b * b * F.col("precision") + F.col("recall"))
+    return rows.withColumn("f1", f(1)).withColumn("f2", f(2)).withColumn("jaccard", part(hit, t + said - hit)).withColumn("specificity", part(n - t - said + hit, n - t))
+
+
+def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """Accuracy, balanced accuracy, macro, weighted and micro scores, F2, Jaccard, specificity, Matthews, kappa, from the confusion counts."""
+    rows = _classes(confusion(df, label, prediction))
+    t, hit, said = F.col("t"), F.col("hit"), F.col("said")
     a = rows.agg(
-        F.sum("t").alias("n"), F.sum("hit").alias("hit"), F.sum(F.col("t") * F.col("said")).alias("ts"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("said") * F.col("said")).alias("ss"),
-        F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"), F.avg("f1").alias("f1_macro"),
-        (F.sum(F.col("precision") * F.col("t")) / F.sum("t")).alias("precision_weighted"), (F.sum(F.col("f1") * F.col("t")) / F.sum("t")).alias("f1_weighted"),
-        F.avg(F.when(F.col("t") > 0, F.col("recall"))).alias("balanced_accuracy"),
+        F.sum("t").alias("n"), F.sum("hit").alias("hit"), F.sum(t * said).alias("ts"), F.sum(t * t).alias("tt"), F.sum(said * said).alias("ss"), F.sum("said").alias("said"),
+        *[F.avg(x).alias(f"{x}_macro") for x in ("precision", "recall", "f1", "f2", "jaccard", "specificity")],
+        *[(F.sum(F.col(x) * t) / F.sum("t")).alias(f"{x}_weighted") for x in ("precision", "recall", "f1")],
+        F.avg(F.when(t > 0, F.col("recall"))).alias("balanced_accuracy"),
     )
     n, hit, ts = F.col("n"), F.col("hit"), F.col("ts")
     mcc = (n * hit - ts) / F.nullif(F.sqrt(n * n - F.col("ss")) * F.sqrt(n * n - F.col("tt")), F.lit(0.0))
     kappa = (hit / n - ts / (n * n)) / F.nullif(1 - ts / (n * n), F.lit(0.0))
+    micro_p, micro_r = hit / F.nullif("said", F.lit(0.0)), hit / n
     values = {"accuracy": hit / n, "hamming_loss": 1 - hit / n, "mcc": F.coalesce(mcc, F.lit(0.0)), "kappa": F.coalesce(kappa, F.lit(0.0))}
-    values |= {c: F.col(c) for c in ("balanced_accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_weighted", "f1_weighted")}
+    values |= {"precision_micro": micro_p, "recall_micro": micro_r, "f1_micro": 2 * micro_p * micro_r / F.nullif(micro_p + micro_r, F.lit(0.0))}
+    values |= {c: F.col(c) for c in a.columns if c.endswith(("_macro", "_weighted")) or c == "balanced_accuracy"}
     return a.select(*[F.bround(v, 8).alias(k) for k, v in values.items()])
 
 
@@ -47,9 +66,74 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return a.select(*[F.bround(c, 6).alias(c) for c in a.columns])
 
 
+def regression_extras(df: DataFrame, label: str, prediction: str, features: int) -> DataFrame:
+    """R2 adjusted for the number of features, and the root mean squared log error (null where a value is below zero)."""
+    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    rows = df.select(y.alias("y"), p.alias("p")).where("y is not null and p is not null")
+    log = F.when((F.col("y") >= 0) & (F.col("p") >= 0), F.pow(F.log1p("p") - F.log1p("y"), 2))
+    a = rows.agg(
+        F.count("y").alias("n"), (1 - F.sum(F.pow(F.col("y") - F.col("p"), 2)) / (F.var_pop("y") * F.count("y"))).alias("r2"),
+        F.when(F.count(log) == F.count("y"), F.sqrt(F.avg(log))).alias("rmsle"),
+    )
+    adjusted = F.when(F.col("n") > features + 1, 1 - (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - features - 1))
+    return a.select(F.bround(adjusted, 6).alias("adjusted_r2"), F.bround("rmsle", 6).alias("rmsle"))
+
+
+def residual_histogram(df: DataFrame, label: str, prediction: str, bins: int = 20) -> DataFrame:
+    return histogram(df.select((F.col(label) - F.col(prediction)).alias("residual")), "residual", bins)
+
+
+def evenly_spaced(df: DataFrame, order: str, n: int = 200) -> DataFrame:
+    """``n`` rows at even steps of the order (all, if fewer): rows are numbered within ranges of the order, not in one task."""
+    numbered = with_known(df.withColumn("__none", F.lit(None).cast("int")), "__none", order).drop("__none", "__a", "__b")
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("__total")))  # one row
+    place = F.col("__r") - 1
+    step = F.greatest(F.col("__total").cast("double"), F.lit(float(n)))
+    chosen = F.floor((place + 1) * n / step) > F.floor(place * n / step)
+    return numbered.join(total).where(chosen).drop("__r", "__total")
+
+
+def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
+    """s, pos, neg, and how many of each stand at greater scores (pos_above, neg_above).
+
+    Distinct scores are cut into ranges; sums run within ranges, and what stands
+    above a range comes from one row per range.
+    """
+    hit = F.col(label).cast("long")
+    by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
+    by = by.withColumn("part", order_ranges(by, "s"))
+    parts = by.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    parts = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))
+    own = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(own), F.lit(0))
+    rows = by.withColumn("pw", upto("pos")).withColumn("nw", upto("neg")).join(parts, F.col("part") == F.col("of"))
+    return rows.select("s", "pos", "neg", (F.col("pw") + F.col("p0")).alias("pos_above"), (F.col("nw") + F.col("n0")).alias("neg_above"))
+
+
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from counts by distinct score, ties counted half."""
-    by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = by.withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    a = _by_score(df, label, score).agg(F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return a.select(F.bround(F.col("u") / F.nullif(F.col("p") * F.col("n"), F.lit(0)), 8).alias("roc_auc"))
+
+
+def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Area under the precision-recall curve: precision at each distinct score, weighted by the recall it adds."""
+    rows = _by_score(df, label, score)
+    found, said = F.col("pos_above") + F.col("pos"), F.col("pos_above") + F.col("pos") + F.col("neg_above") + F.col("neg")
+    a = rows.agg(F.sum(F.col("pos") * found / said).alias("a"), F.sum("pos").alias("p"))
+    return a.select(F.bround(F.col("a") / F.nullif("p", F.lit(0)), 8).alias("pr_auc"))
+
+
+def log_loss(df: DataFrame, label: str, probability: str, least: float = 1e-15) -> DataFrame:
+    """Mean negative log likelihood of a binary label."""
+    p = F.least(F.greatest(F.col(probability).cast("double"), F.lit(least)), F.lit(1 - least))
+    loss = -F.log(F.when(F.col(label) == 1, p).otherwise(1 - p))
+    return df.where(F.col(label).isNotNull()).agg(F.bround(F.avg(loss), 8).alias("log_loss"))
+
+
+def top_k_accuracy(df: DataFrame, label: str, probabilities: str, k: int = 3) -> DataFrame:
+    """Share of rows whose label, an index, is among the ``k`` greatest of an array of probabilities (the first of equals)."""
+    own = F.get(probabilities, F.col(label).cast("int"))
+    place = F.size(F.filter(F.transform(probabilities, lambda x, i: F.struct(x.alias("p"), i.alias("i"))), lambda x: (x["p"] > own) | ((x["p"] == own) & (x["i"] < F.col(label)))))
+    return df.where(F.col(label).isNotNull()).agg(F.bround(F.avg((place < k).cast("int")), 8).alias("top_k_accuracy"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import random
+
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +43,29 @@ def candidates_for(task: str, rows: int) -> list[str]:
     return ["linear", "ridge", "random_forest", "decision_tree"] + (["gradient_boosting"] if rows < 10_000 else [])
 
 
+class PopulationScaler(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Centres a column and divides it by its population deviation (Spark's own scaler takes the sample's)."""
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        c = F.col(f"`{self.getInputCol()}`").cast("double")
+        r = dataset.agg(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).first()
+        mean, width = r["m"] or 0.0, r["s"] or 1.0
+        return SQLTransformer(statement=f"SELECT *, (`{self.getInputCol()}` - {mean!r}D) / {width!r}D AS `{self.getOutputCol()}` FROM __THIS__")
+
+
 def preprocessing(numeric: list[str], categorical: list[str]) -> list:
     """Mean imputation and scaling of numbers, indexed one-hot categories with a place for unseen ones."""
     stages = []
     if numeric:
         stages += [
             Imputer(inputCols=numeric, outputCols=[f"{c}__f" for c in numeric]),
-            VectorAssembler(inputCols=[f"{c}__f" for c in numeric], outputCol="__numeric"),
-            StandardScaler(inputCol="__numeric", outputCol="__scaled", withMean=True),
+            *[PopulationScaler(inputCol=f"{c}__f", outputCol=f"{c}__s") for c in numeric],
+            VectorAssembler(inputCols=[f"{c}__s" for c in numeric], outputCol="__scaled"),
         ]
     if categorical:
         stages += [
@@ -62,14 +82,70 @@ def train(df: DataFrame, label: str, numeric: list[str], categorical: list[str],
     return Pipeline(stages=[*preprocessing(numeric, categorical), table[model]()]).fit(rows)
 
 
-def tune(df: DataFrame, label: str, numeric: list[str], categorical: list[str], task: str, seed: int = 42):
-    """Logistic or linear regression over a small grid of penalties, by a held-out share."""
+#: Ranges from which a seeded search draws, by model: parameter, values.
+SEARCH = {
+    "logistic_regression": {"regParam": (0.0, 0.001, 0.01, 0.1, 1.0), "elasticNetParam": (0.0, 0.5, 1.0)},
+    "random_forest": {"numTrees": (20, 40, 80), "maxDepth": (4, 6, 8, 10), "minInstancesPerNode": (1, 2, 5)},
+    "decision_tree": {"maxDepth": (3, 5, 8, 10), "minInstancesPerNode": (1, 2, 5, 10)},
+    "naive_bayes": {"smoothing": (0.1, 0.5, 1.0, 2.0)},
+    "linear": {"regParam": (0.0, 0.001, 0.01, 0.1), "elasticNetParam": (0.0, 0.5, 1.0)},
+    "ridge": {"regParam": (0.001, 0.01, 0.1, 1.0, 10.0)},
+}
+
+
+def trials_for(rows: int, models: int) -> int:
+    """Trials for each model: 60, 120 or 180 by the number of rows, shared among the models, within 8 and 40."""
+    total = 60 if rows <= 1_000 else 120 if rows <= 10_000 else 180
+    return min(40, max(8, total // max(1, models)))
+
+
+def judge_for(task: str):
+    return MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification" else RegressionEvaluator(metricName="r2")
+
+
+def tune(df: DataFrame, label: str, numeric: list[str], categorical: list[str], model: str, task: str, trials: int = 8, folds: int = 3, seed: int = 42) -> CrossValidatorModel:
+    """A seeded search over a model's parameters, judged by folds; trials run side by side."""
+    table = CLASSIFIERS if task == "classification" else REGRESSORS
+    est = table[model]()
+    space = SEARCH.get(model, {})
+    rng = random.Random(seed)
+    points = {tuple(rng.choice(v) for v in space.values()) for _ in range(4 * trials)} if space else {()}
+    maps = [{est.getParam(k): v for k, v in zip(space, p, strict=True)} for p in sorted(points)[:trials]]
     rows = df.withColumn("label", F.col(label).cast("double")).where("label is not null")
-    est = LogisticRegression() if task == "classification" else LinearRegression()
-    grid = ParamGridBuilder().addGrid(est.regParam, [0.0, 0.01, 0.1]).addGrid(est.elasticNetParam, [0.0, 0.5]).build()
-    judge = MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification" else RegressionEvaluator(metricName="r2")
-    pipeline = Pipeline(stages=[*preprocessing(numeric, categorical), est])
-    return TrainValidationSplit(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, trainRatio=0.8, seed=seed).fit(rows)
+    ready = Pipeline(stages=preprocessing(numeric, categorical)).fit(rows)  # once, not for each trial
+    search = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=judge_for(task), numFolds=folds, seed=seed, parallelism=2)
+    found = search.fit(ready.transform(rows).select("features", "label"))
+    found.bestModel = PipelineModel(stages=[*ready.stages, found.bestModel])
+    return found
+
+
+def ranked_models(train_rows: DataFrame, test_rows: DataFrame, label: str, numeric: list[str], categorical: list[str], names: list[str], task: str) -> list[tuple[str, float, PipelineModel]]:
+    """Models trained on one part and judged on the other, best first; equal scores by name."""
+    judge = judge_for(task)
+    test = test_rows.withColumn("label", F.col(label).cast("double")).where("label is not null")
+    found = []
+    for name in names:
+        model = train(train_rows, label, numeric, categorical, name, task)
+        found.append((name, judge.evaluate(model.transform(test)), model))
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
+def top_k_for(rows: int) -> int:
+    """Models that vote: three, four or five by the number of rows."""
+    return 3 if rows < 1_000 else 4 if rows < 10_000 else 5
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def report(name: str, task: str, features: list[str], rows: int, scores: DataFrame) -> dict:
+    """What is kept of a trained model: its name, task, features, rows and figures (one row)."""
+    return {"model": name, "task": task, "features": features, "rows": rows, "metrics": scores.first().asDict()}
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -82,14 +158,20 @@ def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*columns)
 
 
-def vote(models: list[PipelineModel], df: DataFrame, key: str, task: str) -> DataFrame:
-    """Soft vote: mean probabilities (or predictions), each model's output joined by key-less columns of one plan."""
+def vote(models: list[PipelineModel], df: DataFrame, key: str, task: str, how: str = "soft") -> DataFrame:
+    """Mean probabilities (soft), the most frequent class (hard; the smallest of equals) or, for numbers, the mean; all models in one plan."""
     out = df
+    task = "hard" if task == "classification" and how == "hard" else task
     for i, m in enumerate(models):
         done = m.transform(out)
         value = vector_to_array("probability") if task == "classification" else F.col("prediction")
         out = done.select(*[F.col(f"`{c}`") for c in out.columns], value.alias(f"__m{i}"))
     names = [F.col(f"__m{i}") for i in range(len(models))]
+    if task == "hard":
+        said = F.array(*names)
+        counted = F.transform(said, lambda p: F.struct(F.size(F.filter(said, lambda q: q == p)).alias("n"), (-p).alias("p")))
+        best = F.array_max(counted)
+        return out.select(key, (-best["p"]).alias("prediction"), (best["n"] / len(models)).alias("confidence"))
     if task != "classification":
         return out.select(key, (sum(names[1:], names[0]) / len(models)).alias("prediction"))
     mean = names[0]

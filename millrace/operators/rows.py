@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Strings that stand for a missing value, compared trimmed and in lower case.
-MISSING_TOKENS = ("", "-", "--", "?", "??", "n/a", "na", "nan", "nil", "none", "null", "undefined", "unknown", "missing", "not available", "not applicable", "#n/a", "#na", "#null!", "#value!", "inf", "-inf")
+# Tokens that stand for a missing value, compared as they are after trimming.
+MISSING_TOKENS = ("UNKNOWN", "ERROR", "N/A", "NULL", "", "nan", "NaN", "NA", "None", "NONE", "#", "%", "&", "^", "@", "!", ")", "(", "*", "~", "unknown", "Unknown")
 #: Symbols that are stripped from strings.
 SYMBOLS = r"""[|~()\[\]{}"'`!?+]"""
 
 
-def tokens_to_null(c: Column) -> Column:
+def tokens_to_null(c: Column, tokens: tuple[str, ...] = MISSING_TOKENS) -> Column:
     """Null for missing-value tokens and for strings of special characters alone."""
-    bare = F.lower(F.trim(c))
-    return F.when(bare.isin(*MISSING_TOKENS) | bare.rlike(r"^[^a-z0-9\u0080-￿]+$"), None).otherwise(c)
+    bare = F.trim(c)
+    return F.when(bare.isin(*tokens) | bare.rlike(r"^[^A-Za-z0-9\u0080-￿]+$"), None).otherwise(c)
 
 
 def strip_symbols(c: Column) -> Column:
@@ -53,6 +53,29 @@ def clean_mixed(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.when(keep, F.col(column)).when(F.col(column).isNotNull(), ""))
 
 
+def blank_leftovers(c: Column) -> Column:
+    """Numbers stay, other strings become empty: what a numeric normalisation left over in a mixed column."""
+    return F.when(is_number(c), c).when(c.isNotNull(), "")
+
+
+def forced_numeric(c: Column, kind: str, is_float: bool) -> Column:
+    """Whole numbers for integers, two digits for floats; other numeric kinds by what the column is."""
+    number = to_number(c.cast("string"))
+    return number.cast("long") if kind == "integer" or (kind != "float" and not is_float) else F.bround(number, 2)
+
+
+def mixed_kinds(df: DataFrame) -> DataFrame:
+    """By column: its non-null values, how many are numbers, true or false words, dates, and whether kinds are mixed."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in df.columns])).alias("p")).select("p.*")
+    kind = F.when(is_number(F.col("v")), "number").when(F.lower("v").isin("true", "false"), "boolean").when(F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}"), "date").otherwise("text")
+    counted = pairs.where("v is not null").select("column_name", kind.alias("kind"))
+    out = counted.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in ("number", "boolean", "date", "text")]
+    )
+    several = sum((F.col(f"n_{k}") > 0).cast("int") for k in ("number", "boolean", "date", "text"))
+    return out.withColumn("mixed", several > 1)
+
+
 def drop_sparse_rows(df: DataFrame, share: float = 0.7) -> DataFrame:
     """Rows with less than ``share`` of their values missing."""
     nulls = reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("int") for c in df.columns])

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numbers, places
 from millrace.operators.joins import KEY_NAME, shared_columns
-from millrace.operators.profile import profile_columns
 
 _IDENTIFIERS = {"email", "url", "network_addresses", "file_path", "files", "version"}
 _TEMPORAL = {"datetime", "timestamp", "year", "month", "day", "week", "quarter", "fiscal_year"}
@@ -18,7 +17,7 @@ _NUMERIC_TYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 @dataclass(frozen=True)
 class Column:
-    """What the structural rules look at, for one column."""
+    """What the structural rules look at, for one column; ``rows`` are all its rows, nulls too."""
 
     name: str
     dtype: str
@@ -33,27 +32,33 @@ class Column:
 
 
 def column_facts(df: DataFrame) -> list[Column]:
-    """Facts of all columns from the profile and one more aggregate."""
-    profile = {r["column_name"]: r for r in profile_columns(df).collect()}
-    exprs, types = [], dict(df.dtypes)
-    for i, c in enumerate(df.columns):
-        s = F.trim(F.col(f"`{c}`").cast("string"))
-        known = F.lower(s).isin(*places.TRUE_WORDS, *places.FALSE_WORDS)
-        digits = F.regexp_extract(s, r"(\d{1,15})$", 1)
-        n = F.nullif(digits, F.lit("")).cast("double")
-        exprs += [
-            F.bool_and(known).alias(f"b{i}"), F.avg(numbers.id_like(s).cast("int")).alias(f"i{i}"), F.avg(F.length(s)).alias(f"l{i}"),
-            (F.max(n) - F.min(n) + 1).alias(f"s{i}"), F.count(n).alias(f"n{i}"), F.count_distinct(F.regexp_extract(s, r"^(.*?)\d*$", 1)).alias(f"p{i}"),
-            (F.min(F.col(f"`{c}`")).cast("double") if types[c] in _NUMERIC_TYPES else F.lit(None).cast("double")).alias(f"lo{i}"),
-            (F.max(F.col(f"`{c}`")).cast("double") if types[c] in _NUMERIC_TYPES else F.lit(None).cast("double")).alias(f"hi{i}"),
-        ]
-    r = df.agg(*exprs).first()
+    """Facts of all columns from one unpivoted grouping by value: no Expand, and no column's values in one task."""
+    types = dict(df.dtypes)
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in df.columns])).alias("p")).select("p.*")
+    v = F.col("v")
+    number = F.nullif(F.regexp_extract(v, r"(\d{1,15})$", 1), F.lit("")).cast("double")
+    whole = F.when(v.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), v.cast("double"))
+    seen, n = v.isNotNull(), F.col("n")
+    by_value = pairs.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    facts = by_value.groupBy("c").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(seen, n).otherwise(0)).alias("known"), F.count("v").alias("distinct"),
+        F.bool_and(F.lower(v).isin(*places.TRUE_WORDS, *places.FALSE_WORDS)).alias("booleans"),
+        (F.sum(F.when(numbers.id_like(v), n).otherwise(0)) / F.sum(F.when(seen, n))).alias("ids"),
+        (F.sum(F.length(v) * n) / F.sum(F.when(seen, n))).alias("length"),
+        (F.max(number) - F.min(number) + 1).alias("span"), F.sum(F.when(number.isNotNull(), n).otherwise(0)).alias("numbered"),
+        F.min(F.regexp_extract(v, r"^(.*?)\d*$", 1)).alias("p0"), F.max(F.regexp_extract(v, r"^(.*?)\d*$", 1)).alias("p1"),
+        F.min(whole).alias("low"), F.max(whole).alias("high"),
+    )
+    found = {r["c"]: r for r in facts.collect()}  # a row a column
     out = []
-    for i, c in enumerate(df.columns):
-        p = profile.get(c)
-        rows, distinct = (p["row_count"] - p["null_count"], p["unique_count"]) if p else (0, 0)
-        sequence = bool(rows) and r[f"p{i}"] == 1 and r[f"n{i}"] == rows == distinct and r[f"s{i}"] == rows
-        out.append(Column(c, types[c], rows, distinct, bool(r[f"b{i}"]), r[f"i{i}"] or 0.0, r[f"l{i}"] or 0.0, sequence, r[f"lo{i}"], r[f"hi{i}"]))
+    for c in df.columns:
+        r = found.get(c)
+        if r is None or not r["known"]:
+            out.append(Column(c, types[c], r["rows"] if r else 0, 0, False, 0.0, 0.0, False))
+            continue
+        sequence = r["p0"] == r["p1"] and r["numbered"] == r["known"] == r["distinct"] and r["span"] == r["known"]
+        numeric = types[c] in _NUMERIC_TYPES
+        out.append(Column(c, types[c], r["rows"], r["distinct"], bool(r["booleans"]), r["ids"] or 0.0, r["length"] or 0.0, bool(sequence), r["low"] if numeric else None, r["high"] if numeric else None))
     return out
 
 
@@ -75,7 +80,7 @@ def structural_type(c: Column, semantic: str | None = None) -> str:
     if c.dtype == "date":
         return "date"
     if c.dtype in _NUMERIC_TYPES or c.dtype.startswith("decimal"):
-        if c.low is not None and c.high is not None and 1900 <= c.low and c.high <= 2100:
+        if c.low is not None and c.high is not None and 1000 <= c.low and c.high <= 2100:
             return "numeric"
         return "categorical" if c.distinct <= 20 and ratio <= 0.2 else "numeric"
     if c.id_share > 0.7 and ratio > 0.95:
@@ -99,7 +104,7 @@ def constraints(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
         for c in column_facts(df):
             if structural_type(c) == "identifier":
                 out.append(("primary", name, c.name))
-            if c.rows and c.distinct == c.rows:
+            if c.rows and c.distinct == c.rows:  # so without nulls
                 out.append(("unique", name, c.name))
             if c.name in shared:
                 out.append(("foreign", name, c.name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, places, temporal
@@ -40,14 +40,21 @@ class CleaningPlan:
 
 
 SIMPLE = {
-    "date": temporal.date_of, "time": temporal.time_of, "datetime": temporal.datetime_of, "year": temporal.year_of, "month": temporal.month_name, "day": temporal.day_name,
+    "date": temporal.date_of, "time": temporal.time_of, "datetime": temporal.datetime_of, "timestamp": temporal.valid_timestamp, "year": temporal.year_of, "month": temporal.month_name, "day": temporal.day_name,
     "fiscal_year": temporal.fiscal_year, "duration": temporal.duration_seconds, "currency": numbers.money_amount, "salary": numbers.yearly_pay, "number_systems": numbers.numeral,
-    "percentage": numbers.percentage, "ratio": numbers.ratio, "integer": numbers.integer, "float": numbers.decimal, "gender": places.gender_of, "email": places.email_of,
+    "percentage": numbers.percentage, "ratio": numbers.ratio, "integer": numbers.integer, "float": numbers.decimal, "latitude": places.latitude, "longitude": places.longitude,
+    "gender": places.gender_of, "email": places.email_of, "boolean": places.boolean_of, "network_addresses": places.network_address,
+    "timezone": lambda c: places.kept_if("timezone", c), "url": lambda c: places.kept_if("url", c), "file_path": lambda c: places.kept_if("path", c), "files": lambda c: places.kept_if("file", c), "version": lambda c: places.kept_if("version", c),
 }
+#: Kinds whose forms may lack a year; the plan names the one that stands in.
+WITH_YEAR = {"week": temporal.week_label, "quarter": temporal.quarter_label}
 
 
-def decide(df: DataFrame, sample: int | None = detect.SAMPLE, sparse: float = 0.7) -> CleaningPlan:
-    """One pass for the types, one for the nulls, and one small vote for each column with units."""
+def decide(df: DataFrame, sample: int | None = detect.SAMPLE, sparse: float = 0.7, year: int = 2000) -> CleaningPlan:
+    """Passes for the types and the nulls, and one small vote for each column with units.
+
+    ``year`` stands in for weeks and quarters without one.
+    """
     dropped = tuple(c for c, s in rows.null_shares(df).items() if s >= sparse)
     found = detect.semantic_types(df.drop(*dropped), sample)
     plans = []
@@ -61,16 +68,25 @@ def decide(df: DataFrame, sample: int | None = detect.SAMPLE, sparse: float = 0.
         elif kind == "currency":
             code = df.select(F.mode(numbers.currency_of(F.col(f"`{c}`")), True)).first()[0]
             plans.append(ColumnPlan(c, kind, code, f"{c}_({code})" if code else c))
+        elif kind in WITH_YEAR:
+            plans.append(ColumnPlan(c, kind, str(year)))
+        elif kind == "geo_coordinate":
+            plans += [ColumnPlan(c, kind, part, f"{c}_{part}") for part in ("latitude", "longitude")]
         else:
             plans.append(ColumnPlan(c, kind, None, f"{c}_percentage" if kind == "percentage" else c))
     return CleaningPlan(tuple(plans), dropped)
 
 
+def _value(c: Column, p: ColumnPlan) -> Column:
+    if p.kind in MEASURES and p.unit:
+        return converted(c, MEASURES[p.kind], p.unit)
+    if p.kind in WITH_YEAR and p.unit:
+        return WITH_YEAR[p.kind](c, int(p.unit))
+    if p.kind == "geo_coordinate" and p.unit:
+        return places.geo_pair(c)[p.unit]
+    return SIMPLE[p.kind](c) if p.kind in SIMPLE else c
+
+
 def apply(df: DataFrame, plan: CleaningPlan) -> DataFrame:
     """The plan as one projection; it holds no action and no aggregate, so it also runs on streams."""
-    out = []
-    for p in plan.columns:
-        c = rows.tokens_to_null(F.col(f"`{p.source}`").cast("string"))
-        value = converted(c, MEASURES[p.kind], p.unit) if p.kind in MEASURES and p.unit else SIMPLE[p.kind](c) if p.kind in SIMPLE else c
-        out.append(value.alias(p.target or p.source))
-    return df.select(*out)
+    return df.select(*[_value(rows.tokens_to_null(F.col(f"`{p.source}`").cast("string")), p).alias(p.target or p.source) for p in plan.columns])
