@@ -142,7 +142,7 @@ _UNITS = {
     "volume": ("l", 2, {"l": "q", "ml": "q / 1000", "gal": "q * 3.785411784", "m3": "q * 1000"}),
     "area": ("m2", 2, {"m2": "q", "ft2": "q * 0.09290304", "acre": "q * 4046.8564224", "ha": "q * 10000"}),
     "speed": ("km/h", 1, {"km/h": "q", "m/s": "q * 3.6", "mph": "q * 1.609344", "knot": "q * 1.852"}),
-    "temperature": ("C", 1, {"C": "q", "F": "(q - 32) * 5 / 9", "K": "q - 273.15"}),
+    "temperature": ("C", 1, {"C": "q", "F": "(q - 32) * (5 / 9::DOUBLE)", "K": "q - 273.15"}),
     "pressure": ("kPa", 2, {"kPa": "q", "bar": "q * 100", "psi": "q * 6.894757293168", "atm": "q * 101.325"}),
     "energy": ("kJ", 2, {"kJ": "q", "kcal": "q * 4.184", "Wh": "q * 3.6", "J": "q / 1000"}),
     "power": ("kW", 2, {"kW": "q", "W": "q / 1000", "hp": "q * 0.745699871582", "MW": "q * 1000"}),
@@ -157,12 +157,12 @@ def _unit_query(kind: str, target: str, digits: int, values: dict[str, str]) ->
     n = len(units) + 2  # a value without a unit, and none at all
     cases = " ".join(f"WHEN {i} THEN round_even({e}, {digits})" for i, e in enumerate(values.values()))
     names = " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(units))
-    row = "SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber)::BIGINT AS r, l_quantity + 0.25 AS q FROM lineitem"
+    row = "SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber)::BIGINT AS r, l_quantity + 0.34 AS q FROM lineitem"
 
     @query(f"SELECT l_orderkey, l_linenumber, CASE r % {n} {names} END AS unit, CASE r % {n} {cases} END::DOUBLE AS v FROM ({row})", f"{kind}_norm")
     def run(spark, sf_dir):
         r = (F.col("l_orderkey") + F.col("l_linenumber")) % n
-        q = (F.col("l_quantity") + 0.25).cast("string")
+        q = (F.col("l_quantity") + 0.34).cast("string")
         text = F.when(r < len(units), F.concat(q, F.lit(" "), F.element_at(F.array(*map(F.lit, units)), (F.least(r, F.lit(len(units) - 1)) + 1).cast("int")))).when(r == len(units), q)
         t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("s"))
         m = MEASURES[kind]
