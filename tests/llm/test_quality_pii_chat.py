@@ -40,6 +40,17 @@ def test_quality_without_labels_or_rows(spark, nothing):
     assert quality.score_quality(nothing, labels).count() == 0
 
 
+def test_quality_of_long_texts_and_clashing_names(spark):
+    r = random.Random(4)
+    long = " ".join(r.choice(["one", "two", "|"]) for _ in range(100_000))
+    rows = [(i, f"word{i % 7} two three", True, 0.5, 1, "f") for i in range(30)] + [(99, long, False, 0.1, 0, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, predicted double, label int, features string")
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(30)], "doc_id long, quality int, label string")
+    got = quality.score_quality(docs, labels).collect()
+    assert len(got) == 31 and all(0 <= x.score <= 1 for x in got)
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
 def test_word_vectors_do_not_depend_on_partitions(corpus):
     a, b = quality.word_vectors(corpus.coalesce(1)), quality.word_vectors(corpus.repartition(7))
     assert np.allclose(a, b, atol=1e-5)
@@ -189,3 +200,5 @@ def test_chats(spark):
     got = {r.conv_id: (r.n_turns, r.chat) for r in chat.format_chats(df).collect()}
     assert got == brute_chats(turns)
     assert chat.format_chats(df.limit(0)).count() == 0
+    clashing = df.withColumn("conv", df.conv_id).withColumn("h0", df.text).withColumn("piece", df.turn).withColumn("nth", df.turn)
+    assert {r.conv_id: (r.n_turns, r.chat) for r in chat.format_chats(clashing).collect()} == got
