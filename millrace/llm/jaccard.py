@@ -22,7 +22,7 @@ from millrace.llm.components import connected_components
 #: Similarity as a fraction, so that sizes are compared in whole numbers.
 SIMILARITY = (4, 5)
 #: Texts that tell which shingles are frequent, and so many of these come last; this sets the work, never the result.
-ORDER_TEXTS = 100_000
+ORDER_TEXTS = 50_000
 ORDER_SHINGLES = 200_000
 #: Fingerprints of texts of a similarity of 0.8 differ in more bits than this once in ten million pairs.
 FAR_BITS = 28
@@ -165,15 +165,15 @@ def similar_links(shared: DataFrame, members: DataFrame, first: DataFrame, simil
 
     Two such sets have a common head, whatever the common order of shingles is,
     and in the places of the first one enough of both is left.  Where a head
-    has several sets, each is compared with the least and the greatest of them
-    at first.  Then all pairs of different components are compared, each at its
+    has several sets, each is compared with the least of them at first.  Then
+    all pairs of different components are compared, each at its
     first common head alone.  Nothing is capped or dropped.
     """
     row = F.struct("node", "n", "at")
-    ends = shared.groupBy("h").agg(F.array_distinct(F.array(F.min(row), F.max(row))).alias("ends")).select("h", F.explode("ends").alias("e")).select("h", "e.*")
-    found = materialize(first.unionByName(verified(head_pairs(ends, shared.drop("m"), similarity), members, similarity)), "similar")
+    least = shared.groupBy("h").agg(F.min(row).alias("e")).select("h", "e.*")
+    found = materialize(first.unionByName(verified(head_pairs(least, shared.drop("m"), similarity), members, similarity)), "similar")
     labels = connected_components(found).withColumnRenamed("node", "labelled")
-    open_rows = shared.where("m > 3").drop("m").join(labels, F.col("node") == F.col("labelled"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled")
+    open_rows = shared.where("m > 2").drop("m").join(labels, F.col("node") == F.col("labelled"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled")
     heads = members.select(F.col("node").alias("of_node"), "heads")
     several = apart(open_rows).join(heads, F.col("node") == F.col("of_node")).withColumn("earlier", F.slice("heads", F.lit(1), F.col("at"))).drop("of_node", "heads")
     several = materialize(several, "apart")
