@@ -18,6 +18,7 @@ from millrace.llm.simhash import near_duplicates
 from millrace.llm.substring_dedup import remove_repeated
 from millrace.llm.token_counts import token_counts
 from millrace.llm.topk import exact_top_k
+from millrace.llm.turn_repair import damage, digest, repair
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
@@ -167,6 +168,69 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_spans")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = repair(damage(table(spark, sf_dir, "conversations")))
+    return repaired.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest(F.col("repaired")).alias("repaired_sha256"))
+
+
+def _then_sql(state: str, cost: str, edit: str, line: str = "''") -> str:
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{edit}', o := {state}.o || {line})"
+
+
+def _op13_sql() -> str:
+    """A recursive query, turn by turn: the cheapest edits behind nothing (p0), a system (p1), a user (p2) and an assistant turn (p3), with their text."""
+    far = "struct_pack(c := 1000000000000::BIGINT, a := '', o := '')"
+    user, assistant = "'user:' || chr(10)", "'assistant:' || chr(10)"
+    i2 = f"least(p2, {', '.join(_then_sql(p, '2', 'I', user) for p in ('p0', 'p1', 'p3'))})"
+    i3 = f"least(p3, {_then_sql('p2', '2', 'I', assistant)}, {', '.join(_then_sql(p, '4', 'II', user + ' || ' + assistant) for p in ('p0', 'p1'))})"
+    keep = lambda p: _then_sql(p, "late", "K", "role || ':' || text || chr(10)")
+    rerole = lambda p, role: _then_sql(p, "late + 2", "R", f"'{role}:' || text || chr(10)")
+    stays = lambda *ways: ", ".join(f"CASE WHEN stays AND {when} THEN {way} ELSE {far} END" for when, way in ways)
+    return rf"""
+WITH RECURSIVE crc_steps AS (
+  SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) x(n)
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: unicode(c)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc_steps
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM raw WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged
+), flagged AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY nth) || left(role, 1) AS pair
+  FROM placed
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM flagged GROUP BY conv_id
+), turns AS (
+  SELECT *, left(role, 1) AS i, fault IN ('', 'truncated') AS stays, (fault = 'truncated')::BIGINT AS late FROM flagged
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS done, struct_pack(c := 0::BIGINT, a := '', o := '') AS p0, {far} AS p1, {far} AS p2, {far} AS p3 FROM sums
+  UNION ALL
+  SELECT conv_id, nth, {_then_sql("p0", "3", "D")}, least({_then_sql("p1", "3", "D")}, {stays(("i = 's'", keep("p0")))}),
+    least({_then_sql("i2", "3", "D")}, {stays(*[x for p in ("p0", "p1", "i3") for x in (("i = 'u'", keep(p)), ("i <> 'u'", rerole(p, "user")))])}),
+    least({_then_sql("i3", "3", "D")}, {stays(("i = 'a'", keep("i2")), ("i <> 'a'", rerole("i2", "assistant")))})
+  FROM (
+    SELECT s.*, t.nth, t.role, t.text, t.i, t.stays, t.late, {i2} AS i2, {i3} AS i3
+    FROM steps s JOIN turns t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND t.nth = s.done + 1
+  )
+), ended AS (
+  SELECT s.conv_id, least(p0, {i3}) AS best FROM steps s JOIN sums ON s.conv_id IS NOT DISTINCT FROM sums.conv_id AND done = n
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(regexp_replace(best.o, '
+$', ''), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums ON c.conv_id IS NOT DISTINCT FROM sums.conv_id LEFT JOIN ended ON c.conv_id IS NOT DISTINCT FROM ended.conv_id
+"""
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_substring_dedup": op2_substring_dedup,
@@ -178,5 +242,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii": op10_pii,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE = {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_mix_sources": OP7_SQL}
+ORACLE = {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_mix_sources": OP7_SQL, "op13_conversation_repair": _op13_sql()}
