@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.ann import nearest
 from millrace.llm.chat import format_chats
 from millrace.llm.common import table
+from millrace.llm.decontaminate import contamination
 from millrace.llm.mixing import CLOSING, mix
 from millrace.llm.packing import pack
 from millrace.llm.pii import find_pii, fit_pii
@@ -168,6 +169,42 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_spans")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def _plain_words_sql(of: str) -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    return rf"regexp_extract_all(translate(coalesce({of}, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP11_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_plain_words_sql("text")} AS w FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, {_plain_words_sql("text")} AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[s:s+n-1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM (SELECT *, least(10, len(w)) AS n FROM items WHERE len(w) > 0))
+), windows AS (
+  SELECT DISTINCT n, gram FROM item_windows
+), doc_windows AS (
+  SELECT r, n, s, array_to_string(w[s:s+n-1], ' ') AS gram FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT r, n, s, gram FROM doc_windows JOIN windows USING (n, gram)
+), hit_words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r
+), hit_items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS found FROM (SELECT DISTINCT r, item FROM hits JOIN item_windows USING (n, gram)) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(found, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     repaired = repair(damage(table(spark, sf_dir, "conversations")))
     return repaired.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest(F.col("repaired")).alias("repaired_sha256"))
@@ -242,6 +279,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii": op10_pii,
+    "op11_decontamination": op11_decontamination,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE = {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_mix_sources": OP7_SQL, "op13_conversation_repair": _op13_sql()}
+ORACLE = {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_mix_sources": OP7_SQL, "op11_decontamination": OP11_SQL, "op13_conversation_repair": _op13_sql()}
