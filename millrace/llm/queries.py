@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.ann import nearest
 from millrace.llm.chat import format_chats
 from millrace.llm.common import table
+from millrace.llm.cross_align import align, with_link_counts
 from millrace.llm.decontaminate import contamination
 from millrace.llm.mixing import CLOSING, mix
 from millrace.llm.packing import pack
@@ -205,6 +206,12 @@ FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
 
+def op12_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    digest_of_groups = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return with_link_counts(aligned, digest_of_groups).withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     repaired = repair(damage(table(spark, sf_dir, "conversations")))
     return repaired.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest(F.col("repaired")).alias("repaired_sha256"))
@@ -280,6 +287,7 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii": op10_pii,
     "op11_decontamination": op11_decontamination,
+    "op12_cross_alignment": op12_cross_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE = {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_mix_sources": OP7_SQL, "op11_decontamination": OP11_SQL, "op13_conversation_repair": _op13_sql()}
