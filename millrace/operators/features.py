@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.places import boolean_of
+from millrace.operators.ordered import with_running
 from millrace.operators.profile import profile_columns
 
 _OPS = {
@@ -77,12 +78,15 @@ def frequency_encoded(df: DataFrame, column: str) -> DataFrame:
     return out.withColumn(f"{column}_freq", F.col("__n") / F.col("__all")).drop("__n", "__all")
 
 
-def ordered_target_encoded(df: DataFrame, column: str, target: str, order: str, smoothing: float = 1.0) -> DataFrame:
-    """Mean of the target over earlier rows of the category only, so that a row's own target doesn't leak."""
-    w = Window.partitionBy(column).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def ordered_target_encoded(df: DataFrame, column: str, target: str, order: str, smoothing: float = 1.0, ties: list[str] | None = None) -> DataFrame:
+    """Mean of the target over earlier rows of the category only, so that a row's own target doesn't leak.
+
+    A category of any size is spread over ranges of the order; rows of equal
+    order follow ``ties``, by default all other columns.
+    """
     prior = F.broadcast(df.agg(F.avg(target).alias("__prior")))
-    s, n = F.coalesce(F.sum(target).over(w), F.lit(0)), F.count(target).over(w)
-    return df.join(prior).withColumn(f"{column}_enc", (s + smoothing * F.col("__prior")) / (n + smoothing)).drop("__prior")
+    sums = with_running(df, {"__s": F.col(target).cast("double"), "__t": F.col(target).isNotNull().cast("long")}, order, [column], ties)
+    return sums.join(prior).withColumn(f"{column}_enc", (F.col("__s") + smoothing * F.col("__prior")) / (F.col("__t") + smoothing)).drop("__prior", "__s", "__t")
 
 
 #: Weight of the overall mean in the m-estimate.

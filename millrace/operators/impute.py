@@ -1,18 +1,20 @@
 """Missing values: fill values, decisions from statistics, and order-dependent fills.
 
-Order-dependent fills cut the order into ranges, so that neither a global
-order nor a large group is one task's.
+Order-dependent fills run within ranges of the order (see ordered.py), so that
+neither a global order nor a large group is one task's.  Rows of equal order
+follow ``ties``, by default all other columns.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.ordered import with_known
+
 
 def fill_with(df: DataFrame, column: str, how: str, source: DataFrame | None = None) -> DataFrame:
     """Fill with mean, median or mode (the smallest of tied values) of the column, or of ``source``'s; one small aggregate decides the value."""
@@ -38,81 +40,27 @@ def fill_group_median(df: DataFrame, column: str, group: str) -> DataFrame:
     return joined.withColumn(column, F.coalesce(F.col(column), "__m", "__all")).drop("__g", "__m", "__all")
 
 
-#: Rows that tell where an order is cut into ranges.
-RANGE_SAMPLE = 2000
-#: Ranges at most: each is a comparison for every row.
-MOST_RANGES = 200
-
-
-def order_ranges(df: DataFrame, order: str, ranges: int | None = None) -> Column:
-    """Number of a row's range of ``order``, from evenly spaced values of a bounded sample (the rows of least hash)."""
-    n = ranges or min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    c = F.col(f"`{order}`")
-    seen = sorted(r[0] for r in df.select(c.alias("o")).where("o is not null").orderBy(F.xxhash64("o"), "o").limit(RANGE_SAMPLE).collect())
-    marks = sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
-    if not marks:
-        return F.lit(0)
-    return reduce(lambda a, b: a + b, [F.coalesce((c >= F.lit(m)).cast("int"), F.lit(0)) for m in marks])
-
-
-def with_known(df: DataFrame, column: str, order: str, partition: list[str] | None = None, ranges: int | None = None) -> DataFrame:
-    """Adds __r (row number), __a and __b: the known value at or before, and at or behind a row, each with its row number.
-
-    An order, whether of the whole table or of one large group, is cut into
-    ranges of its values.  Windows run within (group, range); what a range
-    carries over to the next ones is its first and last known value and its
-    number of rows: one row per group and range.  Each frame starts at the
-    window's beginning, so the work is linear.
-    """
-    by = partition or []
-    c = F.col(f"`{column}`")
-    keys = [F.col(f"`{p}`") for p in by]
-    rows = df.withColumn("__range", order_ranges(df, order, ranges))
-    here = Window.partitionBy(*keys, "__range").orderBy(F.col(f"`{order}`"))
-    back = Window.partitionBy(*keys, "__range").orderBy(F.col(f"`{order}`").desc())
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__n", F.row_number().over(here).cast("long"))
-    rows = rows.withColumn("__k", F.when(c.isNotNull(), F.struct(F.col("__n").alias("r"), c.alias("v"))))
-    names = [f"__g{i}" for i in range(len(by))]
-    parts = rows.groupBy(*[k.alias(n) for k, n in zip(keys, names, strict=True)], F.col("__range").alias("__of_range")).agg(
-        F.count(F.lit(1)).alias("__size"), F.min("__k").alias("__first"), F.max("__k").alias("__last")
-    )
-    earlier = Window.partitionBy(*names).orderBy("__of_range").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*names).orderBy(F.desc("__of_range")).rowsBetween(Window.unboundedPreceding, -1)
-    moved = lambda k: F.when(k.isNotNull(), F.struct((k["r"] + F.col("__start")).alias("r"), k["v"].alias("v")))
-    parts = parts.withColumn("__start", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
-    parts = parts.select(*names, "__of_range", "__start", F.last(moved(F.col("__last")), True).over(earlier).alias("__before"), F.last(moved(F.col("__first")), True).over(later).alias("__behind"))
-    at = F.col("__range") == F.col("__of_range")
-    for k, n in zip(by, names, strict=True):
-        at = at & F.col(f"`{k}`").eqNullSafe(F.col(n))
-    local = rows.withColumn("__la", F.last("__k", True).over(upto(here))).withColumn("__lb", F.last("__k", True).over(upto(back)))
-    joined = local.join(parts, at)
-    out = joined.withColumn("__r", F.col("__n") + F.col("__start"))
-    out = out.withColumn("__a", F.coalesce(moved(F.col("__la")), "__before")).withColumn("__b", F.coalesce(moved(F.col("__lb")), "__behind"))
-    return out.drop("__range", "__of_range", "__n", "__k", "__la", "__lb", "__start", "__before", "__behind", *names)
-
-
 _KNOWN = ("__r", "__a", "__b")
 
 
-def fill_from_neighbours(df: DataFrame, column: str, order: str, partition: list[str] | None = None) -> DataFrame:
+def fill_from_neighbours(df: DataFrame, column: str, order: str, partition: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Forward fill, then backward fill; in groups without any known value the table's mode."""
-    out = with_known(df, column, order, partition).withColumn(column, F.coalesce(F.col("__a.v"), F.col("__b.v"))).drop(*_KNOWN)
+    out = with_known(df, column, order, partition, ties).withColumn(column, F.coalesce(F.col("__a.v"), F.col("__b.v"))).drop(*_KNOWN)
     return fill_with(out, column, "mode", df) if partition else out
 
 
-def interpolate(df: DataFrame, column: str, order: str, partition: list[str] | None = None) -> DataFrame:
+def interpolate(df: DataFrame, column: str, order: str, partition: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Linear by row number between known values; beyond them the nearest."""
-    both = with_known(df, column, order, partition)
+    both = with_known(df, column, order, partition, ties)
     step = (F.col("__r") - F.col("__a.r")) / F.nullif(F.col("__b.r") - F.col("__a.r"), F.lit(0))
     between = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * step
     return both.withColumn(column, F.coalesce(F.col(f"`{column}`").cast("double"), between, F.col("__a.v"), F.col("__b.v"))).drop(*_KNOWN)
 
 
-def fill_sequence(df: DataFrame, column: str, order: str, partition: list[str] | None = None) -> DataFrame:
+def fill_sequence(df: DataFrame, column: str, order: str, partition: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Missing numbers of a running sequence: the value before plus the distance, where that number is nowhere used."""
     c = F.col(f"`{column}`")
-    rows = with_known(df, column, order, partition)
+    rows = with_known(df, column, order, partition, ties)
     rows = rows.withColumn("__want", F.when(c.isNull(), F.col("__a.v") + F.col("__r") - F.col("__a.r")))
     used = df.select(c.alias("__used")).where("__used is not null").distinct()
     out = rows.join(used, F.col("__want") == F.col("__used"), "left")
@@ -122,12 +70,12 @@ def fill_sequence(df: DataFrame, column: str, order: str, partition: list[str] |
 _NUMBERED = r"^(.*?)(\d+)$"
 
 
-def fill_text_sequence(df: DataFrame, column: str, order: str, partition: list[str] | None = None) -> DataFrame:
+def fill_text_sequence(df: DataFrame, column: str, order: str, partition: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Missing members of a sequence of prefixed, zero-padded numbers such as EMP003."""
     c = F.col(f"`{column}`")
     number = F.when(c.rlike(_NUMBERED), F.regexp_extract(c, _NUMBERED, 2))
     facts = df.agg(F.mode(F.when(c.rlike(_NUMBERED), F.regexp_extract(c, _NUMBERED, 1)), True).alias("__prefix"), F.max(F.length(number)).alias("__width"))
-    filled = fill_sequence(df.withColumn("__number", number.cast("long")), "__number", order, partition).join(F.broadcast(facts))  # one row
+    filled = fill_sequence(df.withColumn("__number", number.cast("long")), "__number", order, partition, ties).join(F.broadcast(facts))  # one row
     text = F.concat("__prefix", F.lpad(F.col("__number").cast("string"), F.col("__width"), F.lit("0")))
     return filled.withColumn(column, F.coalesce(c, text)).drop("__number", "__prefix", "__width")
 

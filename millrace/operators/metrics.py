@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.operators.impute import order_ranges, with_known
+from millrace.operators.ordered import with_numbers, with_running
 from millrace.operators.stats import histogram
 
 
@@ -83,9 +83,9 @@ def residual_histogram(df: DataFrame, label: str, prediction: str, bins: int = 2
     return histogram(df.select((F.col(label) - F.col(prediction)).alias("residual")), "residual", bins)
 
 
-def evenly_spaced(df: DataFrame, order: str, n: int = 200) -> DataFrame:
+def evenly_spaced(df: DataFrame, order: str, n: int = 200, ties: list[str] | None = None) -> DataFrame:
     """``n`` rows at even steps of the order (all, if fewer): rows are numbered within ranges of the order, not in one task."""
-    numbered = with_known(df.withColumn("__none", F.lit(None).cast("int")), "__none", order).drop("__none", "__a", "__b")
+    numbered = with_numbers(df, order, ties=ties)
     total = F.broadcast(df.agg(F.count(F.lit(1)).alias("__total")))  # one row
     place = F.col("__r") - 1
     step = F.greatest(F.col("__total").cast("double"), F.lit(float(n)))
@@ -96,19 +96,11 @@ def evenly_spaced(df: DataFrame, order: str, n: int = 200) -> DataFrame:
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     """s, pos, neg, and how many of each stand at greater scores (pos_above, neg_above).
 
-    Distinct scores are cut into ranges; sums run within ranges, and what stands
-    above a range comes from one row per range.
+    Sums run within ranges of the distinct scores.
     """
     hit = F.col(label).cast("long")
     by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
-    by = by.withColumn("part", order_ranges(by, "s"))
-    parts = by.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    parts = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))
-    own = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    upto = lambda c: F.coalesce(F.sum(c).over(own), F.lit(0))
-    rows = by.withColumn("pw", upto("pos")).withColumn("nw", upto("neg")).join(parts, F.col("part") == F.col("of"))
-    return rows.select("s", "pos", "neg", (F.col("pw") + F.col("p0")).alias("pos_above"), (F.col("nw") + F.col("n0")).alias("neg_above"))
+    return with_running(by, {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, "s", ties=[], descending=True)
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, places
-from millrace.operators import charts, detect, features, impute, joins, metrics, models, rows, stats, structure
+from millrace.operators import charts, detect, features, impute, joins, metrics, models, ordered, rows, stats, structure
 from millrace.operators.profile import profile_columns
 from millrace.plans import cleaning
 from millrace.streaming import events
@@ -360,6 +360,60 @@ def interpolate(spark, sf_dir):
     return impute.interpolate(_gaps(spark, sf_dir), "v", "o_orderkey", ["o_orderpriority"]).withColumn("v", F.bround("v", 4))
 
 
+# The same fills where many rows have equal order; a group holds a fifth of all rows.
+
+_TIED = "SELECT o_orderkey AS k, o_orderpriority AS g, o_orderdate AS d, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS v FROM orders"
+_WT = "OVER (PARTITION BY g ORDER BY d, k ROWS BETWEEN {})"
+
+
+def _tied(spark, sf_dir) -> DataFrame:
+    v = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("g"), F.col("o_orderdate").alias("d"), v.alias("v"))
+
+
+@query(
+    f"WITH t AS ({_TIED}) SELECT k, g, d, coalesce(last_value(v IGNORE NULLS) {_WT.format('UNBOUNDED PRECEDING AND CURRENT ROW')}, "
+    f"first_value(v IGNORE NULLS) {_WT.format('CURRENT ROW AND UNBOUNDED FOLLOWING')}) AS v FROM t"
+)
+def ffill_bfill_ties(spark, sf_dir):
+    return impute.fill_from_neighbours(_tied(spark, sf_dir), "v", "d", ["g"])
+
+
+@query(
+    f"WITH t AS ({_TIED}), n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d, k) AS r FROM t), i AS (SELECT *, CASE WHEN v IS NOT NULL THEN r END AS kr FROM n), "
+    f"b AS (SELECT *, last_value(v IGNORE NULLS) {_WT.format('UNBOUNDED PRECEDING AND CURRENT ROW')} AS v0, last_value(kr IGNORE NULLS) {_WT.format('UNBOUNDED PRECEDING AND CURRENT ROW')} AS r0, "
+    f"first_value(v IGNORE NULLS) {_WT.format('CURRENT ROW AND UNBOUNDED FOLLOWING')} AS v1, first_value(kr IGNORE NULLS) {_WT.format('CURRENT ROW AND UNBOUNDED FOLLOWING')} AS r1 FROM i) "
+    "SELECT k, g, d, round_even(coalesce(v, v0 + (v1 - v0) * ((r - r0) / nullif(r1 - r0, 0)::DOUBLE), v0, v1), 8) AS v FROM b"
+)
+def interpolate_ties(spark, sf_dir):
+    return impute.interpolate(_tied(spark, sf_dir), "v", "d", ["g"]).withColumn("v", F.bround("v", 8))
+
+
+@query("WITH t AS (SELECT o_orderkey AS k, o_orderdate AS d, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders) SELECT k, d, n FROM t")
+def seq_numeric_ties(spark, sf_dir):
+    """A running number by date; a fifth of it was lost."""
+    by_date = ordered.with_numbers(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d")), "d")
+    lost = by_date.select("k", "d", F.when((F.col("k") % 5 != 0) | (F.col("__r") == 1), F.col("__r")).alias("n"))
+    return impute.fill_sequence(lost, "n", "d")
+
+
+@query(
+    "WITH w AS (SELECT o_orderkey AS k, o_orderpriority AS g, avg(o_totalprice) OVER () AS m, coalesce(sum(o_totalprice) OVER p, 0) AS s, count(o_totalprice) OVER p AS n FROM orders "
+    "WINDOW p AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT k, g, round_even((s + m) / (n + 1), 2) AS enc FROM w"
+)
+def ordered_target_ties(spark, sf_dir):
+    t = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("g"), F.col("o_orderdate").alias("d"), F.col("o_totalprice").alias("y"))
+    return features.ordered_target_encoded(t, "g", "y", "d").select("k", "g", F.bround("g_enc", 2).alias("enc"))
+
+
+@query(
+    "WITH t AS (SELECT o_orderkey AS k, o_orderdate AS d, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) "
+    "SELECT k, d FROM t WHERE floor((r + 1) * 150 / greatest(n, 150)::DOUBLE) > floor(r * 150 / greatest(n, 150)::DOUBLE)"
+)
+def evenly_spaced_ties(spark, sf_dir):
+    return metrics.evenly_spaced(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d")), "d", 150)
+
+
 @query("SELECT c_custkey, c_custkey AS n FROM customer")
 def seq_numeric(spark, sf_dir):
     t = read(spark, sf_dir, "customer").select("c_custkey", F.when((F.col("c_custkey") % 9 != 0) | (F.col("c_custkey") == 0), F.col("c_custkey")).alias("n"))
