@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from millrace.functions.places import boolean_of
 from millrace.operators.ordered import with_running
 from millrace.operators.profile import profile_columns
+from millrace.operators.quantiles import exact_quantile_columns
 
 _OPS = {
     ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b,
@@ -169,7 +170,7 @@ def time_parts(df: DataFrame, column: str) -> DataFrame:
 def scaled(df: DataFrame, column: str, how: str) -> DataFrame:
     """z_score (population deviation), min_max, robust (median, quartiles) or decimal; a constant column becomes 0."""
     c = F.col(column).cast("double")
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = exact_quantile_columns(df, {"c": c})["c"] if how == "robust" else F.array(*[F.lit(None).cast("double")] * 3)
     shift, width = {
         "z_score": (F.avg(c), F.stddev_pop(c)),
         "min_max": (F.min(c), F.max(c) - F.min(c)),
@@ -208,10 +209,13 @@ def mutual_information(df: DataFrame, features: list[str], target: str) -> DataF
 
 def binned(df: DataFrame, column: str, bins: int = 10, accuracy: int | None = None) -> DataFrame:
     """Continuous values to bins of equal counts, for mutual information; ``accuracy`` asks for approximate quantiles."""
-    marks = [F.lit(i / bins) for i in range(1, bins)]
-    q = F.percentile_approx(column, F.array(*marks), accuracy) if accuracy else F.percentile(column, F.array(*marks))
-    edges = F.broadcast(df.agg(q.alias("__q")))  # one row
-    return df.join(edges).withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), F.size(F.filter("__q", lambda q: q < F.col(column))))).drop("__q")
+    marks = tuple(i / bins for i in range(1, bins))
+    if accuracy:
+        edges = F.broadcast(df.agg(F.percentile_approx(column, F.array(*map(F.lit, marks)), accuracy).alias("__q")))  # one row
+        rows = df.join(edges)
+    else:
+        rows = df.withColumn("__q", exact_quantile_columns(df, {column: F.col(column)}, marks)[column])
+    return rows.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), F.size(F.filter("__q", lambda q: q < F.col(column))))).drop("__q")
 
 
 def ranked_features(df: DataFrame, features: list[str], target: str, bins: int = 10, least: float = 0.01, most: int = 10) -> DataFrame:

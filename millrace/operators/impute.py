@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.operators.ordered import with_known
+from millrace.operators.quantiles import exact_quantile_columns, group_quantiles
 
 
 def fill_with(df: DataFrame, column: str, how: str, source: DataFrame | None = None) -> DataFrame:
@@ -23,7 +24,8 @@ def fill_with(df: DataFrame, column: str, how: str, source: DataFrame | None = N
         counts = (source or df).where(c.isNotNull()).groupBy(c.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
         fill = counts.agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col("__v").alias("v")))["v"].alias("__fill"))
     else:
-        fill = (source or df).agg({"mean": F.avg(c), "median": F.median(c)}[how].alias("__fill"))
+        rows = source or df
+        fill = rows.agg(F.avg(c).alias("__fill")) if how == "mean" else rows.sparkSession.range(1).select(exact_quantile_columns(rows, {"v": c}, (0.5,))["v"][0].alias("__fill"))
     fill = F.broadcast(fill)  # one row
     return df.join(fill).withColumn(column, F.coalesce(c, F.col("__fill"))).drop("__fill")
 
@@ -31,13 +33,14 @@ def fill_with(df: DataFrame, column: str, how: str, source: DataFrame | None = N
 def fill_group_median(df: DataFrame, column: str, group: str) -> DataFrame:
     """Fill with the median of the row's group, else of the table.
 
-    Medians are one row per group and are joined; they count a group's distinct
-    values in one task, so round values of high precision first.
+    Medians are one row per group and are joined; a group of any size is ranked
+    in ranges of its values (see quantiles.py).
     """
-    medians = df.groupBy(F.col(group).alias("__g")).agg(F.median(column).alias("__m"))
-    whole = F.broadcast(df.agg(F.median(column).alias("__all")))
-    joined = df.join(medians, F.col(group).eqNullSafe(F.col("__g")), "left").join(whole)
-    return joined.withColumn(column, F.coalesce(F.col(column), "__m", "__all")).drop("__g", "__m", "__all")
+    c = F.col(f"`{column}`")
+    medians = group_quantiles(df.select(F.col(f"`{group}`").alias("__g"), c.alias("__v")), ["__g"], F.col("__v"), (0.5,))
+    whole = exact_quantile_columns(df, {"v": c}, (0.5,))["v"][0]
+    joined = df.join(medians.select("__g", F.col("q")[0].alias("__m")), F.col(f"`{group}`").eqNullSafe(F.col("__g")), "left")
+    return joined.withColumn(column, F.coalesce(c, "__m", whole)).drop("__g", "__m")
 
 
 _KNOWN = ("__r", "__a", "__b")

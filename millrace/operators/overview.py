@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from millrace.operators.joins import KEY_NAME
 from millrace.operators.profile import profile_columns
+from millrace.operators.quantiles import exact_quantile_columns
 from millrace.operators.rows import mixed_kinds
 from millrace.operators.stats import value_counts
 
@@ -56,8 +57,8 @@ def column_data(df: DataFrame, column: str, kind: str, order: str | None = None)
         return value_counts(df, column, 20).select(F.col("value").cast("string").alias("name"), F.col("n").cast("string").alias("value"))
     if kind == "numeric":
         x = c.cast("double")
-        q = F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-        a = df.agg(F.min(x).alias("min"), q.alias("q"), F.avg(x).alias("mean"), F.max(x).alias("max"))
+        q = exact_quantile_columns(df, {"x": x})["x"]
+        a = df.agg(F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max")).withColumn("q", q)
         parts = {"min": F.col("min"), "q25": F.col("q")[0], "median": F.col("q")[1], "mean": F.col("mean"), "q75": F.col("q")[2], "max": F.col("max")}
         pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.bround(v, 4).cast("string").alias("value")) for k, v in parts.items()])
         return a.select(F.explode(pairs).alias("p")).select("p.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.quantiles import exact_quantile_columns, group_quantiles
+
 
 def whole_numbers(c: Column) -> Column:
     """Aggregate: all non-null values are whole."""
@@ -14,8 +16,8 @@ def whole_numbers(c: Column) -> Column:
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     """One row of statistics, rounded half-even to four digits; skewness and kurtosis corrected for bias."""
     x = F.col(column).cast("double")
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    row = df.select(x.alias("x")).where("x is not null and not isnan(x)").agg(
+    rows = df.select(x.alias("x")).where("x is not null and not isnan(x)")
+    row = rows.agg(
         F.count("x").alias("n"),
         F.min("x").alias("min"),
         F.max("x").alias("max"),
@@ -25,8 +27,7 @@ def numeric_summary(df: DataFrame, column: str) -> DataFrame:
         F.var_samp("x").alias("variance"),
         F.skewness("x").alias("g1"),
         F.kurtosis("x").alias("g2"),
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-    )
+    ).withColumns({"q": exact_quantile_columns(rows, {"x": F.col("x")})["x"]})
     n = F.col("n").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
@@ -70,18 +71,18 @@ def group_means(df: DataFrame, by: Column, value: str) -> DataFrame:
 
 def boxes(df: DataFrame, by: str, value: str, groups: int = 10) -> DataFrame:
     """Minimum, quartiles and maximum of the first ``groups`` groups in order of their key."""
-    g = df.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(by).alias("x"))
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = g.agg(F.min(value).alias("lo"), q.alias("q"), F.max(value).alias("hi")).orderBy("x").limit(groups)
+    rows = df.select(F.col(by).alias("x"), F.col(value).alias("v")).where("x is not null and v is not null")
+    first = rows.select("x").distinct().orderBy("x").limit(groups)
+    out = group_quantiles(rows.join(F.broadcast(first), "x", "left_semi"), ["x"], F.col("v"))  # at most ``groups`` keys
     return out.select("x", *[F.bround(c, 4).alias(n) for n, c in (("min", F.col("lo")), ("q1", F.col("q")[0]), ("median", F.col("q")[1]), ("q3", F.col("q")[2]), ("max", F.col("hi")))])
 
 
 def outlier_share(df: DataFrame, column: str) -> DataFrame:
     """Share of rows beyond 1.5 interquartile ranges, and whether it is above 5 %."""
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    q = x.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    reach = 1.5 * (F.col("q")[1] - F.col("q")[0])
-    out = x.join(F.broadcast(q)).agg(F.avg(((F.col("x") < F.col("q")[0] - reach) | (F.col("x") > F.col("q")[1] + reach)).cast("double")).alias("share"))
+    q = exact_quantile_columns(x, {"x": F.col("x")}, (0.25, 0.75))["x"]
+    reach = 1.5 * (q[1] - q[0])
+    out = x.agg(F.avg(((F.col("x") < q[0] - reach) | (F.col("x") > q[1] + reach)).cast("double")).alias("share"))
     return out.select(F.bround("share", 6).alias("share"), (F.col("share") > 0.05).alias("many"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions.temporal import date_of, seconds_of_day, time_text
 from millrace.operators import impute
 from millrace.operators.profile import profile_columns
+from millrace.operators.quantiles import exact_quantile_columns, exact_quantiles
 from millrace.operators.rows import to_number, tokens_to_null
 
 NUMERIC = ("integer", "float", "currency", "salary", "percentage", "number_systems", "distance", "weight", "volume", "area", "speed", "temperature", "pressure", "energy", "power", "capacity", "density", "angle", "latitude", "longitude")
@@ -67,16 +68,16 @@ def generic_method(null_share: float, distinct: int, rows: int, kind: str, skew:
 
 
 def _facts(df: DataFrame, numeric: list[str]) -> dict[str, dict]:
-    """Per numeric column: skewness, coefficient of variation, mean, median, quartiles and whether all values are whole; one aggregate."""
+    """Per numeric column: skewness, coefficient of variation, mean, median, quartiles and whether all values are whole; one aggregate, and one selection for all."""
     if not numeric:
         return {}
     exprs = []
     for i, c in enumerate(numeric):
         x = F.col(f"`{c}`").cast("double")
-        q = F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-        exprs += [F.struct(F.skewness(x).alias("skew"), (F.stddev_samp(x) / F.nullif(F.avg(x), F.lit(0.0))).alias("cv"), F.avg(x).alias("mean"), q.alias("q"), F.bool_and(x % 1 == 0).alias("whole")).alias(f"f{i}")]
+        exprs += [F.struct(F.skewness(x).alias("skew"), (F.stddev_samp(x) / F.nullif(F.avg(x), F.lit(0.0))).alias("cv"), F.avg(x).alias("mean"), F.bool_and(x % 1 == 0).alias("whole")).alias(f"f{i}")]
     row = df.agg(*exprs).first()
-    return {c: row[f"f{i}"].asDict() for i, c in enumerate(numeric)}
+    q = exact_quantiles(df, {c: F.col(f"`{c}`").cast("double") for c in numeric})
+    return {c: row[f"f{i}"].asDict() | {"q": q[c] if q[c][0] is not None else None} for i, c in enumerate(numeric)}
 
 
 def _outliers(df: DataFrame, facts: dict[str, dict]) -> dict[str, float]:
@@ -166,7 +167,8 @@ def decide(df: DataFrame, kinds: dict[str, str]) -> list[Fill]:
 def _time_value(df: DataFrame, column: str) -> str:
     """The median time of day where more than five are known, else midnight."""
     s = seconds_of_day(F.col(f"`{column}`"))
-    row = df.agg(F.count(s).alias("n"), time_text(F.percentile(s, F.lit(0.5))).alias("t")).first()
+    t = time_text(exact_quantile_columns(df, {"s": s}, (0.5,))["s"][0])
+    row = df.agg(F.count(s).alias("n")).select("n", t.alias("t")).first()
     return row["t"] if row["n"] > 5 else "00:00:00"
 
 

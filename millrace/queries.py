@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, places
-from millrace.operators import charts, detect, features, impute, joins, metrics, models, ordered, rows, stats, structure
+from millrace.operators import charts, detect, features, impute, joins, metrics, models, ordered, quantiles, rows, stats, structure
 from millrace.operators.profile import profile_columns
 from millrace.plans import cleaning
 from millrace.streaming import events
@@ -360,6 +360,29 @@ def interpolate(spark, sf_dir):
     return impute.interpolate(_gaps(spark, sf_dir), "v", "o_orderkey", ["o_orderpriority"]).withColumn("v", F.bround("v", 4))
 
 
+# Exact quantiles: all columns of a table by selection, and of groups of very different sizes.
+
+_QUANTILE_COLUMNS = ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, round_even(quantile_cont({c}::DOUBLE, 0.05), 6) AS p05, round_even(median({c}::DOUBLE), 6) AS p50, round_even(quantile_cont({c}::DOUBLE, 0.999), 6) AS p999 FROM lineitem" for c in _QUANTILE_COLUMNS))
+def exact_quantiles(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem")
+    found = quantiles.exact_quantile_columns(t, {c: F.col(c) for c in _QUANTILE_COLUMNS}, (0.05, 0.5, 0.999))
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.bround(q[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p999"))]) for c, q in found.items()])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query(
+    "WITH t AS (SELECT CASE WHEN l_linenumber > 2 THEN 0 ELSE l_suppkey END AS g, l_extendedprice::DOUBLE AS v FROM lineitem) "
+    "SELECT g, count(*) AS n, round_even(quantile_cont(v, 0.25), 4) AS q1, round_even(median(v), 4) AS q2, round_even(quantile_cont(v, 0.75), 4) AS q3 FROM t GROUP BY g"
+)
+def group_quantiles(spark, sf_dir):
+    g = F.when(F.col("l_linenumber") > 2, 0).otherwise(F.col("l_suppkey"))
+    out = quantiles.group_quantiles(read(spark, sf_dir, "lineitem").select(g.alias("g"), "l_extendedprice"), ["g"], F.col("l_extendedprice"))
+    return out.select("g", "n", *[F.bround(F.col("q")[i], 4).alias(f"q{i + 1}") for i in range(3)])
+
+
 # The same fills where many rows have equal order; a group holds a fifth of all rows.
 
 _TIED = "SELECT o_orderkey AS k, o_orderpriority AS g, o_orderdate AS d, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS v FROM orders"
