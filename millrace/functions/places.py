@@ -58,15 +58,15 @@ def boolean_share(c: Column) -> Column:
     return F.when(known & (F.count_distinct(low) <= 2), F.when(both, 1.0).otherwise(0.3)).otherwise(0.0)
 
 
-_DMS = r"""^\s*(\d{1,3})[°\s]\s*(\d{1,2})['′\s]\s*(\d{1,2}(?:\.\d+)?)["″]?\s*([NSEWnsew])?\s*$"""
-_DEGREES = r"^\s*([+-]?\d{1,3}(?:\.\d+)?)\s*°?\s*([NSEWnsew])?\s*$"
+DMS = r"""^\s*(\d{1,3})[°\s]\s*(\d{1,2})['′\s]\s*(\d{1,2}(?:\.\d+)?)["″]?\s*([NSEWnsew])?\s*$"""
+DEGREES = r"^\s*([+-]?\d{1,3}(?:\.\d+)?)\s*°?\s*([NSEWnsew])?\s*$"
 
 
 def coordinate(c: Column, limit: int) -> Column:
     """Decimal degrees (six digits) of decimal or degree-minute-second forms, negative for S and W; null beyond ``limit``."""
-    dms = F.regexp_extract(c, _DMS, 1).cast("double") + F.regexp_extract(c, _DMS, 2).cast("double") / 60 + F.regexp_extract(c, _DMS, 3).cast("double") / 3600
-    side = F.upper(F.when(c.rlike(_DEGREES), F.regexp_extract(c, _DEGREES, 2)).otherwise(F.regexp_extract(c, _DMS, 4)))
-    value = F.when(c.rlike(_DEGREES), F.regexp_extract(c, _DEGREES, 1).cast("double")).when(c.rlike(_DMS), dms)
+    dms = F.regexp_extract(c, DMS, 1).cast("double") + F.regexp_extract(c, DMS, 2).cast("double") / 60 + F.regexp_extract(c, DMS, 3).cast("double") / 3600
+    side = F.upper(F.when(c.rlike(DEGREES), F.regexp_extract(c, DEGREES, 2)).otherwise(F.regexp_extract(c, DMS, 4)))
+    value = F.when(c.rlike(DEGREES), F.regexp_extract(c, DEGREES, 1).cast("double")).when(c.rlike(DMS), dms)
     value = F.bround(F.when(side.isin("S", "W"), -F.abs(value)).otherwise(value), 6)
     return F.when(F.abs(value) <= limit, value)
 

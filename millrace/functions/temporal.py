@@ -44,21 +44,30 @@ def date_of(c: Column) -> Column:
     return F.transform(F.array(_tidy(c)), parsed)[0]
 
 
+def date_shape(c: Column) -> Column:
+    """Whether a string has the shape of a date, whatever its digits."""
+
+    def shaped(t: Column) -> Column:
+        return (F.length(t) <= 30) & t.rlike("|".join(f"(?:{shape})" for shape, _ in DATE_SHAPES))
+
+    return F.transform(F.array(_tidy(c)), shaped)[0]
+
+
 def date_text(c: Column) -> Column:
     return F.date_format(date_of(c), "dd-MM-yyyy")
 
 
-_TIME = r"(?i)^\s*(\d{1,2})(?::(\d{1,2}))?(?::(\d{1,2}))?\s*(?:([ap])\.?m\.?)?\s*$"
+TIME = r"(?i)^\s*(\d{1,2})(?::(\d{1,2}))?(?::(\d{1,2}))?\s*(?:([ap])\.?m\.?)?\s*$"
 
 
 def time_of(c: Column) -> Column:
     """24-hour HH:mm of times, with or without seconds and AM or PM, and of clock words."""
-    part = lambda i: F.nullif(F.regexp_extract(c, _TIME, i), F.lit("")).cast("int")
-    hour, minute, second, half = part(1), part(2), part(3), F.lower(F.regexp_extract(c, _TIME, 4))
+    part = lambda i: F.nullif(F.regexp_extract(c, TIME, i), F.lit("")).cast("int")
+    hour, minute, second, half = part(1), part(2), part(3), F.lower(F.regexp_extract(c, TIME, 4))
     of_day = F.when(half == "", F.when(minute.isNotNull() & (hour < 24), hour)).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
     good = (F.coalesce(minute, F.lit(0)) < 60) & (F.coalesce(second, F.lit(0)) < 60) & of_day.isNotNull()
     clock = F.when(good, F.format_string("%02d:%02d", of_day, F.coalesce(minute, F.lit(0))))
-    return F.when(c.rlike(_TIME), clock).otherwise(_lookup(CLOCK_WORDS, F.lower(F.trim(c))))
+    return F.when(c.rlike(TIME), clock).otherwise(_lookup(CLOCK_WORDS, F.lower(F.trim(c))))
 
 
 def seconds_of_day(c: Column) -> Column:

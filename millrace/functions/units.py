@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,11 @@ class Measure:
         words = "|".join(_escaped(s) for s in sorted(self.spellings, key=lambda s: (-len(s), s)))
         return rf"(?i)^\s*{NUMBER}\s*({words})\s*$"
 
+    def shape_pattern(self) -> str:
+        """The pattern for values whose digits are all 0."""
+        words = "|".join(_escaped(re.sub(r"\d", "0", s)) for s in sorted(self.spellings, key=lambda s: (-len(s), s)))
+        return rf"(?i)^\s*{NUMBER}\s*({words})\s*$"
+
 
 def _escaped(s: str) -> str:
     return "".join("\\" + c if c in "^$.|?*+()[]{}/" else c for c in s)

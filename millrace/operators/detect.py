@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,25 +79,81 @@ def _values(df: DataFrame, columns: list[str], sample: int | None) -> DataFrame:
     return rows.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def scores(df: DataFrame, columns: list[str] | None = None, sample: int | None = SAMPLE) -> DataFrame:
-    """column_name and one score by type: share of non-null values that pass the type's test.
+#: Tests that look at digits, each with what a value must look like to pass: a test of its shape, in which every digit is 0.
+POSSIBLE: dict[str, Callable[[Column], Column]] = {
+    "date": lambda s: temporal.date_shape(s) | (s == "00000000"),
+    "time": lambda s: s.rlike(temporal.TIME) | F.lower(s).isin(*temporal.CLOCK_WORDS),
+    "datetime": lambda s: s.rlike(r"0\s*[:]\s*00"),
+    "timestamp": lambda s: s.rlike(r"^0{10}|^0000-00-00[T ]00:00"),
+    "year": lambda s: s.rlike(r"[A-Za-z]") & s.rlike("00"),
+    "week": lambda s: s.rlike(r"(?i)w(eek)?\s*0{1,2}$"),
+    "quarter": lambda s: s.rlike(r"(?i)q(uarter)?\s*0$"),
+    "number_systems": lambda s: s.rlike(r"(?i)^\s*0[xbo]") | numbers.numeral(s).isNotNull(),
+    **{k: (lambda s, m=m: s.rlike(m.shape_pattern())) for k, m in MEASURES.items() if m.shape_pattern() != m.pattern()},
+    "latitude": lambda s: s.rlike(r"(?i)[ns°.]") & (s.rlike(places.DEGREES) | s.rlike(places.DMS)),
+    "longitude": lambda s: s.rlike(r"(?i)[ew°.]") & (s.rlike(places.DEGREES) | s.rlike(places.DMS)),
+    "geo_coordinate": lambda s: s.rlike("[,;|]") & s.rlike("0") & ~s.rlike("[A-DF-MO-RT-VX-Za-df-mo-rt-vx-z$%@/]"),
+    "boolean": lambda s: F.lower(s).isin("0", *places.TRUE_WORDS, *places.FALSE_WORDS),
+    "network_addresses": lambda s: s.rlike(r"^0{1,3}(\.0{1,3}){3}(/0{1,2})?$") | places.is_a("ipv6", s) | places.is_a("mac", s),
+    "files": lambda s: s.rlike(r"(?i)\.mp0$") | places.is_a("file", s),
+}
 
-    All columns and types are one pass over the table; equal values are tested once.
-    """
-    values = _values(df, columns or df.columns, sample)
-    names = list(TESTS)
-    # a few tests to a projection, so that each compiles; they share the exchange of values
-    parts = [_scored(values, names[i : i + TESTS_AT_ONCE]) for i in range(0, len(names), TESTS_AT_ONCE)]
-    return reduce(lambda a, b: a.join(b, "column_name"), parts)
+
+def shape(v: Column) -> Column:
+    """A value with every digit as 0."""
+    return F.translate(v, "123456789", "0" * 9)
 
 
-#: Tests in one projection.
-TESTS_AT_ONCE = 8
+def evidence(df: DataFrame, columns: list[str] | None = None, sample: int | None = SAMPLE) -> list[dict]:
+    """For each column with values: column_name, one score by type (share of non-null values that pass its test), and the facts that rules look at.
+
+    Different values are grouped by shape: tests that don't look at digits are
+    run once a shape, on one value of it.  Of the others a shape tells whether a
+    value could pass, so a second look, if there is any, takes only columns and
+    tests of such shapes, each different value once.  A column of numbers, money
+    or measurements has a few shapes, however many values it has; a column of
+    free text has as many as values.
+    """
+    values = _values(df, columns or df.columns, sample)
+    v, low = F.col("v"), F.lower("v")
+    pair = r"^(\d{1,9}):(\d{1,9})$"
+    left, right = (F.nullif(F.regexp_extract(v, pair, i), F.lit("")).cast("int") for i in (1, 2))
+    beyond = (right > 59) | (left > 23)
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    facts = {
+        "numbers": count(is_number(v)), "fractions": count(is_number(v) & ~v.rlike(r"^[+-]?\d+(\.0*)?$")), "bare_year": count(v.rlike(r"^(19\d\d|20\d\d|2100)$")),
+        "ratio_like": count(v.rlike(pair) & beyond | v.rlike(r"^\d+/\w+$")), "time_like": count(v.rlike(pair) & ~beyond), "mean_length": F.sum(F.length(v) * F.col("n")),
+    }
+    flags = {"true_side": (F.max, places.TRUE_WORDS), "false_side": (F.max, places.FALSE_WORDS), "only_boolean": (F.min, (*places.TRUE_WORDS, *places.FALSE_WORDS))}
+    of_shape = [F.sum("n").alias("n"), F.min("v").alias("v"), *[f.alias(k) for k, f in facts.items()], *[f(low.isin(*words)).alias(k) for k, (f, words) in flags.items()]]
+    shapes = values.groupBy("column_name", shape(v).alias("shape")).agg(*of_shape)
+    settled = [k for k in TESTS if k not in POSSIBLE]
+    tested = shapes.select("column_name", "n", *facts, *flags, *[TESTS[k](v).cast("int").alias(k) for k in settled], *[POSSIBLE[k](shape(v)).alias(f"{k}?") for k in POSSIBLE])
+    share = lambda k: F.sum(F.col(k) * F.col("n")) / F.sum("n")
+    rows = tested.groupBy("column_name").agg(
+        F.sum("n").alias("n"), *[share(k).alias(k) for k in settled], *[(F.sum(k) / F.sum("n")).alias(k) for k in facts],
+        *[f(k).alias(k) for k, (f, _) in flags.items()], *[F.max(F.coalesce(f"{k}?", F.lit(False))).alias(f"{k}?") for k in POSSIBLE],
+    ).collect()  # a row a column
+    found = {r["column_name"]: {k: x for k, x in r.asDict().items() if not k.endswith("?")} | dict.fromkeys(POSSIBLE, 0.0) for r in rows}
+    open_ = {k: [r["column_name"] for r in rows if r[f"{k}?"]] for k in POSSIBLE}
+    open_ = {k: c for k, c in open_.items() if c}
+    if open_:
+        wanted = sorted({c for columns_ in open_.values() for c in columns_})
+        again = _values(df, wanted, sample)
+        passed = [F.sum(F.when(F.col("column_name").isin(c) & POSSIBLE[k](v) & TESTS[k](v), F.col("n")).otherwise(0)).alias(k) for k, c in open_.items()]
+        for r in again.groupBy("column_name").agg(*passed).collect():
+            found[r["column_name"]] |= {k: r[k] / found[r["column_name"]]["n"] for k in open_}
+    return list(found.values())
+
+
+def _table(df: DataFrame, rows: list[dict], names: tuple[str, ...]) -> DataFrame:
+    kind = lambda k: "boolean" if k in ("true_side", "false_side", "only_boolean") else "double"
+    return df.sparkSession.createDataFrame([tuple(r[k] for k in ("column_name", *names)) for r in rows], ", ".join(["column_name string", *[f"`{k}` {kind(k)}" for k in names]]))
 
 
-def _scored(values: DataFrame, names: list[str]) -> DataFrame:
-    tested = values.select("column_name", "n", *[TESTS[k](F.col("v")).cast("int").alias(k) for k in names])
-    return tested.groupBy("column_name").agg(*[(F.sum(F.col(k) * F.col("n")) / F.sum(F.when(F.col(k).isNotNull(), F.col("n")))).alias(k) for k in names])
+def scores(df: DataFrame, columns: list[str] | None = None, sample: int | None = SAMPLE) -> DataFrame:
+    """column_name and one score by type: share of non-null values that pass the type's test."""
+    return _table(df, evidence(df, columns, sample), tuple(TESTS))
 
 
 #: Types that hold a measure, in the order in which they are preferred to a general type.
@@ -117,14 +172,15 @@ def overridden(best: str, row: dict[str, float], facts: dict[str, float]) -> tup
 
     ``facts`` are shares of a column's values: ``bare_year`` (four digits from
     1900 to 2100), ``ratio_like`` and ``time_like`` (of forms a:b, those beyond
-    the clock and those within it), and the flags ``true_side`` and ``false_side``.
+    the clock and those within it), and the flags ``true_side``, ``false_side`` and
+    ``only_boolean`` (all values are true or false words).
     """
     score = lambda k: row.get(k) or 0.0
     if facts.get("year_named") and facts.get("bare_year", 0) > 0.7:
         return "year", facts["bare_year"]
     if score("ratio") > 0.5 and facts.get("ratio_like", 0) > facts.get("time_like", 0):
         return "ratio", score("ratio")
-    if score("boolean") > 0.8 and facts.get("true_side") and facts.get("false_side"):
+    if facts.get("only_boolean") and facts.get("true_side") and facts.get("false_side"):
         return "boolean", max(score("boolean"), 0.9)
     if best in GENERAL:
         for kind in (*MEASURES, "salary"):
@@ -156,16 +212,17 @@ def basic_type(facts: dict[str, float]) -> str:
 def choose(name: str, row: dict[str, float], facts: dict[str, float] | None = None) -> tuple[str, float]:
     """Type and confidence of a column from its scores and facts.
 
-    The best score, the first of equals, unless a rule overrides it; mixed
-    columns are ``mixed``; below one half the basic type with confidence 0.
-    Below 0.6, a word in the column's name forces a type.
+    Mixed columns are ``mixed``, whatever else fits; then the best score, the
+    first of equals, unless a rule overrides it; below one half the basic type
+    with confidence 0.  A column is boolean only if all its values are true or
+    false words.  Below 0.6, a word in the column's name forces a type.
     """
     facts = facts or {}
+    if not facts.get("only_boolean"):
+        row = row | {"boolean": 0.0}
     best = of_equal_rank(row, TESTS)
     score = row.get(best) or 0.0
-    found = overridden(best, row, {**facts, "year_named": "year" in name.lower()})
-    if found is None and is_mixed(row):
-        found = ("mixed", 0.0)
+    found = ("mixed", 0.0) if is_mixed(row) else overridden(best, row, {**facts, "year_named": "year" in name.lower()})
     if found is None:
         if best == "number_systems" and (row.get("integer") or 0) + (row.get("float") or 0) >= score:
             best = of_equal_rank(row, ("integer", "float"))
@@ -177,31 +234,19 @@ def choose(name: str, row: dict[str, float], facts: dict[str, float] | None = No
     return found
 
 
+#: Facts of a column besides its scores.
+FACTS = ("numbers", "fractions", "bare_year", "ratio_like", "time_like", "mean_length", "true_side", "false_side", "only_boolean")
+
+
 def column_facts(df: DataFrame, columns: list[str] | None = None, sample: int | None = SAMPLE) -> DataFrame:
-    """column_name and the shares and flags that the rules of choose() look at: one pass, one row a column."""
-    values = _values(df, columns or df.columns, sample)
-    v = F.col("v")
-    pair = r"^(\d{1,9}):(\d{1,9})$"
-    left, right = (F.nullif(F.regexp_extract(v, pair, i), F.lit("")).cast("int") for i in (1, 2))
-    beyond = (right > 59) | (left > 23)
-    low = F.lower(v)
-    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
-    return values.groupBy("column_name").agg(
-        share(is_number(v)).alias("numbers"),
-        share(is_number(v) & ~v.rlike(r"^[+-]?\d+(\.0*)?$")).alias("fractions"),
-        share(v.rlike(r"^(19\d\d|20\d\d|2100)$")).alias("bare_year"),
-        share(v.rlike(pair) & beyond | v.rlike(r"^\d+/\w+$")).alias("ratio_like"),
-        share(v.rlike(pair) & ~beyond).alias("time_like"),
-        F.max(low.isin(*places.TRUE_WORDS)).alias("true_side"),
-        F.max(low.isin(*places.FALSE_WORDS)).alias("false_side"),
-        (F.sum(F.length(v) * F.col("n")) / F.sum("n")).alias("mean_length"),
-    )
+    """column_name and the shares and flags that the rules of choose() look at."""
+    return _table(df, evidence(df, columns, sample), FACTS)
 
 
 def semantic_types(df: DataFrame, sample: int | None = SAMPLE) -> dict[str, tuple[str, float]]:
     """Type and confidence of every column; columns without a value are text."""
-    facts = {r["column_name"]: r.asDict() for r in column_facts(df, sample=sample).collect()}  # a row a column
-    found = {r["column_name"]: choose(r["column_name"], r.asDict(), facts[r["column_name"]]) for r in scores(df, sample=sample).collect()}
+    rows = {r["column_name"]: r for r in evidence(df, sample=sample)}
+    found = {c: choose(c, row, row) for c, row in rows.items()}
     return {c: found.get(c, ("text", 0.0)) for c in df.columns}
 
 
@@ -212,10 +257,10 @@ def units_in_strings(df: DataFrame, column: str) -> tuple[str, str] | None:
     """
     c = F.trim(F.col(f"`{column}`").cast("string"))
     strings = df.select(c.alias(column)).where(F.col(f"`{column}`").isNotNull() & ~is_number(F.col(f"`{column}`")))
-    rows = scores(strings).collect()
+    rows = evidence(strings)
     if not rows:
         return None
-    row = rows[0].asDict()
+    row = rows[0]
     with_units = {k: row.get(k) or 0.0 for k in (*MEASURES, "currency", "percentage")}
     best = max(with_units.values())
     tied = [k for k, x in with_units.items() if x == best]
