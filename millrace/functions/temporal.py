@@ -89,7 +89,7 @@ def datetime_of(c: Column) -> Column:
     minutes = F.when(timed, time_of(clock)).otherwise("00:00")
     seconds = F.coalesce(F.nullif(F.regexp_extract(clock, r":\d{1,2}:(\d{1,2})", 1), F.lit("")).cast("int"), F.lit(0))
     hour, minute = F.substring(minutes, 1, 2).cast("int"), F.substring(minutes, 4, 2).cast("int")
-    return F.timestamp_seconds(F.unix_date(date) * 86400 + hour * 3600 + minute * 60 + seconds)
+    return F.timestamp_seconds(F.unix_date(date).cast("long") * 86400 + hour * 3600 + minute * 60 + seconds)
 
 
 def datetime_text(c: Column) -> Column:

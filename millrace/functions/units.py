@@ -20,6 +20,8 @@ class Measure:
     factors: dict[str, float]
     digits: int = 2
     offsets: dict[str, float] | None = None
+    #: Units that only convert among themselves, by the name of their family.
+    families: dict[str, str] | None = None
 
     def pattern(self) -> str:
         words = "|".join(_escaped(s) for s in sorted(self.spellings, key=lambda s: (-len(s), s)))
@@ -164,7 +166,20 @@ MEASURES = {
             hp: horsepower"""),
             {"W": 1.0, "kW": 1000.0, "MW": 1e6, "GW": 1e9, "hp": 745.699871582},
         ),
-        Measure("capacity", _units("TB: terabyte\nGB: gigabyte, gb ram, gb ssd\nMB: megabyte\nKB: kilobyte"), {"TB": 1024.0, "GB": 1.0, "MB": 0.001, "KB": 1e-6}),
+        Measure(
+            "capacity",
+            _units("TB: terabyte, terabytes\nGB: gigabyte, gigabytes\nMB: megabyte, megabytes\nKB: kilobyte, kilobytes")
+            | {f"{u.lower()} {word}": u for u in ("TB", "GB", "MB", "KB") for word in ("ram", "rom", "storage", "disk", "memory", "ssd", "hdd")}
+            | _units("""L: liter, liters, litre, litres
+            kl: kiloliter, kiloliters, kilolitre, kilolitres
+            ml: milliliter, milliliters, millilitre, millilitres
+            gal: gallon, gallons
+            qt: quart, quarts
+            pt: pint, pints
+            cup: cups"""),
+            {"TB": 1024.0, "GB": 1.0, "MB": 0.001, "KB": 1e-6, "L": 1.0, "kl": 1000.0, "ml": 0.001, "gal": 3.78541, "qt": 0.946353, "pt": 0.473176, "cup": 0.236588},
+            families=dict.fromkeys(("TB", "GB", "MB", "KB"), "storage") | dict.fromkeys(("L", "kl", "ml", "gal", "qt", "pt", "cup"), "liquid"),
+        ),
         Measure("density", _units("kg/m3:\ng/cm3: g/cc\ng/ml:\nlb/ft3:"), {"kg/m3": 1.0, "g/cm3": 1000.0, "g/ml": 1000.0, "lb/ft3": 16.018463374}),
         Measure("angle", _units("deg: degree, degrees, °\nrad: radian, radians\ngrad: gradian, gradians"), {"deg": 1.0, "rad": 57.29577951308232, "grad": 0.9}),
     )
@@ -196,6 +211,8 @@ def converted(value: Column, measure: Measure, target: Column | str) -> Column:
             out = F.when(unit == target, amount).otherwise((amount + step["before"]) * step["by"] / by - behind)
         else:
             out = F.when(unit == target, amount).otherwise(amount * _lookup(measure.factors, unit) / by)
+        if measure.families:
+            out = F.when(_lookup(measure.families, unit) == measure.families[target], out)
         return F.bround(out, measure.digits)
     if measure.offsets:
         base = (amount + _lookup(measure.offsets, unit)) * _lookup(measure.factors, unit)

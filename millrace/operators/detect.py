@@ -121,7 +121,7 @@ def evidence(df: DataFrame, columns: list[str] | None = None, sample: int | None
     beyond = (right > 59) | (left > 23)
     count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     facts = {
-        "numbers": count(is_number(v)), "fractions": count(is_number(v) & ~v.rlike(r"^[+-]?\d+(\.0*)?$")), "bare_year": count(v.rlike(r"^(19\d\d|20\d\d|2100)$")),
+        "numbers": count(is_number(v)), "grouped_numbers": count(is_number(F.regexp_replace(v, "[, ]", ""))), "fractions": count(is_number(v) & ~v.rlike(r"^[+-]?\d+(\.0*)?$")), "bare_year": count(v.rlike(r"^(19\d\d|20\d\d|2100)$")),
         "ratio_like": count(v.rlike(pair) & beyond | v.rlike(r"^\d+/\w+$")), "time_like": count(v.rlike(pair) & ~beyond), "mean_length": F.sum(F.length(v) * F.col("n")),
     }
     flags = {"true_side": (F.max, places.TRUE_WORDS), "false_side": (F.max, places.FALSE_WORDS), "only_boolean": (F.min, (*places.TRUE_WORDS, *places.FALSE_WORDS))}
@@ -235,7 +235,7 @@ def choose(name: str, row: dict[str, float], facts: dict[str, float] | None = No
 
 
 #: Facts of a column besides its scores.
-FACTS = ("numbers", "fractions", "bare_year", "ratio_like", "time_like", "mean_length", "true_side", "false_side", "only_boolean")
+FACTS = ("numbers", "grouped_numbers", "fractions", "bare_year", "ratio_like", "time_like", "mean_length", "true_side", "false_side", "only_boolean")
 
 
 def column_facts(df: DataFrame, columns: list[str] | None = None, sample: int | None = SAMPLE) -> DataFrame:

@@ -89,18 +89,33 @@ def sequence_facts(df: DataFrame, column: str) -> DataFrame:
     A numbered text has digits at its end in four of five values, one prefix,
     and at least half of the range of its numbers.
     """
-    s = F.trim(F.col(f"`{column}`").cast("string"))
-    number = F.when(s.rlike(r"^-?\d{1,15}$"), s.cast("long"))
-    tail = F.when(s.rlike(_NUMBERED) & ~s.rlike(r"^-?\d+$"), F.nullif(F.substring(F.regexp_extract(s, _NUMBERED, 2), -15, 15), F.lit("")).cast("long"))
-    rows = df.select(s.alias("s"), number.alias("x"), tail.alias("t"), F.when(tail.isNotNull(), F.regexp_extract(s, _NUMBERED, 1)).alias("p")).where("s is not null")
-    a = rows.agg(
-        F.count("s").alias("n"), F.count("x").alias("nx"), F.min("x").alias("lx"), F.max("x").alias("hx"),
-        F.count("t").alias("nt"), F.min("t").alias("lt"), F.max("t").alias("ht"), F.min("p").alias("p0"), F.max("p").alias("p1"),
-    )
-    dense = lambda n, low, high: F.coalesce(F.col(n) >= 0.5 * (F.col(high) - F.col(low) + 1), F.lit(False))
-    numeric = (F.col("n") > 0) & (F.col("nx") == F.col("n")) & dense("nx", "lx", "hx")
-    text = (F.col("nt") > 0) & (F.col("nt") >= 0.8 * F.col("n")) & (F.col("p0") == F.col("p1")) & dense("nt", "lt", "ht")
-    return a.select(F.coalesce(numeric, F.lit(False)).alias("numeric_sequence"), F.coalesce(text, F.lit(False)).alias("text_sequence"))
+    return _sequences(df, [column]).select(F.col("s0.numeric_sequence").alias("numeric_sequence"), F.col("s0.text_sequence").alias("text_sequence"))
+
+
+def sequences(df: DataFrame, columns: list[str]) -> dict[str, tuple[bool, bool]]:
+    """sequence_facts() of any number of columns in one aggregate."""
+    row = _sequences(df, columns).first() if columns else None
+    return {c: (row[f"s{i}"]["numeric_sequence"], row[f"s{i}"]["text_sequence"]) for i, c in enumerate(columns)}
+
+
+def _sequences(df: DataFrame, columns: list[str]) -> DataFrame:
+    parts, facts, told = [], [], []
+    for i, column in enumerate(columns):
+        s = F.trim(F.col(f"`{column}`").cast("string"))
+        number = F.when(s.rlike(r"^-?\d{1,15}$"), s.cast("long"))
+        tail = F.when(s.rlike(_NUMBERED) & ~s.rlike(r"^-?\d+$"), F.nullif(F.substring(F.regexp_extract(s, _NUMBERED, 2), -15, 15), F.lit("")).cast("long"))
+        parts.append(F.struct(s.alias("s"), number.alias("x"), tail.alias("t"), F.when(tail.isNotNull(), F.regexp_extract(s, _NUMBERED, 1)).alias("p")).alias(f"c{i}"))
+        of = lambda k, i=i: F.col(f"c{i}.{k}")
+        facts += [
+            F.count(of("s")).alias(f"n{i}"), F.count(of("x")).alias(f"nx{i}"), F.min(of("x")).alias(f"lx{i}"), F.max(of("x")).alias(f"hx{i}"),
+            F.count(of("t")).alias(f"nt{i}"), F.min(of("t")).alias(f"lt{i}"), F.max(of("t")).alias(f"ht{i}"), F.min(of("p")).alias(f"p0{i}"), F.max(of("p")).alias(f"p1{i}"),
+        ]
+        a = lambda k, i=i: F.col(f"{k}{i}")
+        dense = lambda n, low, high, a=a: F.coalesce(a(n) >= 0.5 * (a(high) - a(low) + 1), F.lit(False))
+        numeric = (a("n") > 0) & (a("nx") == a("n")) & dense("nx", "lx", "hx")
+        text = (a("nt") > 0) & (a("nt") >= 0.8 * a("n")) & (a("p0") == a("p1")) & dense("nt", "lt", "ht")
+        told.append(F.struct(F.coalesce(numeric, F.lit(False)).alias("numeric_sequence"), F.coalesce(text, F.lit(False)).alias("text_sequence")).alias(f"s{i}"))
+    return df.select(*parts).agg(*facts).select(*told)
 
 
 def clamped_date(year: Column, month: Column, day: Column) -> Column:

@@ -7,7 +7,7 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY_NAME = re.compile(r"(?i)^(?:.*_)?(?:id|no|num|number|key|code|pk|idx)$")
@@ -25,11 +25,65 @@ class Join:
     result: str | None = None
 
 
-def join_tables(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+#: Keys that the sketch of a side follows, and candidates for hot keys at most.
+TRACKED, MOST_HOT = 10_000, 256
+
+
+def hot_keys(left: DataFrame, right: DataFrame, keys: list[Column], share: float) -> tuple[list[int], list[int]]:
+    """Hashes of keys (null ones too) that hold more than ``share`` of the left or the right side; each key is hot on the side where it has more rows.
+
+    A sketch of bounded size proposes candidates, which are then counted exactly.
+    """
+    of_key = F.xxhash64(*[k.isNull() for k in keys], *keys)
+    counts: list[dict[int, int]] = []
+    limits: list[float] = []
+    proposed: set[int] = set()
+    for side in (left, right):
+        row = side.select(of_key.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {MOST_HOT}, {TRACKED})").alias("top")).first()
+        limits.append(share * row["n"])
+        proposed |= {t["item"] for t in row["top"] or [] if t["count"] >= limits[-1]}
+    for side in (left, right):
+        rows = side.select(of_key.alias("h")).where(F.col("h").isin(*proposed)).groupBy("h").count().collect() if proposed else []
+        counts.append({r["h"]: r["count"] for r in rows})
+    a, b = counts
+    hot_left = [h for h, n in a.items() if n > limits[0] and n >= b.get(h, 0)]
+    return hot_left, [h for h, n in b.items() if n > limits[1] and n > a.get(h, 0)]
+
+
+def _spread(left: DataFrame, right: DataFrame, left_keys: list[Column], right_keys: list[Column], salts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with __salt to join on as well, and __copy on rows that stand in for others.
+
+    Rows of a key that is hot on one side are dealt to salts there, and their
+    partners on the other side are repeated for each salt.
+    """
+    named = lambda df, keys: df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    names = [F.col(f"k{i}") for i in range(len(left_keys))]
+    hot = hot_keys(named(left, left_keys), named(right, right_keys), names, 1 / (2 * salts))
+
+    def salted(df: DataFrame, keys: list[Column], own: list[int], other: list[int]) -> DataFrame:
+        h = F.xxhash64(*[k.isNull() for k in keys], *keys)
+        none, all_ = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(salts - 1))
+        row = F.xxhash64(F.lit("place"), *[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+        any_ = F.pmod(row, F.lit(salts)).cast("int")  # by the row's values, so that a task that runs again deals as before; equal rows stay together
+        copied = h.isin(*other) if other else F.lit(False)
+        places = F.when(copied, all_).when(h.isin(*own) if own else F.lit(False), F.array(any_)).otherwise(none)
+        return df.select("*", F.explode(places).alias("__salt"), copied.alias("__copy"))
+
+    return salted(left, left_keys, *hot), salted(right, right_keys, hot[1], hot[0])
+
+
+def join_tables(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int | None = None) -> DataFrame:
     """Equi-join on same-named columns in which null keys match; other clashes get _x and _y.
 
     Keys missing on either side are left out of the condition.  The physical
     join is Spark's choice.
+
+    With ``salts``, keys that hold more than 1 / (2 * salts) of a side, null
+    keys too, are spread: their rows are dealt to that many places and their
+    partners are repeated there.  It costs two looks at the keys of each side,
+    and serves joins that Spark can't split by itself, full ones above all.  The
+    result has the same rows: a repeated row that finds no partner at its place
+    has one elsewhere, for the key is known to be on the other side.
     """
     if how not in HOW:
         raise ValueError(f"how must be one of {sorted(HOW)}")
@@ -40,7 +94,14 @@ def join_tables(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     a = left.select(*[F.col(f"`{c}`").alias(f"l.{c}") for c in left.columns])
     b = right.select(*[F.col(f"`{c}`").alias(f"r.{c}") for c in right.columns])
     cond = reduce(lambda x, y: x & y, [F.col(f"`l.{k}`").eqNullSafe(F.col(f"`r.{k}`")) for k in keys])
-    both = a.join(b, cond, how)
+    if salts and salts > 1:
+        a, b = _spread(a, b, [F.col(f"`l.{k}`") for k in keys], [F.col(f"`r.{k}`") for k in keys], salts)
+        a, b = (x.withColumnsRenamed({"__salt": f"__salt_{s}", "__copy": f"__copy_{s}"}) for x, s in ((a, "l"), (b, "r")))
+        both = a.join(b, cond & (F.col("__salt_l") == F.col("__salt_r")), how)
+        alone_l, alone_r = F.col("__copy_r").isNull() & F.col("__copy_l"), F.col("__copy_l").isNull() & F.col("__copy_r")
+        both = both.where(~F.coalesce(alone_l | alone_r, F.lit(False)))
+    else:
+        both = a.join(b, cond, how)
     out = [F.coalesce(F.col(f"`l.{c}`"), F.col(f"`r.{c}`")).alias(c) if c in keys else F.col(f"`l.{c}`").alias(f"{c}_x" if c in clash else c) for c in left.columns]
     out += [F.col(f"`r.{c}`").alias(f"{c}_y" if c in clash else c) for c in right.columns if c not in keys]
     return both.select(*out)

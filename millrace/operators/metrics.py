@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,12 +95,18 @@ def evenly_spaced(df: DataFrame, order: str, n: int = 200, ties: list[str] | Non
     return numbered.join(total).where(chosen).drop("__r", "__total")
 
 
+def _binary(label: str) -> Column:
+    """The label as 0 or 1; another one is an error."""
+    c = F.col(label)
+    return F.when(c.isNull() | c.cast("double").isin(0.0, 1.0), c.cast("long")).otherwise(F.raise_error(F.concat(F.lit("the label must be 0 or 1, not "), c.cast("string"))).cast("long"))
+
+
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     """s, pos, neg, and how many of each stand at greater scores (pos_above, neg_above).
 
     Sums run within ranges of the distinct scores.
     """
-    hit = F.col(label).cast("long")
+    hit = _binary(label)
     by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     return with_running(by, {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, "s", ties=[], descending=True)
 
@@ -122,10 +128,33 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
 def log_loss(df: DataFrame, label: str, probability: str, least: float = 1e-15) -> DataFrame:
     """Mean negative log likelihood of a binary label."""
     p = F.least(F.greatest(F.col(probability).cast("double"), F.lit(least)), F.lit(1 - least))
-    loss = -F.log(F.when(F.col(label) == 1, p).otherwise(1 - p))
+    loss = -F.log(F.when(_binary(label) == 1, p).otherwise(1 - p))
     return df.where(F.col(label).isNotNull()).agg(F.bround(F.avg(loss), 8).alias("log_loss"))
 
 
+def multiclass_metrics(df: DataFrame, label: str, probabilities: str, least: float = 1e-15) -> DataFrame:
+    """Metrics of an array of probabilities by class, whose place is the label: log_loss, and the areas under the ROC and the
+    precision-recall curve of each class against the others, as plain means (macro) and weighted by the classes' rows.
+
+    Classes that have no row, or all rows, take no part in the means.  One row
+    per row and class is counted by score; sums run along the scores of all
+    classes at once.
+    """
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(probabilities).alias("p"))
+    own = F.least(F.greatest(F.get("p", F.col("y")), F.lit(least)), F.lit(1 - least))
+    loss = rows.agg(F.bround(F.avg(-F.log(own)), 8).alias("log_loss"))
+    each = rows.select("y", F.posexplode("p").alias("c", "s"))
+    by = each.groupBy("c", "s").agg(F.count_if(F.col("y") == F.col("c")).alias("pos"), F.count_if(F.col("y") != F.col("c")).alias("neg"))
+    ranked = with_running(by, {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, "s", ["c"], ties=[], descending=True)
+    found, said = F.col("pos_above") + F.col("pos"), F.col("pos_above") + F.col("pos") + F.col("neg_above") + F.col("neg")
+    classes = ranked.groupBy("c").agg(
+        F.sum("pos").alias("n"), F.sum("neg").alias("rest"), F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2)).alias("u"), F.sum(F.col("pos") * found / said).alias("a")
+    )
+    classes = classes.where("n > 0 and rest > 0").select("n", (F.col("u") / (F.col("n") * F.col("rest"))).alias("roc"), (F.col("a") / F.col("n")).alias("pr"))
+    means = [F.bround(F.avg(k), 8).alias(f"{k}_auc_macro") for k in ("roc", "pr")] + [F.bround(F.sum(F.col(k) * F.col("n")) / F.sum("n"), 8).alias(f"{k}_auc_weighted") for k in ("roc", "pr")]
+    return classes.agg(*means).join(F.broadcast(loss))  # one row each
+
+
 def top_k_accuracy(df: DataFrame, label: str, probabilities: str, k: int = 3) -> DataFrame:
     """Share of rows whose label, an index, is among the ``k`` greatest of an array of probabilities (the first of equals)."""
     own = F.get(probabilities, F.col(label).cast("int"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numbers, places, temporal
 from millrace.functions.units import MEASURES, converted, dominant_unit
-from millrace.operators import detect, rows
+from millrace.operators import detect, mixed, rows
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,8 @@ SIMPLE = {
     "gender": places.gender_of, "email": places.email_of, "boolean": places.boolean_of, "network_addresses": places.network_address,
     "timezone": lambda c: places.kept_if("timezone", c), "url": lambda c: places.kept_if("url", c), "file_path": lambda c: places.kept_if("path", c), "files": lambda c: places.kept_if("file", c), "version": lambda c: places.kept_if("version", c),
 }
+#: Prefix of the kind of columns that hold plain numbers beside numbers with a unit.
+NUMBERS_AND = "numbers and "
 #: Kinds whose forms may lack a year; the plan names the one that stands in.
 WITH_YEAR = {"week": temporal.week_label, "quarter": temporal.quarter_label}
 
@@ -53,16 +55,23 @@ WITH_YEAR = {"week": temporal.week_label, "quarter": temporal.quarter_label}
 def decide(df: DataFrame, sample: int | None = detect.SAMPLE, sparse: float = 0.7, year: int = 2000) -> CleaningPlan:
     """Passes for the types and the nulls, and one small vote for each column with units.
 
-    ``year`` stands in for weeks and quarters without one.
+    ``year`` stands in for weeks and quarters without one.  A column of which at
+    least half are plain numbers, and whose other strings are numbers with a
+    unit, becomes numbers in that unit.
     """
     dropped = tuple(c for c, s in rows.null_shares(df).items() if s >= sparse)
-    found = detect.semantic_types(df.drop(*dropped), sample)
+    evidence = {r["column_name"]: r for r in detect.evidence(df.drop(*dropped), sample=sample)}
+    found = {c: detect.choose(c, row, row) for c, row in evidence.items()}
     plans = []
     for c in df.columns:
         if c in dropped:
             continue
         kind = found.get(c, ("text", 0.0))[0]
-        if kind in MEASURES:
+        with_units = detect.units_in_strings(df, c) if 0.5 <= evidence.get(c, {}).get("grouped_numbers", 0.0) < 1 else None
+        if with_units:
+            of, unit = with_units
+            plans.append(ColumnPlan(c, f"{NUMBERS_AND}{of}", unit, f"{c}_percentage" if of == "percentage" else f"{c}_({unit})"))
+        elif kind in MEASURES:
             unit = dominant_unit(df, c, MEASURES[kind])
             plans.append(ColumnPlan(c, kind, unit, f"{c}_({unit})"))
         elif kind == "currency":
@@ -78,6 +87,8 @@ def decide(df: DataFrame, sample: int | None = detect.SAMPLE, sparse: float = 0.
 
 
 def _value(c: Column, p: ColumnPlan) -> Column:
+    if p.kind.startswith(NUMBERS_AND):
+        return mixed.amount(c, p.kind.removeprefix(NUMBERS_AND), p.unit)
     if p.kind in MEASURES and p.unit:
         return converted(c, MEASURES[p.kind], p.unit)
     if p.kind in WITH_YEAR and p.unit:

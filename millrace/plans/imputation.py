@@ -46,14 +46,30 @@ def grouping_for(df: DataFrame, column: str, candidates: list[str]) -> str | Non
 
     Narrow: the mean variance within groups is below 0.7 of the column's own.
     """
-    v = F.col(f"`{column}`").cast("double")
-    for g in candidates:
-        groups = df.where(v.isNotNull() & F.col(f"`{g}`").isNotNull()).groupBy(F.col(f"`{g}`")).agg(F.avg(v).alias("m"), F.var_samp(v).alias("v"))
-        r = groups.agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("a"), F.max("m").alias("b"), F.avg("v").alias("within")).first()
-        whole = df.agg(F.var_samp(v).alias("v")).first()["v"]
-        if 1 < r["n"] < 10 and r["a"] != r["b"] and r["within"] is not None and whole and r["within"] / whole < 0.7:
-            return g
-    return None
+    return groupings(df, [column], candidates)[column]
+
+
+def groupings(df: DataFrame, columns: list[str], candidates: list[str]) -> dict[str, str | None]:
+    """grouping_for() of all columns in one grouping: each row goes once to each candidate's level, and the levels, fewer than ten a candidate, are collected."""
+    if not columns or not candidates:
+        return dict.fromkeys(columns)
+    v = [F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
+    whole_table = F.struct(F.lit(-1).alias("g"), F.lit("").alias("level"))
+    levels = F.array(whole_table, *[F.struct(F.lit(i).alias("g"), F.col(f"`{g}`").cast("string").alias("level")) for i, g in enumerate(candidates)])
+    rows = df.select(F.explode(levels).alias("e"), *v).where("e.level is not null").groupBy("e.g", "e.level")
+    sums = [f(f"v{i}").alias(f"{k}{i}") for i in range(len(columns)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
+    found = rows.agg(*sums).collect()
+    out: dict[str, str | None] = {}
+    for i, c in enumerate(columns):
+        whole = next((r[f"v{i}"] for r in found if r["g"] == -1), None)
+        out[c] = None
+        for j, g in enumerate(candidates):
+            held = [r for r in found if r["g"] == j and r[f"n{i}"]]
+            within = [r[f"v{i}"] for r in held if r[f"v{i}"] is not None]
+            if 1 < len(held) < 10 and len({r[f"m{i}"] for r in held}) > 1 and within and whole and sum(within) / len(within) / whole < 0.7:
+                out[c] = g
+                break
+    return out
 
 
 def generic_method(null_share: float, distinct: int, rows: int, kind: str, skew: float | None, outliers: float, whole: bool) -> str:
@@ -101,10 +117,15 @@ def _mode(df: DataFrame, column: str):
     return row["v"] if row else None
 
 
-def decide(df: DataFrame, kinds: dict[str, str]) -> list[Fill]:
+#: Confidence in a semantic type from which the rules for numbers follow it.
+SURE = 0.8
+
+
+def decide(df: DataFrame, kinds: dict[str, str], confidence: dict[str, float] | None = None) -> list[Fill]:
     """A fill for each column with nulls, in the order in which they are applied.
 
-    ``kinds`` are semantic types by column.  Empty columns are dropped;
+    ``kinds`` are semantic types by column; where ``confidence`` in one is below
+    0.8 a column of numbers goes by the fallback rules.  Empty columns are dropped;
     sequences are continued; numbers, dates, durations and calendar parts go by
     their rules, and all others by the fallback rules.
     """
@@ -118,6 +139,9 @@ def decide(df: DataFrame, kinds: dict[str, str]) -> list[Fill]:
     outliers = _outliers(df, facts)
     groups = [c for c in df.columns if types[c] == "string" and 1 < profile[c]["unique_count"] < 10]
     dated = next((c for c in df.columns if types[c] in {"date", "timestamp", "timestamp_ntz"} and share.get(c, 0) == 0), None)
+    counted = {c for c in open_ if types[c] in {"string", "int", "bigint"} and kinds.get(c, "text") not in (*CALENDAR, *DATES, "time", "duration", "boolean") and profile[c]["unique_count"] == rows - profile[c]["null_count"] > 0}
+    running = impute.sequences(df, sorted(counted))
+    by_column = groupings(df, numeric, groups)
     plan = []
     for c in open_:
         kind, distinct = kinds.get(c, "text"), profile[c]["unique_count"]
@@ -125,10 +149,8 @@ def decide(df: DataFrame, kinds: dict[str, str]) -> list[Fill]:
             plan.append(Fill(c, "drop"))
             continue
         method, flag = None, False
-        if types[c] in {"string", "int", "bigint"} and kind not in (*CALENDAR, *DATES, "time", "duration", "boolean"):
-            s = impute.sequence_facts(df, c).first()
-            if distinct == rows - profile[c]["null_count"] and (s["numeric_sequence"] or s["text_sequence"]):
-                method = "sequence" if s["numeric_sequence"] else "text_sequence"
+        if any(running.get(c, ())):
+            method = "sequence" if running[c][0] else "text_sequence"
         if method is None and kind == "time":
             method = "time"
         if method is None and kind in (*CALENDAR, *DATES, "duration"):
@@ -138,7 +160,7 @@ def decide(df: DataFrame, kinds: dict[str, str]) -> list[Fill]:
             if method == "derive":
                 plan.append(Fill(c, "derive", kind, dated))
                 continue
-        if method is None and c in facts and kind in NUMERIC:
+        if method is None and c in facts and kind in NUMERIC and (confidence or {}).get(c, 1.0) >= SURE:
             f = facts[c]
             method = impute.numeric_method(impute.Facts(share[c], distinct, f["skew"], f["cv"]))
             flag = share[c] > FLAG_FROM and method != "drop"
@@ -146,7 +168,7 @@ def decide(df: DataFrame, kinds: dict[str, str]) -> list[Fill]:
             general = "boolean" if kind == "boolean" or types[c] == "boolean" else "numeric" if c in facts else "text"
             f = facts.get(c, {})
             method = generic_method(share[c], distinct, rows, general, f.get("skew"), outliers.get(c, 0.0), bool(f.get("whole")))
-        by = grouping_for(df, c, groups) if method in ("mean", "median") and c in facts else None
+        by = by_column.get(c) if method in ("mean", "median") else None
         value = None
         if by:
             method = "group_median"

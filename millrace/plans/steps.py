@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.operators import rows
 from millrace.plans import cleaning
@@ -29,20 +32,26 @@ def step(name: str) -> Callable[[Step], Step]:
 
 @dataclass(frozen=True)
 class Entry:
-    """One step of a run: its state (done or failed), seconds of planning, columns after it, and what went wrong."""
+    """One step of a run: its state (done or failed), seconds of planning, columns after it, and what went wrong.
+
+    ``seen`` counts the rows and nulls behind the step while the first action on
+    what came of it runs.
+    """
 
     step: str
     state: str
     seconds: float
     columns: int
     message: str = ""
+    seen: Observation | None = None
 
 
 def run(df: DataFrame, names: list[str], strict: bool = True) -> tuple[DataFrame, list[Entry]]:
     """The table after the named steps, and the log.  Steps are lazy but for the aggregates that they decide by.
 
     An unknown step is an error at once; a failing one ends the run, or, if not
-    ``strict``, is logged and left out.
+    ``strict``, is logged and left out.  Rows and nulls are observed as the table
+    passes, so the log costs no job.
     """
     unknown = [n for n in names if n not in STEPS]
     if unknown:
@@ -57,14 +66,22 @@ def run(df: DataFrame, names: list[str], strict: bool = True) -> tuple[DataFrame
             if strict:
                 raise
             continue
-        df = after
-        log.append(Entry(name, "done", round(time.monotonic() - began, 3), len(df.columns)))
+        df, seen = _observed(after, f"{len(log)} {name}")
+        log.append(Entry(name, "done", round(time.monotonic() - began, 3), len(df.columns), seen=seen))
     return df, log
 
 
-def log_table(spark: SparkSession, log: list[Entry]) -> DataFrame:
-    rows_ = [(i, e.step, e.state, e.seconds, e.columns, e.message) for i, e in enumerate(log)]
-    return spark.createDataFrame(rows_, "nth int, step string, state string, seconds double, columns int, message string")
+def _observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    seen = Observation(f"{name} {uuid.uuid4().hex}")
+    nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns], F.lit(0))
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), nulls.alias("nulls")), seen
+
+
+def log_table(spark: SparkSession, log: list[Entry], after_action: bool = False) -> DataFrame:
+    """The log as rows; ``after_action`` says that the result was written or collected, so that rows and nulls are known (else null)."""
+    seen = [e.seen.get if after_action and e.seen else {} for e in log]
+    rows_ = [(i, e.step, e.state, e.seconds, e.columns, e.message, s.get("rows"), s.get("nulls")) for i, (e, s) in enumerate(zip(log, seen, strict=True))]
+    return spark.createDataFrame(rows_, "nth int, step string, state string, seconds double, columns int, message string, rows long, nulls long")
 
 
 STEPS |= {

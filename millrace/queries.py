@@ -177,7 +177,7 @@ def _join_query(how: str):
         key = F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_orderkey")).otherwise(F.col("o_custkey") - F.col("o_custkey") % 2)
         o = read(spark, sf_dir, "orders").select(key.alias("custkey"), "o_orderkey", "o_totalprice")
         c = _customers(spark, sf_dir).select("custkey", "c_name", "c_mktsegment")
-        return joins.join_tables(o, c, ["custkey"], how)
+        return joins.join_tables(o, c, ["custkey"], how, salts=8 if how == "outer" else None)
 
 
 for _how in ("inner", "left", "right", "outer"):
@@ -205,7 +205,7 @@ _NULL_KEYS = "SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 1000 END AS
 def join_nullkeys_suffix(spark, sf_dir):
     """All orders, a fifth of them under the null key, to a table with one row a key, null among them."""
     t = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 1000).alias("k"), F.col("o_orderkey").alias("v"))
-    return joins.join_tables(t, t.groupBy("k").agg(F.max("v").alias("v")), ["k"])
+    return joins.join_tables(t, t.groupBy("k").agg(F.max("v").alias("v")), ["k"], salts=8)
 
 
 _SHARED = ("documents", "labels", "benchmark", "conversations")

@@ -6,8 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import charts, detect, features, impute, inputs, metrics, overview, ranges, rows, structure
-from millrace.plans import imputation, steps
+from millrace.operators import charts, detect, features, impute, inclusion, inputs, metrics, mixed, models, overview, ranges, rows, sketches, structure
+from millrace.plans import cleaning, imputation, steps
 from millrace.queries import query, read
 
 # Detection: columns built from orders, told by rules
@@ -487,11 +487,17 @@ def forced_numbers(spark, sf_dir):
     )
 
 
-@query("SELECT 0::INT AS nth, 'drop_empty_rows' AS step, 'done' AS state, 6::INT AS columns UNION ALL SELECT 1, 'drop_sparse_columns', 'done', CASE WHEN (SELECT count(*) FILTER (o_orderkey % 5 <> 0) / count(*) FROM orders) >= 0.7 THEN 5 ELSE 6 END UNION ALL SELECT 2, 'drop_sparse_rows', 'done', 5")
+@query(
+    "WITH c AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 5 <> 0) AS z FROM orders), d AS (SELECT n, z, z / n >= 0.7 AS sparse FROM c) "
+    "SELECT 0::INT AS nth, 'drop_empty_rows' AS step, 'done' AS state, 6::INT AS columns, n AS rows, z AS nulls FROM d "
+    "UNION ALL SELECT 1, 'drop_sparse_columns', 'done', CASE WHEN sparse THEN 5 ELSE 6 END, n, CASE WHEN sparse THEN 0 ELSE z END FROM d "
+    "UNION ALL SELECT 2, 'drop_sparse_rows', 'done', CASE WHEN sparse THEN 5 ELSE 6 END, n, CASE WHEN sparse THEN 0 ELSE z END FROM d"
+)
 def step_log(spark, sf_dir):
     t = read(spark, sf_dir, "orders").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")))
-    _, log = steps.run(t, ["drop_empty_rows", "drop_sparse_columns", "drop_sparse_rows"])
-    return steps.log_table(spark, log).select("nth", "step", "state", "columns")
+    out, log = steps.run(t, ["drop_empty_rows", "drop_sparse_columns", "drop_sparse_rows"])
+    out.write.format("noop").mode("overwrite").save()  # the user's action; rows and nulls are observed meanwhile
+    return steps.log_table(spark, log, after_action=True).select("nth", "step", "state", "columns", "rows", "nulls")
 
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part")
@@ -500,3 +506,91 @@ def drop_identifiers(spark, sf_dir):
     t = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     left = inputs.drop_identifiers(t)
     return inputs.project(t, ["p_partkey", *left.columns])
+
+
+# Inclusion of columns, and columns that hold more than one kind
+
+_KEYED = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+}
+
+
+def _inclusion_sql() -> str:
+    number = "coalesce(CASE WHEN {0} = floor({0}) THEN ({0})::BIGINT::VARCHAR END, ({0})::DOUBLE::VARCHAR)"
+    texts = {"r_name", "n_name", "s_name", "c_name", "c_mktsegment", "o_orderstatus", "o_orderpriority"}
+    token = lambda c: f"'s' || {c}" if c in texts else f"'d' || {c}::VARCHAR" if c == "o_orderdate" else "'n' || " + number.format(c)
+    values = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {token(c)} AS v FROM {t} WHERE {c} IS NOT NULL" for t, cs in _KEYED.items() for c in cs)
+    return (
+        f"WITH a AS ({values}), v AS (SELECT t, c, v, count(*) AS n FROM a GROUP BY ALL), f AS (SELECT t, c, count(*) AS k, max(n) = 1 AS is_key FROM v GROUP BY ALL), "
+        "p AS (SELECT x.t AS t, x.c AS c, y.t AS u, y.c AS d, count(*) AS both FROM v x JOIN v y ON x.v = y.v AND (x.t, x.c) <> (y.t, y.c) GROUP BY ALL) "
+        "SELECT p.t AS child_table, p.c AS child_column, u AS parent_table, d AS parent_column, g.k AS child_values, f.k AS parent_values, f.is_key AS parent_is_key "
+        "FROM p JOIN f g ON g.t = p.t AND g.c = p.c AND g.k = p.both JOIN f ON f.t = u AND f.c = d"
+    )
+
+
+@query(_inclusion_sql())
+def inclusion_dependencies(spark, sf_dir):
+    return inclusion.inclusion_dependencies({t: read(spark, sf_dir, t).select(*cs) for t, cs in _KEYED.items()})
+
+
+_MIXED_UNITS = "CASE o_orderkey % 10 WHEN 0 THEN (o_orderkey % 40) || ' kg' WHEN 1 THEN (o_orderkey % 7) || ' kg' WHEN 2 THEN (o_orderkey % 9 + 1) || ' lb' WHEN 3 THEN 'n/a' ELSE (o_orderkey % 50)::VARCHAR END"
+
+
+@query(f"SELECT k, CASE WHEN v LIKE '%kg' THEN printf('%.1f', split_part(v, ' ', 1)::DOUBLE) WHEN v LIKE '%lb' THEN round_even(split_part(v, ' ', 1)::DOUBLE * 0.45359237, 2)::DOUBLE::VARCHAR WHEN v = 'n/a' THEN '' ELSE v END AS v FROM (SELECT o_orderkey AS k, {_MIXED_UNITS} AS v FROM orders)")
+def mixed_units(spark, sf_dir):
+    """Numbers beside numbers with units: the unit of most strings wins, the others are converted to it."""
+    t = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", _MIXED_UNITS.replace("(o_orderkey % 50)::VARCHAR", "cast(o_orderkey % 50 AS string)") + " AS v")
+    return mixed.clean_mixed(t, "v")[0]
+
+
+@query(
+    "SELECT o_orderkey::DOUBLE AS k, CASE o_orderkey % 10 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS rating, o_orderkey % 2 = 0 AS open, "
+    "CASE o_orderkey % 10 WHEN 0 THEN o_orderkey % 40 WHEN 1 THEN o_orderkey % 7 WHEN 2 THEN round_even((o_orderkey % 9 + 1) * 0.45359237, 2) WHEN 3 THEN NULL ELSE o_orderkey % 50 END::DOUBLE AS \"load_(kg)\" FROM orders"
+)
+def clean_by_all_values(spark, sf_dir):
+    """Types that rest on all values: a rating of 0, 1 and some 2 stays a number, yes and no is boolean, numbers with units become numbers."""
+    k = F.col("o_orderkey")
+    t = read(spark, sf_dir, "orders").select(
+        k.cast("double").alias("k"), F.when(k % 10 == 0, "2").when(k % 10 == 1, "0").otherwise("1").alias("rating"), F.when(k % 2 == 0, "yes").otherwise("No").alias("open"),
+        F.when(k % 10 == 0, F.concat(k % 40, F.lit(" kg"))).when(k % 10 == 1, F.concat(k % 7, F.lit(" kg"))).when(k % 10 == 2, F.concat(k % 9 + 1, F.lit(" lb"))).when(k % 10 == 3, "n/a").otherwise((k % 50).cast("string")).alias("load"),
+    )
+    return cleaning.apply(t, cleaning.decide(t)).select(F.col("k").cast("double").alias("k"), F.col("rating").cast("int").alias("rating"), "open", "load_(kg)")
+
+
+# Profiles that merge, boosting for several classes
+
+
+@query(
+    "SELECT column_name, rows, nulls, low, high FROM (SELECT 'o_totalprice' AS column_name, count(*) AS rows, count(*) - count(o_totalprice) AS nulls, min(o_totalprice)::DOUBLE AS low, max(o_totalprice)::DOUBLE AS high FROM orders "
+    "UNION ALL SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority), NULL, NULL FROM orders UNION ALL SELECT 'o_custkey', count(*), count(*) - count(o_custkey), min(o_custkey)::DOUBLE, max(o_custkey)::DOUBLE FROM orders)"
+)
+def merged_profiles(spark, sf_dir):
+    """Sketches of each month, merged: the exact parts here, estimates are held against exact ones in tests."""
+    o = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice", "o_orderpriority", "o_custkey")
+    return sketches.estimates(sketches.merged(sketches.sketched(o, by=["month"]))).select("column_name", "rows", "nulls", "low", "high")
+
+
+@query(
+    "WITH t AS (SELECT l_linenumber % 3 AS y, [CASE WHEN l_linenumber % 3 = 0 THEN 0.5 ELSE 0.2 END + (l_orderkey % 7) / 100, CASE WHEN l_linenumber % 3 = 1 THEN 0.4 ELSE 0.3 END - (l_partkey % 5) / 100, 0.1 + (l_suppkey % 9) / 100] AS p FROM lineitem), "
+    "e AS (SELECT y, unnest([0, 1, 2]) AS c, unnest(p) AS s FROM t), b AS (SELECT c, s, sum((y = c)::INT) AS pos, sum((y <> c)::INT) AS neg FROM e GROUP BY c, s), "
+    "r AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY c ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b), "
+    "k AS (SELECT c, sum(pos) AS n, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS roc FROM r GROUP BY c) "
+    "SELECT round_even(avg(roc), 8) AS roc_auc_macro, round_even(sum(roc * n) / sum(n), 8) AS roc_auc_weighted, (SELECT round_even(avg(-ln(p[y + 1])), 8) FROM t) AS log_loss FROM k"
+)
+def several_class_metrics(spark, sf_dir):
+    n = F.col("l_linenumber") % 3
+    p = F.array(
+        F.when(n == 0, 0.5).otherwise(0.2) + (F.col("l_orderkey") % 7) / 100, F.when(n == 1, 0.4).otherwise(0.3) - (F.col("l_partkey") % 5) / 100, F.lit(0.1) + (F.col("l_suppkey") % 9) / 100
+    )
+    out = metrics.multiclass_metrics(read(spark, sf_dir, "lineitem").select(n.alias("y"), p.alias("p")), "y", "p")
+    return out.select("roc_auc_macro", "roc_auc_weighted", "log_loss")
+
+
+@query()
+def boosted_three_classes(spark, sf_dir):
+    """Large, middle and small orders from the month and half the price, by boosted trees; predictions of the held-out rows."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.month("o_orderdate").alias("m"), (F.col("o_totalprice") * (1 + F.col("o_orderkey") % 3)).alias("x"), F.col("o_orderpriority").alias("p"), ((F.col("o_totalprice") > 120000).cast("int") + (F.col("o_totalprice") > 300000).cast("int")).alias("y"))
+    t = features.split(o, "o_orderkey", "y")
+    model = models.train(t.where("not is_test"), "y", ["m", "x"], ["p"], "boosted_trees", "classification")
+    return models.predict(model, t.where("is_test"), ["o_orderkey", "y"])

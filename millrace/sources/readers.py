@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import re
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -234,3 +235,19 @@ def preview(df: DataFrame, order: str | None = None, n: int = 500) -> DataFrame:
     """The first rows as strings, nulls empty."""
     first = (df.orderBy(order) if order else df).limit(n)
     return first.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
+
+
+def sessions(spark: SparkSession, folder: str) -> list[dict]:
+    """The sessions in a folder, newest first: session_id, datetime (told from names such as 20240131094500, else the name) and input_files."""
+
+    def label(name: str) -> str:
+        try:
+            return datetime.strptime(name, "%Y%m%d%H%M%S").strftime("%B %d, %Y  %H:%M:%S")
+        except ValueError:
+            return name
+
+    def files(name: str) -> list[str]:
+        system, target = _file_system(spark, inside(folder, name))
+        return sorted(s.getPath().getName() for s in system.listStatus(target) if s.isFile())
+
+    return [{"session_id": s, "datetime": label(s), "input_files": files(s)} for s in sorted(list_folders(spark, folder), reverse=True)]

@@ -179,7 +179,7 @@ def test_models_are_ranked_tuned_voted_and_stored(spark, tmp_path):
     assert again.count() == b.count() and set(again.columns) == {"i", "prediction", "confidence"}
     found = models.tune(df, "y", ["x", "z"], [], "decision_tree", "classification", trials=2)
     assert found.bestModel.transform(df.withColumn("label", F.col("y").cast("double"))).where("prediction = y").count() > 380
-    scaled = models.PopulationScaler(inputCol="x", outputCol="s").fit(df).transform(df).agg(F.stddev_pop("s").alias("d"), F.avg("s").alias("m")).first()
+    scaled = models.PopulationScaler(inputCols=["x"], outputCols=["s"]).fit(df).transform(df).agg(F.stddev_pop("s").alias("d"), F.avg("s").alias("m")).first()
     assert scaled.d == pytest.approx(1) and scaled.m == pytest.approx(0, abs=1e-12)
 
 
