@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import in_slices, materialize
+from millrace.llm.common import free_shuffles, in_slices, materialize
 from millrace.llm.components import connected_components
 
 #: Similarity as a fraction, so that sizes are compared in whole numbers.
@@ -172,11 +172,13 @@ def similar_links(shared: DataFrame, members: DataFrame, first: DataFrame, simil
     row = F.struct("node", "n", "at")
     least = shared.groupBy("h").agg(F.min(row).alias("e")).select("h", "e.*")
     found = materialize(first.unionByName(verified(head_pairs(least, shared.drop("m"), similarity), members, similarity)), "similar")
+    free_shuffles(found.sparkSession)
     labels = connected_components(found).withColumnRenamed("node", "labelled")
     open_rows = shared.where("m > 2").drop("m").join(labels, F.col("node") == F.col("labelled"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled")
     heads = members.select(F.col("node").alias("of_node"), "heads")
     several = apart(open_rows).join(heads, F.col("node") == F.col("of_node")).withColumn("earlier", F.slice("heads", F.lit(1), F.col("at"))).drop("of_node", "heads")
     several = materialize(several, "apart")
+    free_shuffles(several.sparkSession)
     others = (F.col("label_a") != F.col("label_b")) & ~F.arrays_overlap("earlier_a", "earlier_b")
     rest = head_pairs(several.where("minor"), several, similarity, others)
     return found.unionByName(materialize(verified(rest, members, similarity), "similar"))

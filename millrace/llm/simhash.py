@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, in_slices, materialize
+from millrace.llm.common import discard, free_shuffles, in_slices, materialize
 from millrace.llm.components import connected_components
 from millrace.llm.jaccard import SIMILARITY, majority, shared_heads, shingle_sets, similar_links, verified
 
@@ -163,6 +163,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(shingle_sets(docs, id_col, text_col, shingle, similarity), "shingle-sets")
     rows = materialize(sets.select("doc_id", "node", "fp"), "shingle-nodes")
     shared = materialize(shared_heads(sets), "shared")
+    free_shuffles(docs.sparkSession)
     of_print = rows.groupBy("fp").agg(F.min("node").alias("node"))
     prints = materialize(near_links(rows), "near-prints")
     links = prints.join(of_print.withColumnsRenamed({"fp": "u", "node": "un"}), "u").join(of_print.withColumnsRenamed({"fp": "v", "node": "vn"}), "v").select("un", "vn")
@@ -171,6 +172,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = shared.select("node").unionByName(links.select(F.col("u").alias("node"))).unionByName(links.select(F.col("v").alias("node"))).distinct()
     members = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "fp", "heads", "members"), "members")
     discard(sets)
+    free_shuffles(docs.sparkSession)
     first = materialize(verified(links, members, similarity), "similar")
     labels = connected_components(similar_links(shared, members, first, similarity)).withColumnRenamed("node", "labelled")
     classes = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
