@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.temporal import date_of, seconds_of_day, time_text
-from millrace.operators import impute
+from millrace.operators import impute, times
 from millrace.operators.profile import profile_columns
 from millrace.operators.quantiles import exact_quantile_columns, exact_quantiles
 from millrace.operators.rows import to_number, tokens_to_null
@@ -152,7 +152,11 @@ def decide(df: DataFrame, kinds: dict[str, str], confidence: dict[str, float] |
         if any(running.get(c, ())):
             method = "sequence" if running[c][0] else "text_sequence"
         if method is None and kind == "time":
-            method = "time"
+            plain = _time_value(df, c)
+            features = [x for x in df.columns if types[x] in {"tinyint", "smallint", "int", "bigint", "float", "double"} or types[x].startswith("decimal")]
+            model = times.fit_times(df, c, features, levels_of(df, groups), seconds_of_day(F.lit(plain))) if types[c] == "string" else None
+            plan.append(Fill(c, "time_model" if model else "time", model or plain))
+            continue
         if method is None and kind in (*CALENDAR, *DATES, "duration"):
             group = "calendar" if kind in CALENDAR else "duration" if kind == "duration" else "date"
             method = impute.temporal_method(share[c], group, distinct, dated is not None)
@@ -180,12 +184,18 @@ def decide(df: DataFrame, kinds: dict[str, str], confidence: dict[str, float] |
             method, value = "mode", _mode(df, c)
         elif method == "unknown":
             value = "Unknown"
-        elif method == "time":
-            value = _time_value(df, c)
         plan.append(Fill(c, method, value, by, flag))
     return plan
 
 
+def levels_of(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """The values of columns that have fewer than ten, in one aggregate."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.sort_array(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[f"c{i}"] for i, c in enumerate(columns)}
+
+
 def _time_value(df: DataFrame, column: str) -> str:
     """The median time of day where more than five are known, else midnight."""
     s = seconds_of_day(F.col(f"`{column}`"))
@@ -202,7 +212,9 @@ def apply(df: DataFrame, plan: list[Fill], order: str) -> DataFrame:
     """The table with its nulls filled; flags tell where.  ``order`` is the order of the rows for neighbours and sequences."""
     flags = {f"{f.column}_missing": F.col(f"`{f.column}`").isNull() for f in plan if f.flag}
     out = df.withColumns(flags) if flags else df
-    constants = {f.column: F.coalesce(F.col(f"`{f.column}`"), _constant(df, f.column, f.value)) for f in plan if f.value is not None and f.method != "derive"}
+    # models of times read the columns as they are before the fills
+    told = lambda f: times.predicted_time(f.value) if f.method == "time_model" else _constant(df, f.column, f.value)
+    constants = {f.column: F.coalesce(F.col(f"`{f.column}`"), told(f)) for f in plan if f.value is not None and f.method != "derive"}
     out = out.withColumns(constants) if constants else out
     for f in plan:
         if f.method == "drop":

@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import temporal
 from millrace.operators import charts, detect, features, impute, inclusion, inputs, metrics, mixed, models, overview, ranges, rows, sketches, structure
 from millrace.plans import cleaning, imputation, steps
 from millrace.queries import query, read
@@ -594,3 +595,21 @@ def boosted_three_classes(spark, sf_dir):
     t = features.split(o, "o_orderkey", "y")
     model = models.train(t.where("not is_test"), "y", ["m", "x"], ["p"], "boosted_trees", "classification")
     return models.predict(model, t.where("is_test"), ["o_orderkey", "y"])
+
+
+# Times that follow another column: hours from six to fourteen by a number
+
+_TIMED = "SELECT o_orderkey AS k, o_orderkey % 997 / 997.0::DOUBLE AS x, 21600 + floor(28800 * (o_orderkey % 997 / 997.0::DOUBLE)) AS s FROM orders"
+
+
+@query(
+    f"WITH t AS ({_TIMED}), m AS (SELECT regr_slope(sin(s * pi() / 43200), x) AS a, regr_intercept(sin(s * pi() / 43200), x) AS b, regr_slope(cos(s * pi() / 43200), x) AS c, regr_intercept(cos(s * pi() / 43200), x) AS d FROM t WHERE k % 4 <> 0), "
+    "f AS (SELECT k, CASE WHEN k % 4 <> 0 THEN s ELSE round((atan2(a * x + b, c * x + d) + 2 * pi()) % (2 * pi()) * 43200 / pi()) END::BIGINT AS s FROM t, m) "
+    "SELECT k, lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS at FROM f"
+)
+def times_by_model(spark, sf_dir):
+    k = F.col("o_orderkey")
+    x = (k % 997) / F.lit(997.0)
+    t = read(spark, sf_dir, "orders").select(k.cast("string").alias("k"), x.alias("x"), F.when(k % 4 != 0, temporal.time_text(21600 + F.floor(28800 * x))).alias("at"))
+    out = imputation.apply(t, imputation.decide(t, {"k": "text", "x": "float", "at": "time"}), "k")
+    return out.select(F.col("k").cast("long").alias("k"), "at")
