@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import free_shuffles, in_slices, materialize
+from millrace.llm.common import arrow_rows, free_shuffles, in_slices, materialize
 from millrace.llm.components import connected_components
 
 #: Similarity as a fraction, so that sizes are compared in whole numbers.
@@ -26,6 +26,8 @@ ORDER_TEXTS = 50_000
 ORDER_SHINGLES = 200_000
 #: Fingerprints of texts of a similarity of 0.8 differ in more bits than this once in ten million pairs.
 FAR_BITS = 28
+#: Pairs of sets that are handed to Python at once: two sets of a very long text have some megabytes.
+PAIRS_AT_ONCE = 256
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -167,11 +169,13 @@ def similar_links(shared: DataFrame, members: DataFrame, first: DataFrame, simil
     and in the places of the first one enough of both is left.  Where a head
     has several sets, each is compared with the least of them at first.  Then
     all pairs of different components are compared, each at its
-    first common head alone.  Nothing is capped or dropped.
+    first common head alone.  No candidate is capped; pairs whose fingerprints
+    differ in more than FAR_BITS bits are passed over, as verified() says.
     """
     row = F.struct("node", "n", "at")
     least = shared.groupBy("h").agg(F.min(row).alias("e")).select("h", "e.*")
-    found = materialize(first.unionByName(verified(head_pairs(least, shared.drop("m"), similarity), members, similarity)), "similar")
+    with arrow_rows(shared.sparkSession, PAIRS_AT_ONCE):
+        found = materialize(first.unionByName(verified(head_pairs(least, shared.drop("m"), similarity), members, similarity)), "similar")
     free_shuffles(found.sparkSession)
     labels = connected_components(found).withColumnRenamed("node", "labelled")
     open_rows = shared.where("m > 2").drop("m").join(labels, F.col("node") == F.col("labelled"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled")
@@ -181,4 +185,5 @@ def similar_links(shared: DataFrame, members: DataFrame, first: DataFrame, simil
     free_shuffles(several.sparkSession)
     others = (F.col("label_a") != F.col("label_b")) & ~F.arrays_overlap("earlier_a", "earlier_b")
     rest = head_pairs(several.where("minor"), several, similarity, others)
-    return found.unionByName(materialize(verified(rest, members, similarity), "similar"))
+    with arrow_rows(shared.sparkSession, PAIRS_AT_ONCE):
+        return found.unionByName(materialize(verified(rest, members, similarity), "similar"))

@@ -14,9 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, free_shuffles, in_slices, materialize
+from millrace.llm.common import arrow_rows, discard, free_shuffles, in_slices, materialize
 from millrace.llm.components import connected_components
-from millrace.llm.jaccard import SIMILARITY, majority, shared_heads, shingle_sets, similar_links, verified
+from millrace.llm.jaccard import PAIRS_AT_ONCE, SIMILARITY, majority, shared_heads, shingle_sets, similar_links, verified
 
 SEED = 42
 SHINGLE = 3
@@ -173,7 +173,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "fp", "heads", "members"), "members")
     discard(sets)
     free_shuffles(docs.sparkSession)
-    first = materialize(verified(links, members, similarity), "similar")
+    with arrow_rows(docs.sparkSession, PAIRS_AT_ONCE):
+        first = materialize(verified(links, members, similarity), "similar")
     labels = connected_components(similar_links(shared, members, first, similarity)).withColumnRenamed("node", "labelled")
     classes = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     classes = classes.join(labels, F.col("node") == F.col("labelled"), "left").select("node", F.coalesce("label", "node").alias("label"), "first")
