@@ -140,7 +140,7 @@ def evidence(df: DataFrame, columns: list[str] | None = None, sample: int | None
     if open_:
         wanted = sorted({c for columns_ in open_.values() for c in columns_})
         again = _values(df, wanted, sample)
-        passed = [F.sum(F.when(F.col("column_name").isin(c) & POSSIBLE[k](v) & TESTS[k](v), F.col("n")).otherwise(0)).alias(k) for k, c in open_.items()]
+        passed = [F.sum(F.when(F.col("column_name").isin(c) & POSSIBLE[k](shape(v)) & TESTS[k](v), F.col("n")).otherwise(0)).alias(k) for k, c in open_.items()]
         for r in again.groupBy("column_name").agg(*passed).collect():
             found[r["column_name"]] |= {k: r[k] / found[r["column_name"]]["n"] for k in open_}
     return list(found.values())

@@ -48,7 +48,8 @@ def test_numeric_types_follow_the_rules():
     choose = detect.choose
     assert choose("x", {"time": 1.0, "ratio": 1.0}, {"ratio_like": 0.6, "time_like": 0.4}) == ("ratio", 1.0)
     assert choose("x", {"time": 1.0, "ratio": 1.0}, {"ratio_like": 0.4, "time_like": 0.6})[0] == "time"
-    assert choose("x", {"boolean": 0.9, "integer": 1.0}, {"true_side": True, "false_side": True}) == ("boolean", 0.9)
+    assert choose("x", {"boolean": 1.0, "integer": 1.0}, {"true_side": True, "false_side": True, "only_boolean": True}) == ("boolean", 1.0)
+    assert choose("x", {"boolean": 0.9, "integer": 1.0}, {"true_side": True, "false_side": True, "only_boolean": False}) == ("integer", 1.0)
     assert choose("x", {"boolean": 1.0, "integer": 1.0}, {"true_side": True, "false_side": False})[0] == "integer"
     assert choose("x", {"varchar": 0.9, "weight": 0.6}, {}) == ("weight", 0.6)
     assert choose("x", {"integer": 0.5, "number_systems": 0.7}, {}) == ("number_systems", 0.7)

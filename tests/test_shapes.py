@@ -46,3 +46,17 @@ def test_strings_with_units_among_numbers(spark):
     assert [r.w for r in money[0].collect()] == ["0", "0", "5.0", "2.0", "0"] and money[1].unit == "USD"
     decided = cleaning.decide(t)
     assert decided.columns[0].target == "w_(kg)" and [r[0] for r in cleaning.apply(t, decided).collect()] == [5.0, 1200.0, 7.5, 14.0, 4.99, 3.0, None, None, 9.0, 6.0]
+
+
+def test_scores_are_the_shares_that_pass(spark):
+    """Scores by shape equal the tests' shares over all values, for columns of every kind in one table."""
+    r = random.Random(2)
+    values = [v.strip() for v in VALUES.replace("\n", "").split("|") if v.strip()]
+    columns = {f"c{i}": [r.choice(values[8 * i : 8 * i + 8]) for _ in range(40)] for i in range(len(values) // 8)}
+    t = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} string" for c in columns)).repartition(3)
+    found = {row["column_name"]: row for row in detect.evidence(t)}
+    for kinds in (["date", "time", "datetime", "timestamp"], ["week", "quarter", "year", "boolean", "number_systems"], ["volume", "density", "latitude", "network_addresses", "files", "weight", "currency"]):
+        plain = t.agg(*[F.avg(F.coalesce(detect.TESTS[k](F.col(c)), F.lit(False)).cast("int")).alias(f"{c}|{k}") for c in columns for k in kinds]).first()
+        for c in columns:
+            for k in kinds:
+                assert abs(found[c][k] - plain[f"{c}|{k}"]) < 1e-9, (c, k)
