@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import arrow_rows, free_shuffles, in_slices, materialize
+from millrace.llm.common import arrow_rows, discard, free_shuffles, in_slices, materialize
 from millrace.llm.components import connected_components
 
 #: Similarity as a fraction, so that sizes are compared in whole numbers.
@@ -186,4 +186,7 @@ def similar_links(shared: DataFrame, members: DataFrame, first: DataFrame, simil
     others = (F.col("label_a") != F.col("label_b")) & ~F.arrays_overlap("earlier_a", "earlier_b")
     rest = head_pairs(several.where("minor"), several, similarity, others)
     with arrow_rows(shared.sparkSession, PAIRS_AT_ONCE):
-        return found.unionByName(materialize(verified(rest, members, similarity), "similar"))
+        rest = materialize(verified(rest, members, similarity), "similar")
+    discard(several)
+    free_shuffles(shared.sparkSession)
+    return found.unionByName(rest)
