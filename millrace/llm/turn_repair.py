@@ -155,10 +155,11 @@ def repair(turns: DataFrame) -> DataFrame:
     n = lambda c: F.coalesce(F.count_if(here & c), F.lit(0)).cast("long")
     number = F.when(here, F.col("turn"))
     wide = lambda c: c.cast("decimal(20,0)")  # noqa: E731  numbers may be as far apart as longs are
-    span = F.least(wide(F.max(number)) - wide(F.min(number)) + 1 - n(F.col("new_turn")), F.lit(2**63 - 1).cast("decimal(20,0)"))
+    span = F.coalesce(wide(F.max(number)) - wide(F.min(number)) + 1 - n(F.col("new_turn")), F.lit(0))
+    span = F.least(span, F.lit(2**63 - 1).cast("decimal(20,0)"))
     faults = {k: n(F.col("fault") == k).alias(k) for k in ("blank", "duplicate", "truncated")}
     collected = F.array_sort(F.collect_list(F.when(here, F.struct("nth", "initial", "fault", "role", "text"))))
-    found = _flagged(own).groupBy("conv").agg(F.coalesce(span, F.lit(0)).cast("long").alias("gaps"), *faults.values(), n(F.col("illegal")).alias("illegal"), collected.alias("turns"))
+    found = _flagged(own).groupBy("conv").agg(span.cast("long").alias("gaps"), *faults.values(), n(F.col("illegal")).alias("illegal"), collected.alias("turns"))
     best = found.withColumn("best", _cheapest(F.transform("turns", lambda t: F.struct(t["initial"].alias("initial"), t["fault"].alias("fault")))))
     return best.select(
         "conv", "gaps", *faults, "illegal", F.col("best.cost").alias("cost"), F.translate("best.audit", _WITH_ROLES, _EDITS).alias("audit"), _repaired(F.col("turns"), F.col("best.audit")).alias("repaired")
