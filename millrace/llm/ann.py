@@ -2,15 +2,17 @@
 
 Vectors are projected to a few dimensions, shifted, and put in the order of a
 Hilbert curve, many times with other projections and shifts.  Each order is
-range-partitioned and numbered by Spark.  Orders carry short codes of the
-vectors (four bits a component), not the vectors.  A query asks those orders in
+range-partitioned and numbered by Spark.  Orders carry codes of the vectors'
+differences from their mean, which rank alike.  A query asks those orders in
 which its projections are most pronounced, since there its neighbours crowd
 most, and meets the codes within a window of places around its own; what the
 windows propose is merged, and the best of it is ranked on the original vectors.
 
-The width of the windows is measured, not guessed: a bounded sample of queries
-is answered exactly, and the width is the distance in place, in the nearest of
-the orders asked, that holds the wanted share of their true neighbours.
+Codes and windows are measured, not guessed: a bounded sample of queries is
+answered exactly.  Codes have four bits a component if these tell the true
+neighbours from all others, and else more, in fewer orders, so that all orders
+take about as many bytes.  The width is the distance in place, in the nearest
+of the orders asked, that holds the wanted share of the true neighbours.
 """
 
 from __future__ import annotations
@@ -27,12 +29,16 @@ from pyspark.sql.window import Window
 
 from millrace.llm.vectors import answers, best, kept, packed, query_classes, unpacked, usable_vectors, vector_classes, width_of
 
-#: Orders, how many of them a query asks, projected dimensions, and bits of each in a key (DIMS * BITS at most 62).
+#: Orders of the shortest codes, how many of them a query asks, projected dimensions, and bits of each in a key (DIMS * BITS at most 62).
 CURVES, ASKED, DIMS, BITS = 32, 24, 8, 7
+#: Bits of a component in a code: scaled whole numbers up to 16, floats, doubles; bytes of a row in an order besides its code.
+CODE_BITS, ROW_BYTES = (4, 8, 16, 32, 64), 20
+#: Share of the true neighbours that a code must have in its shortlist, all vectors against it; doubles are taken if no shorter code does.
+CODE_WANTED = 0.99
 #: At most so many queries, those of least hash, are answered exactly to set the window.
-SAMPLE_QUERIES = 64
-#: Share of their neighbours that the windows must hold; recall of all queries comes out near it.
-WANTED = 0.93
+SAMPLE_QUERIES = 256
+#: Share of their neighbours, themselves not counted, that the windows must hold; recall of all queries comes out near it.
+WANTED = 0.95
 #: Bytes of codes, and queries, in one cell.
 CELL_BYTES, CELL_QUERIES = 1 << 19, 8192
 #: Candidates by code that are ranked on the original vectors, for each neighbour wanted.
@@ -86,21 +92,57 @@ def curve_keys(points: np.ndarray, curve: int) -> tuple[np.ndarray, np.ndarray]:
     return hilbert_keys(cells, BITS), np.abs(projected).sum(axis=1)
 
 
-def codes_of(vectors: np.ndarray) -> list[bytes]:
-    """Four bits a component, scaled by the vector's largest, behind the scale."""
-    scale = np.maximum(np.abs(vectors).max(axis=1, initial=0), 1e-300) / 7
-    levels = (np.rint(vectors / scale[:, None]) + 8).astype(np.uint8)
-    if levels.shape[1] % 2:
-        levels = np.hstack([levels, np.full((len(levels), 1), 8, dtype=np.uint8)])
-    nibbles = levels[:, ::2] << 4 | levels[:, 1::2]
-    return [s.tobytes() + n.tobytes() for s, n in zip(scale.astype("<f8"), nibbles, strict=True)]
+def codes_of(vectors: np.ndarray, bits: int = 4) -> list[bytes]:
+    """Components in ``bits`` bits: up to 16 scaled by the vector's largest, behind the scale."""
+    if bits > 16:
+        return [v.tobytes() for v in vectors.astype(f"<f{bits // 8}")]
+    most = 2 ** (bits - 1) - 1
+    scale = np.maximum(np.abs(vectors).max(axis=1, initial=0), 1e-300) / most
+    levels = np.rint(vectors / scale[:, None])
+    if bits == 4:
+        levels = (levels + 8).astype(np.uint8)
+        if levels.shape[1] % 2:
+            levels = np.hstack([levels, np.full((len(levels), 1), 8, dtype=np.uint8)])
+        levels = levels[:, ::2] << 4 | levels[:, 1::2]
+    else:
+        levels = levels.astype(f"<i{bits // 8}")
+    return [s.tobytes() + n.tobytes() for s, n in zip(scale.astype("<f8"), levels, strict=True)]
 
 
-def decoded(codes, width: int) -> np.ndarray:
-    rows = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(-1, 8 + (width + 1) // 2)
-    scale, nibbles = rows[:, :8].copy().view("<f8"), rows[:, 8:]
-    levels = np.stack([nibbles >> 4, nibbles & 15], axis=2).reshape(len(rows), -1)[:, :width]
-    return (levels.astype(np.float32) - 8) * scale.astype(np.float32)
+def code_bytes(width: int, bits: int) -> int:
+    return bits * width // 8 if bits > 16 else 8 + (bits * width + 7) // 8
+
+
+def decoded(codes, width: int, bits: int = 4) -> np.ndarray:
+    rows = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(-1, code_bytes(width, bits))
+    if bits > 16:
+        return rows.view(f"<f{bits // 8}")
+    scale, levels = rows[:, :8].copy().view("<f8"), rows[:, 8:]
+    if bits == 4:
+        levels = np.stack([levels >> 4, levels & 15], axis=2).reshape(len(rows), -1)[:, :width].astype(np.float32) - 8
+    else:
+        levels = levels.copy().view(f"<i{bits // 8}").astype(np.float32)
+    return levels * scale.astype(np.float32)
+
+
+def orders_of(width: int, bits: int) -> tuple[int, int]:
+    """Orders, and how many of them a query asks, for codes of so many bits: all take the bytes that CURVES orders of the shortest codes take."""
+    curves = max(4, CURVES * (ROW_BYTES + code_bytes(width, CODE_BITS[0])) // (ROW_BYTES + code_bytes(width, bits)))
+    return curves, -(-curves * ASKED // CURVES)
+
+
+def mean_of(vectors: DataFrame, width: int) -> np.ndarray:
+    """The mean of all vectors, in single precision: any vector near it serves, and reruns agree."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = unpacked(batch.column(0).to_pylist(), width)
+            columns = [pa.array(np.arange(width)), pa.array(rows.sum(axis=0)), pa.array(np.full(width, len(rows)))]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "total", "rows"])
+
+    found = vectors.select("vector").mapInArrow(sums, "at long, total double, rows long")
+    found = found.groupBy("at").agg((F.sum("total") / F.sum("rows")).alias("mean")).toPandas().sort_values("at")
+    return found["mean"].to_numpy().astype(np.float32).astype(np.float64)
 
 
 def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -131,39 +173,56 @@ def top_rows(queries: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.nd
     return (np.concatenate(who), np.concatenate(which)) if who else (np.empty(0, int), np.empty(0, int))
 
 
-def sample_truth(sample: pd.DataFrame, vectors: DataFrame, width: int, keep: int) -> DataFrame:
-    """q, class_id, score: the exact neighbours of a bounded sample of queries, from one pass over all vectors."""
+def sample_truth(sample: pd.DataFrame, vectors: DataFrame, width: int, keep: int, mean: np.ndarray) -> pd.DataFrame:
+    """q, bits, class_id: the nearest of a bounded sample of queries, from one pass over all vectors.
+
+    By the original vectors (bits 0) the ``keep`` best, by codes of each length those that they would shortlist.
+    """
     asked, ids = unpacked(sample["query_vector"], width), sample["q"].to_numpy()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = unpacked(batch.column(1).to_pylist(), width)
-            who, which = top_rows(asked, own, keep)
-            scores = scores_of(asked[who], own[which])
-            classes = batch.column(0).to_numpy()[which]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(classes), pa.array(scores)], ["q", "class_id", "score"])
+            for bits in (0, *CODE_BITS):
+                held = decoded(codes_of(own - mean, bits), width, bits) if bits else own
+                by = asked.astype("<f4").astype(held.dtype) if bits else asked
+                who, which = top_rows(by, held, SHORTLIST * keep if bits else keep)
+                scores = scores_of(by[who], held[which]).astype(np.float64)
+                columns = [ids[who], np.full(len(who), bits), batch.column(0).to_numpy()[which], scores]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["q", "bits", "class_id", "score"])
+
+    found = vectors.select("class_id", "vector").mapInArrow(scan, "q long, bits long, class_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("q", "bits").orderBy(F.col("score").desc(), "class_id"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("bits") == 0, keep).otherwise(SHORTLIST * keep))
+    return found.where("class_id <> q").select("q", "bits", "class_id").toPandas()
+
 
-    found = vectors.select("class_id", "vector").mapInArrow(scan, "q long, class_id long, score double")
-    return best(found, "q", keep, F.col("score").desc(), F.col("class_id"))
+def enough_bits(found: pd.DataFrame) -> int:
+    """The shortest codes that hold the true neighbours in their shortlists."""
+    pairs = {bits: set(zip(x["q"], x["class_id"], strict=True)) for bits, x in found.groupby("bits")}
+    true = pairs.get(0, set())
+    return next((b for b in CODE_BITS if len(true & pairs.get(b, set())) >= CODE_WANTED * len(true)), CODE_BITS[-1])
 
 
-def ordered(vectors: DataFrame, of_queries: DataFrame, width: int, longest: float) -> DataFrame:
+def ordered(vectors: DataFrame, of_queries: DataFrame, width: int, mean: np.ndarray, longest: float, bits: int) -> DataFrame:
     """curve, role (0 candidate, 1 query), id, code and place of all vectors in every order, and of queries in those that they ask.
 
     Places count from 0 within a curve.  Spark range-partitions by (curve, key);
     rows are numbered within partitions, written down, and shifted by the counts
     of the partitions before (one row per partition).  A query's code is its
-    vector as it is.
+    vector as it is; candidates' codes are those of their differences from
+    ``mean``, since a query's inner products with these are all less by the same.
     """
+    curves, asked = orders_of(width, bits)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = unpacked(batch.column(2).to_pylist(), width)
             role = batch.column(0).to_numpy()
             points = np.where(role[:, None] == 0, lifted(rows, longest), asking(rows))
-            found = [curve_keys(points, curve) for curve in range(CURVES)]
-            weakest = np.sort([strength for _, strength in found], axis=0)[CURVES - ASKED]
-            codes = np.array(codes_of(rows), dtype=object)
+            found = [curve_keys(points, curve) for curve in range(curves)]
+            weakest = np.sort([strength for _, strength in found], axis=0)[curves - asked]
+            codes = np.array(codes_of(rows - mean, bits), dtype=object)
             codes[role == 1] = [r.astype("<f4").tobytes() for r in rows[role == 1]]
             for curve, (key, strength) in enumerate(found):
                 use = (role == 0) | (strength >= weakest)
@@ -197,18 +256,20 @@ def window_width(places: DataFrame, truth: pd.DataFrame, wanted: float) -> int:
     at: dict[tuple[int, int], dict[int, int]] = {}
     for c, r, i, p in mine.itertuples(index=False):
         at.setdefault((r, i), {})[c] = p
+    if not len(truth):
+        return 0
     gaps = [min(abs(p - at[0, v][c]) for c, p in at[1, q].items()) for q, v in zip(truth["q"], truth["class_id"], strict=True)]
     return int(np.sort(gaps)[min(len(gaps) - 1, math.ceil(wanted * len(gaps)))]) + 1
 
 
-def window_pairs(places: DataFrame, window: int, width: int, keep: int, n_places: int, asked: int) -> DataFrame:
+def window_pairs(places: DataFrame, window: int, width: int, bits: int, keep: int, n_places: int, asked: int) -> DataFrame:
     """q, class_id and score by code: of each order that a query asks, the ``keep`` best within the window around its place.
 
     An order is cut into blocks of places.  A candidate is in one block; a query
     goes to the blocks that its window meets.  If these windows hold more
     queries than a cell should have, they are dealt to several cells of the block.
     """
-    block_rows = max(256, CELL_BYTES // (8 + (width + 1) // 2))
+    block_rows = max(256, CELL_BYTES // code_bytes(width, bits))
     parts = -(-(block_rows + 2 * window) * asked // (n_places * CELL_QUERIES)) or 1
     last = (n_places - 1) // block_rows
     own = places.where("role = 0").select("curve", F.floor(F.col("place") / block_rows).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "place", "id", "code")
@@ -223,9 +284,9 @@ def window_pairs(places: DataFrame, window: int, width: int, keep: int, n_places
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(held) and len(questions):
             held, questions = held.sort_values("place"), questions.sort_values("from_place")
-            codes, places_, ids = decoded(held["code"], width), held["place"].to_numpy(), held["id"].to_numpy()
+            codes, places_, ids = decoded(held["code"], width, bits), held["place"].to_numpy(), held["id"].to_numpy()
             at, who = questions["from_place"].to_numpy(), questions["q"].to_numpy()
-            asking_ = np.frombuffer(b"".join(questions["asked"]), dtype="<f4").reshape(-1, width)
+            asking_ = np.frombuffer(b"".join(questions["asked"]), dtype="<f4").reshape(-1, width).astype(codes.dtype)
             low, high = np.searchsorted(places_, at - window), np.searchsorted(places_, at + window, side="right")
             for i in range(0, len(at), 16):  # neighbours in place, whose windows mostly cover the same rows
                 a, b = low[i], high[i : i + 16].max()
@@ -239,12 +300,12 @@ def window_pairs(places: DataFrame, window: int, width: int, keep: int, n_places
                 good = score > -np.inf
                 out.append((np.repeat(who[i : i + 16], good.sum(axis=1)), ids[a + top[good]], score[good]))
         if not out:
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "class_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float32")})
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "class_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         q, c, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"q": q, "class_id": c, "score": s})
+        return pd.DataFrame({"q": q, "class_id": c, "score": s.astype(np.float64)})
 
     cells, asking_cells = own.groupBy("curve", "block", "part"), seekers.groupBy("in_curve", "in_block", "in_part")
-    return cells.cogroup(asking_cells).applyInPandas(cell, "q long, class_id long, score float")
+    return cells.cogroup(asking_cells).applyInPandas(cell, "q long, class_id long, score double")
 
 
 def nearest(
@@ -262,7 +323,7 @@ def nearest(
 
     Every vector is in every order; at least ``k`` are returned if there are as
     many.  ``is_query`` is a condition on the column ``id``.  ``stats``, if
-    given, gets the window and the share of all vectors that a query meets.
+    given, gets the window, the share of all vectors that a query meets, and the bits of a code.
 
     Vectors null, zero or with null or non-finite components, and null ids, take
     no part.  Shorter vectors count as ending in zeros.  Equal vectors are one
@@ -277,16 +338,20 @@ def nearest(
     vectors, _ = kept(packed(classes, width), "ann-vectors")
     of_queries = queries.select("q").distinct().join(vectors, F.col("q") == F.col("class_id")).select("q", F.col("vector").alias("query_vector"))
     of_queries, asked = kept(of_queries, "ann-query-vectors")
+    mean = mean_of(vectors, width)
     longest = math.sqrt(classes.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).first()[0])
-    places = ordered(vectors, of_queries, width, longest)
     sample = of_queries.orderBy(F.xxhash64("q"), "q").limit(sample_queries).toPandas()
-    window = max(least_window, keep, window_width(places, sample_truth(sample, vectors, width, keep).toPandas(), wanted))
+    truth = sample_truth(sample, vectors, width, keep, mean)
+    bits = enough_bits(truth)
+    places = ordered(vectors, of_queries, width, mean, longest, bits)
+    window = max(least_window, keep, window_width(places, truth[truth["bits"] == 0], wanted))
     if stats is not None:
-        stats |= {"window": window, "share": ASKED * (2 * window + 1) / (n + asked)}
+        stats |= {"window": window, "share": orders_of(width, bits)[1] * (2 * window + 1) / (n + asked), "bits": bits}
 
-    found = window_pairs(places, window, width, keep, n + asked, asked)
+    found = window_pairs(places, window, width, bits, SHORTLIST * keep, n + asked, asked)
     found = best(found.groupBy("q", "class_id").agg(F.max("score").alias("score")), "q", SHORTLIST * keep, F.col("score").desc(), F.col("class_id"))
-    short, _ = kept(found.select("q", "class_id"), "ann-shortlist")
+    own = of_queries.select("q", F.col("q").alias("class_id"))  # copies of a query are as near to it as it is
+    short, _ = kept(found.select("q", "class_id").union(own).distinct(), "ann-shortlist")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -90,6 +90,31 @@ def test_narrow_windows_find_the_neighbours(spark, kind, most):
     assert np.mean([len(got[40 * i] & set(t.tolist())) / 10 for i, t in enumerate(true)]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["tight", "offset"])
+def test_neighbours_that_short_codes_cannot_tell(spark, kind):
+    """Clusters of near copies, larger than the shortlist, and vectors that differ little from their mean."""
+    rng = np.random.default_rng(11)
+    n, dims = 3000, 24
+    noise = rng.normal(0, 1, (n, dims))
+    points = rng.normal(0, 1, (25, dims))[rng.integers(0, 25, n)] + 0.01 * noise if kind == "tight" else 5 + 0.2 * noise
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 20 == 0, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    products = points[::20] @ points.T
+    products[np.arange(len(products)), np.arange(0, n, 20)] = -np.inf
+    true = np.argsort(-products, axis=1)[:, :20]
+    assert np.mean([len(got[20 * i] & set(t.tolist())) / 20 for i, t in enumerate(true)]) >= 0.9
+
+
+@pytest.mark.parametrize("bits", ann.CODE_BITS)
+def test_codes_of_all_lengths(bits):
+    v = np.random.default_rng(1).normal(0, 1, (50, 7))
+    codes = ann.codes_of(v, bits)
+    assert {len(c) for c in codes} == {ann.code_bytes(7, bits)}
+    assert np.abs(ann.decoded(codes, 7, bits) - v).max() <= np.abs(v).max() / 2 ** min(bits, 20) + 1e-6 + (bits == 4) / 13 * np.abs(v).max()
+
+
 def test_codes():
     rng = np.random.default_rng(1)
     for width in (1, 7, 64):
