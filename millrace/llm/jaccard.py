@@ -24,8 +24,10 @@ SIMILARITY = (4, 5)
 #: Texts that tell which shingles are frequent, and so many of these come last; this sets the work, never the result.
 ORDER_TEXTS = 50_000
 ORDER_SHINGLES = 200_000
-#: Fingerprints of texts of a similarity of 0.8 differ in more bits than this once in ten million pairs.
-FAR_BITS = 28
+#: Longs of a set's parities: 64 bits each, every one set if an odd number of the set's shingles fall on it.
+PARITIES = 16
+#: Sets of a head, drawn by hash, that its other sets are compared with before all pairs are.
+PIVOTS = 8
 #: Pairs of sets that are handed to Python at once: two sets of a very long text have some megabytes.
 PAIRS_AT_ONCE = 256
 
@@ -79,11 +81,25 @@ def least_common(n: int, similarity: tuple[int, int]) -> int:
     return -(-n * p // q)
 
 
-_SETS = "doc_id long, node long, fp long, n int, heads array<long>, members binary"
+_SETS = f"doc_id long, node long, fp long, n int, bits struct<{', '.join(f'b{i}: long' for i in range(PARITIES))}>, heads array<long>, members binary"
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITIES longs; those of two sets differ in at most as many bits as there are shingles in one set alone."""
+    odd = np.bincount((hashes & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def may_be_similar(a: str, b: str, similarity: tuple[int, int]) -> Column:
+    """Whether parities leave two sets enough in common; true of all similar pairs.  Columns n and bits end in ``a`` and ``b``."""
+    p, q = similarity
+    apart_ = sum((F.bit_count(F.col(f"bits_{a}.b{i}").bitwiseXOR(F.col(f"bits_{b}.b{i}"))) for i in range(PARITIES)), F.lit(0))
+    both = F.col(f"n_{a}") + F.col(f"n_{b}")
+    return (both - apart_) * (p + q) >= both * (2 * p)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """Every row's doc_id, node (a digest of its set), fp (the set's SimHash), n, heads and members.
+    """Every row's doc_id, node (a digest of its set), fp (the set's SimHash), n, bits (its parities), heads and members.
 
     Heads are the rarest shingles, of which a similar set must have one; members
     are all, as 32-bit hashes (a pair's common count is off by chance collisions
@@ -92,12 +108,13 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, simi
     frequent, counts = frequent_shingles(docs, text_col, shingle)
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, prints, sizes, heads, members = [], [], [], [], []
+        nodes, prints, sizes, bits, heads, members = [], [], [], [], [], []
         for t in batch.column(1):
             s = shingle_set(t.as_py(), shingle)
             nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
             prints.append(majority(s))
             sizes.append(len(s))
+            bits.append(parities(s))
             members.append((s >> np.uint64(32)).astype("<u4").tobytes())
             if len(frequent) and len(s):
                 at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
@@ -105,8 +122,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, simi
                 s = s[np.argsort(often, kind="stable")]
             heads.append(s[: len(s) - least_common(len(s), similarity) + 1].view(np.int64))
         ids = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, prints)]
-        columns = [batch.column(0), *ids, pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(members, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "n", "heads", "members"])
+        of_bits = [pa.array(x) for x in np.array(bits, dtype=np.int64).reshape(-1, PARITIES).T.copy()]
+        of_bits = pa.StructArray.from_arrays(of_bits, [f"b{i}" for i in range(PARITIES)])
+        columns = [batch.column(0), *ids, pa.array(sizes, pa.int32()), of_bits, pa.array(heads, pa.list_(pa.int64())), pa.array(members, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "n", "bits", "heads", "members"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return given.mapInArrow(in_slices(sets), _SETS)
@@ -129,10 +148,10 @@ def head_pairs(a: DataFrame, b: DataFrame, similarity: tuple[int, int], others:
     return both.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
 
 
-def verified(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int], far_bits: int = FAR_BITS) -> DataFrame:
-    """The pairs (u, v) of at least the given Jaccard similarity; ``members`` has node, fp and members.
+def verified(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) of at least the given Jaccard similarity; ``members`` has node, n, bits and members.
 
-    Fingerprints are compared first: pairs that differ in more than ``far_bits`` don't fetch their sets.
+    Parities are compared first: pairs that these tell apart don't fetch their sets, and no other set moves.
     """
     p, q = similarity
 
@@ -147,8 +166,10 @@ def verified(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int],
     def of(k: str, *columns: str) -> DataFrame:
         return members.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
 
-    near = pairs.join(of("u", "fp"), "u").join(of("v", "fp"), "v").where(F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= far_bits).select("u", "v")
-    both = near.join(of("u", "members"), "u").join(of("v", "members"), "v")
+    near = pairs.join(of("u", "n", "bits"), "u").join(of("v", "n", "bits"), "v").where(may_be_similar("u", "v", similarity)).select("u", "v")
+    near = materialize(near, "near")
+    sets_u, sets_v = (of(k, "members").join(near.select(k).distinct(), k, "left_semi") for k in ("u", "v"))
+    both = near.join(sets_u, "u").join(sets_v, "v")
     return both.select("u", "v", "members_u", "members_v").mapInArrow(in_slices(judge), "u long, v long")
 
 
@@ -167,23 +188,34 @@ def similar_links(shared: DataFrame, members: DataFrame, first: DataFrame, simil
 
     Two such sets have a common head, whatever the common order of shingles is,
     and in the places of the first one enough of both is left.  Where a head
-    has several sets, each is compared with the least of them at first.  Then
-    all pairs of different components are compared, each at its
-    first common head alone.  No candidate is capped; pairs whose fingerprints
-    differ in more than FAR_BITS bits are passed over, as verified() says.
+    has several sets, each is compared with the least of them at first, and where
+    these leave several components, with PIVOTS others.  Then all pairs
+    of different components are compared, by their parities as they meet: a pair
+    that these tell apart can't be similar and makes no row.  No candidate is capped.
     """
     row = F.struct("node", "n", "at")
     least = shared.groupBy("h").agg(F.min(row).alias("e")).select("h", "e.*")
     with arrow_rows(shared.sparkSession, PAIRS_AT_ONCE):
         found = materialize(first.unionByName(verified(head_pairs(least, shared.drop("m"), similarity), members, similarity)), "similar")
     free_shuffles(found.sparkSession)
-    labels = connected_components(found).withColumnRenamed("node", "labelled")
-    open_rows = shared.where("m > 2").drop("m").join(labels, F.col("node") == F.col("labelled"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled")
-    heads = members.select(F.col("node").alias("of_node"), "heads")
-    several = apart(open_rows).join(heads, F.col("node") == F.col("of_node")).withColumn("earlier", F.slice("heads", F.lit(1), F.col("at"))).drop("of_node", "heads")
-    several = materialize(several, "apart")
-    free_shuffles(several.sparkSession)
-    others = (F.col("label_a") != F.col("label_b")) & ~F.arrays_overlap("earlier_a", "earlier_b")
+    bits = members.select(F.col("node").alias("of_node"), "bits")
+
+    def crowds(links: DataFrame) -> DataFrame:
+        labels = connected_components(links).withColumnRenamed("node", "labelled")
+        open_rows = shared.where("m > 2").drop("m").join(labels, F.col("node") == F.col("labelled"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled")
+        rows = materialize(apart(open_rows).join(bits, F.col("node") == F.col("of_node")).drop("of_node"), "apart")
+        free_shuffles(rows.sparkSession)
+        return rows
+
+    others = (F.col("label_a") != F.col("label_b")) & may_be_similar("a", "b", similarity)
+    several = crowds(found)
+    drawn = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("draw"), F.struct("node", "n", "at", "label", "bits").alias("row"))) for i in range(PIVOTS)])
+    pivots = several.groupBy("h").agg(drawn.alias("drawn")).select("h", F.explode("drawn").alias("e")).select("h", "e.row.*").distinct()
+    with arrow_rows(shared.sparkSession, PAIRS_AT_ONCE):
+        more = materialize(verified(head_pairs(pivots, several, similarity, others), members, similarity), "similar")
+    discard(several)
+    found = found.unionByName(more)
+    several = crowds(found)
     rest = head_pairs(several.where("minor"), several, similarity, others)
     with arrow_rows(shared.sparkSession, PAIRS_AT_ONCE):
         rest = materialize(verified(rest, members, similarity), "similar")

@@ -170,7 +170,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = rows.select("fp", F.col("node").alias("un")).join(of_print.withColumnRenamed("node", "vn"), "fp").where("un <> vn").select("un", "vn")
     links = materialize(links.unionByName(equal).select(F.least("un", "vn").alias("u"), F.greatest("un", "vn").alias("v")).distinct(), "near-sets")
     wanted = shared.select("node").unionByName(links.select(F.col("u").alias("node"))).unionByName(links.select(F.col("v").alias("node"))).distinct()
-    members = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "fp", "heads", "members"), "members")
+    members = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "bits", "members"), "members")
     discard(sets)
     free_shuffles(docs.sparkSession)
     with arrow_rows(docs.sparkSession, PAIRS_AT_ONCE):

@@ -78,5 +78,34 @@ def test_classes_name_every_row(spark, rows):
     assert {x.doc_id for x in got if x.doc_id is not None and x.doc_id == x.component_id} == brute_kept(rows)
 
 
+def test_parities_pass_similar_sets_and_tell_a_crowd_apart(spark, monkeypatch):
+    """Texts of one template that no two of are similar: all share a head, and few pairs reach the sets."""
+    r = random.Random(4)
+    template = [f"t{i}" for i in range(30)]
+    crowd = [[f"v{k}x{i}" if i % 5 == 4 and i > 6 else w for i, w in enumerate(template)] for k in range(120)]
+    similar = [[f"s{i}" for i in range(60)] + [f"e{k}"] for k in range(10)]
+    rows = list(enumerate(" ".join(t) for t in crowd + similar))
+    r.shuffle(rows)
+    met, judge = [], jaccard.verified
+
+    def counted(pairs, members, similarity):
+        met.append(pairs.count())
+        return judge(pairs, members, similarity)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == brute_kept(rows)
+    assert sum(met) < 120 * 10
+
+
+def test_parities_never_exceed_the_difference():
+    r = np.random.default_rng(2)
+    for n in (1, 30, 900, 5000):
+        base = r.integers(0, 2**63, n, dtype=np.uint64)
+        other = np.concatenate([base[: n - n // 5], r.integers(0, 2**63, n // 7 + 1, dtype=np.uint64)])
+        a, b = jaccard.parities(np.unique(base)), jaccard.parities(np.unique(other))
+        assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(np.setxor1d(base, other))
+
+
 def test_empty(nothing):
     assert simhash.one_of_each(nothing, shingle=5, similarity=(4, 5)).count() == 0
