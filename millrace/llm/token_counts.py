@@ -22,6 +22,7 @@ such place: it is one piece to the vocabulary and is counted in one task.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
@@ -256,8 +257,9 @@ class Counter:
 
     def learn(self, segments: set[str]) -> None:
         """Run both transducers over segments that were not met lately; a piece is a segment as well."""
-        split = {s: self.pieces(s) for s in segments}
-        fresh = set(chain.from_iterable(p for p, _ in split.values())).difference(self.young)
+        plain = {s for s in segments if s[0] == " " and s[1:].isalpha()}  # each is its only piece
+        split = {s: self.pieces(s) for s in segments.difference(plain)}
+        fresh = plain.union(chain.from_iterable(p for p, _ in split.values())).difference(self.young)
         found = {p: self.old[p] for p in fresh if p in self.old}
         unknown = list(fresh.difference(found))
         found.update(zip(unknown, self.merger.counts([p.encode() for p in unknown]), strict=True))
@@ -271,6 +273,15 @@ class Counter:
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Tokens of texts; a segment that was met before is one step."""
+        collected = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and a collection walks all that is remembered
+        try:
+            return self.count_each(texts)
+        finally:
+            if collected:
+                gc.enable()
+
+    def count_each(self, texts: list[str]) -> list[int]:
         out, at = [], 0
         while at < len(texts):
             end, size = at, 0

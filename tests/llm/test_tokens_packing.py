@@ -84,6 +84,14 @@ def test_memories_are_bounded_and_forgotten():
     assert not c.young and not c.old
 
 
+def test_plain_words_skip_the_splitter(monkeypatch):
+    c, split = token_counts.Counter(BYTES), []
+    pieces = c.pieces
+    monkeypatch.setattr(c, "pieces", lambda s: split.append(s) or pieces(s))
+    assert c.count("a plain word and 中文 don't, x") == len(tokenizers.Tokenizer.from_file(BYTES).encode("a plain word and 中文 don't, x", add_special_tokens=False).ids)
+    assert sorted(split) == [" don't,", "a"]
+
+
 def test_packing(corpus, corpus_rows):
     t = tokenizers.Tokenizer.from_file(WORDS)
     want = []
