@@ -14,9 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_rows, discard, free_shuffles, in_slices, materialize
+from millrace.llm.common import discard, free_shuffles, in_slices, materialize
 from millrace.llm.components import connected_components
-from millrace.llm.jaccard import PAIRS_AT_ONCE, SIMILARITY, majority, shared_heads, shingle_sets, similar_links, verified
+from millrace.llm.jaccard import SIMILARITY, Sets, majority, shared_heads, shingle_sets, similar_links
 
 SEED = 42
 SHINGLE = 3
@@ -156,31 +156,29 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the sets meet by multi-index hashing; of these links those of enough
     similarity stand, and the others' sets go on to the prefix-filtered join,
     since similar texts mostly lie further apart than its Hamming balls reach.
+    ``docs`` is read several times and must give the same rows each time: only
+    the sets of pairs that may be similar are made again, and none are kept.
 
     Null and wordless texts are all alike.  Null ids have a row but name no
     component.  Empty table: empty result.  Extra columns: ignored.
     """
     sets = materialize(shingle_sets(docs, id_col, text_col, shingle, similarity), "shingle-sets")
     rows = materialize(sets.select("doc_id", "node", "fp"), "shingle-nodes")
+    nodes = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "set-bits")
     shared = materialize(shared_heads(sets), "shared")
+    discard(sets)
     free_shuffles(docs.sparkSession)
     of_print = rows.groupBy("fp").agg(F.min("node").alias("node"))
     prints = materialize(near_links(rows), "near-prints")
     links = prints.join(of_print.withColumnsRenamed({"fp": "u", "node": "un"}), "u").join(of_print.withColumnsRenamed({"fp": "v", "node": "vn"}), "v").select("un", "vn")
     equal = rows.select("fp", F.col("node").alias("un")).join(of_print.withColumnRenamed("node", "vn"), "fp").where("un <> vn").select("un", "vn")
     links = materialize(links.unionByName(equal).select(F.least("un", "vn").alias("u"), F.greatest("un", "vn").alias("v")).distinct(), "near-sets")
-    wanted = shared.select("node").unionByName(links.select(F.col("u").alias("node"))).unionByName(links.select(F.col("v").alias("node"))).distinct()
-    members = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "bits", "members"), "members")
-    discard(sets)
-    free_shuffles(docs.sparkSession)
-    with arrow_rows(docs.sparkSession, PAIRS_AT_ONCE):
-        first = materialize(verified(links, members, similarity), "similar")
-    labels = connected_components(similar_links(shared, members, first, similarity)).withColumnRenamed("node", "labelled")
-    classes = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(labels, F.col("node") == F.col("labelled"), "left").select("node", F.coalesce("label", "node").alias("label"), "first")
+    labels = connected_components(similar_links(shared, Sets(nodes, docs, id_col, text_col, shingle), links, similarity)).withColumnRenamed("node", "labelled")
+    classes = nodes.join(labels, F.col("node") == F.col("labelled"), "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     classes = materialize(classes, "classes")
-    for done in (shared, members, prints, links, first):
+    for done in (shared, nodes, prints, links):
         discard(done)
+    free_shuffles(docs.sparkSession)
     least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     of_node = classes.join(least, "label").select(F.col("node").alias("of_node"), "component_id")
     return rows.join(of_node, F.col("node") == F.col("of_node")).select("doc_id", "component_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm import jaccard, simhash
+from millrace.llm import decontaminate, jaccard, simhash
 
 
 def brute_kept(rows):
@@ -107,5 +107,33 @@ def test_parities_never_exceed_the_difference():
         assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(np.setxor1d(base, other))
 
 
+@pytest.mark.parametrize("filter_bits", [None, 64])
+def test_only_sets_of_likely_pairs_are_written(spark, monkeypatch, filter_bits):
+    """Texts that share a head and are not similar leave no set behind; similar ones, of null and repeated ids too, are found by any filter."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(12)]
+    far = [[*[f"f{k}x{i}" for i in range(30)], *passage] for k in range(100)]
+    near = [[f"s{i}" for i in range(60)] + [f"e{k}"] for k in range(6)] + [[f"n{i}" for i in range(60)] + [f"e{k}"] for k in range(3)]
+    rows = list(enumerate(" ".join(t) for t in far + near))
+    rows = [(None if i > 106 else i, t) for i, t in rows] + [(101, rows[3][1]), (102, " ".join(f"a{i}" for i in range(40)))]
+    r.shuffle(rows)
+    written = []
+
+    def noted(df, label, materialize=jaccard.materialize):
+        out = materialize(df, label)
+        if "members" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    monkeypatch.setattr(simhash, "materialize", noted)
+    if filter_bits:
+        monkeypatch.setattr(decontaminate, "LEAST_BITS", filter_bits)
+        monkeypatch.setattr(decontaminate, "MOST_BITS", filter_bits)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} - {None} == brute_kept(rows)
+    assert written and sum(written) <= 2 * len(near)
+
+
 def test_empty(nothing):
     assert simhash.one_of_each(nothing, shingle=5, similarity=(4, 5)).count() == 0
