@@ -60,27 +60,76 @@ def interpolate(df: DataFrame, column: str, order: str, partition: list[str] | N
     return both.withColumn(column, F.coalesce(F.col(f"`{column}`").cast("double"), between, F.col("__a.v"), F.col("__b.v"))).drop(*_KNOWN)
 
 
+def _unused(rows: DataFrame, used: Column, source: DataFrame, home: Column | None = None) -> DataFrame:
+    """The rows, __want being null where a row of the source (of equal ``home``) uses that number; rows that want none are spread by their numbers."""
+    home = F.lit(None) if home is None else home
+    found = source.select(used.alias("__used"), home.alias("__of")).where("__used is not null").distinct().withColumn("__asks", F.lit(True))
+    same = (F.col("__one") == F.col("__used")) & F.col("__home").eqNullSafe(F.col("__of")) & (F.col("__want").isNotNull() == F.col("__asks"))
+    out = rows.withColumns({"__one": F.coalesce("__want", "__r"), "__home": home}).join(found, same, "left")
+    return out.withColumn("__want", F.when(F.col("__used").isNull(), F.col("__want"))).drop("__one", "__home", "__used", "__of", "__asks")
+
+
 def fill_sequence(df: DataFrame, column: str, order: str, partition: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Missing numbers of a running sequence: the value before plus the distance, where that number is nowhere used."""
     c = F.col(f"`{column}`")
     rows = with_known(df, column, order, partition, ties)
     rows = rows.withColumn("__want", F.when(c.isNull(), F.col("__a.v") + F.col("__r") - F.col("__a.r")))
-    used = df.select(c.alias("__used")).where("__used is not null").distinct()
-    out = rows.join(used, F.col("__want") == F.col("__used"), "left")
-    return out.withColumn(column, F.coalesce(c, F.when(F.col("__used").isNull(), F.col("__want")))).drop(*_KNOWN, "__want", "__used")
+    return _unused(rows, c, df).withColumn(column, F.coalesce(c, "__want")).drop(*_KNOWN, "__want")
+
+
+def _fill_rounds(df: DataFrame, column: str, size: int, order: str, partition: list[str] | None, ties: list[str] | None) -> DataFrame:
+    """fill_sequence() of numbers below ``size``, behind the last of which a group may go on from 0.
+
+    It does where a number is by ``size`` (or a multiple) less than the one before
+    tells.  The first such place fixes the group's course, which all numbers are
+    led back to by whole rounds, so that a number is free on a round where its
+    group doesn't use it, however often it is used on others.
+    """
+    c, r, course, by = F.col(f"`{column}`"), F.col("__r"), F.col("__course"), partition or []
+    rows = with_known(df, column, order, by, ties, earlier=True)
+    told = F.col("__p.v") + r - F.col("__p.r")
+    rounds = rows.where((told > c) & ((told - c) % size == 0))
+    courses = rounds.groupBy(*[F.col(f"`{b}`").alias(f"__g{i}") for i, b in enumerate(by)]).agg(F.min_by(c - r, r).alias("__course"))
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(f"`{b}`").eqNullSafe(F.col(f"__g{i}"))
+    rows = (rows.join(courses, same, "left") if by else rows.join(F.broadcast(courses))).drop(*[f"__g{i}" for i in range(len(by))])
+
+    def running(v: Column, at: Column) -> Column:
+        behind = at + course - v + size // 2
+        return F.when(course.isNull(), v).otherwise(v + behind - F.pmod(behind, F.lit(size)))
+
+    rows = rows.withColumn("__want", F.when(c.isNull(), running(F.col("__a.v"), F.col("__a.r")) + r - F.col("__a.r")))
+    home = F.when(course.isNotNull(), F.struct(*[F.col(f"`{b}`") for b in by])) if by else None
+    out = _unused(rows, running(c, r), rows, home)
+    free = F.when(course.isNull(), F.col("__want")).otherwise(F.pmod("__want", F.lit(size)))
+    return out.withColumn(column, F.coalesce(c, free)).drop(*_KNOWN, "__p", "__want", "__course")
 
 
 _NUMBERED = r"^(.*?)(\d+)$"
 
 
 def fill_text_sequence(df: DataFrame, column: str, order: str, partition: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
-    """Missing members of a sequence of prefixed, zero-padded numbers such as EMP003."""
+    """Missing members of a sequence of prefixed, zero-padded numbers such as EMP003.
+
+    Where the sequence goes on from EMP000 behind EMP999, missing members do too;
+    else numbers beyond the last become longer.  One aggregate tells prefix and
+    width, and whether numbers come near enough to the last one for that.
+    """
     c = F.col(f"`{column}`")
-    number = F.when(c.rlike(_NUMBERED), F.regexp_extract(c, _NUMBERED, 2))
-    facts = df.agg(F.mode(F.when(c.rlike(_NUMBERED), F.regexp_extract(c, _NUMBERED, 1)), True).alias("__prefix"), F.max(F.length(number)).alias("__width"))
-    filled = fill_sequence(df.withColumn("__number", number.cast("long")), "__number", order, partition, ties).join(F.broadcast(facts))  # one row
-    text = F.concat("__prefix", F.lpad(F.col("__number").cast("string"), F.col("__width"), F.lit("0")))
-    return filled.withColumn(column, F.coalesce(c, text)).drop("__number", "__prefix", "__width")
+    digits = F.when(c.rlike(_NUMBERED), F.regexp_extract(c, _NUMBERED, 2))
+    prefix = F.mode(F.when(c.rlike(_NUMBERED), F.regexp_extract(c, _NUMBERED, 1)), True)
+    facts = df.agg(prefix.alias("prefix"), F.max(F.length(digits)).alias("width"), F.max(digits.cast("long")).alias("last"), F.count_if(digits.isNull()).alias("missing")).first()
+    if facts["width"] is None:
+        return df
+    rows, size = df.withColumn("__number", digits.cast("long")), 10 ** facts["width"]
+    if facts["width"] <= 18 and facts["last"] + facts["missing"] + 1 >= size:
+        filled = _fill_rounds(rows, "__number", size, order, partition, ties)
+    else:
+        filled = fill_sequence(rows, "__number", order, partition, ties)
+    number = F.col("__number").cast("string")
+    text = F.concat(F.lit(facts["prefix"]), F.lpad(number, F.greatest(F.lit(facts["width"]), F.length(number)), F.lit("0")))
+    return filled.withColumn(column, F.coalesce(c, text)).drop("__number")
 
 
 def sequence_facts(df: DataFrame, column: str) -> DataFrame:

@@ -91,8 +91,8 @@ class _Carry:
         return rows.join(F.broadcast(parts), at, "left").drop("__of", *self.names)  # two rows a range at most
 
 
-def with_known(df: DataFrame, column: str, order: str, by: list[str] | None = None, ties: list[str] | None = None, ranges: int | None = None) -> DataFrame:
-    """Adds __r (row number in the group), __a and __b: the known value at or before, and at or behind a row, each with its row number."""
+def with_known(df: DataFrame, column: str, order: str, by: list[str] | None = None, ties: list[str] | None = None, ranges: int | None = None, earlier: bool = False) -> DataFrame:
+    """Adds __r (row number in the group), __a and __b: the known value at or before, and at or behind a row, each with its row number; if ``earlier``, __p too, the one before the row."""
     by, c = by or [], _name(column)
     rows = with_range(df, order, by, ties, ranges)
     rows = rows.withColumn("__n", F.row_number().over(_windows(df, order, by, ties, False)).cast("long"))
@@ -104,6 +104,7 @@ def with_known(df: DataFrame, column: str, order: str, by: list[str] | None = No
     forward = Window.partitionBy(*map(_name, by), "__range").orderBy("__n")
     backward = Window.partitionBy(*map(_name, by), "__range").orderBy(F.desc("__n"))  # the same order, turned round
     local = rows.withColumn("__la", F.last("__k", True).over(_to_here(forward))).withColumn("__lb", F.last("__k", True).over(_to_here(backward)))
+    local = local.withColumn("__lp", F.last("__k", True).over(_to_here(forward, -1))) if earlier else local
     out = carry.join(
         local,
         __start=F.col("__start"),
@@ -111,9 +112,10 @@ def with_known(df: DataFrame, column: str, order: str, by: list[str] | None = No
         __behind=F.last(moved(F.col("__first"), F.col("__start")), True).over(carry.behind),
     )
     at = F.coalesce("__start", F.lit(0))
+    before = {"__p": F.coalesce(moved(F.col("__lp"), at), "__before")} if earlier else {}
     return out.withColumns(
-        {"__r": F.col("__n") + at, "__a": F.coalesce(moved(F.col("__la"), at), "__before"), "__b": F.coalesce(moved(F.col("__lb"), at), "__behind")}
-    ).drop("__range", "__n", "__k", "__la", "__lb", "__start", "__before", "__behind")
+        {"__r": F.col("__n") + at, "__a": F.coalesce(moved(F.col("__la"), at), "__before"), "__b": F.coalesce(moved(F.col("__lb"), at), "__behind"), **before}
+    ).drop("__range", "__n", "__k", "__la", "__lb", "__lp", "__start", "__before", "__behind")
 
 
 def with_running(

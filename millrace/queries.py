@@ -445,7 +445,7 @@ def seq_numeric(spark, sf_dir):
 
 @query("SELECT c_custkey, 'EMP' || lpad((c_custkey % 100000)::VARCHAR, 5, '0') AS code FROM customer")
 def seq_text(spark, sf_dir):
-    code = F.concat(F.lit("EMP"), F.lpad(F.col("c_custkey").cast("string"), 5, "0"))
+    code = F.concat(F.lit("EMP"), F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0"))
     t = read(spark, sf_dir, "customer").select("c_custkey", F.when((F.col("c_custkey") % 9 != 0) | (F.col("c_custkey") == 0), code).alias("code"))
     return impute.fill_text_sequence(t, "code", "c_custkey")
 
