@@ -2,9 +2,11 @@
 
 Whole columns: radix selection.  A double becomes a 64-bit whole number of the
 same order, and each pass counts, for all columns and quantiles together, how
-many rows fall into each of 65,536 even parts of the intervals that still hold a
-wanted rank.  A pass leaves one part per rank, so four passes settle 64 bits;
-they end as soon as few rows are left.  What is exchanged are counts of parts.
+many rows fall into each of up to 65,536 even parts of the intervals that still
+hold a wanted rank, and the least and greatest number in each.  A pass leaves one
+part per rank, cut down to what lies in it, so a part of one value is settled;
+passes end as soon as few rows are left.  Batches are counted in numpy, next to
+the rows; what is exchanged are counts of parts.
 
 Groups: distinct values are counted by group, their ranks are running sums along
 the order (see ordered.py), and the values at the wanted ranks are kept.
@@ -16,7 +18,11 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,10 +30,10 @@ from pyspark.sql.window import Window
 from millrace.operators.ordered import with_running
 
 QUARTILES = (0.25, 0.5, 0.75)
-#: Parts that a pass cuts an interval into.
-PARTS = 1 << 16
-#: Rows left in all intervals together that are ranked at once.
-FEW = 100_000
+#: Parts that a pass cuts an interval into, and all intervals together, at most.
+PARTS, ALL_PARTS = 1 << 16, 1 << 18
+#: Rows left in all intervals together that are ranked at once, and rows counted at once.
+FEW, CHUNK = 100_000, 1 << 16
 
 _INFINITE, _LARGEST = 2047 << 52, 1 << 52
 
@@ -57,57 +63,126 @@ def _interpolated(low: float, high: float, position: float) -> float:
     return low if below == above or low == high else (above - position) * low + (position - below) * high
 
 
+@dataclass
 class _Interval:
-    """Keys of a column from ``low`` to ``high``, and the ranks among them (from 0) that are wanted, each with the rank in the column."""
+    """Keys of a column from ``low`` to ``high``, of one sign: the rows there and before it in the column, and the ranks in the column (from 0) that are wanted there."""
 
-    def __init__(self, column: int, low: int, high: int, rows: int, ranks: dict[int, int]):
-        self.column, self.low, self.high, self.rows, self.ranks = column, low, high, rows, ranks
+    column: int
+    low: int
+    high: int
+    rows: int = 0
+    before: int = 0
+    ranks: tuple[int, ...] = ()
 
-    @property
-    def width(self) -> int:
+    def width(self, parts: int) -> int:
         """Keys of a part."""
-        return -(-(self.high - self.low + 1) // PARTS)
+        return -(-(self.high - self.low + 1) // parts)
 
 
-def _pass(long: DataFrame, intervals: list[_Interval], by_key: bool) -> list:
-    """Parts (or, ``by_key``, single keys) of the intervals that hold a wanted rank: number of the interval, part, rows before and in it."""
-    rows = [(i, v.column, v.low, v.high, 1 if by_key else v.width, sorted(v.ranks)) for i, v in enumerate(intervals)]
-    schema = "i int, column int, low long, high long, width long, ranks array<long>"
-    found = long.join(F.broadcast(long.sparkSession.createDataFrame(rows, schema)), "column").where("key between low and high")
-    counts = found.groupBy("i", "ranks", F.expr("(key - low) div width").alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+_COUNTED = "i int, part long, n long, low long, high long"
+
+
+def _counter(columns: list[int], intervals: list[_Interval], widths: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of each part of the intervals, its least and its greatest key, in a task; batches hold the columns as doubles.
+
+    All that the tasks need is inside, so that workers need not have this package.
+    """
+    own = [[(i, v.low, v.high, w) for i, (v, w) in enumerate(zip(intervals, widths, strict=True)) if v.column == c] for c in columns]
+
+    def keys_of(x: np.ndarray) -> np.ndarray:
+        """sort_key() of an array."""
+        bits = (x + 0.0).view(np.int64)
+        return np.where(np.isnan(x), _INFINITE + 1, np.where(bits < 0, -(bits & ((1 << 63) - 1)), bits))
+
+    def merged(found: list[np.ndarray]) -> np.ndarray:
+        all_ = np.concatenate(found, axis=1)
+        part, n, low, high = all_[:, np.argsort(all_[0], kind="stable")]
+        at = np.flatnonzero(np.diff(part, prepend=part[0] - 1))
+        return np.stack([part[at], np.add.reduceat(n, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def add(chunk: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(chunk)
+            for k, of in enumerate(own):
+                keys = np.sort(keys_of(table.column(k).drop_null().to_numpy()))
+                for i, low, high, width in of:
+                    inside = keys[np.searchsorted(keys, low) : np.searchsorted(keys, high, "right")]
+                    if not len(inside):
+                        continue
+                    part = (inside - low) // width
+                    at = np.flatnonzero(np.diff(part, prepend=part[0] - 1))
+                    n = np.diff(at, append=len(part))
+                    found = held.setdefault(i, [])
+                    found.append(np.stack([part[at], n, inside[at], inside[at + n - 1]]))
+                    if sum(f.shape[1] for f in found[1:]) > max(CHUNK, found[0].shape[1]):
+                        held[i] = [merged(found)]
+
+        chunk, rows = [], 0
+        for b in batches:
+            chunk.append(b)
+            rows += b.num_rows
+            if rows >= CHUNK:
+                add(chunk)
+                chunk, rows = [], 0
+        if rows:
+            add(chunk)
+        for i, found in held.items():
+            counts = merged(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(counts.shape[1], i, np.int32)), *map(pa.array, counts)], names=["i", "part", "n", "low", "high"])
+
+    return count
+
+
+def _wanted(shares: tuple[float, ...], n: int) -> set[int]:
+    return {f(q * (n - 1)) for q in shares for f in (math.floor, math.ceil)}
+
+
+def _pass(doubles: DataFrame, intervals: list[_Interval], shares: tuple[float, ...], first: bool, by_key: bool) -> list:
+    """Parts (or, ``by_key``, single keys) of the intervals that hold a wanted rank: number of the interval, rows in it, before it in the column and of the column (in the first pass), least and greatest key."""
+    columns = sorted({v.column for v in intervals})
+    widths = [1 if by_key else v.width(max(16, min(PARTS, ALL_PARTS // len(intervals)))) for v in intervals]
+    rows = doubles.select(*[f"x{c}" for c in columns])
+    counts = rows.mapInArrow(_counter(columns, intervals, widths), _COUNTED).groupBy("i", "part").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    facts = doubles.sparkSession.createDataFrame([(i, v.column, v.before, list(v.ranks)) for i, v in enumerate(intervals)], "i int, column int, start long, ranks array<long>")
+    counts = counts.join(F.broadcast(facts), "i")
+    whole = Window.partitionBy("column" if first else "i")
+    counts = counts.withColumns({
+        "before": F.col("start") + F.coalesce(F.sum("n").over(whole.orderBy("i", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "total": F.sum("n").over(whole),
+    })
+    if first:
+        counts = counts.withColumn("ranks", F.array(*[f(F.lit(float(q)) * (F.col("total") - 1)) for q in shares for f in (F.floor, F.ceil)]))
     held = F.exists("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
-    return counts.withColumn("before", before).where(held).select("i", "part", "before", "n").collect()
+    return counts.where(held).select("i", "n", "before", "total", "low", "high").collect()
 
 
 def exact_quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[float, ...] = QUARTILES) -> dict[str, list[float | None]]:
     """The quantiles of each expression over its non-null values; None where there are none.
 
-    One pass tells counts and ends, the next ones select.  The driver sees one
-    interval per wanted rank.
+    The first pass counts all keys and tells the numbers of rows, the next ones
+    select.  The driver sees one interval per wanted rank.
     """
     columns = list(values)
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), sort_key(v).alias("key")) for i, v in enumerate(values.values())]))
-    long = df.select(each.alias("e")).select("e.column", "e.key").where("key is not null")
-    facts = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("key") < 0).alias("below"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
-    sizes, keys, intervals = {r["column"]: r["n"] for r in facts}, {}, []
-    for r in facts:
-        wanted = {f(q * (r["n"] - 1)) for q in shares for f in (math.floor, math.ceil)}
-        parts = ((r["low"], -1, 0, r["below"]), (max(r["low"], 0), r["high"], r["below"], r["n"] - r["below"]))  # apart, so that no difference of keys overflows
-        intervals += [_Interval(r["column"], low, high, n, {k - start: k for k in wanted if start <= k < start + n}) for low, high, start, n in parts if n]
-    while intervals := [v for v in intervals if v.ranks]:
-        few = sum(v.rows for v in intervals) <= FEW
+    doubles = df.select(*[v.cast("double").alias(f"x{i}") for i, v in enumerate(values.values())])
+    sizes: dict[int, int] = {}
+    keys: dict[tuple[int, int], int] = {}
+    intervals = [_Interval(i, low, high) for i in range(len(columns)) for low, high in ((-_INFINITE, -1), (0, _INFINITE + 1))]  # apart, so that no difference of keys overflows
+    first = True
+    while intervals:
         after = []
-        for r in _pass(long, intervals, few):
+        for r in _pass(doubles, intervals, shares, first, not first and sum(v.rows for v in intervals) <= FEW):
             v = intervals[r["i"]]
-            width = 1 if few else v.width
-            low = v.low + r["part"] * width
-            ranks = {k - r["before"]: of for k, of in v.ranks.items() if r["before"] <= k < r["before"] + r["n"]}
-            if width == 1:
-                keys.update({(v.column, of): low for of in ranks.values()})
-            else:
-                after.append(_Interval(v.column, low, min(low + width - 1, v.high), r["n"], ranks))
-        intervals = after
+            if first:
+                sizes[v.column] = r["total"]
+            end = r["before"] + r["n"]
+            ranks = [k for k in (_wanted(shares, r["total"]) if first else v.ranks) if r["before"] <= k < end]
+            known = {k: r["low"] if k == r["before"] else r["high"] for k in ranks if r["low"] == r["high"] or k in (r["before"], end - 1)}
+            keys.update({(v.column, k): key for k, key in known.items()})
+            if left := tuple(k for k in ranks if k not in known):
+                after.append(_Interval(v.column, r["low"], r["high"], r["n"], r["before"], left))
+        intervals, first = after, False
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
         places = [q * (sizes[i] - 1) for q in shares] if i in sizes else []

@@ -1,7 +1,12 @@
 import math
+import os
 import random
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from millrace.operators import quantiles
@@ -58,3 +63,37 @@ def test_ten_million_distinct_values(spark):
     t = spark.range(0, n, 1, 8).select((F.pmod(F.col("id") * 7_368_787, F.lit(n)) / 4 - 1e6).alias("x"))
     values = quantiles.exact_quantiles(t, {"x": F.col("x")}, (0.25, 0.5, 0.9))["x"]
     assert values == pytest.approx([(q * (n - 1)) / 4 - 1e6 for q in (0.25, 0.5, 0.9)], rel=1e-12)
+
+
+@pytest.mark.parametrize("value", ["id % 11 / 100", "id * 7919 % 86400", "(id * 7919 % 1000003) / 100 - 2000"])
+def test_few_passes_settle_common_columns(spark, monkeypatch, value):
+    """However many rows are left in an interval, one of a single value is settled."""
+    passes, once = [], quantiles._pass
+    monkeypatch.setattr(quantiles, "_pass", lambda *a: passes.append(1) or once(*a))
+    monkeypatch.setattr(quantiles, "FEW", 0)
+    t = spark.range(0, 300_000, 1, 3).selectExpr(f"cast({value} as double) as x")
+    got = quantiles.exact_quantiles(t, {"x": F.col("x")}, SHARES)["x"]
+    assert got == spark_percentiles(t, "x") and len(passes) <= 3
+
+
+def test_odd_values(spark):
+    rows = [(x, None) for x in (math.nan, math.inf, -0.0, -5e-324, -math.inf)] + [(None, None)] * 3 + [(None, 7.0)]
+    got = quantiles.exact_quantiles(spark.createDataFrame(rows, "a double, b double").repartition(3), {"a": F.col("a"), "b": F.col("b")}, (0.0, 0.25, 0.5, 0.75, 1.0))
+    assert got["a"][:4] == [-math.inf, -5e-324, 0.0, math.inf] and math.isnan(got["a"][4]) and got["b"] == [7.0] * 5
+
+
+def test_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW", 0)
+    monkeypatch.setattr(quantiles, "ALL_PARTS", 500)
+    monkeypatch.setattr(quantiles, "CHUNK", 100)
+    t = spark.range(0, 2000, 1, 3).select(*[(F.sin(F.col("id") * (i + 1)) * 10.0 ** (i - 10)).alias(f"c{i}") for i in range(20)])
+    got = quantiles.exact_quantiles(t, {c: F.col(c) for c in t.columns}, SHARES)
+    want = t.agg(*[F.percentile(c, F.array(*map(F.lit, SHARES))).alias(c) for c in t.columns]).first()
+    assert got == want.asDict()
+
+
+def test_workers_need_not_have_this_package(tmp_path):
+    batch = pa.RecordBatch.from_arrays([pa.array([1.0, None, 3.0])], names=["x0"])
+    given = cloudpickle.dumps((quantiles._counter([0], [quantiles._Interval(0, 0, quantiles._INFINITE + 1)], [1 << 50]), batch))
+    told = subprocess.run([sys.executable, "-c", "import sys; from pyspark import cloudpickle; f, b = cloudpickle.loads(sys.stdin.buffer.read()); print(sum(sum(x.column('n').to_pylist()) for x in f([b])))"], input=given, capture_output=True, cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+    assert told.stdout.split() == [b"2"]
