@@ -73,8 +73,9 @@ def time_of(c: Column) -> Column:
 def seconds_of_day(c: Column) -> Column:
     """Seconds since midnight of HH:mm or HH:mm:ss; null beyond 23:59:59."""
     shape = r"^([01]?\d|2[0-3]):([0-5]\d)(?::([0-5]\d))?$"
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(c, shape, i), F.lit("")).cast("int"), F.lit(0))
-    return F.when(c.rlike(shape), part(1) * 3600 + part(2) * 60 + part(3))
+    at = F.instr(c, ":")  # two digits follow, and two more behind another colon or none
+    hour, minute, second = F.substring_index(c, ":", 1), F.substr(c, at + 1, F.lit(2)), F.nullif(F.substr(c, at + 4, F.lit(2)), F.lit(""))
+    return F.when(c.rlike(shape), hour.cast("int") * 3600 + minute.cast("int") * 60 + F.coalesce(second.cast("int"), F.lit(0)))
 
 
 def time_text(seconds: Column) -> Column:

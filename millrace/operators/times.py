@@ -42,6 +42,11 @@ def predicted_time(model: dict) -> Column:
     return time_text(F.pmod(seconds, F.lit(float(DAY))))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Rows of these expressions, each evaluated once a row; Spark would evaluate them anew wherever they are used."""
+    return df.select(F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("e")).select("e.*")
+
+
 def fit_times(df: DataFrame, column: str, numbers: list[str], categories: dict[str, list[str]], otherwise: Column) -> dict | None:
     """A model of the column's times, as a document, or None where it is no nearer than ``otherwise`` (seconds of the day).
 
@@ -50,11 +55,13 @@ def fit_times(df: DataFrame, column: str, numbers: list[str], categories: dict[s
     sums.  The model of the first part is held against ``otherwise`` by the mean
     way round the clock on the rest; the one that is given is fitted to all.
     """
-    seconds = seconds_of_day(F.col(f"`{column}`"))
-    known = df.where(seconds.isNotNull())
     numbers = [c for c in numbers if c != column][: MOST_TERMS - 1]
     if not numbers and not categories:
         return None
+    read = {c: F.col(f"`{c}`") for c in (*numbers, *categories) if c != column}
+    read_at = _once(df, __at=F.col(f"`{column}`"), **read)
+    known = _once(read_at, __seconds=seconds_of_day(F.col("__at")), **read).where("__seconds is not null")
+    seconds = F.col("__seconds")
     x = [F.col(f"`{c}`").cast("double") for c in numbers]
     x = [F.when(~F.isnan(v), v) for v in x]
     facts = known.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.avg(v).alias("m"), F.stddev_pop(v).alias("s")).alias(f"f{i}") for i, v in enumerate(x)]).first()
@@ -73,7 +80,7 @@ def fit_times(df: DataFrame, column: str, numbers: list[str], categories: dict[s
         return None
     own = [F.col(f"`{c}`").cast("string") for c in (*model["numbers"], *model["levels"])]
     held = (F.pmod(F.xxhash64(*own, seconds), F.lit(5)) == 0).alias("held")
-    rows = known.select(held, F.array(*_terms(model), F.sin(angle), F.cos(angle)).alias("t"))
+    rows = _once(known, held=held, t=F.array(*_terms(model), F.sin(angle), F.cos(angle)))
     products = [F.sum(F.get("t", F.lit(i)) * F.get("t", F.lit(j))).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k + 2)]
     parts = {r["held"]: r for r in rows.groupBy("held").agg(*products).collect()}
 

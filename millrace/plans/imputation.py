@@ -1,6 +1,6 @@
 """Imputation of a table: one pass decides a fill for every column with nulls, then the fills are applied in order.
 
-Statistics of all columns come from one aggregate and one profile; values that
+Statistics of all columns come from a few aggregates and one profile; values that
 fill are constants of the plan, so applying them is a projection.  Only fills by
 group, by neighbours and of sequences join or sort.
 """
@@ -8,15 +8,17 @@ group, by neighbours and of sequences join or sort.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from dataclasses import asdict, dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.temporal import date_of, seconds_of_day, time_text
+from millrace.functions.temporal import date_of, seconds_of_day
 from millrace.operators import impute, times
 from millrace.operators.profile import profile_columns
-from millrace.operators.quantiles import exact_quantile_columns, exact_quantiles
+from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.rows import to_number, tokens_to_null
 
 NUMERIC = ("integer", "float", "currency", "salary", "percentage", "number_systems", "distance", "weight", "volume", "area", "speed", "temperature", "pressure", "energy", "power", "capacity", "density", "angle", "latitude", "longitude")
@@ -129,22 +131,24 @@ def decide(df: DataFrame, kinds: dict[str, str], confidence: dict[str, float] |
     sequences are continued; numbers, dates, durations and calendar parts go by
     their rules, and all others by the fallback rules.
     """
-    profile = {r["column_name"]: r for r in profile_columns(df).collect()}  # a row a column
-    rows = max((r["row_count"] for r in profile.values()), default=0)
-    share = {c: r["null_count"] / rows for c, r in profile.items() if rows}
-    open_ = [c for c in df.columns if share.get(c, 0) > 0]
     types = dict(df.dtypes)
+    counts = df.agg(F.count(F.lit(1)), *[F.count(F.col(f"`{c}`")) for c in df.columns]).first()
+    rows, filled = counts[0], dict(zip(df.columns, counts[1:], strict=True))
+    share = {c: (rows - n) / rows for c, n in filled.items() if rows}
+    open_ = [c for c in df.columns if share.get(c, 0) > 0]
+    asked = [c for c in df.columns if c in open_ or types[c] == "string"]  # of no other column the different values matter
+    unique = {r["column_name"]: r["unique_count"] for r in profile_columns(df, asked).collect()} if asked and rows else dict.fromkeys(asked, 0)
     numeric = [c for c in open_ if types[c] in {"tinyint", "smallint", "int", "bigint", "float", "double"} or types[c].startswith("decimal")]
     facts = _facts(df, numeric)
     outliers = _outliers(df, facts)
-    groups = [c for c in df.columns if types[c] == "string" and 1 < profile[c]["unique_count"] < 10]
+    groups = [c for c in df.columns if types[c] == "string" and 1 < unique[c] < 10]
     dated = next((c for c in df.columns if types[c] in {"date", "timestamp", "timestamp_ntz"} and share.get(c, 0) == 0), None)
-    counted = {c for c in open_ if types[c] in {"string", "int", "bigint"} and kinds.get(c, "text") not in (*CALENDAR, *DATES, "time", "duration", "boolean") and profile[c]["unique_count"] == rows - profile[c]["null_count"] > 0}
+    counted = {c for c in open_ if types[c] in {"string", "int", "bigint"} and kinds.get(c, "text") not in (*CALENDAR, *DATES, "time", "duration", "boolean") and unique[c] == filled[c] > 0}
     running = impute.sequences(df, sorted(counted))
     by_column = groupings(df, numeric, groups)
     plan = []
     for c in open_:
-        kind, distinct = kinds.get(c, "text"), profile[c]["unique_count"]
+        kind, distinct = kinds.get(c, "text"), unique[c]
         if not distinct:
             plan.append(Fill(c, "drop"))
             continue
@@ -197,11 +201,15 @@ def levels_of(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
 
 
 def _time_value(df: DataFrame, column: str) -> str:
-    """The median time of day where more than five are known, else midnight."""
-    s = seconds_of_day(F.col(f"`{column}`"))
-    t = time_text(exact_quantile_columns(df, {"s": s}, (0.5,))["s"][0])
-    row = df.agg(F.count(s).alias("n")).select("n", t.alias("t")).first()
-    return row["t"] if row["n"] > 5 else "00:00:00"
+    """The median time of day where more than five are known, else midnight; different values are counted, then seconds, of which a day has 86,400."""
+    values = df.groupBy(F.col(f"`{column}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).select(seconds_of_day(F.col("v")).alias("s"), "n")
+    counts = sorted((s, n) for s, n in values.groupBy("s").agg(F.sum("n")).collect() if s is not None)  # a condition would go before the first grouping, to each row
+    ends = list(accumulate(n for _, n in counts))
+    if not ends or ends[-1] <= 5:
+        return "00:00:00"
+    low, high = (counts[bisect_right(ends, rank)][0] for rank in ((ends[-1] - 1) // 2, ends[-1] // 2))
+    median = (low + high) // 2
+    return f"{median // 3600:02d}:{median % 3600 // 60:02d}:{median % 60:02d}"
 
 
 def _constant(df: DataFrame, column: str, value) -> Column:

@@ -270,7 +270,8 @@ def date_repair(spark, sf_dir):
 )
 def impute_time(spark, sf_dir):
     k = F.col("o_orderkey")
-    t = read(spark, sf_dir, "orders").select(k.alias("k"), F.when(k % 5 != 0, F.format_string("%02d:%02d:00", k % 24, k % 60)).alias("at"))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    t = read(spark, sf_dir, "orders").select(k.alias("k"), F.when(k % 5 != 0, F.concat(two(k % 24), F.lit(":"), two(k % 60), F.lit(":00"))).alias("at"))
     return imputation.apply(t, imputation.decide(t, {"at": "time"}), "k")
 
 
